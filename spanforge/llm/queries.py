@@ -21,6 +21,12 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.planes import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.token_counts import prefix_token_counts
 
@@ -30,6 +36,7 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_feistel_shards": op4_feistel_shards,
+    "op5_token_planes": op5_token_planes,
     "op6_prefix_token_counts": op6_prefix_token_counts,
 }
 
