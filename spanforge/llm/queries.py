@@ -34,10 +34,17 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op7_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_planes": op5_token_planes,
     "op6_prefix_token_counts": op6_prefix_token_counts,
+    "op7_bin_completion_packing": op7_bin_completion_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
