@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.warc import round_trip
+
+    back = round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.sharding import assign_shards
 
@@ -41,10 +48,22 @@ def op7_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_planes": op5_token_planes,
     "op6_prefix_token_counts": op6_prefix_token_counts,
     "op7_bin_completion_packing": op7_bin_completion_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # base 32: five hexadecimal digits of the digest are four letters
+    "op2_warc_round_trip": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, strlen(html) as payload_bytes, sha1(html) as hex, min(page_id) over (partition by html) as first_id from p)
+        select page_id, cast(payload_bytes as bigint) as payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 +
+                ((('0x' || substr(hex, cast(1 + 5 * (i // 4) as int), 5))::int >> cast(15 - 5 * (i % 4) as int)) & 31) as int), 1)), '') as payload_digest,
+            case when page_id = first_id then 'response' else 'revisit' end as record_type,
+            case when page_id <> first_id then first_id end as refers_to
+        from d""",
+}
