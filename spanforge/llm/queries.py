@@ -47,11 +47,18 @@ def op7_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_round_trip": op2_warc_round_trip,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_planes": op5_token_planes,
     "op6_prefix_token_counts": op6_prefix_token_counts,
+    "op10_divergence_rules": op10_divergence_rules,
     "op7_bin_completion_packing": op7_bin_completion_packing,
 }
 
