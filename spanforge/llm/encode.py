@@ -1,9 +1,10 @@
 """Exact, cached encoding with public tokenizers.
 
-A text whose white space is only single spaces and line feeds falls into chunks
-that the tokenizers can't merge across; a chunk's ids are looked up, and only
-chunks not yet seen go to the library. Any other text goes to it whole. Caches
-belong to the worker process and are bounded; the bound affects speed only.
+A tokenizer first splits a text into pieces that it never merges across. Texts of
+common Latin characters are split here by the same rule, and a piece's ids are
+looked up; only pieces not yet seen go to the library. Any other text goes to it
+whole. Caches belong to the worker process and are bounded; the bound affects speed
+only.
 """
 
 from __future__ import annotations
@@ -11,12 +12,11 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
-import regex
-
-CHUNKS, PIECES = 300_000, 600_000
-#: White space to Python but not to the libraries, or the other way round.
-ODD = re.compile("[\x1c-\x1f\x85᠎​⁠﻿]")
+PIECES, CHUNKS = 250_000, 250_000
+#: A character for which Python and the tokenizers might not agree on letter, digit and white space.
+ODD = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,97 +25,108 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Recent:
+    """A bounded dict in two generations: what is asked for again stays, the rest goes."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.old = most, {}, {}
+
+    def fill(self, keys: set, make) -> dict:
+        """A dict that holds all keys; make gives the values of those not held yet."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        new = keys - self.now.keys()
+        if self.old:
+            kept = new & self.old.keys()
+            self.now.update((k, self.old[k]) for k in kept)
+            new -= kept
+        new = list(new)
+        self.now.update(zip(new, make(new), strict=True))
+        return self.now
+
+
 class JsonEncoder:
     """Ids of the tokenizers library, as bytes of little-endian unsigned 32-bit integers.
 
-    spaced: the vocabulary holds words with the space before them; else white space
-    is dropped.
+    pieces: how the tokenizer splits; lower: whether it first puts texts in lower case.
     """
 
-    def __init__(self, path: str, spaced: bool, pieces: str) -> None:
+    def __init__(self, path: str, pieces: str, lower: bool) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = spaced
-        self.pieces = regex.compile(pieces)
+        self.model = self.tokenizer.model
+        self.split, self.lower = re.compile(pieces).findall, lower
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunk_ids: dict[str, bytes] = {}
-        self.piece_ids: dict[str, bytes] = {}
+        self.piece_ids, self.chunk_ids = Recent(PIECES), Recent(CHUNKS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [_pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, text: str) -> list[str] | None:
-        """The text's chunks, or None if it must be encoded whole."""
-        if ODD.search(text) or any(s in text for s in self.specials):
-            return None
-        if not self.spaced:
+    def _chunks(self, text: str) -> list[str] | None:
+        """Words, each with the white space before it, if that is a single space or line feed; else None.
+
+        A space before a word is left out, and only the first word has none.
+        """
+        if self.lower:
             return text.split()
-        words = text.replace("\n", " \n").split(" ")
-        return words if text and " ".join(text.split()) == text.replace("\n", " ") else None
+        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")) or text[:1] in " \n" or text[-1] in " \n":
+            return None
+        return text.replace("\n", " \n").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [self._plain(t) if t else [] for t in texts]
-        firsts = [c[0] for c in chunks if c] if self.spaced else []
-        self._learn({w for c in chunks if c for w in c}, firsts)
-        get = self.chunk_ids.__getitem__
-        left = [i for i, c in enumerate(chunks) if c is None]
-        whole = dict(zip(left, self.whole([texts[i] for i in left]), strict=True)) if left else {}
-        out = []
-        for i, c in enumerate(chunks):
-            if c is None:
-                out.append(whole[i])
-            elif not c:
-                out.append(b"")
-            elif self.spaced:
-                out.append(self.first_ids[c[0]] + b"".join(map(get, c[1:])))
-            else:
-                out.append(b"".join(map(get, c)))
+        odd = [i for i, t in enumerate(texts) if ODD.search(t) or any(s in t for s in self.specials)]
+        out: list = [None] * len(texts)
+        for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else [], strict=True):
+            out[i] = ids
+        plain = [i for i, x in enumerate(out) if x is None]
+        chunks = [self._chunks(texts[i].lower() if self.lower else texts[i]) for i in plain]
+        firsts = [texts[i] if c is None else c.pop(0) for i, c in zip(plain, chunks, strict=True)] if not self.lower else None
+        get = self.chunk_ids.fill(set().union(*(c for c in chunks if c)), self._of_chunks).__getitem__
+        found = [b"".join(map(get, c or ())) for c in chunks]
+        if firsts is not None:
+            found = [a + b for a, b in zip(self._of_pieces([self.split(t) for t in firsts]), found, strict=True)]
+        for i, ids in zip(plain, found, strict=True):
+            out[i] = ids
         return out
 
-    def _learn(self, seen: set[str], firsts: list[str]) -> None:
-        """Fills the cache for one batch; a full cache is emptied before, never in between."""
-        if len(self.chunk_ids) > CHUNKS:
-            self.chunk_ids.clear()
-        new = [w for w in seen if w not in self.chunk_ids]
-        texts = [w if w[:1] == "\n" or not self.spaced else " " + w for w in new]
-        for w, ids in zip(new, self._by_piece(texts), strict=True):
-            self.chunk_ids[w] = ids
-        self.first_ids = dict(zip(firsts, self._by_piece(firsts), strict=True))
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+        return self._of_pieces([self.split(w if self.lower or w[:1] == "\n" else " " + w) for w in chunks])
 
-    def _by_piece(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks through their pieces, as the tokenizer itself splits them."""
-        safe = [c.isascii() or max(c) < "ɐ" for c in chunks]
-        split = [self.pieces.findall(c) if ok else [c] for c, ok in zip(chunks, safe, strict=True)]
-        if len(self.piece_ids) > PIECES:
-            self.piece_ids.clear()
-        new = list({p for s in split for p in s if p not in self.piece_ids})
-        self.piece_ids.update(zip(new, self.whole(new), strict=True))
-        get = self.piece_ids.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+    def _of_pieces(self, split: list[list[str]]) -> list[bytes]:
+        get = self.piece_ids.fill(set().union(*split), self._encode_pieces).__getitem__
+        return [b"".join(map(get, p)) for p in split]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        one = self.model.tokenize
+        return [array("I", [t.id for t in one(p.encode().decode("latin-1").translate(SIGNS))]).tobytes() for p in pieces]
 
-def _pack(ids: list[int]) -> bytes:
-    import numpy as np
 
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _signs() -> dict[int, int]:
+    """The printable sign by which byte-level vocabularies write each byte: itself, or the next from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
-#: How the two JSON tokenizers split a text into words.
-BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+SIGNS = _signs()
+
+
+#: How the two JSON tokenizers split a text, for texts without ODD characters.
+BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
 
 @functools.lru_cache(maxsize=4)
 def byte_encoder(path: str) -> JsonEncoder:
-    return JsonEncoder(path, True, BYTE_PIECES)
+    return JsonEncoder(path, BYTE_PIECES, False)
 
 
 @functools.lru_cache(maxsize=4)
 def word_encoder(path: str) -> JsonEncoder:
-    return JsonEncoder(path, False, WORD_PIECES)
+    return JsonEncoder(path, WORD_PIECES, True)
 
 
 class PieceCounter:
@@ -134,7 +145,7 @@ class PieceCounter:
         crossing = [p for p in pieces if "\n" in p or ("▁" in p[1:] and p.strip("▁"))]
         if crossing:
             raise ValueError(f"pieces cross chunks: {crossing[:3]}")
-        self.counts: dict[str, int] = {}
+        self.counts = Recent(CHUNKS)
 
     def _chunks(self, text: str) -> list[str] | None:
         """Chunks with a space mark or a line feed at each start; None: only single prefixes can be counted."""
@@ -142,6 +153,10 @@ class PieceCounter:
             return None
         return text.replace("\n", " \n").split(" ")
 
+    def _count(self, chunks: list[str]) -> list[int]:
+        found = self.model.encode(chunks, num_threads=1) if chunks else []
+        return [len(ids) - (w[:1] == "\n") for w, ids in zip(chunks, found, strict=True)]  # a line feed has no space mark before it
+
     def prefix_counts(self, texts: list[str]) -> list:
         """For each text, the token counts of its prefixes up to each chunk's end (numpy int64); the last is the whole text's.
 
@@ -150,12 +165,7 @@ class PieceCounter:
         import numpy as np
 
         chunks = [self._chunks(t) for t in texts]
-        if len(self.counts) > CHUNKS:
-            self.counts.clear()
-        new = list({w for c in chunks if c for w in c if w not in self.counts})
-        for w, n in zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True):
-            self.counts[w] = n - (w[:1] == "\n")  # a line feed has no space mark before it
-        get = self.counts.__getitem__
+        get = self.counts.fill(set().union(*(c for c in chunks if c)), self._count).__getitem__
         return [
             np.cumsum(np.fromiter(map(get, c), dtype="i8", count=len(c)))
             if c

@@ -158,9 +158,10 @@ class PlaneReader:
 
 
 class TokenPlanes(DataSource):
-    """Options: path; planes (bit or byte), on writing; ids (true: return each document's ids too), on reading.
+    """Options: path; on writing planes (bit or byte), tokenizer (a path) and end_id; on reading ids (true: return each document's ids too).
 
-    Written columns: doc_id and ids (binary, little-endian unsigned 32-bit). Read columns: doc_id, start
+    Written columns: doc_id and ids (binary, little-endian unsigned 32-bit), or doc_id and text if a tokenizer is
+    named, which then encodes in the writing task and adds end_id to each document. Read columns: doc_id, start
     (ids of all documents before it), n_tokens, ids_crc32[, ids].
     """
 
@@ -199,13 +200,24 @@ class _Writer(DataSourceArrowWriter):
         store.create_dir(path, recursive=True)
         with store.open_output_stream(posixpath.join(path, name)) as out:
             file, id_type = PlaneFile(out, self.options.get("planes", "bit")), pa.int64()
-            for b in iterator:
-                id_type = b.schema.field("doc_id").type
-                for d, ids in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                    file.add(d, ids.as_buffer().to_pybytes() if ids.is_valid else b"")
+            for doc_ids, found in self.encoded(iterator):
+                id_type = doc_ids.type
+                for d, ids in zip(doc_ids.to_pylist(), found, strict=True):
+                    file.add(d, ids)
             total = file.close(id_type)
         return _Written(part, name, total, len(file.docs))
 
+    def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Document ids and their token ids, encoded here where the rows hold texts."""
+        path, end = self.options.get("tokenizer"), struct.pack("<I", int(self.options.get("end_id", 0)))
+        if not path:
+            for b in batches:
+                yield b.column("doc_id"), [x or b"" for x in b.column("ids").to_pylist()]
+            return
+        encoder = byte_encoder(path)
+        for b in slices(batches):
+            yield b.column("doc_id"), [x + end for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
+
     def commit(self, messages: list) -> None:
         rows = sorted((m.part, m.file, m.ids, m.docs) for m in messages if m and m.docs)
         write_manifest(self.options["path"], {"files": [{"file": f, "ids": n, "docs": d} for _, f, n, d in rows]})
@@ -258,29 +270,20 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(cols, names)
 
 
-def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = 0, planes: str = "bit", doc_id: str = "doc_id", text: str = "text") -> None:
+def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int = 0, planes: str = "byte", doc_id: str = "doc_id", text: str = "text") -> None:
     """Encodes every document, adds end_id and writes the ids in ascending order of doc_id.
 
     Null ids come first; equal ids are in the order of a hash of their texts. A null text is
     empty and gives end_id alone. Rows are dealt out by range before they are encoded,
     so texts are shuffled once and each task encodes and writes its own file.
     """
-    path, spark = path or tokenizer_path(TOKENIZER), docs.sparkSession
-    end = struct.pack("<I", end_id)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(path)
-        for b in slices(batches):
-            ids = [x + end for x in encoder.encode([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
+    spark = docs.sparkSession
     spark.dataSource.register(TokenPlanes)
-    kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keys = ["doc_id", "__h"]  # many rows of one id are split by their texts
     dealt = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).drop("__h")
-    ids = dealt.mapInArrow(encode, f"doc_id {kind}, ids binary")
-    ids.write.format("token_planes").mode("append").option("path", out).option("planes", planes).save()
+    options = {"path": out, "planes": planes, "tokenizer": path or tokenizer_path(TOKENIZER), "end_id": str(end_id)}
+    dealt.write.format("token_planes").mode("append").options(**options).save()
 
 
 def read_tokens(spark: SparkSession, path: str, ids: bool = False, id_type: str = "bigint") -> DataFrame:
@@ -288,7 +291,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False, id_type: str
     return spark.read.format("token_planes").option("ids", str(ids).lower()).option("id_type", id_type).load(path)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, planes: str = "bit") -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, planes: str = "byte") -> DataFrame:
     """Writes docs' tokens to the shared folder and reads back (doc_id, start, n_tokens, ids_crc32)."""
     out = fresh_path(docs.sparkSession, "tokens")
     write_tokens(docs, out, path, planes=planes)
