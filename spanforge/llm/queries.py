@@ -47,6 +47,15 @@ def op7_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.classifier import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.quality_rules import judge
 
@@ -58,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_planes": op5_token_planes,
     "op6_prefix_token_counts": op6_prefix_token_counts,
+    "op9_ftrl_quality": op9_ftrl_quality,
     "op10_divergence_rules": op10_divergence_rules,
     "op7_bin_completion_packing": op7_bin_completion_packing,
 }
