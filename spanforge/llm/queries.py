@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.decontaminate import find_overlaps
+
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.warc import round_trip
 
@@ -63,6 +69,7 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seed_overlaps": op1_spaced_seed_overlaps,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_planes": op5_token_planes,
