@@ -25,6 +25,12 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.jaccard_join import Similar, similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), Similar(words=3, percent=90))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.sharding import assign_shards
 
@@ -71,6 +77,7 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_overlaps": op1_spaced_seed_overlaps,
     "op2_warc_round_trip": op2_warc_round_trip,
+    "op3_combination_prefix_join": op3_combination_prefix_join,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_planes": op5_token_planes,
     "op6_prefix_token_counts": op6_prefix_token_counts,
