@@ -75,24 +75,31 @@ def _block(rows: DataFrame, classes: DataFrame, o: Overlap) -> DataFrame:
     i, j = F.col("i"), F.col("j")
     places = classes.select("words", "items", F.posexplode("words").alias("j", "__w")).select("words", "items", "j", F.explode(_seeds("words", j)).alias("seed"))
     seeds = F.broadcast(places)
-    probes = rows.select("doc_id", "h", F.posexplode("h").alias("i", "__w")).select("doc_id", "h", "i", F.explode(_seeds("h", i)).alias("seed"))
-    met = probes.join(seeds, "seed").withColumn("m", F.size("words")).withColumn("d", i - j)
+    # the outer form keeps Spark from computing h once more to drop texts without words
+    probes = rows.select("doc_id", "h", F.posexplode_outer("h").alias("i", "__w")).select("doc_id", "h", "i", F.explode(_seeds("h", i)).alias("seed"))
+    m = F.size("words")
+    need = F.when(m < o.window, m - o.short_misses).otherwise(F.lit(o.window - o.misses))
+    near = [F.coalesce((F.get("h", i + k) == F.get("words", j + k)).cast("int"), F.lit(0)) for k in range(min(map(len, MASKS)) - o.window, o.window)]
+    # a good window holds the seed, so its words agree near it; that is tested before a hit becomes a row, which then has no more of the document than the item covers
+    met = probes.join(seeds, "seed").filter(sum(near[1:], near[0]) >= need)
+    d = i - j
+    met = met.select("doc_id", "items", "words", m.alias("m"), d.alias("d"), F.size("h").alias("k"), need.alias("need"), F.slice("h", F.greatest(d, F.lit(0)) + 1, m + F.least(d, F.lit(0))).alias("part"))
+    met = met.withColumn("n", F.least(F.lit(o.window), F.col("m")))
     same = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: _agrees(x))
-    met = met.withColumn("same", same).withColumn("n", F.least(F.lit(o.window), F.col("m")))
-    need = F.when(F.col("m") < o.window, F.col("m") - o.short_misses).otherwise(F.lit(o.window - o.misses))
+    met = met.withColumn("same", same)
     good = F.exists(
         F.sequence(F.lit(0), F.col("m") - F.col("n")),
         lambda s: (F.col("d") + s >= 0)
-        & (F.col("d") + s + F.col("n") <= F.size("h"))
-        & (F.aggregate(F.slice("same", s + 1, F.col("n")), F.lit(0), lambda a, x: a + x) >= need),
+        & (F.col("d") + s + F.col("n") <= F.col("k"))
+        & (F.aggregate(F.slice("same", s + 1, F.col("n")), F.lit(0), lambda a, x: a + x) >= F.col("need")),
     )
     matched = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     return met.filter(good).select("doc_id", "items", F.greatest(F.col("d"), F.lit(0)).alias("doc_word"), F.col("m").alias("item_words"), matched.alias("matched_words"))
 
 
 def _agrees(x: Column) -> Column:
-    at = F.col("d") + x
-    return F.when((at >= 0) & (F.get(F.col("h"), F.greatest(at, F.lit(0))) == F.get(F.col("words"), x)), 1).otherwise(0)
+    """Whether word x of the item is that of the document on the diagonal; part begins at the item's word max(0, -d)."""
+    return F.coalesce((F.get(F.col("part"), x + F.least(F.col("d"), F.lit(0))) == F.get(F.col("words"), x)).cast("int"), F.lit(0))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
