@@ -59,6 +59,12 @@ def op7_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.lm_score import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.classifier import fit, score
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_planes": op5_token_planes,
     "op6_prefix_token_counts": op6_prefix_token_counts,
+    "op8_stupid_backoff": op8_stupid_backoff,
     "op9_ftrl_quality": op9_ftrl_quality,
     "op10_divergence_rules": op10_divergence_rules,
     "op7_bin_completion_packing": op7_bin_completion_packing,
