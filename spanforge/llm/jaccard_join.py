@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.batches import slices
 from spanforge.llm.components import connect
-from spanforge.llm.storage import materialise
+from spanforge.llm.storage import drop, materialise
 from spanforge.llm.words import _U, LOWER, find_words, hash_words, mix, text_bytes, windows
 
 K = 2
@@ -162,7 +162,9 @@ def _similar_pairs(docs: DataFrame, pairs: DataFrame, s: Similar) -> DataFrame:
     both = left.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
     same = F.size(F.array_intersect("ta", "tb"))
     good = 100 * same >= s.percent * (F.size("ta") + F.size("tb") - same)
-    return materialise(both.filter(good).select("a", "b"), "links")
+    links = materialise(both.filter(good).select("a", "b"), "links")
+    drop(pairs, sets)
+    return links
 
 
 def _sized(a: str, b: str, s: Similar):
@@ -186,9 +188,12 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     full = sets.filter("n > 0")
     classes = full.groupBy("c", "c2", "n").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("tokens").alias("tokens"))
     classes = materialise(classes.select("c", "n", "rep", "tokens"), "classes")
-    index = materialise(_index(_prefixes(rows, classes, s), s), "index")
+    prefixes = _prefixes(rows, classes, s)
+    index = materialise(_index(prefixes, s), "index")
     hubs = index.groupBy("sig").agg(F.min(F.struct("rep", "c", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig", "hub")
-    met = materialise(index.join(materialise(hubs, "hubs"), "sig"), "met")
+    hubs = materialise(hubs, "hubs")
+    met = materialise(index.join(hubs, "sig"), "met")
+    drop(index, hubs, prefixes)
     star = met.filter((F.col("c") != F.col("hub.c")) & _sized("n", "hub.n", s))
     star = star.select(F.col("hub.c").alias("a"), F.col("hub.rep").alias("a_rep"), F.col("c").alias("b"), F.col("rep").alias("b_rep")).distinct()
     links = _similar_pairs(rows, star, s)
@@ -207,8 +212,11 @@ def _rest(docs: DataFrame, met: DataFrame, labels: DataFrame, s: Similar) -> Dat
     named = met.join(labels, met["c"] == labels["id"]).select("sig", "c", "n", "rep", "hub", "label")
     named = materialise(named, "named")
     apart = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
-    left = materialise(named.join(materialise(apart, "apart"), "sig"), "left")
+    apart = materialise(apart, "apart")
+    left = materialise(named.join(apart, "sig"), "left")
     other = left.select("sig", *[F.col(c).alias("b_" + c) for c in ("c", "n", "rep", "label")])
     pairs = left.filter(F.col("c") != F.col("hub.c")).join(other, "sig").filter((F.col("c") < F.col("b_c")) & (F.col("b_c") != F.col("hub.c")) & (F.col("label") != F.col("b_label")) & _sized("n", "b_n", s))
     pairs = pairs.select(F.col("c").alias("a"), F.col("rep").alias("a_rep"), F.col("b_c").alias("b"), F.col("b_rep")).distinct()
-    return connect(labels, _similar_pairs(docs, pairs, s))
+    links = _similar_pairs(docs, pairs, s)
+    drop(named, left, apart)
+    return connect(labels, links)
