@@ -21,27 +21,47 @@ class Overlap:
     block_words: int = 200_000  # words of benchmark items that one pass over the documents looks for
 
 
-def _hashes(text: str) -> Column:
-    """Hashes of a text's words: runs of letters and digits in lower case, so marks and spacing don't matter."""
-    words = F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+#: Words of a document that are looked at together; a row never holds more of a text.
+CHUNK = 2048
 
 
-def _seeds(words: str, at: Column) -> Column:
-    """The seeds that begin at a place, one for each mask."""
-    picks = [[F.get(F.col(words), at + i) for i, c in enumerate(m) if c == "1"] for m in MASKS]
-    return F.array(*[F.xxhash64(F.lit(k), *p) for k, p in enumerate(picks)])
+def _words(text: str) -> Column:
+    """A text's words: runs of letters and digits in lower case, so marks and spacing don't matter."""
+    return F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
+
+
+def _seed(k: int, at) -> Column:
+    """The seed of mask k; at(i): the hash of the word i places after the seed's first."""
+    return F.xxhash64(F.lit(k), *[at(i) for i, c in enumerate(MASKS[k]) if c == "1"])
+
+
+def _probes(docs: DataFrame, o: Overlap, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, k, i, near, seed): each place i of a document of k words, the hashes of the words around it and its seeds."""
+    back, ahead = o.window - min(map(len, MASKS)), o.window
+    words = docs.select(F.col(doc_id).alias("doc_id"), _words(text).alias("w")).filter(F.col("doc_id").isNotNull())
+    each = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(CHUNK))).alias("start"))
+    first = F.greatest(F.col("start") - back, F.lit(0))
+    parts = each.select("doc_id", F.size("w").alias("k"), "start", first.alias("first"), F.slice("w", first + 1, F.lit(CHUNK + back + ahead)).alias("part"))
+    hashed = parts.select("doc_id", "k", "start", "first", F.transform("part", lambda w: F.xxhash64(w)).alias("h"))
+    # the outer form keeps Spark from hashing twice to drop texts without words
+    places = hashed.select("doc_id", "k", "start", "first", "h", F.posexplode_outer("h").alias("p", "__w"))
+    i = F.col("first") + F.col("p")
+    places = places.filter((i >= F.col("start")) & (i < F.col("start") + CHUNK))
+    near = F.array(*[F.get("h", F.col("p") + x) for x in range(-back, ahead)])
+    places = places.select("doc_id", "k", i.alias("i"), near.alias("near"))
+    seeds = F.array(*[_seed(k, lambda x: F.get("near", F.lit(back + x))) for k in range(len(MASKS))])
+    return places.select("doc_id", "k", "i", "near", F.explode(seeds).alias("seed"))
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, doc_word, item_words, matched_words): documents that hold a passage of a benchmark item.
 
     Seeds of items and documents meet by hash; around each hit the two are compared word
-    by word along its diagonal. A hit counts if some window of `window` words in a row, which the item
+    by word. A hit counts if some window of `window` words in a row, which the item
     and the document both hold whole, differs in at most `misses`; an item of `short` to
     `window` - 1 words is one window and may differ in `short_misses`; items with fewer words are never found, as
-    they don't tell copies from chance. matched_words: most words of the item that agree on such a
-    diagonal; doc_word: the document's word (from 0) where the first of these diagonals begins.
+    they don't tell copies from chance. matched_words: most words of such a window that agree; doc_word: the
+    document's word (from 0) at which the first item so found would begin.
 
     Items go out to all tasks in blocks of `block_words` words at most, of hashes alone; as many passes are made
     as there are blocks. A single longer item is a block of its own. Items with equal words
@@ -50,17 +70,17 @@ def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    found = items.select(F.col(item_id).alias("item_id"), _hashes(text).alias("words")).filter(
+    found = items.select(F.col(item_id).alias("item_id"), F.transform(_words(text), lambda w: F.xxhash64(w)).alias("words")).filter(
         F.col("item_id").isNotNull() & (F.size("words") >= o.short)
     )
     total = found.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // o.block_words))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _hashes(text).alias("h")).filter(F.col("doc_id").isNotNull())
+    probes = _probes(docs, o, doc_id, text)
     classes = found.groupBy("words").agg(F.collect_set("item_id").alias("items"))
     classes = classes.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
     hits = None
     for k in range(blocks):
-        part = _block(rows, classes.filter(F.col("block") == k).drop("block"), o)
+        part = _block(probes, classes.filter(F.col("block") == k).drop("block"), o)
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_word int, item_words int, matched_words int")
@@ -70,36 +90,28 @@ def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc
     )
 
 
-def _block(rows: DataFrame, classes: DataFrame, o: Overlap) -> DataFrame:
+def _block(probes: DataFrame, classes: DataFrame, o: Overlap) -> DataFrame:
     """Verified hits of all documents with one block of item texts."""
-    i, j = F.col("i"), F.col("j")
-    places = classes.select("words", "items", F.posexplode("words").alias("j", "__w")).select("words", "items", "j", F.explode(_seeds("words", j)).alias("seed"))
-    seeds = F.broadcast(places)
-    # the outer form keeps Spark from computing h once more to drop texts without words
-    probes = rows.select("doc_id", "h", F.posexplode_outer("h").alias("i", "__w")).select("doc_id", "h", "i", F.explode(_seeds("h", i)).alias("seed"))
-    m = F.size("words")
-    need = F.when(m < o.window, m - o.short_misses).otherwise(F.lit(o.window - o.misses))
-    near = [F.coalesce((F.get("h", i + k) == F.get("words", j + k)).cast("int"), F.lit(0)) for k in range(min(map(len, MASKS)) - o.window, o.window)]
-    # a good window holds the seed, so its words agree near it; that is tested before a hit becomes a row, which then has no more of the document than the item covers
-    met = probes.join(seeds, "seed").filter(sum(near[1:], near[0]) >= need)
-    d = i - j
-    met = met.select("doc_id", "items", "words", m.alias("m"), d.alias("d"), F.size("h").alias("k"), need.alias("need"), F.slice("h", F.greatest(d, F.lit(0)) + 1, m + F.least(d, F.lit(0))).alias("part"))
-    met = met.withColumn("n", F.least(F.lit(o.window), F.col("m")))
-    same = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda x: _agrees(x))
-    met = met.withColumn("same", same)
-    good = F.exists(
-        F.sequence(F.lit(0), F.col("m") - F.col("n")),
-        lambda s: (F.col("d") + s >= 0)
-        & (F.col("d") + s + F.col("n") <= F.col("k"))
-        & (F.aggregate(F.slice("same", s + 1, F.col("n")), F.lit(0), lambda a, x: a + x) >= F.col("need")),
+    j, m, back = F.col("j"), F.size("words"), o.window - min(map(len, MASKS))
+    places = classes.select("words", "items", F.posexplode("words").alias("j", "__w"))
+    around = F.array(*[F.get("words", j + x) for x in range(-back, o.window)])
+    seeds = F.array(*[_seed(k, lambda x: F.get("words", j + x)) for k in range(len(MASKS))])
+    places = places.select("items", m.alias("m"), "j", around.alias("around"), F.explode(seeds).alias("seed"))
+    need = F.when(F.col("m") < o.window, F.col("m") - o.short_misses).otherwise(F.lit(o.window - o.misses))
+    flags = [F.coalesce((F.get("near", F.lit(x)) == F.get("around", F.lit(x))).cast("int"), F.lit(0)) for x in range(back + o.window)]
+    met = probes.join(F.broadcast(places), "seed").filter(sum(flags[1:], flags[0]) >= need)
+    met = met.select("doc_id", "items", "k", "i", "j", "m", F.least(F.lit(o.window), F.col("m")).alias("n"), need.alias("need"), F.array(*flags).alias("same"))
+    i, n = F.col("i"), F.col("n")
+    # windows begin t words before or at the seed; those that leave the item or the document don't count
+    counts = F.transform(
+        F.sequence(F.lit(-back), F.lit(0)),
+        lambda t: F.when(
+            (j + t >= 0) & (j + t + n <= F.col("m")) & (i + t >= 0) & (i + t + n <= F.col("k")),
+            F.aggregate(F.slice("same", t + back + 1, n), F.lit(0), lambda a, x: a + x),
+        ).otherwise(0),
     )
-    matched = F.aggregate("same", F.lit(0), lambda a, x: a + x)
-    return met.filter(good).select("doc_id", "items", F.greatest(F.col("d"), F.lit(0)).alias("doc_word"), F.col("m").alias("item_words"), matched.alias("matched_words"))
-
-
-def _agrees(x: Column) -> Column:
-    """Whether word x of the item is that of the document on the diagonal; part begins at the item's word max(0, -d)."""
-    return F.coalesce((F.get(F.col("part"), x + F.least(F.col("d"), F.lit(0))) == F.get(F.col("words"), x)).cast("int"), F.lit(0))
+    met = met.select("doc_id", "items", F.greatest(i - j, F.lit(0)).alias("doc_word"), F.col("m").alias("item_words"), F.array_max(counts).alias("matched_words"), "need")
+    return met.filter(F.col("matched_words") >= F.col("need")).drop("need")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -102,11 +102,12 @@ ORACLE_SQL: dict[str, str] = {
         dt as (select doc_id, len(ws) as k, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from dw),
         diag as (select doc_id, item_id, i - j as d, k, m, list(j) as js from dt join it using (w)
             group by doc_id, item_id, i - j, k, m having count(*) >= least(13, m) - 2),
-        good as (select * from diag where len(list_filter(range(0, m - least(13, m) + 1), lambda s:
-            d + s >= 0 and d + s + least(13, m) <= k
-            and len(list_filter(js, lambda x: x >= s and x < s + least(13, m))) >= case when m < 13 then m - 1 else 11 end)) > 0)
+        best as (select *, list_max(list_transform(range(0, m - least(13, m) + 1), lambda s:
+            case when d + s >= 0 and d + s + least(13, m) <= k
+            then len(list_filter(js, lambda x: x >= s and x < s + least(13, m))) else 0 end)) as agree from diag),
+        good as (select * from best where agree >= case when m < 13 then m - 1 else 11 end)
         select doc_id, item_id, cast(min(greatest(d, 0)) as int) as doc_word, cast(max(m) as int) as item_words,
-            cast(max(len(js)) as int) as matched_words
+            cast(max(agree) as int) as matched_words
         from good group by doc_id, item_id""",
     # base 32: five hexadecimal digits of the digest are four letters
     "op2_warc_round_trip": """
