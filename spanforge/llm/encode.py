@@ -14,7 +14,7 @@ import os
 import re
 from array import array
 
-PIECES, CHUNKS = 250_000, 250_000
+PIECES, CHUNKS = 400_000, 500_000
 #: A character for which Python and the tokenizers might not agree on letter, digit and white space.
 ODD = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 
@@ -45,6 +45,26 @@ class Recent:
         return self.now
 
 
+class Memo(dict):
+    """Values of a function, in two generations like Recent; tidy() between batches keeps it bounded."""
+
+    def __init__(self, make, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def tidy(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class JsonEncoder:
     """Ids of the tokenizers library, as bytes of little-endian unsigned 32-bit integers.
 
@@ -60,7 +80,7 @@ class JsonEncoder:
         self.model = self.tokenizer.model
         self.split, self.lower = re.compile(pieces).findall, lower
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.piece_ids, self.chunk_ids = Recent(PIECES), Recent(CHUNKS)
+        self.piece_ids, self.chunk_ids = Memo(self._of_piece, PIECES), Memo(self._of_chunk, CHUNKS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,26 +102,28 @@ class JsonEncoder:
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
         plain = [i for i, x in enumerate(out) if x is None]
-        chunks = [self._chunks(texts[i].lower() if self.lower else texts[i]) for i in plain]
-        firsts = [texts[i] if c is None else c.pop(0) for i, c in zip(plain, chunks, strict=True)] if not self.lower else None
-        get = self.chunk_ids.fill(set().union(*(c for c in chunks if c)), self._of_chunks).__getitem__
-        found = [b"".join(map(get, c or ())) for c in chunks]
-        if firsts is not None:
-            found = [a + b for a, b in zip(self._of_pieces([self.split(t) for t in firsts]), found, strict=True)]
-        for i, ids in zip(plain, found, strict=True):
-            out[i] = ids
+        for memo in (self.piece_ids, self.chunk_ids):
+            memo.tidy()
+        get = self.chunk_ids.__getitem__
+        for i in plain:
+            text = texts[i].lower() if self.lower else texts[i]
+            chunks = self._chunks(text)
+            if chunks is None:
+                out[i] = self._of_pieces(text)
+            elif self.lower:
+                out[i] = b"".join(map(get, chunks))
+            else:
+                out[i] = self._of_pieces(chunks.pop(0)) + b"".join(map(get, chunks))
         return out
 
-    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
-        return self._of_pieces([self.split(w if self.lower or w[:1] == "\n" else " " + w) for w in chunks])
+    def _of_chunk(self, chunk: str) -> bytes:
+        return self._of_pieces(chunk if self.lower or chunk[:1] == "\n" else " " + chunk)
 
-    def _of_pieces(self, split: list[list[str]]) -> list[bytes]:
-        get = self.piece_ids.fill(set().union(*split), self._encode_pieces).__getitem__
-        return [b"".join(map(get, p)) for p in split]
+    def _of_pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece_ids.__getitem__, self.split(text)))
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        one = self.model.tokenize
-        return [array("I", [t.id for t in one(p.encode().decode("latin-1").translate(SIGNS))]).tobytes() for p in pieces]
+    def _of_piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(SIGNS))]).tobytes()
 
 
 def _signs() -> dict[int, int]:
