@@ -33,7 +33,7 @@ NO_ID = (1 << 63) - 1
 class Similar:
     words: int = 5  # in an n-gram
     percent: int = 80  # least similarity: 100 * intersection >= percent * union
-    frequent: int = 64  # prefixes that hold a token beyond which it is frequent
+    frequent: int = 8  # prefixes that hold a token beyond which it is frequent
     long: int = 600  # sets of so many tokens index frequent tokens singly, as they'd have too many combinations
 
     def misses(self, n):
@@ -70,16 +70,15 @@ def _longs(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype("i8", copy=False)))
 
 
-def _shingled(rows: DataFrame, s: Similar, whole: bool) -> DataFrame:
-    """(doc_id, n, c, c2, tokens): set size, identity and tokens, all (whole) or those a prefix is likely to need."""
+def _shingled(rows: DataFrame, s: Similar) -> DataFrame:
+    """(doc_id, n, c, c2, tokens): set size, identity and the tokens that a prefix is likely to need."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = token_sets(b.column(1), s.words)
             cols = [pa.array([len(t) for t in sets], pa.int64())]
             cols += [pa.array(x, pa.int64()) for x in zip(*map(_identity, sets), strict=True)]
-            if not whole:
-                sets = [t[: s.misses(len(t)) * 3 // 2 + K + 6] for t in sets]
+            sets = [t[: s.misses(len(t)) * 3 // 2 + K + 6] for t in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, _longs(sets)], ["doc_id", "n", "c", "c2", "tokens"])
 
     return rows.mapInArrow(cut, "doc_id long, n long, c long, c2 long, tokens array<long>")
@@ -133,10 +132,16 @@ def _prefixes(docs: DataFrame, classes: DataFrame, s: Similar) -> DataFrame:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, s: Similar) -> DataFrame:
     """(c, tokens) of the classes in wanted (c, rep), from the texts of the documents that stand for them."""
-    ids = wanted.select("rep", "c").distinct()
-    rows = docs.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(ids.select("rep").distinct(), "rep", "left_semi").select("doc_id", "text")
-    found = _shingled(rows, s, whole=True).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "c", "tokens")
-    return found.join(ids, ["rep", "c"]).dropDuplicates(["c"]).select("c", "tokens")
+    ids = wanted.select("rep", F.col("c").alias("want")).distinct()
+    rows = docs.withColumn("rep", F.coalesce("doc_id", F.lit(NO_ID))).join(ids, "rep").select("doc_id", "text", "want")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets, want = token_sets(b.column(1), s.words), b.column(2).to_pylist()
+            kept = [(c, t) for c, t in zip(want, sets, strict=True) if len(t) and _identity(t)[0] == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.int64()), _longs([t for _, t in kept])], ["c", "tokens"])
+
+    return rows.mapInArrow(cut, "c long, tokens array<long>").dropDuplicates(["c"])
 
 
 def _index(prefixes: DataFrame, s: Similar) -> DataFrame:
@@ -153,9 +158,34 @@ def _index(prefixes: DataFrame, s: Similar) -> DataFrame:
     return rows.select(F.explode("sigs").alias("sig"), "c", "n", "rep")
 
 
-def _similar_pairs(docs: DataFrame, pairs: DataFrame, s: Similar) -> DataFrame:
+def differences(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
+    """Tokens that only one of two sets of n and m has, among those no larger than both lists of their smallest tokens reach."""
+    if len(a) < n:
+        b = b[: np.searchsorted(b, a[-1], side="right")]
+    if len(b) < m and len(b):
+        a = a[: np.searchsorted(a, b[-1], side="right")]
+    return len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+
+
+def _likely(pairs: DataFrame, lists: DataFrame, s: Similar) -> DataFrame:
+    """pairs without those whose lists of smallest tokens already differ in more tokens than similar sets may."""
+    end = lambda x: lists.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "a_rep", "b", "b_rep", "na", "ta", "nb", "tb")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, t, m, u in zip(batch["na"].to_pylist(), batch["ta"], batch["nb"].to_pylist(), batch["tb"], strict=True):
+                most = n + m - 2 * -(-s.percent * (n + m) // (100 + s.percent))
+                keep.append(differences(t.values.to_numpy(), u.values.to_numpy(), n, m) <= most)
+            yield batch.select(["a", "a_rep", "b", "b_rep"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(test, "a long, a_rep long, b long, b_rep long")
+
+
+def _similar_pairs(docs: DataFrame, pairs: DataFrame, lists: DataFrame, s: Similar) -> DataFrame:
     """Of pairs (a, a_rep, b, b_rep) those whose sets are similar enough, by their whole sets."""
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(_likely(pairs, lists, s), "pairs")
     wanted = pairs.select(F.col("a").alias("c"), F.col("a_rep").alias("rep")).union(pairs.select("b", "b_rep"))
     sets = materialise(whole_sets(docs, wanted, s), "sets")
     left = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a")
@@ -184,7 +214,7 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     are compared each by its own text. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialise(_shingled(rows, s, whole=False), "sets")
+    sets = materialise(_shingled(rows, s), "sets")
     full = sets.filter("n > 0")
     classes = full.groupBy("c", "c2", "n").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.first("tokens").alias("tokens"))
     classes = materialise(classes.select("c", "n", "rep", "tokens"), "classes")
@@ -196,10 +226,10 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     drop(index, hubs, prefixes)
     star = met.filter((F.col("c") != F.col("hub.c")) & _sized("n", "hub.n", s))
     star = star.select(F.col("hub.c").alias("a"), F.col("hub.rep").alias("a_rep"), F.col("c").alias("b"), F.col("rep").alias("b_rep")).distinct()
-    links = _similar_pairs(rows, star, s)
+    links = _similar_pairs(rows, star, classes, s)
     nodes = met.select(F.col("c").alias("id"), F.struct("rep", F.col("c").alias("id")).alias("label")).distinct()
     labels = connect(materialise(nodes, "nodes"), links)
-    labels = _rest(rows, met, labels, s)
+    labels = _rest(rows, met, classes, labels, s)
     near = labels.select(F.col("id").alias("c"), F.col("label.rep").alias("found"))
     own = classes.join(near, "c", "left").select("c", F.coalesce("found", "rep").alias("component"))
     out = sets.select("doc_id", "n", "c").join(materialise(own, "own"), "c", "left")
@@ -207,7 +237,7 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _rest(docs: DataFrame, met: DataFrame, labels: DataFrame, s: Similar) -> DataFrame:
+def _rest(docs: DataFrame, met: DataFrame, lists: DataFrame, labels: DataFrame, s: Similar) -> DataFrame:
     """labels after comparing classes that share a signature but not yet a component."""
     named = met.join(labels, met["c"] == labels["id"]).select("sig", "c", "n", "rep", "hub", "label")
     named = materialise(named, "named")
@@ -217,6 +247,6 @@ def _rest(docs: DataFrame, met: DataFrame, labels: DataFrame, s: Similar) -> Dat
     other = left.select("sig", *[F.col(c).alias("b_" + c) for c in ("c", "n", "rep", "label")])
     pairs = left.filter(F.col("c") != F.col("hub.c")).join(other, "sig").filter((F.col("c") < F.col("b_c")) & (F.col("b_c") != F.col("hub.c")) & (F.col("label") != F.col("b_label")) & _sized("n", "b_n", s))
     pairs = pairs.select(F.col("c").alias("a"), F.col("rep").alias("a_rep"), F.col("b_c").alias("b"), F.col("b_rep")).distinct()
-    links = _similar_pairs(docs, pairs, s)
+    links = _similar_pairs(docs, pairs, lists, s)
     drop(named, left, apart)
     return connect(labels, links)
