@@ -14,15 +14,25 @@ from spanforge.llm import classifier, decontaminate, jaccard_join, packing, qual
 from spanforge.llm.storage import materialise
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under names that clash with none, and these by the columns' own names."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among docs, doesn't reject."""
     weights = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return classifier.score(docs, weights, keep=docs.columns, text="text").filter("predicted = 1").select(docs.columns)
+    rows, names = _numbered(docs)
+    scored = classifier.score(rows, weights, text=names["text"], keep=rows.columns)
+    return scored.filter("predicted = 1").select(rows.columns).toDF(*docs.columns)
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules.judge(docs, keep=docs.columns).filter("kept").select(docs.columns)
+    rows, names = _numbered(docs)
+    judged = quality_rules.judge(rows, text=names["text"], lang=names["lang"], keep=rows.columns)
+    return judged.filter("kept").select(rows.columns).toDF(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
