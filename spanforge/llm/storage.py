@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (as in tests) a temporary one."""
+    """The folder named in spark.checkpoint.dir; only where that is unset (as in tests) a temporary one, the same for the whole application."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spanforge-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spanforge-")
+        _OWN[app] = path
     return path.rstrip("/")
 
 
