@@ -17,8 +17,8 @@ def replay(rows: DataFrame, initial: str) -> DataFrame:
     return memory_chain(rows, initial).select("episode_index", "sample_id", "memory_in", "memory_out")
 
 
-def follow(rows: DataFrame, initial: str, idle_ms: int = 3_600_000) -> DataFrame:
-    """The same for a stream of (episode_index, sample_id, pred, skip): each session's memory is state, dropped when idle.
+def follow(rows: DataFrame, initial: str, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """The same for a stream of (episode_index, sample_id, pred, skip): each session's memory is state, dropped when idle for idle_ms (None: never).
 
     Steps of one trigger are taken in order of sample_id; a step that was already answered is left out, so a resent
     trigger changes nothing.
@@ -38,12 +38,13 @@ def follow(rows: DataFrame, initial: str, idle_ms: int = 3_600_000) -> DataFrame
             out.append((key[0], sample, memory, said or memory))
             memory, last = said or memory, int(sample)
         state.update((memory, last))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["episode_index", "sample_id", "memory_in", "memory_out"])
 
     kind = "episode_index long, sample_id long, memory_in string, memory_out string"
     rows = rows.select("episode_index", "sample_id", "pred", F.coalesce("skip", F.lit(False)).alias("skip"))
-    return rows.groupBy("episode_index").applyInPandasWithState(step, kind, "memory string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("episode_index").applyInPandasWithState(step, kind, "memory string, last long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
