@@ -78,8 +78,9 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         places = np.concatenate([[0], np.cumsum(lens)])
         within = np.arange(places[-1]) - np.repeat(places[:-1], lens)
         values = (data[within + np.repeat(starts[i:j], lens)].astype(_U) + _U(1)) * powers[within % (1 << 16)]
-        if lens.max() > 1 << 16:  # powers come again after 64 KiB
-            values = mix(values + (within >> 16).astype(_U))
+        far = within >= 1 << 16  # powers come again after 64 KiB
+        if far.any():
+            values[far] = mix(values[far] + (within[far] >> 16).astype(_U))
         out[i:j] = mix(np.add.reduceat(values, places[:-1]) + lens.astype(_U))
         i = j
     return out
