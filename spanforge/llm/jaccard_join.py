@@ -84,12 +84,15 @@ def _shingled(rows: DataFrame, s: Similar) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, n long, c long, c2 long, tokens array<long>")
 
 
-def signatures(n: int, tokens: np.ndarray, frequent: np.ndarray, s: Similar) -> np.ndarray:
-    """What a set is indexed by. tokens: ascending, all of them unless e + 1 of them are rare; frequent: those that are."""
+def signatures(n: int, tokens: np.ndarray, frequent: np.ndarray, s: Similar) -> tuple[np.ndarray, np.ndarray]:
+    """What a set is indexed by, and for signatures of frequent tokens the number of the set's rare ones (for others 0).
+
+    tokens: ascending, all of them unless e + 1 of them are rare; frequent: those that are. Two sets that share no
+    rare token differ in all of these; if they share one, that is a signature of both."""
     rare = tokens[~np.isin(tokens, frequent)] if len(frequent) else tokens
     e = s.misses(n)
     if len(rare) > e:
-        return rare[: e + 1]
+        return rare[: e + 1], np.zeros(e + 1, "i8")
     common = np.sort(frequent)[: e + K - len(rare)]
     out = [rare]
     if 100 * n >= s.percent * s.long:  # as any set does that a long one can be similar to
@@ -99,7 +102,8 @@ def signatures(n: int, tokens: np.ndarray, frequent: np.ndarray, s: Similar) ->
         if pairs:
             both = np.array(pairs, "u8")
             out.append(mix(mix(both[:, 0] + _U(K)) + both[:, 1]).view("i8"))
-    return np.concatenate(out)
+    sigs = np.concatenate(out)
+    return sigs, np.where(np.arange(len(sigs)) < len(rare), 0, len(rare))
 
 
 def _frequent(lists: DataFrame, s: Similar) -> DataFrame:
@@ -145,17 +149,18 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, s: Similar) -> DataFrame:
 
 
 def _index(prefixes: DataFrame, s: Similar) -> DataFrame:
-    """(sig, c, n, rep)"""
+    """(sig, own, c, n, rep); own: rare tokens that sets which meet in sig don't share"""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for n, t, f in zip(b.column("n").to_pylist(), b.column("tokens"), b.column("frequent"), strict=True):
                 out.append(signatures(n, t.values.to_numpy(), f.values.to_numpy() if f.is_valid else np.zeros(0, "i8"), s))
-            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), b.column("rep"), _longs(out)], ["c", "n", "rep", "sigs"])
+            lists = [_longs([x[i] for x in out]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), b.column("rep"), *lists], ["c", "n", "rep", "sigs", "owns"])
 
-    rows = prefixes.select("c", "n", "rep", "tokens", "frequent").mapInArrow(sign, "c long, n long, rep long, sigs array<long>")
-    return rows.select(F.explode("sigs").alias("sig"), "c", "n", "rep")
+    rows = prefixes.select("c", "n", "rep", "tokens", "frequent").mapInArrow(sign, "c long, n long, rep long, sigs array<long>, owns array<long>")
+    return rows.select(F.explode(F.arrays_zip("sigs", "owns")).alias("x"), "c", "n", "rep").select(F.col("x.sigs").alias("sig"), F.col("x.owns").alias("own"), "c", "n", "rep")
 
 
 def differences(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
@@ -197,8 +202,10 @@ def _similar_pairs(docs: DataFrame, pairs: DataFrame, lists: DataFrame, s: Simil
     return links
 
 
-def _sized(a: str, b: str, s: Similar):
-    return (100 * F.least(a, b)) >= (s.percent * F.greatest(a, b))
+def _possible(n: str, own: str, m: str, other: str, s: Similar):
+    """Whether sets of n and m tokens can be similar enough, if `own` and `other` of them are not shared."""
+    most = F.least(F.col(n) - F.col(own), F.col(m) - F.col(other))
+    return (100 * F.least(n, m) >= s.percent * F.greatest(n, m)) & (100 * most >= s.percent * (most + F.col(own) + F.col(other)))
 
 
 def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,11 +227,11 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     classes = materialise(classes.select("c", "n", "rep", "tokens"), "classes")
     prefixes = _prefixes(rows, classes, s)
     index = materialise(_index(prefixes, s), "index")
-    hubs = index.groupBy("sig").agg(F.min(F.struct("rep", "c", "n")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig", "hub")
+    hubs = index.groupBy("sig").agg(F.min(F.struct("rep", "c", "n", "own")).alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("sig", "hub")
     hubs = materialise(hubs, "hubs")
     met = materialise(index.join(hubs, "sig"), "met")
     drop(index, hubs, prefixes)
-    star = met.filter((F.col("c") != F.col("hub.c")) & _sized("n", "hub.n", s))
+    star = met.filter((F.col("c") != F.col("hub.c")) & _possible("n", "own", "hub.n", "hub.own", s))
     star = star.select(F.col("hub.c").alias("a"), F.col("hub.rep").alias("a_rep"), F.col("c").alias("b"), F.col("rep").alias("b_rep")).distinct()
     links = _similar_pairs(rows, star, classes, s)
     nodes = met.select(F.col("c").alias("id"), F.struct("rep", F.col("c").alias("id")).alias("label")).distinct()
@@ -239,13 +246,13 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
 
 def _rest(docs: DataFrame, met: DataFrame, lists: DataFrame, labels: DataFrame, s: Similar) -> DataFrame:
     """labels after comparing classes that share a signature but not yet a component."""
-    named = met.join(labels, met["c"] == labels["id"]).select("sig", "c", "n", "rep", "hub", "label")
+    named = met.join(labels, met["c"] == labels["id"]).select("sig", "own", "c", "n", "rep", "hub", "label")
     named = materialise(named, "named")
     apart = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
     apart = materialise(apart, "apart")
     left = materialise(named.join(apart, "sig"), "left")
-    other = left.select("sig", *[F.col(c).alias("b_" + c) for c in ("c", "n", "rep", "label")])
-    pairs = left.filter(F.col("c") != F.col("hub.c")).join(other, "sig").filter((F.col("c") < F.col("b_c")) & (F.col("b_c") != F.col("hub.c")) & (F.col("label") != F.col("b_label")) & _sized("n", "b_n", s))
+    other = left.select("sig", *[F.col(c).alias("b_" + c) for c in ("c", "n", "rep", "own", "label")])
+    pairs = left.filter(F.col("c") != F.col("hub.c")).join(other, "sig").filter((F.col("c") < F.col("b_c")) & (F.col("b_c") != F.col("hub.c")) & (F.col("label") != F.col("b_label")) & _possible("n", "own", "b_n", "b_own", s))
     pairs = pairs.select(F.col("c").alias("a"), F.col("rep").alias("a_rep"), F.col("b_c").alias("b"), F.col("b_rep")).distinct()
     links = _similar_pairs(docs, pairs, lists, s)
     drop(named, left, apart)
