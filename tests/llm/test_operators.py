@@ -1,0 +1,319 @@
+"""Each operator on a small table with nulls, empty and very long texts, repeated rows and clashing names, against brute force."""
+
+import collections
+import math
+import re
+import zlib
+
+import pytest
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+SENTENCE = "the quick brown fox jumps over the lazy dog while seven wizards quietly pack five dozen heavy jugs of ale near old stone bridges at dawn"
+VARIED = " ".join(f"word{i} and{i % 7}" for i in range(400))
+TEXTS = [
+    (0, SENTENCE), (1, SENTENCE.upper()), (2, None), (3, ""), (4, "  \n\t "), (5, "one two"), (6, "ONE  two"), (7, SENTENCE + " extra"), (8, VARIED), (9, VARIED + " end"),
+    (10, "of " * 3000), (11, "x" * 70000 + " " + SENTENCE), (12, "naïve café ünïcode — “quoted” 日本語 <|endoftext|> end"), (12, "same id other text"), (13, SENTENCE), (13, SENTENCE),
+    (None, SENTENCE), (None, None), (14, "a b c d e f g h\n" * 30), (15, "x " + SENTENCE.replace("lazy", "sleepy").replace("heavy", "light")),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 1, 2, 3) for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int, h int, __uid int").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.filter("doc_id > 99")
+
+
+def words(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+def test_overlaps(spark, docs, none):
+    from spanforge.llm.decontaminate import MASKS, Overlap, find_overlaps, remove_contaminated
+
+    item = " ".join(SENTENCE.split()[2:20])
+    items = spark.createDataFrame([(1, item, "x"), (2, "short one", "x"), (3, None, "x"), (None, item, "x"), (4, item.upper() + "!", "x"), (1, item, "x")], "item_id long, text string, doc_id string")
+    found = find_overlaps(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, i) for d in (0, 1, 7, 11, 13, 15) for i in (1, 4)}
+    assert find_overlaps(docs, items, Overlap(block_words=5)).count() == len(found)
+    assert find_overlaps(none, items).count() == 0 == find_overlaps(docs, items.filter("item_id > 9")).count()
+    left = [r["doc_id"] for r in remove_contaminated(docs, items).collect()]
+    assert 0 not in left and left.count(None) == 2 and 8 in left
+    for size, misses in ((13, 2), (8, 1)):  # the masks miss no such window
+        import itertools
+
+        for bad in itertools.combinations(range(size), misses):
+            assert any(all(o + i not in bad for i, c in enumerate(m) if c == "1") for m in MASKS for o in range(size - len(m) + 1))
+
+
+def test_warc(spark, none):
+    from spanforge.llm import warc
+
+    rows = [(1, "u1", "<p>a</p>"), (2, "u2", "<p>a</p>"), (3, None, None), (4, "u4", ""), (None, "u5", "<p>a</p>"), (6, "é\r\nX: y", "ü" * 100_000), (7, "u7", None)]
+    pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, refers_to int")
+    out = warc.fresh_path(spark, "t")
+    warc.write_archive(pages, out)
+    back = {r["page_id"]: r for r in warc.read_archive(spark, out, check=True).collect()}
+    assert len(back) == 7
+    for i, _, html in rows:
+        payload = (html or "").encode()
+        assert back[i]["payload_bytes"] == len(payload) and back[i]["payload_digest"] == warc.digest32(payload)
+    assert {i: back[i]["refers_to"] for i in back} == {1: None, 2: 1, 3: None, 4: 3, None: 1, 6: None, 7: 3}
+    assert bytes(back[6]["payload"]) == ("ü" * 100_000).encode()
+    some = warc.read_archive(spark, out).filter("record_type = 'revisit' and page_id > 1")
+    assert {r["page_id"] for r in some.collect()} == {2, 4, 7}
+    assert warc.round_trip(pages.filter("page_id > 99")).count() == 0
+    import io
+
+    data = warc.member(warc.record(1, "u", b"abc", None, False)) * 2 + __import__("gzip").compress(warc.record(2, "v", b"defg", None, False))
+    assert [r.headers["x-page-id"] for r in warc.read_records(io.BytesIO(data))] == ["1", "1", "2"]
+    assert [r.block()[-4:] for r in warc.read_records(io.BytesIO(data), lambda h: h["x-page-id"] == "2")] == [b"defg"]
+    assert [len(r.block()) > 0 for r in warc.read_records(io.BytesIO(warc.record(1, "u", b"abc", None, False) * 3))] == [True] * 3
+
+
+def brute_components(texts, n, percent):
+    sets = []
+    for _, t in texts:
+        w = words(t)
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    parent = list(range(len(texts)))
+
+    def top(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * len(sets[i] | sets[j]):
+                parent[top(i)] = top(j)
+    best = {}
+    for i, (d, _) in enumerate(texts):
+        best[top(i)] = min((x for x in (best.get(top(i)), d) if x is not None), default=None)
+    return sorted(((d, len(sets[i]), best[top(i)] if sets[i] else d) for i, (d, _) in enumerate(texts)), key=str)
+
+
+@pytest.mark.parametrize("n,percent,frequent", [(3, 90, 8), (5, 80, 1)])
+def test_components(docs, none, n, percent, frequent):
+    from spanforge.llm.jaccard_join import Similar, similar_components
+
+    found = similar_components(docs, Similar(words=n, percent=percent, frequent=frequent)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(TEXTS, n, percent)
+    assert similar_components(none).count() == 0
+
+
+def test_components_of_hot_tokens(spark):
+    """Copies, near copies and boilerplate beyond the limit of frequent tokens, on both sides of `long`."""
+    import random
+
+    from spanforge.llm.jaccard_join import Similar, similar_components
+
+    rng, texts = random.Random(3), []
+    base, plate = [f"b{i}" for i in range(60)], [f"p{i}" for i in range(12)]
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(60)] = f"x{i}"
+        texts.append((i, " ".join(w)))
+    texts += [(100 + i, " ".join(plate + [f"o{i}_{k}" for k in range(rng.randint(1, 40))])) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for long in (30, 50, 600):
+        found = similar_components(df, Similar(words=3, percent=80, frequent=3, long=long)).collect()
+        assert sorted(map(tuple, found), key=str) == brute_components(texts, 3, 80)
+
+
+def test_shards(docs, none):
+    from spanforge.llm.sharding import assign_shards
+
+    got = assign_shards(docs, shards=7).collect()
+    assert sorted(r["place"] for r in got) == list(range(len(TEXTS)))
+    per = collections.defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in per.values())
+    assert max(map(len, per.values())) - min(map(len, per.values())) <= 1
+    wanted = sorted((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t in TEXTS)
+    assert sorted((r["size"], r["text_crc32"]) for r in got) == wanted
+    key = lambda rs: sorted((str(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in rs if r["doc_id"] not in (None, 13))
+    assert key(assign_shards(docs.repartition(5), shards=7).collect()) == key(got)
+    assert assign_shards(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 17, 1000])
+def test_permutation(spark, n):
+    from pyspark.sql import functions as F
+
+    from spanforge.llm.sharding import permute
+
+    assert sorted(r[0] for r in spark.range(n).select(permute(F.col("id"), n)).collect()) == list(range(n))
+
+
+def encodings(name, end):
+    from tokenizers import Tokenizer
+
+    from spanforge.llm.encode import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path(name))
+    return [(d, [*t.encode(x or "", add_special_tokens=False).ids, end]) for d, x in TEXTS]
+
+
+def crc(ids):
+    import numpy as np
+
+    return zlib.crc32(np.asarray(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("planes", ["bit", "byte"])
+def test_token_files(docs, none, planes):
+    from spanforge.llm.planes import round_trip
+
+    got = sorted(round_trip(docs, planes=planes).collect(), key=lambda r: r["start"])
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((str(d), len(i), crc(i)) for d, i in encodings("byte_bpe_50k.json", 0))
+    ids, at = [r["doc_id"] for r in got], 0
+    assert ids == sorted(ids, key=lambda d: -1 if d is None else d)
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert round_trip(none).count() == 0
+
+
+def test_token_counts(docs, none):
+    import sentencepiece
+
+    from spanforge.llm.encode import tokenizer_path
+    from spanforge.llm.token_counts import prefix_token_counts, within_budget
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    counted = prefix_token_counts(docs).cache()
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in counted.collect()) == sorted((str(d), len((t or "").encode()), len(model.encode(t or ""))) for d, t in TEXTS)
+    for r in counted.filter("doc_id in (0, 8, 14)").collect():
+        text = dict(TEXTS)[r["doc_id"]]
+        for e, n in list(zip(r["ends"], r["counts"], strict=True))[:: max(1, len(r["ends"]) // 9)]:
+            assert len(model.encode(text[:e])) == n
+    kept = {r["doc_id"]: r for r in within_budget(counted, 10).collect()}
+    assert len(model.encode(SENTENCE[: kept[0]["kept_chars"]])) == kept[0]["kept_tokens"] <= 10
+    assert prefix_token_counts(none).count() == 0
+
+
+def test_packing(docs, none):
+    from spanforge.llm.packing import pack_documents
+
+    for capacity in (16, 4096):
+        got = pack_documents(docs, capacity=capacity).collect()
+        wanted = sorted((str(d), k // capacity, k, len(i[k : k + capacity]), crc(i[k : k + capacity])) for d, i in encodings("word_bpe_49k.json", 1) for k in range(0, len(i), capacity))
+        assert sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == wanted
+        per = collections.defaultdict(list)
+        for r in got:
+            per[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in per.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        assert len(per) <= -(-sum(r["length"] for r in got) // capacity) + 1
+    assert pack_documents(none).count() == 0
+
+
+def test_bin_completion():
+    import random
+
+    from spanforge.llm.binpack import branch_and_bound, complete_bins, pack
+
+    def fewest(items, cap):
+        best = [len(items)]
+
+        def go(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for k in {r: k for k, r in enumerate(rooms) if r >= items[i]}.values():
+                go(i + 1, [*rooms[:k], rooms[k] - items[i], *rooms[k + 1 :]])
+            go(i + 1, [*rooms, cap - items[i]])
+
+        go(0, [])
+        return best[0]
+
+    rng = random.Random(4)
+    for _ in range(150):
+        cap = rng.choice([10, 20, 37])
+        items = sorted((rng.randint(1, cap) for _ in range(rng.randint(1, 10))), reverse=True)
+        counts = collections.Counter(items)
+        for found in (pack(counts, cap), branch_and_bound(dict(counts), cap, complete_bins(counts, cap))):
+            assert sum(found.values()) == fewest(items, cap)
+            held = collections.Counter()
+            for pattern, times in found.items():
+                assert sum(n * k for n, k in pattern) <= cap
+                for n, k in pattern:
+                    held[n] += k * times
+            assert held == counts
+
+
+def test_backoff_scores(docs, none):
+    from spanforge.llm.lm_score import Model, backoff_scores
+
+    found = sorted((str(r["doc_id"]), r["n_words"], round(r["log_score"], 6)) for r in backoff_scores(docs, Model(block_bytes=2000)).collect())
+    grams, lists = collections.Counter(), [words(t) for _, t in TEXTS]
+    for w in lists:
+        for n in (1, 2, 3):
+            grams.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    total, wanted = sum(map(len, lists)), []
+    for (d, _), w in zip(TEXTS, lists, strict=True):
+        s = 0.0
+        for i in range(len(w)):
+            f = 1.0
+            for n in (3, 2, 1):
+                g = tuple(w[i - n + 1 : i + 1]) if i >= n - 1 else None
+                if g and (n == 1 or grams[g] >= 2):
+                    s += math.log10(f * grams[g] / (grams[g[:-1]] if n > 1 else total))
+                    break
+                f *= 0.4 if g else 1
+        wanted.append((str(d), len(w), round(s, 6)))
+    for a, b in zip(found, sorted(wanted), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4
+    assert backoff_scores(none).count() == 0
+
+
+def test_rules(docs, none):
+    from spanforge.llm.quality_rules import judge, references
+
+    def brute(t):
+        t = t or ""
+        w = WORD.findall(t)
+        seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        cover = {k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover)
+
+    got = judge(docs).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted((str(r["doc_id"]), *(r[n] for n in names)) for r in got) == sorted((str(d), *brute(t)) for d, t in TEXTS)
+    assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["base_failed"] and r["kept"]) for r in got)
+    classes, keys, counts = references(docs)["en"]
+    assert counts.sum() == sum(len(words(t)) for _, t in TEXTS) and len(keys) == 24
+    assert judge(none).count() == 0
+
+
+def test_classifier(spark, docs, none):
+    from spanforge.llm.classifier import Settings, fit, score
+
+    good = [(i, " ".join(f"w{(i * k) % 50}" for k in range(60)), 1) for i in range(300)]
+    bad = [(i, " ".join(f"w{(i * k) % 50}$$$" for k in range(60)), 0) for i in range(300, 600)]
+    rows = spark.createDataFrame([(i, t, "x") for i, t, _ in good + bad] + [(None, None, "x")], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in good + bad] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    weights = fit(rows, labels, Settings(bits=12, rows=150))
+    got = {r["doc_id"]: r for r in score(rows, weights, Settings(bits=12)).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i]["predicted"] == (i < 300) for i in held) > 0.95 * len(held)
+    assert 0 <= got[None]["score"] <= 1
+    flat = fit(none, labels)
+    assert not flat.any() and {r["score"] for r in score(docs, flat).collect()} == {0.5}
+    assert score(none, flat).count() == 0
