@@ -236,7 +236,7 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     links = _similar_pairs(rows, star, classes, s)
     nodes = met.select(F.col("c").alias("id"), F.struct("rep", F.col("c").alias("id")).alias("label")).distinct()
     labels = connect(materialise(nodes, "nodes"), links)
-    labels = _rest(rows, met, classes, labels, s)
+    labels = _rest(rows, met, classes, labels, links, s)
     near = labels.select(F.col("id").alias("c"), F.col("label.rep").alias("found"))
     own = classes.join(near, "c", "left").select("c", F.coalesce("found", "rep").alias("component"))
     out = sets.select("doc_id", "n", "c").join(materialise(own, "own"), "c", "left")
@@ -244,8 +244,8 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _rest(docs: DataFrame, met: DataFrame, lists: DataFrame, labels: DataFrame, s: Similar) -> DataFrame:
-    """labels after comparing classes that share a signature but not yet a component."""
+def _rest(docs: DataFrame, met: DataFrame, lists: DataFrame, labels: DataFrame, known: DataFrame, s: Similar) -> DataFrame:
+    """labels after comparing classes that share a signature but not yet a component. known: the links that made labels."""
     named = met.join(labels, met["c"] == labels["id"]).select("sig", "own", "c", "n", "rep", "hub", "label")
     named = materialise(named, "named")
     apart = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("sig")
@@ -256,4 +256,4 @@ def _rest(docs: DataFrame, met: DataFrame, lists: DataFrame, labels: DataFrame,
     pairs = pairs.select(F.col("c").alias("a"), F.col("rep").alias("a_rep"), F.col("b_c").alias("b"), F.col("b_rep")).distinct()
     links = _similar_pairs(docs, pairs, lists, s)
     drop(named, left, apart)
-    return connect(labels, links)
+    return connect(labels, known.union(links))  # a new link lowers whole components only along the known ones
