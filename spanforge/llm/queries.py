@@ -60,9 +60,9 @@ def op7_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanforge.llm.lm_score import backoff_scores
+    from spanforge.llm.lm_score import Model, backoff_scores
 
-    return backoff_scores(table(spark, sf_dir, "documents"))
+    return backoff_scores(table(spark, sf_dir, "documents"), Model(least=1))  # every n-gram counts
 
 
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

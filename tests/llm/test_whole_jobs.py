@@ -13,3 +13,22 @@ def test_component_joined_through_a_later_link(spark):
     texts = [(i, " ".join(x)) for i, x in enumerate((hub, b, a1, a2))]
     found = similar_components(spark.createDataFrame(texts, "doc_id long, text string"), Similar(words=1, percent=80))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+def test_backoff_query_counts_every_ngram(spark, tmp_path):
+    """An n-gram that occurs once is scored by its own count."""
+    import collections
+    import math
+
+    from spanforge.llm.queries import op8_stupid_backoff
+
+    texts = ["a b c d e", "a b c x y", "a b q", "z", "", "only here once"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = collections.Counter(tuple(w[i : i + n]) for w in map(str.split, texts) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(len(t.split()) for t in texts)
+    for r in op8_stupid_backoff(spark, str(tmp_path)).collect():
+        w, wanted = texts[r["doc_id"]].split(), 0.0
+        for i in range(len(w)):
+            g = tuple(w[max(0, i - 2) : i + 1])
+            wanted += math.log10(grams[g] / (grams[g[:-1]] if len(g) > 1 else total))
+        assert r["n_words"] == len(w) and abs(r["log_score"] - wanted) < 1e-9
