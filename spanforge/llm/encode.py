@@ -151,56 +151,111 @@ def word_encoder(path: str) -> JsonEncoder:
     return JsonEncoder(path, WORD_PIECES, True)
 
 
+#: Chunks of a text that isn't plain words between single spaces: a line feed with the word that follows, a word with all spaces before it, spaces.
+RUNS = re.compile("\n[^ \n]*| *[^ \n]+| +")
+#: A chunk of more characters than LONG has prefixes inside, every STEP characters.
+LONG, STEP = 64, 16
+
+
 class PieceCounter:
-    """Token counts of sentencepiece at every prefix, by dynamic programming.
+    """Token counts of sentencepiece at prefixes, by dynamic programming.
 
     No piece but runs of the space mark holds that mark after its first character,
-    and none holds a line feed, so no merge crosses a space or a line feed:
+    and none holds a line feed, so no merge crosses from a word to a space, or a line feed:
     count(prefix up to chunk i) = count(prefix up to chunk i - 1) + count(chunk i).
+    Inside a long chunk, the prefix up to a character is the prefix without its last piece, and that piece:
+    the one piece that stays apart from the last piece before it when the library encodes these two.
     """
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(len(self.model))]
+        m = self.model
+        pieces = [m.id_to_piece(i) for i in range(len(m))]
         crossing = [p for p in pieces if "\n" in p or ("▁" in p[1:] and p.strip("▁"))]
         if crossing:
             raise ValueError(f"pieces cross chunks: {crossing[:3]}")
+        self.pieces = {p for i, p in enumerate(pieces) if not (m.is_control(i) or m.is_byte(i) or m.is_unknown(i))}
+        sizes: dict[str, set] = {}
+        for p in self.pieces:
+            sizes.setdefault(p[-1], {1}).add(len(p))
+        self.sizes = {c: sorted(n, reverse=True) for c, n in sizes.items()}  # of pieces that end with c
+        self.widest = max(map(len, self.pieces))
         self.counts = Recent(CHUNKS)
-
-    def _chunks(self, text: str) -> list[str] | None:
-        """Chunks with a space mark or a line feed at each start; None: only single prefixes can be counted."""
-        if not text or "  " in text or " \n" in text or text[0] in " \n" or text[-1] == " " or "▁" in text:
-            return None
+        self.ids, self.apart = Memo(self._ids, CHUNKS), Memo(self._apart, CHUNKS)
+
+    def _chunks(self, text: str) -> list[str]:
+        """Chunks without the space (the first: without the one that the library puts before a text) at their start; only after a line feed there is none."""
+        if not text:
+            return []
+        if "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] == " " or "▁" in text:
+            return [w[1:] if w[0] == " " else w for w in RUNS.findall(" " + text.replace("▁", " "))]
         return text.replace("\n", " \n").split(" ")
 
     def _count(self, chunks: list[str]) -> list[int]:
         found = self.model.encode(chunks, num_threads=1) if chunks else []
-        return [len(ids) - (w[:1] == "\n") for w, ids in zip(chunks, found, strict=True)]  # a line feed has no space mark before it
-
-    def prefix_counts(self, texts: list[str]) -> list:
-        """For each text, the token counts of its prefixes up to each chunk's end (numpy int64); the last is the whole text's.
+        return [len(ids) - (w[:1] == "\n") if w else 1 for w, ids in zip(chunks, found, strict=True)]  # a line feed has no space mark before it
 
-        A text with runs of spaces has one prefix, the whole.
-        """
+    def _counted(self, texts: list[str]) -> list:
         import numpy as np
 
         chunks = [self._chunks(t) for t in texts]
-        get = self.counts.fill(set().union(*(c for c in chunks if c)), self._count).__getitem__
-        return [
-            np.cumsum(np.fromiter(map(get, c), dtype="i8", count=len(c)))
-            if c
-            else np.array([len(self.model.encode(t)) if t else 0], dtype="i8")
-            for c, t in zip(chunks, texts, strict=True)
-        ]
-
-    def prefix_ends(self, text: str) -> list[int]:
-        """Where (in characters) the prefixes of prefix_counts() end."""
-        out, at = [], 0
-        for i, w in enumerate(self._chunks(text) or [text]):
-            at += len(w) + (i > 0 and w[:1] != "\n")
-            out.append(at)
+        get = self.counts.fill(set().union(*chunks), self._count).__getitem__
+        return [(c, np.fromiter(map(get, c), dtype="i8", count=len(c))) for c in chunks]
+
+    def totals(self, texts: list[str]) -> list[int]:
+        return [int(n.sum()) for _, n in self._counted(texts)]
+
+    def prefixes(self, texts: list[str]) -> list[tuple]:
+        """For each text, the ends (in characters) of its prefixes up to each chunk's end and inside long ones, and
+        their token counts (numpy int64); the last is the whole text."""
+        import numpy as np
+
+        for memo in (self.ids, self.apart):
+            memo.tidy()
+        out = []
+        for chunks, n in self._counted(texts):
+            sizes = np.fromiter(map(len, chunks), dtype="i8", count=len(chunks))
+            feeds = np.fromiter((w[:1] == "\n" for w in chunks), dtype="i8", count=len(chunks))
+            ends, counts = np.cumsum(sizes + 1 - feeds) - 1, np.cumsum(n)
+            at, more = [], []
+            for i in np.flatnonzero(sizes > LONG).tolist():
+                run = chunks[i][1:] if feeds[i] else "▁" + chunks[i].replace(" ", "▁")
+                inside = self._inside(run, int(n[i] - feeds[i]))
+                at += [i] * len(inside)
+                more += [(ends[i] - len(run) + e, counts[i] - n[i] + feeds[i] + k) for e, k in inside]
+            if at:
+                ends, counts = np.insert(ends, at, [e for e, _ in more]), np.insert(counts, at, [k for _, k in more])
+            first = int(len(ends) > 0 and ends[0] == 0)  # the space mark before a text that starts with a line feed
+            out.append((ends[first:], counts[first:]))
+        return out
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode("\n" + text)[2:]  # without a space mark before it
+
+    def _apart(self, pair: tuple[str, str]) -> bool:
+        """Whether the second is one piece (or a character without one) and stays apart from the first."""
+        a, b = pair
+        return (len(b) == 1 or len(self.ids[b]) == 1) and (not a or self._ids(a + b) == self.ids[a] + self.ids[b])
+
+    def _inside(self, run: str, total: int) -> list[tuple[int, int]]:
+        """(characters, tokens) of run's prefixes of STEP, 2 * STEP, ... characters; total: tokens of the whole."""
+        w, out = self.widest + 1, []
+        last, counts = [""] * w, [0] * w  # of the latest prefixes, in turn
+        for e in range(1, len(run) + 1):
+            for n in self.sizes.get(run[e - 1], (1,)):
+                piece = run[e - n : e]
+                if n <= e and (n == 1 or piece in self.pieces) and self.apart[last[(e - n) % w], piece]:
+                    break
+            else:
+                counts[len(run) % w] = -1
+                break
+            last[e % w], counts[e % w] = piece, counts[(e - n) % w] + len(self.ids[piece])
+            if e % STEP == 0 and e < len(run):
+                out.append((e, counts[e % w]))
+        if counts[len(run) % w] != total:  # not a model of this kind: each prefix by the library
+            return [(e, len(self._ids(run[:e]))) for e in range(STEP, len(run), STEP)]
         return out
 
 

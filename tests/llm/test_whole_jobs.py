@@ -32,3 +32,24 @@ def test_backoff_query_counts_every_ngram(spark, tmp_path):
             g = tuple(w[max(0, i - 2) : i + 1])
             wanted += math.log10(grams[g] / (grams[g[:-1]] if len(g) > 1 else total))
         assert r["n_words"] == len(w) and abs(r["log_score"] - wanted) < 1e-9
+
+
+def test_every_text_has_prefixes(spark):
+    """Runs of spaces and line feeds, the space mark and long runs without spaces."""
+    import sentencepiece
+
+    from spanforge.llm.encode import tokenizer_path
+    from spanforge.llm.token_counts import prefix_token_counts, within_budget
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = ["two  spaces " * 300, "def f(x):\n    return x\n\n" * 200, "\n\nafter feeds  " * 90, " \n " * 200, "▁marks ▁ and▁more" * 50, "日本語の文" * 400, "abcxyz0189/+" * 200, "x" * 3000, " " * 900]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = prefix_token_counts(docs).cache()
+    for r in counted.collect():
+        text = texts[r["doc_id"]]
+        assert r["ends"] == sorted(set(r["ends"])) and r["ends"][-1] == len(text) and r["counts"][-1] == r["n_tokens"]
+        for e, n in list(zip(r["ends"], r["counts"], strict=True))[:: max(1, len(r["ends"]) // 40)]:
+            assert len(model.encode(text[:e])) == n
+    for r in within_budget(counted, 50).collect():
+        assert len(model.encode(texts[r["doc_id"]][: r["kept_chars"]])) == r["kept_tokens"]
+        assert 20 < r["kept_tokens"] <= 50 or not texts[r["doc_id"]].strip(" ")
