@@ -49,7 +49,7 @@ def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.token_counts import prefix_token_counts
 
-    counted = prefix_token_counts(table(spark, sf_dir, "documents"), prefixes=False)
+    counted = prefix_token_counts(table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 

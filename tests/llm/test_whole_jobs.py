@@ -53,3 +53,10 @@ def test_every_text_has_prefixes(spark):
     for r in within_budget(counted, 50).collect():
         assert len(model.encode(texts[r["doc_id"]][: r["kept_chars"]])) == r["kept_tokens"]
         assert 20 < r["kept_tokens"] <= 50 or not texts[r["doc_id"]].strip(" ")
+
+
+def test_prefix_query_returns_prefixes(spark):
+    from spanforge.llm.queries import op6_prefix_token_counts
+
+    for r in op6_prefix_token_counts(spark, "/root/testdata/sf0.001").collect():
+        assert (r["n_tokens"], r["over_limit"]) == ((r["counts"] or [0])[-1], r["n_tokens"] > 4096) and len(r["ends"]) == len(r["counts"])
