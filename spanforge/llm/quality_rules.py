@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.batches import slices
 from spanforge.llm.storage import materialise
-from spanforge.llm.words import LOWER, find_words, hash_words, per_doc, text_bytes, windows
+from spanforge.llm.words import _U, LOWER, find_words, hash_words, per_doc, text_bytes, windows
 
 #: Character classes by byte: lower-case, upper-case, digit, space, line feed, sentence mark, symbol, other ASCII, start of a longer character.
 CLASSES = 9
@@ -32,8 +32,7 @@ class Rules:
     word_limit: float = 0.20  # and of common words
     class_chars: int = 200  # texts with fewer characters are not judged by classes
     word_words: int = 60  # nor those with fewer words by words
-    reference_words: int = 2000  # words a language needs to have references
-    languages: int = 512  # most languages with references: those with most words
+    reference_words: int = 2000  # words a language needs to have references of its own; others have those of all documents
     flush: int = 400_000  # words a task holds before it passes their counts on
 
 
@@ -56,11 +55,12 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=-1) > 0, d / 2, 0.0)
 
 
-def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict:
-    """{language: (class counts, hashes of its common words, counts of these and of all other words)} over all documents.
+def reference_table(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, classes, keys, counts): class counts, hashes of common words, counts of these and of all other words.
 
+    One row for every language of rules.reference_words words or more, and one with a null lang for all documents together.
     All words of all texts are counted, A-Z in lower case. Ties between common words are
-    settled by their hashes. At most rules.languages * (9 + rules.common + 1) rows come to the driver.
+    settled by their hashes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,8 +73,6 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
             codes = {x: i for i, x in enumerate(dict.fromkeys(langs))}
             code = np.array([codes[x] for x in langs])
             for x, i in codes.items():
-                if x is None:
-                    continue
                 keys, n = np.unique(hashes[code[doc] == i], return_counts=True)
                 c, k, m = held.get(x, (np.zeros(CLASSES, "i8"), keys[:0], n[:0]))
                 keys, inverse = np.unique(np.concatenate([k, keys]), return_inverse=True)
@@ -87,25 +85,36 @@ def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang
     kind = "lang string, kind int, key long, n long"
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(count, kind)
     summed = rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    pooled = summed.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "key", "n")
     most = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    top = summed.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= max(CLASSES, rules.common))
-    top = materialise(top, "references")
-    size = top.filter("kind = 2").select("lang", F.col("n").alias("words")).filter(F.col("words") >= rules.reference_words)
-    size = size.orderBy(F.desc("words"), "lang").limit(rules.languages)
-    out: dict = {}
-    for r in top.filter("kind < 2").join(F.broadcast(size), "lang").orderBy("lang", "kind", "r").collect():
-        classes, keys, counts, words = out.setdefault(r["lang"], (np.zeros(CLASSES, "i8"), [], [], r["words"]))
-        if r["kind"] == 0:
-            classes[r["key"]] = r["n"]
-        elif r["r"] <= rules.common:
-            keys.append(r["key"])
-            counts.append(r["n"])
-    found = {}
-    for x, (classes, keys, counts, words) in out.items():
-        keys, counts = np.array(keys, "i8").view("u8"), np.array(counts, "i8")
-        order = np.argsort(keys)
-        found[x] = (classes, keys[order], np.append(counts[order], words - counts.sum()))
-    return found
+    top = summed.filter("lang is not null").unionByName(pooled).withColumn("r", F.row_number().over(most)).filter(F.col("r") <= max(CLASSES, rules.common))
+    entry = F.struct("key", "n")
+    each = top.groupBy("lang").agg(
+        F.sort_array(F.collect_list(F.when(F.col("kind") == 0, entry))).alias("classes"),
+        F.collect_list(F.when((F.col("kind") == 1) & (F.col("r") <= rules.common), entry)).alias("common"),
+        F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("words"),
+    )
+    each = each.filter((F.col("words") >= rules.reference_words) | F.col("lang").isNull())
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                common = sorted((x["key"] % (1 << 64), x["key"], x["n"]) for x in r["common"])
+                counts = [x[2] for x in common]
+                out.append({"lang": r["lang"], "classes": [x["n"] for x in r["classes"]], "keys": [x[1] for x in common], "counts": [*counts, r["words"] - sum(counts)]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), *((c, pa.list_(pa.int64())) for c in ("classes", "keys", "counts"))]))
+
+    return materialise(each.mapInArrow(order, "lang string, classes array<long>, keys array<long>, counts array<long>"), "references")
+
+
+def _arrays(classes: list, keys: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array(classes, "i8"), np.array(keys, "i8").view("u8"), np.array(counts, "i8")
+
+
+def references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict:
+    """reference_table() as {lang: (classes, keys, counts)} on the driver, for tables with few languages."""
+    return {r["lang"]: _arrays(*r[1:]) for r in reference_table(docs, rules, text, lang).collect()}
 
 
 def _rows(held: dict) -> Iterator[pa.RecordBatch]:
@@ -141,14 +150,17 @@ def judge(docs: DataFrame, found: dict | None = None, rules: Rules = Rules(), te
     """The figures and verdict of every document, beside the columns named in keep (default: doc_id).
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; base_failed: under 20 words, or over 30 % of the words
-    in repeated 8-word windows; class_js, word_js: divergences from the language's references, null
-    where the text is too short for them or its language has none; kept: neither base_failed nor a divergence over its limit.
+    in repeated 8-word windows; class_js, word_js: divergences from the language's references
+    (those of all documents if it is null or has none of its own), null where the text is too short for them; kept: neither base_failed nor a divergence over its limit.
     A null or empty text has no words and fails. References come from docs itself if not given.
     """
-    found = references(docs, rules, text, lang) if found is None else found
+    table = reference_table(docs, rules, text, lang) if found is None else None
+    found = {r["lang"]: _arrays(*r[1:]) for r in table.filter("lang is null").collect()} if found is None else found
     keep = ["doc_id"] if keep is None else keep
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    own_columns = [] if table is None else ["__classes", "__keys", "__counts"]
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "__text"):
             column = b.column(b.schema.get_field_index("__text"))
@@ -169,12 +181,17 @@ def judge(docs: DataFrame, found: dict | None = None, rules: Rules = Rules(), te
             ]
             failed = (n_words < 20) | (100 * repeats > 30 * n_words)
             js = np.full((2, len(langs)), np.nan)
-            for x in set(langs) & found.keys():
-                classes, keys, counts = found[x]
+            at_first = {x: i for i, x in reversed(list(enumerate(langs)))}
+            for x, i in at_first.items():
+                held = [b.column(b.schema.get_field_index(c))[i].as_py() for c in own_columns]
+                refs = _arrays(*held) if held and held[0] is not None else found.get(x, found.get(None))
+                if refs is None:
+                    continue
+                classes, keys, counts = refs
                 own = np.flatnonzero([y == x for y in langs])
                 js[0, own] = divergence(shapes[own], classes)
                 bins = np.searchsorted(keys, low)
-                bins = np.where((bins < len(keys)) & (keys[np.minimum(bins, len(keys) - 1)] == low), bins, len(keys))
+                bins = np.where(np.append(keys, _U(0))[bins] == low, np.where(bins < len(keys), bins, len(keys)), len(keys))
                 hist = np.bincount(words.doc * len(counts) + bins, minlength=len(langs) * len(counts)).reshape(len(langs), -1)
                 js[1, own] = divergence(hist[own], counts)
             js[0, shapes.sum(axis=1) < rules.class_chars] = np.nan
@@ -187,4 +204,7 @@ def judge(docs: DataFrame, found: dict | None = None, rules: Rules = Rules(), te
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{c} long" for c in longs]) + ", base_failed boolean, class_js double, word_js double, kept boolean"
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
+    if table is not None:
+        own = table.filter("lang is not null").select(F.col("lang").alias("__own"), *[F.col(c).alias("__" + c) for c in ("classes", "keys", "counts")])
+        rows = rows.join(own, F.col("__lang") == F.col("__own"), "left").drop("__own")
     return rows.mapInArrow(look, schema)

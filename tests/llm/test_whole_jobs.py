@@ -60,3 +60,22 @@ def test_prefix_query_returns_prefixes(spark):
 
     for r in op6_prefix_token_counts(spark, "/root/testdata/sf0.001").collect():
         assert (r["n_tokens"], r["over_limit"]) == ((r["counts"] or [0])[-1], r["n_tokens"] > 4096) and len(r["ends"]) == len(r["counts"])
+
+
+def test_rules_judge_every_language(spark):
+    """Junk in a rare or null language is judged by references of all documents, and languages aren't cut off by number."""
+    import random
+
+    from spanforge.llm.quality_rules import Rules, judge, references
+
+    rng = random.Random(1)
+    vocabulary = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "ge") for b in ("lor", "men", "tas", "nil", "rop", "sut")]
+    good = lambda: " ".join(rng.choice(vocabulary) for _ in range(150)) + "."
+    junk = lambda: " ".join(f"{rng.randrange(10**6)}$|{rng.randrange(10**6)}" for _ in range(150))
+    rows = [(i, good(), "en") for i in range(40)] + [(100, junk(), None), (101, junk(), "rare"), (102, good(), None), (103, good(), "rare"), (104, junk(), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in judge(docs).collect()}
+    assert [got[i]["kept"] for i in (100, 101, 102, 103, 104)] == [False, False, True, True, False]
+    assert all(r["class_js"] is not None and r["word_js"] is not None for r in got.values())
+    many = spark.createDataFrame([(i, "some words here", f"l{i}") for i in range(600)], "doc_id long, text string, lang string")
+    assert len(references(many, Rules(reference_words=1))) == 601
