@@ -107,3 +107,59 @@ def test_stream_is_batch(spark, tmp_path):
     )
     assert q.awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, sessions.replay(rows, "start").collect()))
+
+
+def test_rewrite_against_cursor(spark):
+    """Whole rewriting of made answers against a loop over each episode's segments."""
+    import re
+
+    from spanforge.operators import rewrite as rw
+
+    rng, rows, wanted = random.Random(9), [], {}
+    phrases = ["open the drawer", "pulls the drawer", "close the sliding tray", "pushes the tray in", "wait here", "moves to the cup", "drives to the table", "lift arm", "pick the cup", "stay idle", "closes the drawer", "drawer"]
+    types = {"drawer": ("drawer",), "tray": ("sliding tray",)}
+    for e in range(150):
+        frames, kept = rng.randint(2, 14), []
+        for pos in range(rng.randint(0, 8)):
+            a = rng.randint(-3, 12)
+            b, text, skill = a + rng.randint(-2, 7), rng.choice(phrases), rng.choice(["Open", "Close", "Pull", "Push", "Move", "Pick", "Dance"])
+            rows.append((e, pos, pos % 3, a, b, text, skill, frames))
+            a = max(0, a)
+            b = max(a, min(frames - 1, b))
+            like = next((k for k, v in types.items() if any(x in text for x in v)), None)
+            if like and skill == "Open":
+                skill, text = "Pull", re.sub(r"^(?:open|opens|opening)\s+", "pulls open ", text)
+            elif like and skill == "Close":
+                skill = "Push"
+                if m := re.match(r"^(?:close|closes|closing)\s+(.*)", text):
+                    text = f"pushes {m[1]} closed"
+            aux = "prev" if text in ("wait here", "stay idle") else "next" if text.startswith("moves to ") else None
+            base = "drive" in text
+            if skill not in rw.SKILLS or (skill == "Move" and not base) or aux:
+                if aux == "prev" and kept:
+                    kept[-1]["end"] = max(kept[-1]["end"], b)
+                continue
+            kept.append({"start": a, "end": b, "check": b, "text": text, "skill": skill, "id": pos % 3, "pos": pos})
+        kept.sort(key=lambda x: (x["start"], x["end"], x["id"], x["pos"]))
+        merged = []
+        for s in kept:
+            kind = lambda t: next((k for k, v in types.items() if any(x in t for x in v)), None)
+            p = merged[-1] if merged else None
+            if p and p["skill"] == s["skill"] and s["skill"] in ("Pull", "Push") and kind(p["text"]) and kind(p["text"]) == kind(s["text"]):
+                p["end"], p["check"] = max(p["end"], s["end"]), max(p["check"], s["check"])
+                if s["text"].startswith(s["skill"].lower()):
+                    p["text"] = s["text"]
+            else:
+                merged.append(dict(s))
+        merged, cursor, out = merged[:frames], 0, []
+        for i, s in enumerate(merged):
+            end = frames - 1 if i == len(merged) - 1 else min(max(s["end"], cursor), frames - len(merged) + i)
+            out.append((i, cursor, end, min(max(s["check"], cursor), end), s["text"], s["skill"]))
+            cursor = end + 1
+        if out:
+            wanted[e] = out
+    df = spark.createDataFrame(rows, "episode_index long, pos long, seg_id long, start_frame long, end_frame long, text string, skill string, frames long")
+    found = {}
+    for r in sorted(rw.rewrite_annotation(df).collect(), key=lambda r: r["seg_id"]):
+        found.setdefault(r["episode_index"], []).append((r["seg_id"], r["start_frame"], r["end_frame"], r["check_frame"], r["text"], r["skill"]))
+    assert found == wanted
