@@ -66,3 +66,18 @@ def scale_index(i: Column, n: Column, m: Column) -> Column:
 def hash_seed(text: Column) -> Column:
     """The first 8 hexadecimal digits of the text's MD5 as a number."""
     return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("long")
+
+
+def combine(state: Column, visual: Column, weights: tuple[float, float] = (0.45, 0.55)) -> Column:
+    """Weighted sum of what states and images say."""
+    return weights[0] * state + weights[1] * visual
+
+
+def candidate_reach(longest: Column, ratio: float = 0.55, least: int = 65, most: int = 460) -> Column:
+    """Frames on either side of an expected boundary in which it is looked for. longest: expected length of the longer neighbour."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), ratio * longest)).cast("long")
+
+
+def boundary_confidence(pause: Column, off: Column, reach: Column) -> Column:
+    """From 0 to 1: how much of a pause a boundary is, and how near to where it was expected."""
+    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.55 * pause + 0.45 * F.exp(-F.abs(off) / reach))), 4)

@@ -1,4 +1,7 @@
-"""Segmentation of an episode's frames into a template's subtasks: one boundary path of least cost, then local refinement."""
+"""Segmentation of episodes by labelled ones: templates are fitted, each episode gets the nearest, and its boundaries are the path of least cost.
+
+Samples: (episode_index, frame_index, state, visual) of sampled frames. Motion: (episode_index, frame_index, motion) of all frames.
+"""
 
 from __future__ import annotations
 
@@ -9,72 +12,149 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators.stats import FLOOR, ratio_priors
+from spanforge.operators.features import descriptors, last_frames, standardised
+from spanforge.operators.intervals import boundaries_to_segments
+from spanforge.operators.stats import FLOOR, mode_nonempty, nearest, ratio_priors
+from spanforge.operators.tables import small
+
+MODALITIES = ("state", "visual")
 
 
 @dataclass(frozen=True)
 class Search:
-    duration_weight: float = 0.5
-    motion_weight: float = 0.2
-    least: int = 2  # frames of a segment
+    duration_weight: float = 0.85
+    motion_weight: float = 0.25
+    least: int = 30  # frames of a segment
     keep: int = 45  # candidates of a boundary, besides the expected one
-    window: tuple[float, float, float] = (0.6, 8, 460)  # of the longer neighbour's expected length; at least; at most
-    refine: int = 5  # frames a boundary may move afterwards
+    reach: tuple[float, int, int] = (0.55, 65, 460)  # of a window: part of the longer neighbour's expected length; at least; at most
+    refine: int = 55  # frames a boundary may move afterwards
+    near: int = 90  # frames on either side that a boundary's motion is held against
+    length_weight: float = 2.0
+    weights: tuple[float, float] = (0.45, 0.55)  # of state and visual
+
+
+@dataclass(frozen=True)
+class Template:
+    """start: where each segment begins; part and least: median and least length; all as parts of the episode."""
+
+    start: np.ndarray
+    part: np.ndarray
+    least: np.ndarray
 
+    def expected(self, n: int) -> list[int]:
+        return [int(round(float(x) * n)) for x in self.start[1:]]
 
-def fit_templates(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """(template, seg_id, mean, var, start, part, least): motion and length of each place of each template."""
+
+def labelled_samples(samples: DataFrame, segments: DataFrame) -> DataFrame:
+    """Samples of labelled episodes with template (number of segments) and seg_id; a segment with under two has the one nearest its middle too."""
     n = F.count(F.lit(1)).over(Window.partitionBy("episode_index"))
-    s = segments.withColumn("template", n).select(F.col("episode_index").alias("e"), "template", "seg_id", "start_frame", "end_frame")
-    held = frames.join(s, (F.col("episode_index") == F.col("e")) & (F.col("frame_index") >= F.col("start_frame")) & (F.col("frame_index") < F.col("end_frame")))
-    motion = held.groupBy("template", "seg_id").agg(F.avg("motion").alias("mean"), F.greatest(F.var_pop("motion"), F.lit(FLOOR)).alias("var"))
-    lengths = segments.groupBy("episode_index").agg(F.max("end_frame").alias("length"))
-    return motion.join(ratio_priors(segments, lengths), ["template", "seg_id"])
+    s = segments.select("episode_index", "seg_id", "start_frame", "end_frame").withColumn("template", n)
+    pairs = samples.select("episode_index", "frame_index").join(s, "episode_index")
+    inside = (F.col("frame_index") >= F.col("start_frame")) & (F.col("frame_index") < F.col("end_frame"))
+    middle = F.floor((F.col("start_frame") + F.col("end_frame")) / 2)
+    per = pairs.groupBy("episode_index", "seg_id", "template").agg(F.collect_set(F.when(inside, F.col("frame_index"))).alias("held"), F.min_by("frame_index", F.struct(F.abs(F.col("frame_index") - middle), "frame_index")).alias("middle"))
+    held = F.when(F.size("held") < 2, F.array_union("held", F.array("middle"))).otherwise(F.col("held"))
+    return per.select("episode_index", "seg_id", "template", F.explode(held).alias("frame_index")).join(samples, ["episode_index", "frame_index"])
+
+
+def fit_models(samples: DataFrame, segments: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(template, modality, seg_id, dim, mean, var, all_mean, all_std): values standardised over all samples of a template's episodes, then means and variances by segment."""
+    n = segments.groupBy("episode_index").agg(F.count(F.lit(1)).alias("template"))
+    of_template = samples.join(small(n), "episode_index")
+    held, out = labelled_samples(samples, segments), []
+    for m in MODALITIES:
+        long = of_template.select("template", F.posexplode(m).alias("dim", "x"))
+        whole = long.groupBy("template", "dim").agg(F.avg("x").alias("all_mean"), F.greatest(F.stddev_pop("x"), F.lit(FLOOR)).alias("all_std"))
+        one = held.select("template", "seg_id", F.posexplode(m).alias("dim", "x")).groupBy("template", "seg_id", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        both = one.join(whole, ["template", "dim"])
+        var = F.greatest(F.col("v") / (F.col("all_std") * F.col("all_std")), F.lit(FLOOR))
+        out.append(both.select("template", F.lit(m).alias("modality"), "seg_id", "dim", ((F.col("m") - F.col("all_mean")) / F.col("all_std")).alias("mean"), var.alias("var"), "all_mean", "all_std"))
+    return out[0].unionByName(out[1])
+
+
+def template_texts(segments: DataFrame, text: str = "text") -> DataFrame:
+    """(template, seg_id, text, skill): the most frequent of each place of each template, of equally frequent ones that of the smaller episode."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("episode_index"))
+    s = segments.withColumn("template", n).withColumn("__k", F.concat_ws(":", "template", "seg_id"))
+    s = s.withColumns({"text": F.trim(F.coalesce(text, F.lit(""))), "skill": F.trim(F.coalesce("skill", F.lit("")))})
+    keys = s.select("__k", "template", "seg_id").distinct()
+    for c in ("text", "skill"):
+        keys = keys.join(mode_nonempty(s, "__k", c, "episode_index").select("__k", F.col("mode").alias(c)), "__k", "left")
+    return keys.select("template", "seg_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("skill", F.lit("")).alias("skill"))
+
+
+def first_tasks(labels: DataFrame) -> DataFrame:
+    """(template, tasks): the tasks of the first labelled episode of a template that has any. labels: (episode_index, template, tasks)."""
+    return labels.filter(F.size("tasks") > 0).groupBy("template").agg(F.min_by("tasks", "episode_index").alias("tasks"))
+
+
+def match_templates(samples: DataFrame, lengths: DataFrame, segments: DataFrame, s: Search = Search()) -> DataFrame:
+    """(episode_index, matched, template, score): the labelled episode that each of the others is nearest to, by standardised descriptors and length."""
+    d = standardised(descriptors(samples, lengths), "v")
+    n = segments.groupBy("episode_index").agg(F.count(F.lit(1)).alias("template"))
+    models = d.join(n, "episode_index").select(F.col("episode_index").alias("model"), F.col("v").alias("mv"), F.col("length").alias("mlength"))
+    targets = d.join(n, "episode_index", "left_anti").select(F.col("episode_index").alias("id"), "v", "length")
+    found = nearest(targets, models, s.length_weight)
+    return found.join(n.withColumnRenamed("episode_index", "model"), "model").select(F.col("id").alias("episode_index"), F.col("model").alias("matched"), "template", "score")
+
+
+def row_costs(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """(samples, segments): mean negative log likelihood, from 0 for a sample's best segment to 1 at its 90th percentile."""
+    cost = np.stack([(0.5 * ((x - m) ** 2 / v + np.log(v))).mean(axis=1) for m, v in zip(mean, var, strict=True)], axis=1)
+    cost -= cost.min(axis=1, keepdims=True)
+    return cost / np.maximum(np.percentile(cost, 90, axis=1, keepdims=True), 1e-6)
+
 
+def local_minima(values: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    f = np.arange(max(1, lo) + 1, min(len(values) - 2, hi))
+    return f[(values[f] <= values[f - 1]) & (values[f] <= values[f + 1])]
 
-def candidates(motion: np.ndarray, expected: int, reach: int, keep: int) -> np.ndarray:
+
+def candidates(motion: np.ndarray, samples: np.ndarray, expected: int, reach: int, keep: int) -> np.ndarray:
+    """Sampled frames and minima of motion around the expected boundary, the `keep` of least motion, and the expected one."""
     n = len(motion)
     lo, hi = max(1, expected - reach), min(n - 1, expected + reach)
-    f = np.arange(lo, hi + 1)
-    best = f[np.lexsort((f, np.abs(f - expected), motion[f]))][:keep]
-    return np.unique(np.clip(np.append(best, expected), 1, n - 1))
+    pool = np.unique(np.concatenate([samples[(samples >= lo) & (samples <= hi)], local_minima(motion, lo, hi), [expected]]).astype("i8"))
+    order = np.lexsort((pool, np.abs(pool - expected), motion[np.clip(pool, 0, n - 1)]))
+    return np.unique(np.clip(np.append(pool[order][:keep], expected), 1, n - 1))
+
+
+def emission(prefix: np.ndarray, samples: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mean cost of the samples in [start, end), or of the next one from its middle on where it holds none. prefix: of one segment, from 0 on."""
+    a, b = np.searchsorted(samples, start), np.searchsorted(samples, end)
+    middle = np.minimum(np.searchsorted(samples, (start + end) // 2), len(samples) - 1)
+    empty = b <= a
+    a, b = np.where(empty, middle, a), np.where(empty, middle + 1, b)
+    return (prefix[b] - prefix[a]) / (b - a)
 
 
-def segment_path(motion: np.ndarray, model: pd.DataFrame, s: Search = Search()) -> list[int]:
-    """Boundaries between the model's segments; none for a single one. Raises ValueError where no path keeps all least lengths."""
-    n, k = len(motion), len(model)
+def segment_path(motion: np.ndarray, samples: np.ndarray, cost: np.ndarray, t: Template, s: Search = Search()) -> list[int]:
+    """Boundaries between the template's segments, of least total cost; none for a single segment. Raises ValueError where no path keeps all least lengths."""
+    n, k = len(motion), len(t.part)
     if k == 1:
         return []
-    if n < k:
-        raise ValueError("fewer frames than segments")
-    mean, var, part = (model[c].to_numpy(float) for c in ("mean", "var", "part"))
-    emission = 0.5 * ((motion[:, None] - mean) ** 2 / var + np.log(var))
-    prefix = np.vstack([np.zeros(k), np.cumsum(emission, axis=0)])
-    wanted = np.maximum(part * n, s.least)
-    shortest = np.maximum(model["least"].to_numpy(float) * n * 0.45, s.least)
-    expected = [int(np.clip(round(x * n), 1, n - 1)) for x in model["start"].to_numpy(float)[1:]]
-    ratio, near, far = s.window
-    places = [np.zeros(1, int)]
-    for b, at in enumerate(expected):
-        reach = int(max(near, min(far, ratio * max(wanted[b], wanted[b + 1]))))
-        places.append(candidates(motion, at, reach, s.keep))
+    prefix = np.vstack([np.zeros(k), np.cumsum(cost, axis=0)])
+    wanted, shortest = np.maximum(t.part * n, s.least), np.maximum(t.least * n * 0.45, s.least)
+    ratio, near, far = s.reach
+    places = [np.zeros(1, "i8")]
+    for b, at in enumerate(t.expected(n)):
+        places.append(candidates(motion, samples, at, int(max(near, min(far, ratio * max(t.part[b], t.part[b + 1]) * n))), s.keep))
     places.append(np.array([n]))
-    cost, back = np.zeros(1), []
+    total, back = np.zeros(1), []
     for seg in range(k):
-        a, b = places[seg], places[seg + 1]
-        span = b[:, None] - a[None, :]
-        mean_cost = (prefix[b, seg][:, None] - prefix[a, seg][None, :]) / np.maximum(span, 1)
-        step = mean_cost + s.duration_weight * ((span - wanted[seg]) / max(wanted[seg], 1.0)) ** 2
-        total = np.where(span >= shortest[seg], cost[None, :] + step, np.inf)
-        back.append(total.argmin(axis=1))  # the first of equal costs
-        cost = total.min(axis=1) + (s.motion_weight * motion[np.minimum(b, n - 1)] if seg < k - 1 else 0)
-    if not np.isfinite(cost[0]):
+        a, b = np.broadcast_arrays(places[seg][None, :], places[seg + 1][:, None])
+        span = b - a
+        step = emission(prefix[:, seg], samples, a, b) + s.duration_weight * ((span - wanted[seg]) / max(wanted[seg], 1.0)) ** 2
+        held = np.where(span >= shortest[seg], total[None, :] + step, np.inf)
+        back.append(held.argmin(axis=1))  # the first of equal costs
+        total = held.min(axis=1) + (s.motion_weight * motion[places[seg + 1]] if seg < k - 1 else 0)
+    if not np.isfinite(total[0]):
         raise ValueError("no boundaries keep the least lengths")
     at, path = 0, []
     for seg in range(k - 1, 0, -1):
         at = back[seg][at]
         path.append(int(places[seg][at]))
-    return refine(motion, path[::-1], expected, s)
+    return refine(motion, path[::-1], t.expected(n), s)
 
 
 def refine(motion: np.ndarray, path: list[int], expected: list[int], s: Search) -> list[int]:
@@ -88,26 +168,95 @@ def refine(motion: np.ndarray, path: list[int], expected: list[int], s: Search)
     return out
 
 
-def solve(frames: DataFrame, segments: DataFrame, s: Search = Search()) -> DataFrame:
-    """(episode_index, boundaries as text, error): each episode segmented by the template of as many segments as it has.
+def confidences(motion: np.ndarray, path: list[int], t: Template, s: Search) -> list[float]:
+    """How far each boundary is a pause in the motion around it, and how near where it was expected; from 0 to 1."""
+    n, out = len(motion), []
+    for i, (b, e) in enumerate(zip(path, t.expected(n), strict=True)):
+        local = motion[max(0, b - s.near) : b + s.near + 1]
+        high = np.percentile(local, 80)
+        pause = (high - motion[b]) / max(high - local.min(), 1e-6)
+        reach = max(80.0, 0.55 * max(t.part[i], t.part[i + 1]) * n)
+        out.append(round(float(np.clip(0.55 * pause + 0.45 * np.exp(-abs(b - e) / reach), 0, 1)), 4))
+    return out
+
+
+FOUND = "episode_index long, length long, boundaries array<long>, confidences array<double>, expected array<long>, mean_confidence double, error string"
+
+
+def solve(samples: DataFrame, motion: DataFrame, assigned: DataFrame, models: DataFrame, priors: DataFrame, s: Search = Search()) -> DataFrame:
+    """FOUND for each episode in assigned (episode_index, template): its boundaries by its template, or error.
 
-    An episode's motion is one group; the model, a row for each place of each template, is joined to it.
+    An episode's frames are one row. Templates come from episodes labelled by hand; a task turns each into arrays once. Episodes of a
+    template that has no model give no rows.
     """
-    model = fit_templates(frames, segments)
-    n = segments.groupBy("episode_index").agg(F.count(F.lit(1)).alias("template"))
-    one = F.struct("seg_id", "mean", "var", "start", "part", "least")
-    listed = model.groupBy("template").agg(F.array_sort(F.collect_list(one)).alias("model"))
-    motion = frames.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", "motion"))).alias("m"))
-    rows = motion.join(n, "episode_index").join(F.broadcast(listed), "template").select("episode_index", F.col("m.motion").alias("motion"), "model")
+    one = F.struct("seg_id", "dim", "mean", "var", "all_mean", "all_std")
+    by = models.groupBy("template").agg(*[F.array_sort(F.collect_list(F.when(F.col("modality") == m, one))).alias(m + "_model") for m in MODALITIES])
+    prior = priors.groupBy("template").agg(F.array_sort(F.collect_list(F.struct("seg_id", "start", "part", "least"))).alias("prior"))
+    moved = motion.groupBy("episode_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "motion"))), lambda x: x["motion"]).alias("motion"))
+    held = samples.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", *MODALITIES))).alias("samples"))
+    rows = assigned.select("episode_index", "template").join(moved, "episode_index").join(held, "episode_index")
+    rows = rows.join(small(by.join(prior, "template"), 1000), "template").select("episode_index", "template", "motion", "samples", *[m + "_model" for m in MODALITIES], "prior")
 
     def run(batches):
+        known: dict = {}
         for b in batches:
             found = []
-            for m, t in zip(b["motion"], b["model"], strict=True):
-                try:
-                    found.append((",".join(map(str, segment_path(np.asarray(m, float), pd.DataFrame([r if isinstance(r, dict) else r.asDict() for r in t]), s))), None))
-                except ValueError as e:
-                    found.append((None, str(e)))
-            yield pd.DataFrame({"episode_index": b["episode_index"], "boundaries": [x for x, _ in found], "error": [e for _, e in found]})
-
-    return rows.mapInPandas(run, "episode_index long, boundaries string, error string")
+            for r in b.itertuples(index=False):
+                if r.template not in known:
+                    known[r.template] = _template(r.prior), [_model(x) for x in (r.state_model, r.visual_model)]
+                found.append((r.episode_index, len(r.motion), *_solved(r, *known[r.template], s)))
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return rows.mapInPandas(run, FOUND)
+
+
+def _template(prior) -> Template:
+    return Template(*(np.array([x[c] for x in prior], float) for c in ("start", "part", "least")))
+
+
+def _model(rows) -> tuple[np.ndarray, ...]:
+    """(mean, var) by segment and dimension, (mean, std) of all by dimension."""
+    dims = 1 + max(x["dim"] for x in rows)
+    columns = [np.array([x[c] for x in rows], float).reshape(-1, dims) for c in ("mean", "var", "all_mean", "all_std")]
+    return columns[0], columns[1], columns[2][0], columns[3][0]
+
+
+def _solved(r, t: Template, models: list[tuple], s: Search) -> tuple:
+    motion = np.asarray(r.motion, float)
+    frames = np.array([x["frame_index"] for x in r.samples], "i8")
+    cost = 0.0
+    for m, weight, (mean, var, center, spread) in zip(MODALITIES, s.weights, models, strict=True):
+        x = np.array([list(v[m]) for v in r.samples], float)
+        cost = cost + weight * row_costs((x - center) / spread, mean, var)
+    try:
+        path = segment_path(motion, frames, cost, t, s)
+    except ValueError as e:
+        return None, None, None, None, str(e)
+    sure = confidences(motion, path, t, s)
+    return path, sure, t.expected(len(motion)), round(float(np.mean(sure)), 4) if sure else None, None
+
+
+def annotate(samples: DataFrame, motion: DataFrame, segments: DataFrame, episodes: DataFrame, s: Search = Search()) -> tuple[DataFrame, DataFrame]:
+    """(documents, summary) of the episodes that have no segments yet, by those that have.
+
+    segments: (episode_index, seg_id, start_frame, end_frame, text, skill) of labelled episodes; episodes: (episode_index, length, tasks). Documents have
+    their own tasks or else the template's. Episodes that could not be segmented are in the summary, with error.
+    """
+    lengths = last_frames(motion)
+    labelled = segments.groupBy("episode_index").agg(F.max("end_frame").alias("length"), F.count(F.lit(1)).alias("template"))
+    known = samples.join(labelled.select("episode_index"), "episode_index", "left_semi")
+    assigned = match_templates(samples, lengths, segments, s)
+    found = solve(samples, motion, assigned, fit_models(known, segments, episodes), ratio_priors(segments, labelled), s)
+    summary = found.join(assigned, "episode_index").select(
+        "episode_index", "length", F.concat(F.col("template").cast("string"), F.lit("-subtasks")).alias("template_key"), F.col("template").alias("num_subtasks"), F.col("matched").alias("matched_manual_episode"),
+        F.col("score").alias("template_match_score"), "mean_confidence", "boundaries", "error",
+    )
+    good = found.filter("error is null").join(assigned.select("episode_index", "template"), "episode_index")
+    rows = boundaries_to_segments(good.select("episode_index", "boundaries", "length")).join(good.select("episode_index", "template"), "episode_index")
+    rows = rows.join(small(template_texts(segments)), ["template", "seg_id"])
+    config = F.array_sort(F.collect_list(F.struct("seg_id", "start_frame", "end_frame", F.col("text").alias("action_text"), "skill")))
+    fallback = first_tasks(episodes.join(labelled.select("episode_index", "template"), "episode_index"))
+    docs = rows.groupBy("episode_index", "template").agg(config.alias("action_config")).join(good.select("episode_index", "length"), "episode_index")
+    docs = docs.join(episodes.select("episode_index", "tasks"), "episode_index", "left").join(small(fallback.withColumnRenamed("tasks", "__t")), "template", "left")
+    tasks = F.when(F.size(F.coalesce("tasks", F.array())) > 0, F.col("tasks")).otherwise(F.coalesce("__t", F.array().cast("array<string>")))
+    return docs.select("episode_index", tasks.alias("tasks"), "length", "action_config"), summary

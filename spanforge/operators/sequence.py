@@ -103,3 +103,21 @@ def boundary_confidence(rows: DataFrame, x: str = "value", half: int = 90) -> Da
     p, lo = F.percentile(x, F.lit(0.8)).over(w), F.min(x).over(w)
     pause = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (p - F.col(x)) / F.greatest(p - lo, F.lit(1e-6))))
     return rows.withColumn("p80", p).withColumn("low", lo).withColumn("pause", pause)
+
+
+def interval_means(samples: DataFrame, x: str, intervals: DataFrame) -> DataFrame:
+    """(episode_index, seg_id, mean): mean of the samples in each interval, by differences of prefix sums; of the next sample from its middle on where it holds none.
+
+    An episode's sample frames and prefix sums are one row, and each interval counts those before its ends.
+    """
+    rows = samples.select("episode_index", "frame_index", F.col(x).cast("double").alias("x"))
+    rows = rows.withColumn("p", F.sum("x").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    held = rows.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", "p"))).alias("s"))
+    each = intervals.select("episode_index", "seg_id", "start_frame", "end_frame").join(held, "episode_index")
+    before = lambda at: F.size(F.filter("s", lambda r: r["frame_index"] < at))
+    a, b = before(F.col("start_frame")), before(F.col("end_frame"))
+    middle = F.least(before(F.floor((F.col("start_frame") + F.col("end_frame")) / 2)), F.size("s") - 1)
+    each = each.withColumns({"a": a, "b": b, "m": middle})
+    each = each.withColumns({"lo": F.when(F.col("b") <= F.col("a"), F.col("m")).otherwise(F.col("a")), "hi": F.when(F.col("b") <= F.col("a"), F.col("m") + 1).otherwise(F.col("b"))})
+    upto = lambda i: F.when(i > 0, F.get("s", i - 1)["p"]).otherwise(0.0)
+    return each.select("episode_index", "seg_id", ((upto(F.col("hi")) - upto(F.col("lo"))) / (F.col("hi") - F.col("lo"))).alias("mean"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.tables import small
+
 FLOOR = 1e-4
 
 
@@ -21,13 +23,13 @@ def zscores(rows: DataFrame, vector: str, key: str) -> DataFrame:
     """(key, dim, z): values standardised over all rows; the parameters, a row for each dimension, go to all tasks."""
     long = by_dimension(rows, vector, key)
     params = long.groupBy("dim").agg(F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(FLOOR)).alias("s"))
-    return long.join(F.broadcast(params), "dim").select(key, "dim", ((F.col("x") - F.col("m")) / F.col("s")).alias("z"))
+    return long.join(small(params), "dim").select(key, "dim", ((F.col("x") - F.col("m")) / F.col("s")).alias("z"))
 
 
 def gaussian_cost(rows: DataFrame, vector: str, key: str, model: DataFrame, on: str) -> DataFrame:
     """(key, on, cost): mean over dimensions of the negative log likelihood, without its constant."""
     long = by_dimension(rows, vector, key)
-    one = long.join(F.broadcast(model), "dim")
+    one = long.join(small(model), "dim")
     cost = 0.5 * ((F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")) / F.col("var") + F.ln("var"))
     return one.groupBy(key, on).agg(F.avg(cost).alias("cost"))
 
@@ -38,11 +40,18 @@ def descriptor_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) / F.size(a))
 
 
-def nearest(targets: DataFrame, models: DataFrame, weight: float = 0.5) -> DataFrame:
-    """(id, model, score): each target's nearest model, the smaller id of equal ones. models is a small table that is fitted by hand: one row for each labelled episode."""
-    both = targets.crossJoin(F.broadcast(models))
-    score = descriptor_distance(F.col("v"), F.col("mv")) + weight * F.abs(F.ln(F.col("length") / F.col("mlength")))
-    return both.withColumn("score", score).groupBy("id").agg(F.min_by("model", F.struct("score", "model")).alias("model"), F.min("score").alias("score"))
+def nearest(targets: DataFrame, models: DataFrame, weight: float = 0.5, block: int = 256) -> DataFrame:
+    """(id, model, score): each target's nearest model, the smaller id of equal ones.
+
+    targets: (id, v, length); models: (model, mv, mlength), of episodes labelled by hand. Models are held in blocks of `block`, and a
+    target meets a block, not a model: as many rows as targets times blocks, of which each keeps its best.
+    """
+    places = models.withColumn("__b", F.floor((F.row_number().over(Window.orderBy("model")) - 1) / block))
+    blocks = places.groupBy("__b").agg(F.collect_list(F.struct("model", "mv", "mlength")).alias("__m"))
+    score = lambda m: descriptor_distance(F.col("v"), m["mv"]) + weight * F.abs(F.ln(F.greatest("length", F.lit(1)) / F.greatest(m["mlength"], F.lit(1))))
+    best = F.array_min(F.transform("__m", lambda m: F.struct(score(m).alias("score"), m["model"].alias("model"))))
+    found = targets.crossJoin(small(blocks, 64)).select("id", best.alias("best")).groupBy("id").agg(F.min("best").alias("best"))
+    return found.select("id", "best.model", "best.score")
 
 
 def ratio_priors(segments: DataFrame, episodes: DataFrame) -> DataFrame:

@@ -65,11 +65,11 @@ def available(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*some)
 
 
-def column_matrix(df: DataFrame, column: str) -> Column:
+def column_matrix(df: DataFrame, column: str, kind: str = "float") -> Column:
     """A column of vectors as arrays of floats; a number is a vector of one."""
     if df.schema[column].dataType.typeName() == "array":
-        return F.transform(column, lambda x: x.cast("float"))
-    return F.array(F.col(column).cast("float"))
+        return F.transform(column, lambda x: x.cast(kind))
+    return F.array(F.col(column).cast(kind))
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = ".*", recursive: bool = True) -> DataFrame:

@@ -1,12 +1,9 @@
 import random
 from types import SimpleNamespace
 
-import numpy as np
-import pandas as pd
 import pytest
 
 from spanforge.operators import intervals as iv
-from spanforge.operators.segment import Search, segment_path
 
 # Three sampling configurations at 30 frames a second, and the blocks they give for segments [0, 67) and [67, 170).
 CONFIGS = {
@@ -85,15 +82,6 @@ def test_interval_join_in_buckets(spark):
     assert sorted(a) == sorted(b) and a
 
 
-def test_segment_path():
-    motion = np.concatenate([np.full(20, 1.0), np.full(30, 5.0), np.full(10, 0.0)])
-    model = pd.DataFrame({"mean": [1.0, 5.0, 0.0], "var": [0.1] * 3, "start": [0, 0.3, 0.8], "part": [0.33, 0.5, 0.17], "least": [0.1] * 3})
-    assert segment_path(motion, model, Search(refine=0)) == [20, 50]
-    assert segment_path(motion, model[:1]) == []
-    with pytest.raises(ValueError):
-        segment_path(motion[:2], model)
-
-
 def test_stream_is_batch(spark, tmp_path):
     from spanforge.sources.proxies import steps
     from spanforge.streaming import sessions
