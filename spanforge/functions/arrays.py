@@ -14,7 +14,8 @@ def masked(items: Column, mask: Column) -> Column:
 
 def pad_keys(keys: Column, n: Column) -> Column:
     """The first n keys, with camera_0, camera_1, ... by place where there are fewer."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(keys, i), F.concat(F.lit("camera_"), i.cast("string"))))
+    named = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.coalesce(F.get(keys, i), F.concat(F.lit("camera_"), i.cast("string"))))
+    return F.when(n > 0, named).otherwise(F.array().cast("array<string>"))
 
 
 def pad_mask(items: Column, n: int, filler: Column) -> tuple[Column, Column]:
@@ -29,12 +30,3 @@ def numbered_list(items: Column, header: str = "Subtasks:") -> Column:
     kept = F.filter(lines, lambda x: x.isNotNull())
     body = F.when(F.size(kept) == 0, F.array(F.lit("1. task_completed"))).otherwise(kept)
     return F.array_join(F.concat(F.array(F.lit(header)), body), "\n")
-
-
-def first_known(*values: Column) -> Column:
-    return F.coalesce(*values)
-
-
-def vector_part(vector: Column, start: int, end: int) -> Column:
-    """Elements start .. end - 1 of a vector."""
-    return F.slice(vector, start + 1, end - start)

@@ -30,7 +30,11 @@ DRAWER = {
     "tray": ("pull-out tray", "pull out tray", "sliding tray", "slide-out tray", "slide out tray"),
     "shelf": ("pull-out shelf", "pull out shelf", "sliding shelf", "slide-out shelf", "slide out shelf"),
 }
+# How texts name observation images, words of opening and closing, and labels of views.
 OBSERVATION = r"(?:current\s+observation\s+images?(?:\s*\([^)]*\))?\s*[:：]?|image\s*\d+\s*\([^)]*\)\s*[:：]?)"
+NAMED_IMAGE = r"(?iU)\bcurrent\s+observation\s+images?(?:\s*\([^)]*\))?\s*[:：]?\s*|\bimage\s*\d+\s*\([^)]*\)\s*[:：]?\s*"
+OPENING, CLOSING = r"(?i)^(?:open|opens|opening)\s+", r"(?i)^(?:close|closes|closing)\s+"
+HEAD, FRONT, LEFT_WRIST, RIGHT_WRIST, WRIST, ONLY = "head view", "front view", "left wrist view", "right wrist view", "wrist view", "current view"
 CONTENT_POLICY = ("content_policy_violation", "content safety system")
 
 
@@ -56,8 +60,7 @@ def exact_match(a: Column, b: Column) -> Column:
 
 def clean_memory(c: Column) -> Column:
     """Leaves out what names observation images, wherever it stands."""
-    noise = r"(?iU)\bcurrent\s+observation\s+images?(?:\s*\([^)]*\))?\s*[:：]?\s*|\bimage\s*\d+\s*\([^)]*\)\s*[:：]?\s*"
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), noise, " "), r"(?U)\s+", " "), F.lit(" \t\n,;:-"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), NAMED_IMAGE, " "), r"(?U)\s+", " "), F.lit(" \t\n,;:-"))
 
 
 def truncate_memory(c: Column) -> Column:
@@ -95,12 +98,12 @@ def drawer_type(c: Column) -> Column:
 def drawer_rewrite(skill: Column, text: Column) -> tuple[Column, Column]:
     """(skill, text) with opening and closing of drawer-like targets as pulling and pushing."""
     like = drawer_type(text).isNotNull()
-    rest = strip(F.regexp_replace(text, r"(?i)^(?:close|closes|closing)\s+", ""))
+    rest = strip(F.regexp_replace(text, CLOSING, ""))
     closing = F.when(rest == "", "pushes the drawer closed").otherwise(F.concat(F.lit("pushes "), rest, F.lit(" closed")))
     new_skill = F.when(like & (skill == "Open"), "Pull").when(like & (skill == "Close"), "Push").otherwise(skill)
     new_text = (
-        F.when(like & (skill == "Open"), F.regexp_replace(text, r"(?i)^(?:open|opens|opening)\s+", "pulls open "))
-        .when(like & (skill == "Close") & F.regexp_like(text, F.lit(r"(?i)^(?:close|closes|closing)\s+")), closing)
+        F.when(like & (skill == "Open"), F.regexp_replace(text, OPENING, "pulls open "))
+        .when(like & (skill == "Close") & F.regexp_like(text, F.lit(CLOSING)), closing)
         .otherwise(text)
     )
     return new_skill, new_text
@@ -137,18 +140,19 @@ def is_html(c: Column) -> Column:
     return F.regexp_like(c, F.lit(r"(?is)^\s*<(!doctype html|html)"))
 
 
-def view_label(key: Column, place: Column, views: Column) -> Column:
+def view_label(key: Column, place: Column, views: Column, high: bool = False) -> Column:
+    """A camera key's view. high: a key with `high` in it is a head view too, as one of the two kinds of prompts has it."""
     low = strip(F.lower(key))
     has = lambda *xs: any_of([F.contains(low, F.lit(x)) for x in xs])
     hand = has("hand", "wrist", "arm")
     return (
-        F.when(has("head"), "head view")
-        .when(has("front"), "front view")
-        .when(has("left") & hand, "left wrist view")
-        .when(has("right") & hand, "right wrist view")
-        .when(hand, "wrist view")
+        F.when(has("head", "high") if high else has("head"), HEAD)
+        .when(has("front"), FRONT)
+        .when(has("left") & hand, LEFT_WRIST)
+        .when(has("right") & hand, RIGHT_WRIST)
+        .when(hand, WRIST)
         .when(low != "", F.concat(F.replace(F.element_at(F.split(low, r"\."), -1), F.lit("_"), F.lit(" ")), F.lit(" view")))
-        .when(views == 1, "current view")
+        .when(views == 1, ONLY)
         .otherwise(F.concat(F.lit("camera view "), (place + 1).cast("string")))
     )
 
@@ -173,3 +177,20 @@ def is_policy_violation(c: Column) -> Column:
 def sampling_rate(name: Column) -> Column:
     """The rate that a name's final %NN gives, else 1."""
     return F.coalesce(F.nullif(F.regexp_extract(name, r"%(\d+)$", 1), F.lit("")).try_cast("double") / 100, F.lit(1.0))
+
+
+def checkpoint_step(path: Column) -> Column:
+    """The number that a path ends with as checkpoint-N, else -1."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"checkpoint-(\d+)$", 1), F.lit("")).try_cast("bigint"), F.lit(-1))
+
+
+def sampling_seed(seed: int, path: Column, by_step: bool = True) -> Column:
+    """The seed, plus the checkpoint's step if by_step holds and there is one."""
+    step = checkpoint_step(path)
+    return (F.when(step >= 0, F.lit(seed) + step).otherwise(F.lit(seed)) if by_step else F.lit(seed)).cast("long")
+
+
+def video_path(data_path: Column, template: Column, key: Column) -> Column:
+    """data_path/template with {video_key} filled in; an error without a template."""
+    given = F.coalesce(F.nullif(template, F.lit("")), F.raise_error(F.lit("an episode lacks its video_path")))
+    return F.replace(F.concat(F.rtrim(data_path, F.lit("/")), F.lit("/"), given), F.lit("{video_key}"), key)

@@ -76,11 +76,11 @@ def block_stats(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("kind").agg(F.sum("n").alias("frames"), F.count(F.lit(1)).alias("blocks"))
 
 
-def resolve_targets(frames: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each frame's target: of the first window that holds it, by segment, then transition, uniform, final tail; else null."""
+def resolve_targets(frames: DataFrame, windows: DataFrame, bucket: int = 4096) -> DataFrame:
+    """Each frame's target: of the first window that holds it, by segment, then transition, uniform, final tail; else null. Long episodes are dealt out by buckets of frames."""
     order = F.when(F.col("kind") == "transition", 0).when(F.col("kind") == "uniform", 1).otherwise(2)
-    w = windows.select(F.col("episode_index").alias("we"), "seg_id", "kind", "target", "lo", "hi", order.alias("o"))
-    held = frames.join(w, (F.col("episode_index") == F.col("we")) & (F.col("frame_index") >= F.col("lo")) & (F.col("frame_index") < F.col("hi")), "left")
+    w = windows.filter("hi > lo").select("episode_index", "seg_id", "kind", "target", F.col("lo").alias("start_frame"), F.col("hi").alias("end_frame"), order.alias("o"))
+    held = interval_join(frames, w, how="left", bucket=bucket)
     return held.groupBy("episode_index", "frame_index").agg(F.min_by("target", F.struct("seg_id", "o")).alias("target"), F.min_by("kind", F.struct("seg_id", "o")).alias("kind"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators.tables import small
+
 
 def keyed(seed: str, *key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
@@ -35,7 +37,7 @@ def quota(rows: DataFrame, group: str, key: str, total: int, seed: str) -> DataF
 
 def top_candidates(rows: DataFrame, score: str, expected: DataFrame, k: int) -> DataFrame:
     """(episode_index, frame_index): the k best frames by score and nearness to the expected one, and that one, within the episode."""
-    r = rows.join(F.broadcast(expected), "episode_index")
+    r = rows.join(small(expected), "episode_index")
     w = Window.partitionBy("episode_index").orderBy(score, F.abs(F.col("frame_index") - F.col("expected")), "frame_index")
     best = r.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).select("episode_index", "frame_index", "length")
     some = best.union(expected.select("episode_index", "expected", "length"))

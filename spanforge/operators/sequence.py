@@ -84,9 +84,9 @@ def greedy_gap(rows: DataFrame, at: str, gap: float) -> DataFrame:
     return rows.groupBy("episode_index").agg(taken["out"].alias("out")).select("episode_index", F.explode("out").alias("frame_index"))
 
 
-def memory_chain(rows: DataFrame, initial: str) -> DataFrame:
-    """Adds memory_in, the last prediction before each step that is not empty and not skipped, and memory_out."""
-    w = Window.partitionBy("episode_index").orderBy("sample_id")
+def memory_chain(rows: DataFrame, initial: str, *parts: str) -> DataFrame:
+    """Adds memory_in, the last prediction before each step (of its episode and parts) that is not empty and not skipped, and memory_out."""
+    w = Window.partitionBy("episode_index", *parts).orderBy("sample_id")
     said = F.when(~F.coalesce("skip", F.lit(False)), F.nullif(F.trim("pred"), F.lit("")))
     given = F.coalesce(F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(initial))
     return rows.withColumn("memory_in", given).withColumn("memory_out", F.coalesce(said, F.col("memory_in")))

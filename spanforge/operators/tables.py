@@ -84,11 +84,12 @@ def fill_missing(rows: DataFrame, column: str, key: str, sources: list[DataFrame
 def offsets(rows: DataFrame, order: str, size: str, parts: int = 64) -> DataFrame:
     """Adds lo and hi, the range that each row's size takes when rows are laid end to end.
 
-    Sums are made within ranges of the order column; the ranges' own offsets are a table of `parts` rows.
+    Rows are dealt out by ranges of about as many rows each, so that no part of the order holds most of them, and sums are made within
+    these; the ranges' own offsets are a table of `parts` rows. Equal keys stay in one range.
     """
-    ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
-    width = max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // parts + 1)
-    part = F.floor((F.col(order) - F.lit(ends["a"] or 0)) / width)
+    ends = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001) if rows.limit(1).count() else []
+    cuts = sorted(set(ends))
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     r = rows.withColumn("__p", part)
     sums = r.groupBy("__p").agg(F.sum(size).alias("__s"))
     base = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))

@@ -8,6 +8,7 @@ from spanforge.functions import arrays as ar
 from spanforge.functions import jsonx as jx
 from spanforge.functions import score as sc
 from spanforge.functions import text as tx
+from spanforge.operators.samples import subtask_at
 from spanforge.plans.registry import query
 from spanforge.sources import proxies as px
 
@@ -78,11 +79,12 @@ def active_memory(spark, d):
     return _lookups(spark, d)
 
 
-@query("f_subtask_lookup", """select e.episode_index, i.i as id, s.text, coalesce(s.text, 'task_completed') as subtask, s.skill from e cross join (select unnest(range(0, 7)) as i) i left join s on s.episode_index = e.episode_index and s.seg_id = i.i""")
+@query("f_subtask_lookup", """select e.episode_index, i.i as id, s.text, coalesce(nullif(case when s.text = 'view' then '' else s.text end, ''), 'task_completed') as subtask, case when s.text <> 'view' then s.skill end as skill from e cross join (select unnest(range(0, 7)) as i) i left join s on s.episode_index = e.episode_index and s.seg_id = i.i""")
 def subtask_lookup(spark, d):
     e = px.episodes(spark, d).withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))))
-    at = F.get("action_config", F.col("id").cast("int"))
-    return e.select("episode_index", "id", at["text"].alias("text"), F.coalesce(at["text"], F.lit("task_completed")).alias("subtask"), at["skill"].alias("skill"))
+    blank = F.transform("action_config", lambda x: F.struct(F.when(x["text"] == "view", " ").otherwise(x["text"]).alias("action_text"), x["skill"].alias("skill")))
+    text, skill = subtask_at(blank, F.col("id"))
+    return e.select("episode_index", "id", F.get("action_config", F.col("id").cast("int"))["text"].alias("text"), text.alias("subtask"), skill.alias("skill"))
 
 
 def _lookups(spark, d):
@@ -116,17 +118,17 @@ def inline_config(spark, d):
     return px.frames(spark, d).select("event_id", m["dataset_name"].alias("name"), m["annotation_path"].alias("path"), m["step"].cast("long").alias("step"))
 
 
-@query("f_checkpoint_seed", "select event_id, case when k % 3 = 0 then -1 else k end as step, case when k % 3 = 0 then 42 else 42 + k end as seed from f")
+@query("f_checkpoint_seed", "select event_id, case when k % 3 = 0 then -1 else k end as step, case when k % 3 = 0 then 42 else 42 + k end as seed, case when k % 3 = 0 then 42 else 42 end as plain from f")
 def checkpoint_seed(spark, d):
-    path = F.when(F.pmod("k", F.lit(3)) == 0, "run/final").otherwise(F.concat(F.lit("run/checkpoint-"), F.col("k")))
-    step = F.coalesce(F.nullif(F.regexp_extract(path, r"checkpoint-(\d+)$", 1), F.lit("")).try_cast("bigint"), F.lit(-1))
-    return px.frames(spark, d).select("event_id", step.alias("step"), F.when(step >= 0, step + 42).otherwise(F.lit(42)).cast("long").alias("seed"))
+    path = F.when(F.pmod("k", F.lit(3)) == 0, "run/final").otherwise(F.concat(F.lit("run/checkpoint-"), F.col("k").cast("string")))
+    return px.frames(spark, d).select("event_id", tx.checkpoint_step(path).alias("step"), tx.sampling_seed(42, path).alias("seed"), tx.sampling_seed(42, path, False).alias("plain"))
 
 
 @query("f_video_paths", "select event_id, v.key as key, 'root/videos/' || v.key || '/' || event_id || '.mp4' as path from f, (values ('cam.head'), ('cam.left')) v(key)")
 def video_paths(spark, d):
     f = px.frames(spark, d).withColumn("key", F.explode(F.array(F.lit("cam.head"), F.lit("cam.left"))))
-    return f.select("event_id", "key", F.concat(F.lit("root/"), F.replace(F.concat(F.lit("videos/{video_key}/"), F.col("event_id"), F.lit(".mp4")), F.lit("{video_key}"), F.col("key"))).alias("path"))
+    template = F.concat(F.lit("videos/{video_key}/"), F.col("event_id").cast("string"), F.lit(".mp4"))
+    return f.select("event_id", "key", tx.video_path(F.lit("root"), template, F.col("key")).alias("path"))
 
 
 @query("f_pad_keys", "select event_id, array_to_string([case when k % 4 >= 1 then 'a' else 'camera_0' end, case when k % 4 >= 2 then 'b' else 'camera_1' end, case when k % 4 >= 3 then 'c' else 'camera_2' end][1 : cast(k % 3 + 1 as int)], ',') as keys from f")
@@ -154,13 +156,6 @@ def scale_index(spark, d):
     return px.frames(spark, d).select("event_id", F.pmod("k", F.lit(20)).alias("i"), sc.scale_index(F.pmod("k", n), n, F.lit(20)).alias("out"))
 
 
-@query("f_fps_resolve", "select event_id, case when k % 3 = 0 then k / 2.0::double when k % 3 = 1 then 24.0 else 30.0 end as fps from f")
-def fps(spark, d):
-    features = F.when(F.pmod("k", F.lit(3)) == 1, F.create_map(F.lit("cam"), F.lit(24.0)))
-    own = F.when(F.pmod("k", F.lit(3)) == 0, F.col("k") / 2.0)
-    return px.frames(spark, d).select("event_id", ar.first_known(own, F.get(F.filter(F.map_values(features), lambda x: x.isNotNull()), F.lit(0)), F.lit(30.0)).alias("fps"))
-
-
 #: Answers of a judge: JSON of an event wrapped in talk.
 ANSWERS = """, an as (select event_id, k, value, 'Sure: {"current_subtask": "' || event_type || ' {x}", "k": ' || k || '} subtask_score: ' || k % 6 || ' memory_score = ' || k % 4 || '.5 Verdict: Partial reason: "ok"' as t from f)
 """
