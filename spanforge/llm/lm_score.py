@@ -1,230 +1,162 @@
-"""Stupid-backoff scores of documents from the corpus' own n-gram counts.
-
-Documents are packed into blocks, written once. For each order, blocks send the
-hashes of their distinct n-grams to buckets by hash; each bucket is that part of the
-order's count table, and answers every block with the counts of what it sent. A
-block joined with its answers scores its documents, a sum over their n-grams.
-An n-gram can be repeated only if the two n-grams of the order below in it are, so
-of higher orders only those are sent.
+"""Stupid-backoff scores of documents from the corpus' own n-gram counts, as relations.
+
+n-grams are rows (document, hash), dealt out by hash; there each gets its count, and its logarithm goes into the document's sum.
+
+A word's score is count(n-gram) / count(context), with the longest n-gram that lies within the document. In its own
+corpus every n-gram is seen, so no word goes back to a shorter one but where the document begins, and the sum of
+logarithms closes up: contexts are n-grams of the order below, and those scored themselves at the beginning cancel out. With N the highest order,
+a document of N words or more adds its N-grams and takes off the (N-1)-grams inside it, from the second to the last but one; a shorter
+one adds itself as a whole. So only the two highest orders are counted throughout.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import math
+import string
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.batches import slices
-from spanforge.llm.storage import materialise, partitions
-from spanforge.llm.words import _BASE, _U, LOWER, find_words, hash_words, mix, text_bytes
+from spanforge.llm.storage import drop, if_small, materialise, partitions
 
 
 @dataclass(frozen=True)
 class Model:
     order: int = 3
-    alpha: float = 0.4
-    least: int = 2  # occurrences below which an n-gram of order 2 or more counts as unseen
-    block_bytes: int = 8 << 20  # of text
-
-
-def _blocks(docs: DataFrame, m: Model) -> DataFrame:
-    """(block, words, body): documents packed into rows of about block_bytes of text (a longer text is alone)."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        zipper = zstandard.ZstdCompressor(level=1)
-        held, size, schema = [], 0, None
-
-        def row() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held, schema)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, schema) as w:
-                w.write_table(t)
-            n = sum(len(_hashed(b)[0]) for b in held)
-            body = zipper.compress(sink.getvalue())
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([n], pa.int64()), pa.array([body], pa.binary())], ["block", "words", "body"])
-
-        for b in slices(batches):
-            schema = schema or b.schema
-            held.append(b)
-            size += pc.sum(pc.binary_length(b.column(1))).as_py() or 0
-            if size >= m.block_bytes:
-                yield row()
-                held, size = [], 0
-        if held:
-            yield row()
-
-    return docs.mapInArrow(pack, "block string, words long, body binary")
-
-
-def _open(body: bytes) -> list[pa.RecordBatch]:
-    import zstandard
-
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)) as r:
-        return list(r)
-
-
-def _hashed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a batch's documents, and where each document's begin and end."""
-    data, at = text_bytes(b.column(1))
-    words = find_words(data, at)
-    return hash_words(LOWER[data], words.starts, words.ends), words.first
-
-
-class _Block:
-    """A block's n-grams. counts[n][i]: count of the n-gram that ends at word i (0: not within a document, or not asked for)."""
-
-    def __init__(self, body: bytes, buckets: int) -> None:
-        parts = [(b.column(0), *_hashed(b)) for b in _open(body)]
-        self.ids, self.id_type = [d for ids, _, _ in parts for d in ids.to_pylist()], parts[0][0].type
-        self.words = np.concatenate([h for _, h, _ in parts]) if parts else np.zeros(0, _U)
-        starts, base = [0], 0
-        for _, h, first in parts:
-            starts += (first[1:] + base).tolist()
-            base += len(h)
-        self.first = np.array(starts, "i8")
-        self.depth = np.arange(len(self.words)) - np.repeat(self.first[:-1], np.diff(self.first))  # place in the document
-        self.buckets = buckets
-        self.counts: dict[int, np.ndarray] = {}
-        self.grams = self.words
-
-    def asked(self, n: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams in order of (bucket, hash), their buckets, how often the block has each, and for each word the number of its own n-gram (-1: none)."""
-        if n > 1:
-            grams = self.grams.copy()
-            grams[n - 1 :] = mix(self.grams[n - 2 : -1] * _BASE + self.words[n - 1 :] + _U(n)) if len(grams) >= n else grams[n - 1 :]
-            self.grams = grams
-            below = self.counts[n - 1] >= least
-            ok = self.depth >= n - 1
-            ok[1:] &= below[1:] & below[:-1]
-        else:
-            ok = np.ones(len(self.words), bool)
-        keys, inverse = np.unique(self.grams[ok], return_inverse=True)
-        own = (keys >> _U(33)) % _U(self.buckets)
-        order = np.argsort(own, kind="stable")
-        rank = np.empty(len(keys), "i8")
-        rank[order] = np.arange(len(keys))
-        number = np.full(len(self.words), -1, "i8")
-        number[ok] = rank[inverse]
-        return keys[order], own[order].astype("i8"), np.bincount(inverse, minlength=len(keys))[order], number
-
-    def learn(self, n: int, least: int, answers: dict[int, bytes]) -> None:
-        keys, own, _, number = self.asked(n, least)
-        got = np.zeros(len(keys) + 1, "i8")
-        for b in np.unique(own):
-            at = np.flatnonzero(own == b)
-            got[at] = _unpack(answers[int(b)])
-        self.counts[n] = got[number]  # -1: the last, 0
-
-    def scores(self, m: Model, total: int) -> np.ndarray:
-        """Sums of log10 of each document's stupid-backoff scores."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.log10(self.counts[1] / total)
-            for n in range(2, m.order + 1):
-                c, below = self.counts[n], self.counts[n - 1]
-                context = np.ones(len(c), "i8")
-                context[1:] = below[:-1]
-                seen = c >= m.least
-                logs = np.where(seen, np.log10(c / np.maximum(context, 1)), logs + np.where(self.depth >= n - 1, np.log10(m.alpha), 0))
-        return np.array([logs[a:b].sum() for a, b in zip(self.first[:-1], self.first[1:], strict=True)])
-
-
-def _pack_counts(counts: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<i8").view("u1").reshape(-1, 8).T.tobytes())
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(8, -1).T.copy().view("<i8").reshape(-1)
-
-
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending hashes as byte planes of their differences."""
-    import zstandard
-
-    step = np.diff(keys, prepend=_U(0))
-    return zstandard.ZstdCompressor(level=1).compress(step.astype("<u8").view("u1").reshape(-1, 8).T.tobytes())
-
-
-def _unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data).view("u8"), dtype="u8")
-
-
-def _ask(blocks: DataFrame, n: int, buckets: int, m: Model) -> DataFrame:
-    """(bucket, block, keys) from blocks joined with the answers so far."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, known in _known(batches, n - 1, buckets, m):
-            keys, own, times, _ = known.asked(n, m.least)
-            rows = []
-            for b in np.unique(own):
-                part = slice(np.searchsorted(own, b), np.searchsorted(own, b, side="right"))
-                rows.append((int(b), block, _pack_keys(keys[part]), _pack_counts(times[part])))
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "block", "keys", "times"])
-
-    return blocks.mapInArrow(send, "bucket long, block string, keys binary, times binary")
-
-
-def _known(batches: Iterator[pa.RecordBatch], upto: int, buckets: int, m: Model) -> Iterator[tuple[str, _Block]]:
-    for b in batches:
-        for i in range(b.num_rows):
-            block = _Block(b.column("body")[i].as_py(), buckets)
-            for n in range(1, upto + 1):
-                block.learn(n, m.least, {a["bucket"]: a["counts"] for a in b.column(f"a{n}")[i].as_py() or ()})
-            yield b.column("block")[i].as_py(), block
-
-
-def _answer(asked: DataFrame) -> DataFrame:
-    """(block, bucket, counts): each bucket's part of the count table, looked up for every block."""
-
-    def total(t: pa.Table) -> pa.Table:
-        keys = [_unpack_keys(k) for k in t["keys"].to_pylist()]
-        times = [_unpack(c) for c in t["times"].to_pylist()]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate(times)).astype("i8")
-        found = [_pack_counts(sums[np.searchsorted(every, k)]) for k in keys]
-        return pa.table({"block": t["block"], "bucket": t["bucket"], "counts": pa.array(found, pa.binary())})
-
-    return asked.groupBy("bucket").applyInArrow(total, "block string, bucket long, counts binary")
-
-
-def backoff_scores(docs: DataFrame, m: Model = Model(), bucket_words: int = 2_000_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_score, mean_score) of every document.
+    alpha: float = 0.4  # what a word loses for each order that its n-gram is too rare for
+    sample: int = 64  # one in so many documents shows which n-grams are hot
+    salt: int = 64  # places over which a hot n-gram is dealt out
+
+
+def words(text: Column) -> Column:
+    """A text's words: runs of anything but ASCII white space, A-Z in lower case."""
+    low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
+
+
+def grams(hashes: str, m: int) -> Column:
+    """Hashes of the n-grams of order m, from those of the words, in order."""
+    size = F.greatest(F.size(hashes) - (m - 1), F.lit(0))
+    out = F.slice(hashes, F.lit(1), size)
+    for k in range(1, m):
+        out = F.zip_with(out, F.slice(hashes, F.lit(k + 1), size), lambda x, y: F.xxhash64(x, y))
+    return out
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).withColumn("n", F.size("h"))
 
-    Words are runs of anything but ASCII white space, A-Z in lower case, told apart by 64-bit hashes; counts
-    are those of all documents. A word's score is count(n-gram) / count(context) for the longest n-gram that
-    ends with it, lies within the document and occurs m.least times or more, times alpha for each order that was passed over
-    (of those the document's beginning allows); at order 1 count(word) / number of all words. log_score is the sum
-    of log10 of the scores (0 without words), mean_score that by n_words (null without words). Repeated
-    documents count each time. Other columns are ignored; an empty table gives no rows.
+
+def _exploded(docs: DataFrame, m: int, highest: bool) -> DataFrame:
+    """(key, g, w): every n-gram of order m and how often it counts in its document's sum: 1, 0 or -1."""
+    each = _hashed(docs).select("key", "n", F.posexplode(grams("h", m)).alias("i", "g"))
+    inside = F.when((F.col("i") >= 1) & (F.col("i") < F.col("n") - m), -1).otherwise(0)
+    w = F.lit(1) if highest else F.when(F.col("n") == m, 1).otherwise(inside)
+    return each.select("key", "g", w.cast("byte").alias("w"))
+
+
+def hot_grams(docs: DataFrame, m: int, o: Model) -> DataFrame:
+    """(g): n-grams that are more than one in 4 * partitions of a sample's, so at most as many rows."""
+    rows = _exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m, True)
+    counts = materialise(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "sampled")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = materialise(counts.filter(F.col("c") * (4 * partitions(docs.sparkSession)) > total).filter("c > 8").select("g"), "hot")
+    drop(counts)
+    return hot
+
+
+def _sums(docs: DataFrame, m: int, o: Model) -> DataFrame:
+    """(key, rows, part): number of a document's n-grams of order m, and the sum of the logarithms of their counts as they count.
+
+    All rows of an n-gram meet in one task, which counts them, but for hot ones: those are dealt out over o.salt places, counted in each and these
+    counts added up, in a table with a row for each document and hot n-gram.
+    """
+    highest, hot = m == o.order, hot_grams(docs, m, o)
+    rows = _exploded(docs, m, highest).join(F.broadcast(hot.withColumn("hot", F.col("g"))), "g", "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("key", F.lit(o.salt))))
+    there = F.log10(F.count(F.lit(1)).over(Window.partitionBy("g", "salt")).cast("double"))
+    logs = F.when(F.col("hot").isNull(), F.col("w") * there).otherwise(0.0)
+    one = rows.select("key", "hot", "w", logs.alias("log")).groupBy("key", "hot").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum("log").alias("part"))
+    held = materialise(one, "held")
+    totals = held.filter("hot is not null").groupBy("hot").agg(F.log10(F.sum("rows").cast("double")).alias("of_hot"))
+    both = held.join(F.broadcast(totals), "hot", "left").withColumn("part", F.col("part") + F.coalesce(F.col("w") * F.col("of_hot"), F.lit(0.0)))
+    out = materialise(both.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("part").alias("part")), "sums")
+    drop(hot, held)
+    return out
+
+
+def _of_short(docs: DataFrame, base: DataFrame, m: int) -> DataFrame:
+    """(key, part): logarithm of the count of a document's words as one n-gram, for documents of m words."""
+    short = docs.join(if_small(materialise(base.filter(F.col("n") == m).select("key").distinct(), "short")), "key", "left_semi")
+    own = materialise(_hashed(short).select("key", grams("h", m)[0].alias("g")).distinct(), "own")
+    wanted = own.select("g").distinct()
+    every = _hashed(docs).select(F.explode(grams("h", m)).alias("g"))
+    counts = every.join(if_small(materialise(wanted, "wanted")), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    return materialise(own.join(counts, "g").select("key", F.log10(F.col("c").cast("double")).alias("part")), "of_short")
+
+
+def backoff_scores(docs: DataFrame, o: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_score, mean_score) of every document, by the counts of all of them.
+
+    Words are runs of anything but ASCII white space, A-Z in lower case, told apart by 64-bit hashes. A word's score is
+    count(n-gram) / count(context) for the longest n-gram (of o.order words at most) that ends with it and lies within the document; for the
+    first word count(word) / number of all words. log_score is the sum of log10 of the scores (0 without words), mean_score that by n_words (null
+    without words). Repeated documents count each time and get a row each; rows are known by a hash of id and text. Other columns are ignored; an
+    empty table gives no rows.
+    """
+    rows = docs.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    base = materialise(rows.select("key", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).withColumn("n", F.col("n_words")), "base")
+    total = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, score, held = F.col("n"), F.lit(0.0), base
+    for m in (x for x in (o.order, o.order - 1) if x >= 1):
+        s = _sums(rows.select("key", "text"), m, o)
+        held = held.join(s.select("key", F.col("rows").alias(f"rows{m}"), F.col("part").alias(f"part{m}")), "key", "left")
+        # rows of equal id and text are in the sums together: each gets its share
+        score = score + F.coalesce(F.col(f"part{m}") * (n - (m - 1)) / F.col(f"rows{m}"), F.lit(0.0))
+    for m in range(1, o.order - 1):
+        if base.filter(n == m).limit(1).count():
+            held = held.join(_of_short(rows.select("key", "text"), base, m).withColumnRenamed("part", f"short{m}"), "key", "left")
+            score = score + F.coalesce(F.col(f"short{m}"), F.lit(0.0))
+    by_total = n if o.order == 1 else 1  # words whose context is the whole corpus
+    log_score = F.when(n > 0, score - math.log10(max(1, total)) * by_total).otherwise(0.0)
+    out = held.select("doc_id", "n_words", log_score.alias("log_score"))
+    return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
+def ngram_counts(docs: DataFrame, o: Model = Model(), text: str = "text") -> DataFrame:
+    """(m, g, c): the count tables of all orders, for scoring other documents."""
+    each = _hashed(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")))
+    out = None
+    for m in range(1, o.order + 1):
+        one = each.select(F.explode(grams("h", m)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c")).select(F.lit(m).alias("m"), "g", "c")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def score_others(docs: DataFrame, counts: DataFrame, o: Model = Model(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_score, mean_score) of documents that aren't in the corpus, by its count tables.
+
+    A word's longest seen n-gram counts, times o.alpha for each order passed over; a word that was never seen has half a count. Columns and
+    words as in `backoff_scores`. Each n-gram is a row, joined with the tables; positions are put together again by document.
     """
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[doc_id]
-    blocks = materialise(_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), m), "blocks")
-    total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    buckets = max(partitions(spark), -(-total // bucket_words))
-    state = blocks
-    for n in range(1, m.order + 1):
-        answers = _answer(_ask(state, n, buckets, m))
-        lists = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias(f"a{n}"))
-        state = state.join(materialise(lists, "answers"), "block", "left")
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, block in _known([b], m.order, buckets, m):
-                sums, n = block.scores(m, max(1, total)), np.diff(block.first)
-                mean = np.divide(sums, n, out=np.full(len(n), np.nan), where=n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(block.ids, block.id_type), pa.array(n), pa.array(sums), pa.array(mean, mask=n == 0)], ["doc_id", "n_words", "log_score", "mean_score"])
-
-    return state.mapInArrow(rate, f"doc_id {kind}, n_words long, log_score double, mean_score double")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("key"))
+    rows = materialise(rows.select("key", "doc_id", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).withColumn("n", F.size("h")), "hashed")
+    parts = [rows.select("key", F.posexplode(grams("h", m)).alias("i", "g")).select("key", F.lit(m).alias("m"), (F.col("i") + m - 1).alias("i"), "g") for m in range(1, o.order + 1)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    total = counts.filter("m = 1").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    seen = every.join(counts, ["m", "g"], "left").groupBy("key", "i").agg(F.map_from_entries(F.collect_list(F.struct("m", F.coalesce("c", F.lit(0))))).alias("c"))
+    before = F.lag("c").over(Window.partitionBy("key").orderBy("i"))
+    at = seen.withColumn("b", before)
+    score = F.log10(F.lit(0.5) / max(1, total)) + F.least(F.col("i"), F.lit(o.order - 1)) * F.log10(F.lit(o.alpha))
+    for m in range(1, o.order + 1):
+        c = F.try_element_at("c", F.lit(m))
+        context = F.lit(max(1, total)) if m == 1 else F.try_element_at("b", F.lit(m - 1))
+        lost = F.least(F.col("i") + 1, F.lit(o.order)) - m
+        score = F.when(c > 0, F.log10(c / context) + lost * F.log10(F.lit(o.alpha))).otherwise(score)
+    sums = at.select("key", score.alias("s")).groupBy("key").agg(F.sum("s").alias("s"))
+    out = rows.select("key", "doc_id", F.col("n").cast("long").alias("n_words")).join(sums, "key", "left")
+    log_score = F.coalesce("s", F.lit(0.0))
+    return out.select("doc_id", "n_words", log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_score"))

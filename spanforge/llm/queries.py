@@ -60,9 +60,10 @@ def op7_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spanforge.llm.lm_score import Model, backoff_scores
+    from spanforge.llm.lm_score import backoff_scores
 
-    return backoff_scores(table(spark, sf_dir, "documents"), Model(least=1))  # every n-gram counts
+    found = backoff_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_score", 5).alias("mean_score"))
 
 
 def op9_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bin_completion_packing": op7_bin_completion_packing,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    # each word's n-gram of at most three words, and its context
+    "op8_stupid_backoff": f"""
+        with d as (select row_number() over () as r, doc_id, {_SPLIT.format(_LOWER)} as ws from documents),
+        t as (select r, unnest(range(1, len(ws) + 1)) as i, ws from d),
+        g as (select r, i, ws[i] as g1, case when i > 1 then ws[i - 1] || ' ' || ws[i] end as g2, case when i > 2 then ws[i - 2] || ' ' || ws[i - 1] || ' ' || ws[i] end as g3 from t),
+        c1 as (select g1, count(*) as c from g group by g1), c2 as (select g2, count(*) as c from g where g2 is not null group by g2), c3 as (select g3, count(*) as c from g where g3 is not null group by g3),
+        n as (select count(*) as n from g),
+        p as (select g.r, case when i > 2 then c3.c else coalesce(c2.c, c1.c) end as c, g.i, c1.c as a1, c2.c as a2, lag(c1.c) over (partition by g.r order by g.i) as b1, lag(c2.c) over (partition by g.r order by g.i) as b2
+            from g join c1 using (g1) left join c2 on c2.g2 = g.g2 left join c3 on c3.g3 = g.g3),
+        s as (select r, sum(log10(c::double / case when i = 1 then (select n from n) when i = 2 then b1 else b2 end)) as s from p group by r)
+        select doc_id, cast(len(ws) as bigint) as n_words, round(coalesce(s, 0), 4) as log_score, case when len(ws) > 0 then round(s / len(ws), 5) end as mean_score from d left join s using (r)""",
     # every pair of equal words lies on a diagonal; windows of it are counted
     "op1_spaced_seed_overlaps": """
         with iw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from benchmark where item_id is not null),

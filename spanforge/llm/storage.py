@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -55,5 +55,11 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def if_small(table: DataFrame, cells: int = 3_000_000) -> DataFrame:
+    """table, to be broadcast if it has at most `cells` values (of 8 bytes, say) in all; beyond that Spark joins it by a shuffle."""
+    most = cells // len(table.columns)
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

