@@ -1,4 +1,4 @@
-"""Bin packing of a histogram of lengths: best fit decreasing, and bin completion with branch and bound.
+"""Bin packing of a histogram of lengths by bin completion with branch and bound, best fit as incumbent.
 
 Equal lengths are interchangeable, so a packing is a list of patterns, each with the
 number of bins that follow it. Work depends on the number of different lengths (at
@@ -7,8 +7,10 @@ most the capacity), not on the number of pieces.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import random
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -72,53 +74,94 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Counter:
     return total
 
 
-def completions(counts: dict[int, int], longest: int, capacity: int, most: int = 8, steps: int = 3000) -> list[Pattern]:
-    """Undominated fillings of the room beside the longest piece, least waste first.
+class _View:
+    """The lengths that are left, longest first, and which sums those from each place on can make."""
 
-    A filling is dominated if another one holds, for groups of its pieces, single pieces at
-    least as long as the groups; so of fillings with one sum those with fewer, longer pieces are kept,
-    and fillings into which one more piece would fit are left out. `steps` bounds
-    the search, `most` the fillings returned.
-    """
-    room = capacity - longest
-    lengths = [n for n in sorted(counts, reverse=True) if n <= room and counts[n] - (n == longest) > 0]
-    if not lengths:
-        return [((longest, 1),)]
-    suffix_min = lengths[-1]
-    found: dict[int, tuple[int, tuple]] = {}  # sum -> (pieces, filling)
-    budget = [steps]
-
-    def grow(i: int, left: int, held: tuple, pieces: int) -> bool:
-        """True once nothing better can come."""
-        budget[0] -= 1
-        if left < suffix_min or i == len(lengths):
-            used = room - left
-            if used not in found or pieces < found[used][0]:
-                found[used] = (pieces, held)
-            return left == 0 and pieces <= 2 or budget[0] <= 0
-        lo, hi = i, len(lengths)
-        while lo < hi:  # the first length that fits
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
-        tried = 0
-        for k in range(lo, len(lengths)):
-            n = lengths[k]
-            fit = min(left // n, counts[n] - (n == longest))
-            for copies in range(fit, 0, -1):
-                if grow(k + 1, left - copies * n, (*held, (n, copies)), pieces + copies):
+    def __init__(self, counts: dict[int, int], capacity: int) -> None:
+        self.lengths = sorted((n for n, c in counts.items() if c), reverse=True)
+        self.minus = [-n for n in self.lengths]
+        self.reach, sums, mask = [1] * (len(self.lengths) + 1), 1, (1 << capacity + 1) - 1
+        for i in range(len(self.lengths) - 1, -1, -1):
+            n, copies, step = self.lengths[i], min(counts[self.lengths[i]], capacity // self.lengths[i]), 1
+            while copies:
+                step = min(step, copies)
+                sums |= sums << n * step & mask
+                copies -= step
+                step *= 2
+            self.reach[i] = sums
+
+
+class _Spent(Exception):
+    """The budget of steps is used up."""
+
+
+class _Budget:
+    def __init__(self, steps: int) -> None:
+        self.left = steps
+
+    def spend(self) -> None:
+        self.left -= 1
+        if self.left < 0:
+            raise _Spent
+
+
+def _exactly(view: _View, counts: dict[int, int], longest: int, total: int, budget: _Budget, start: int = 0, held: tuple = ()) -> Iterator[tuple]:
+    """Every multiset of what is left beside one longest piece with this sum, as ((length, copies), ...); those with longer pieces come first."""
+    if not total:
+        yield held
+        return
+    lengths, reach = view.lengths, view.reach
+    i = max(start, bisect_left(view.minus, -total))
+    while i < len(lengths) and reach[i] >> total & 1:
+        n = lengths[i]
+        for k in range(min(total // n, counts[n] - (n == longest)), 0, -1):
+            if reach[i + 1] >> total - k * n & 1:
+                budget.spend()
+                yield from _exactly(view, counts, longest, total - k * n, budget, i + 1, (*held, (n, k)))
+        i += 1
+        budget.spend()
+
+
+def dominates(a: tuple, b: tuple) -> bool:
+    """Whether b's pieces can be dealt out over a's so that none of a's pieces is shorter than what it gets.
+
+    Then a bin filled like b can be filled like a: a's pieces change places with b's groups, wherever they are."""
+    rooms = [n for n, k in a for _ in range(k)]
+    pieces = [n for n, k in b for _ in range(k)]
+    if sum(pieces) > sum(rooms) or len(pieces) > 12:  # longer lists aren't worth the search
+        return False
+
+    def deal(i: int) -> bool:
+        if i == len(pieces):
+            return True
+        tried = set()
+        for j, room in enumerate(rooms):
+            if room >= pieces[i] and room not in tried:
+                tried.add(room)
+                rooms[j] -= pieces[i]
+                if deal(i + 1):
                     return True
-            tried += 1
-            if budget[0] <= 0:
-                return True
-        if not tried:
-            used = room - left
-            if used not in found or pieces < found[used][0]:
-                found[used] = (pieces, held)
+                rooms[j] += pieces[i]
         return False
 
-    grow(0, room, (), 0)
-    order = sorted(found, reverse=True)[:most]
-    return [_joined(longest, found[u][1]) for u in order]
+    return deal(0)
+
+
+def completions(counts: dict[int, int], longest: int, capacity: int, waste: int, view: _View | None = None, budget: _Budget | None = None) -> Iterator[Pattern]:
+    """Undominated fillings of a bin around the longest piece that waste no more than `waste`, least waste first.
+
+    counts: what is left, the longest piece among it. A dominated filling has no larger sum and, of equal sums, comes
+    later; so each is held against those before it, and one into which another piece would still fit is left out too.
+    """
+    view, budget = view or _View(counts, capacity), budget or _Budget(1 << 62)
+    room, before = capacity - longest, []
+    for total in range(room, max(-1, room - waste - 1), -1):
+        if view.reach[0] >> total & 1:
+            for filling in _exactly(view, counts, longest, total, budget):
+                if not any(dominates(x, filling) for x in before):
+                    if len(before) < 64:
+                        before.append(filling)
+                    yield _joined(longest, filling)
 
 
 def _joined(longest: int, filling: tuple) -> Pattern:
@@ -128,85 +171,105 @@ def _joined(longest: int, filling: tuple) -> Pattern:
     return tuple(sorted(c.items(), reverse=True))
 
 
-def _take(counts: dict[int, int], pattern: Pattern, times: int) -> dict[int, int]:
-    out = dict(counts)
-    for n, k in pattern:
-        out[n] -= k * times
-        if not out[n]:
-            del out[n]
-    return out
+def branch_and_bound(counts: dict[int, int], capacity: int, best: Counter, steps: int = 2_000_000) -> tuple[Counter, bool]:
+    """The packing that bin completion finds, with no more bins than `best`, the incumbent; and whether no better one exists.
 
+    At a node the longest piece left is completed by each undominated filling in turn, at first in as many bins as the
+    pieces last, then in fewer. A branch ends where its waste exceeds what a packing with few enough bins can waste: for the first
+    packing the incumbent's bins, then one less than the last found. The search ends when the lower bound is reached,
+    all branches are tried, or `steps` are used up; then what was found last, or else the incumbent, is returned.
+    """
+    counts, budget = {n: c for n, c in counts.items() if c}, _Budget(steps)
+    total, goal = sum(n * c for n, c in counts.items()), lower_bound(counts, capacity)
+    found, most = None, sum(best.values())  # bins that a packing may have
+    pieces = sum(counts.values())
 
-def complete_bins(counts: dict[int, int], capacity: int) -> Counter:
-    """Bin completion without going back: around the longest piece the filling of least waste, as often as it lasts."""
-    left, bins = dict(counts), Counter()
-    while left:
-        longest = max(left)
-        pattern = completions(left, longest, capacity, most=1, steps=400)[0]
-        times = min(left[n] // k for n, k in pattern)
-        bins[pattern] += times
-        left = _take(left, pattern, times)
-    return bins
+    def choices(view: _View, longest: int, waste: int) -> Iterator[tuple[Pattern, int]]:
+        for pattern in completions(counts, longest, capacity, most * capacity - total - waste, view, budget):
+            for times in range(min(counts[n] // k for n, k in pattern), 0, -1):
+                yield pattern, times
 
+    def take(pattern: Pattern, times: int) -> int:
+        for n, k in pattern:
+            counts[n] -= k * times
+        return sum(k for _, k in pattern) * times
 
-def branch_and_bound(counts: dict[int, int], capacity: int, best: Counter, nodes: int = 20_000) -> Counter:
-    """Looks for packings with fewer bins than `best`, the incumbent, until the lower bound or `nodes` is reached.
+    if not pieces:
+        return Counter(), True
+    view = _View(counts, capacity)
+    stack = [[None, None, view, 0, pieces, 0]]  # choices, the one taken, view, waste before, pieces left before, spent lengths
+    bins = 0
+    try:
+        while stack:
+            node = stack[-1]
+            if node[1]:
+                pattern, times = node[1]
+                take(pattern, -times)
+                bins -= times
+                node[1] = None
+            if node[0] is None:
+                longest = next(n for n in node[2].lengths if counts[n])
+                node[0] = choices(node[2], longest, node[3])
+            chosen = next(node[0], None)
+            if chosen is None:
+                stack.pop()
+                continue
+            budget.spend()
+            pattern, times = chosen
+            waste = node[3] + times * (capacity - sum(n * k for n, k in pattern))
+            if waste > most * capacity - total:
+                continue
+            left = node[4] - take(pattern, times)
+            bins += times
+            node[1] = chosen
+            if left:
+                spent = node[5] + sum(not counts[n] for n, _ in pattern)
+                fresh = spent >= max(8, len(node[2].lengths) // 64)
+                stack.append([None, None, _View(counts, capacity) if fresh else node[2], waste, left, 0 if fresh else spent])
+                continue
+            found = Counter()
+            for x in stack:
+                found[x[1][0]] += x[1][1]
+            most = bins - 1
+            if bins <= goal:
+                return found, True
+        return found if found is not None else best, True
+    except _Spent:
+        return found if found is not None else best, False
 
-    At a node the longest piece left is completed by each undominated filling in turn,
-    used once; a branch ends where its waste exceeds what a better packing could waste.
-    """
-    total = sum(n * c for n, c in counts.items())
-    goal, held = lower_bound(counts, capacity), [best, sum(best.values())]
-    budget = [nodes]
-    stack = [(dict(counts), (), 0)]
-    while stack and held[1] > goal and budget[0]:
-        left, path, waste = stack.pop()
-        budget[0] -= 1
-        if not left:
-            if len(path) < held[1]:
-                held[:] = [Counter(path), len(path)]
-            continue
-        allowed = (held[1] - 1) * capacity - total
-        if waste > allowed or len(path) + lower_bound(left, capacity) >= held[1]:
-            continue
-        choices = completions(left, max(left), capacity, most=8, steps=2000)
-        for pattern in reversed(choices):
-            more = capacity - sum(n * k for n, k in pattern)
-            if waste + more <= allowed:
-                stack.append((_take(left, pattern, 1), (*path, pattern), waste + more))
-    return held[0]
-
-
-def pack(counts: dict[int, int], capacity: int, exact_pieces: int = 400) -> Counter:
+
+def _of_bins(patterns: Counter) -> dict[int, int]:
+    out: Counter = Counter()
+    for pattern, times in patterns.items():
+        for n, k in pattern:
+            out[n] += k * times
+    return dict(out)
+
+
+def pack(counts: dict[int, int], capacity: int, rounds: int = 60, pieces: int = 90, seed: int = 1) -> Counter:
     """Patterns with their numbers of bins. Lengths are from 1 to the capacity.
 
-    The better of best fit and greedy bin completion is the incumbent. Where it misses the lower bound,
-    branch and bound goes on from it: over all pieces, if there are at most
-    `exact_pieces`; else over those of the least full bins, in which all waste above the bound lies.
+    Best fit decreasing is the incumbent, bin completion over the whole histogram builds the packing. Where that stops
+    above the lower bound without having tried all branches, bins are emptied and completed anew, `rounds` times: the
+    least full ones, in which the waste lies, and others by chance, of about `pieces` pieces together.
     """
     counts = {n: c for n, c in counts.items() if c}
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("a length is out of range")
-    goal = lower_bound(counts, capacity)
-    best = best_fit_decreasing(counts, capacity)
-    if sum(best.values()) > goal:
-        other = complete_bins(counts, capacity)
-        best = min(best, other, key=lambda p: sum(p.values()))
-    if sum(best.values()) <= goal:
-        return best
-    if sum(counts.values()) <= exact_pieces:
-        return branch_and_bound(counts, capacity, best)
-    loose, kept, pieces = Counter(), Counter(best), 0
-    for pattern in sorted(best, key=lambda p: sum(n * k for n, k in p)):
-        take = min(best[pattern], max(0, (exact_pieces - pieces) // sum(k for _, k in pattern)))
-        if not take:
+    goal, rng = lower_bound(counts, capacity), random.Random(seed)
+    best, settled = branch_and_bound(counts, capacity, best_fit_decreasing(counts, capacity))
+    for _ in range(rounds):
+        if settled or sum(best.values()) <= goal:
             break
-        loose[pattern] += take
-        kept[pattern] -= take
-        pieces += take * sum(k for _, k in pattern)
-    again: Counter = Counter()
-    for pattern, times in loose.items():
-        for n, k in pattern:
-            again[n] += k * times
-    kept.update(branch_and_bound(dict(again), capacity, loose) if loose else {})
-    return +kept
+        order = sorted(best, key=lambda p: (sum(n * k for n, k in p) - capacity * (rng.random() < 0.3), rng.random()))
+        loose, held = Counter(), 0
+        for pattern in order:
+            each = sum(k for _, k in pattern)
+            take = min(best[pattern], max(0, (pieces - held) // each))
+            if take:
+                loose[pattern] += take
+                held += take * each
+        part = _of_bins(loose)
+        again, _ = branch_and_bound(part, capacity, loose, 60_000)
+        best = +(best - loose + again)
+    return best
