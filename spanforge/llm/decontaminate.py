@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.storage import if_small, materialise
+
 #: Masks over consecutive words; a seed is the hash of the words at 1. Any 13 words of which at most 2 differ,
 #: and any 8 to 12 words of which at most 1 differs, hold a run that matches one of them.
 MASKS = ("111011", "11111")
@@ -53,7 +55,7 @@ def _probes(docs: DataFrame, o: Overlap, doc_id: str, text: str) -> DataFrame:
     return places.select("doc_id", "k", "i", "near", F.explode(seeds).alias("seed"))
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str | None = None) -> DataFrame:
     """(doc_id, item_id, doc_word, item_words, matched_words): documents that hold a passage of a benchmark item.
 
     Seeds of items and documents meet by hash; around each hit the two are compared word
@@ -70,7 +72,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    found = items.select(F.col(item_id).alias("item_id"), F.transform(_words(text), lambda w: F.xxhash64(w)).alias("words")).filter(
+    found = items.select(F.col(item_id).alias("item_id"), F.transform(_words(item_text or text), lambda w: F.xxhash64(w)).alias("words")).filter(
         F.col("item_id").isNotNull() & (F.size("words") >= o.short)
     )
     total = found.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
@@ -114,7 +116,9 @@ def _block(probes: DataFrame, classes: DataFrame, o: Overlap) -> DataFrame:
     return met.filter(F.col("matched_words") >= F.col("need")).drop("need")
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold a passage of an item; rows without doc_id are judged by nothing and stay."""
-    hit = find_overlaps(docs, items, o, doc_id, text=text).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[doc_id] == hit["__hit"], "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), text: str = "text") -> DataFrame:
+    """docs without those that hold a passage of an item. Each row is judged by its own text, known by its hash, whatever its id; a null or empty text stays."""
+    own = F.xxhash64(F.col(text))
+    found = find_overlaps(docs.select(own.alias("__key"), F.col(text).alias("__text")), items, o, "__key", text="__text", item_text=text)
+    hit = materialise(found.select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    return docs.join(if_small(hit), own == hit["__hit"], "left_anti")
