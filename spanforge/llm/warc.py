@@ -14,8 +14,8 @@ import posixpath
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ FILE_BYTES = 64 << 20
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Where records carry what the columns hold; payload and payload_bytes come from the block.
-HEADERS = {"record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "record_id": "WARC-Record-ID", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "page_id": "X-Page-Id"}
+HEADERS = {"record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "record_id": "WARC-Record-ID", "payload_digest": "WARC-Payload-Digest", "refers_to": "X-Refers-To-Page", "page_id": "X-Page-Id"}
 SCHEMA = "page_id long, record_id string, record_type string, target_uri string, payload_digest string, refers_to long, payload_bytes long, payload binary"
 
 
@@ -41,16 +41,22 @@ def _line(name: str, value: str) -> bytes:
     return f"{name}: {value}".replace("\r", " ").replace("\n", " ").encode() + CRLF
 
 
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    """The same for the same page and payload, whoever writes it and how often; that of a page without id depends on its address."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url}|{digest}' if page_id is None else f'page:{page_id}|{digest}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record of an HTTP response, or of a revisit without the payload."""
+    """One WARC/1.1 record of an HTTP response, or of a revisit without the payload, which names the record that it repeats."""
+    digest = digest32(payload)
     http = b"HTTP/1.1 200 OK" + CRLF + _line("Content-Type", "text/html; charset=utf-8") + _line("Content-Length", str(len(payload))) + CRLF
     block = http if revisit else http + payload
     lines = [
         _line("WARC-Type", "revisit" if revisit else "response"),
-        _line("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+        _line("WARC-Record-ID", record_id(page_id, url, digest)),
         _line("WARC-Date", "2024-01-01T00:00:00Z"),
         _line("Content-Type", "application/http; msgtype=response"),
-        _line("WARC-Payload-Digest", "sha1:" + digest32(payload)),
+        _line("WARC-Payload-Digest", "sha1:" + digest),
         _line("X-Payload-Length", str(len(payload))),
     ]
     if page_id is not None:
@@ -58,7 +64,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     if url is not None:
         lines.append(_line("WARC-Target-URI", url))
     if revisit:
-        lines += [_line("WARC-Profile", PROFILE), _line("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        lines += [_line("WARC-Profile", PROFILE), _line("WARC-Refers-To", record_id(refers_to, None, digest)), _line("X-Refers-To-Page", str(refers_to))]
     return b"WARC/1.1" + CRLF + b"".join(lines) + _line("Content-Length", str(len(block))) + CRLF + block + CRLF + CRLF
 
 
@@ -85,12 +91,43 @@ def _member_size(head: bytes) -> int:
     return 0
 
 
-@dataclass
 class Seen:
-    """A record: headers, and a call that gives the block (inflated only then)."""
+    """A record: its headers, and its block, which is read and inflated when block() is called, before the next record is asked for."""
+
+    def __init__(self, headers: dict[str, str], load: Callable[[], bytes]) -> None:
+        self.headers, self._load, self.inflated = headers, load, 0
+
+    def block(self) -> bytes:
+        body = self._load()
+        self.inflated = len(body)
+        return body
 
-    headers: dict[str, str]
-    block: object = field(repr=False)
+
+class _Member:
+    """One gzip member of an open file, inflated as far as is asked for."""
+
+    def __init__(self, f, at: int) -> None:
+        self.f, self.z = f, zlib.decompressobj(31)
+        f.seek(at)
+        head = f.read(1 << 12)
+        self.empty, self.size, self.place = not head, _member_size(head), at + len(head)
+        self.text = self.z.decompress(head, 1 << 12) if head else b""
+
+    def more(self, most: int) -> bytes:
+        data = self.z.unconsumed_tail
+        if not data:
+            self.f.seek(self.place)
+            data = self.f.read(1 << 16)
+            self.place += len(data)
+        if not data:
+            raise EOFError("a WARC record is cut short")
+        return self.z.decompress(data, most)
+
+    def end(self) -> int:
+        """Where the next member begins."""
+        while not self.z.eof:
+            self.more(1 << 20)
+        return self.place - len(self.z.unused_data)
 
 
 def read_records(f, wanted=lambda headers: True) -> Iterator[Seen]:
@@ -102,36 +139,24 @@ def read_records(f, wanted=lambda headers: True) -> Iterator[Seen]:
         return
     at = 0
     while True:
-        f.seek(at)
-        head = f.read(1 << 12)
-        if not head:
+        m = _Member(f, at)
+        if m.empty:
             return
-        size = _member_size(head)
-        z = zlib.decompressobj(31)
-        text = z.decompress(head, 1 << 12)
-        while CRLF * 2 not in text and not z.eof:
-            more = z.unconsumed_tail or f.read(1 << 14)
-            if not more:
-                raise EOFError("a WARC header is cut short")
-            text += z.decompress(more, 1 << 14)
-        headers, _, rest = text.partition(CRLF * 2)
+        while CRLF * 2 not in m.text and not m.z.eof:
+            m.text += m.more(1 << 14)
+        headers, _, rest = m.text.partition(CRLF * 2)
         parsed = _headers(headers)
-        keep = wanted(parsed)
-        if size and not keep:
-            at += size
-            continue
-        parts = [rest]
-        while not z.eof:
-            more = z.unconsumed_tail or f.read(1 << 16)
-            if not more:
-                raise EOFError("a WARC record is cut short")
-            part = z.decompress(more, 1 << 20)
-            if keep:
-                parts.append(part)
-        at = f.tell() - len(z.unused_data)
-        if keep:
-            body = b"".join(parts)[: int(parsed.get("content-length", 0))]
-            yield Seen(parsed, lambda body=body: body)
+        if wanted(parsed):
+            yield Seen(parsed, lambda m=m, rest=rest, n=int(parsed.get("content-length", 0)): _inflated(m, rest, n))
+        at = at + m.size if m.size else m.end()
+
+
+def _inflated(m: _Member, rest: bytes, n: int) -> bytes:
+    parts, held = [rest], len(rest)
+    while held < n and not m.z.eof:
+        parts.append(m.more(1 << 20))
+        held += len(parts[-1])
+    return b"".join(parts)[:n]
 
 
 def _plain(f, wanted) -> Iterator[Seen]:
@@ -150,9 +175,7 @@ def _plain(f, wanted) -> Iterator[Seen]:
         parsed, start = _headers(headers), at + len(headers) + 4
         n = int(parsed.get("content-length", 0))
         if wanted(parsed):
-            f.seek(start)
-            body = f.read(n)
-            yield Seen(parsed, lambda body=body: body)
+            yield Seen(parsed, lambda start=start, n=n: (f.seek(start), f.read(n))[1])
         at = start + n + 4
 
 
@@ -170,7 +193,7 @@ def row(headers: dict[str, str], block: bytes | None, check: bool = False) -> di
     size, digest = int(headers.get("x-payload-length", headers.get("content-length", 0))), headers.get("warc-payload-digest", "").removeprefix("sha1:")
     if check and payload is not None:
         size, digest = len(payload), digest32(payload)
-    refers = headers.get("warc-refers-to", "").strip("<>").removeprefix("urn:page:")
+    refers = headers.get("x-refers-to-page", "")
     return {
         "page_id": int(headers["x-page-id"]) if "x-page-id" in headers else None,
         "record_id": headers.get("warc-record-id"),
@@ -299,7 +322,8 @@ class WarcReader(DataSourceReader):
         with store.open_input_file(partition.file) as f:
             held, size = [], 0
             for r in read_records(f, self.wanted):
-                found = row(r.headers, r.block() if body or check else None, check)
+                needed = (body or check) and r.headers.get("warc-type") == "response"
+                found = row(r.headers, r.block() if needed else None, check)
                 if not body:
                     found["payload"] = None
                 held.append(found)

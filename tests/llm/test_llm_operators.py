@@ -76,6 +76,31 @@ def test_warc(spark, none):
     assert [len(r.block()) > 0 for r in warc.read_records(io.BytesIO(warc.record(1, "u", b"abc", None, False) * 3))] == [True] * 3
 
 
+def test_warc_reads_payloads_only_when_asked(spark, tmp_path):
+    """Payloads stay compressed until block() is called; archives of others, plain or compressed, with or without member sizes; ids that revisits name."""
+    import gzip
+    import io
+
+    from spanforge.llm import warc
+
+    big = warc.record(1, "u", b"z" * 5_000_000, None, False)
+    for data in (warc.member(big) * 2, gzip.compress(big) * 2, big * 2):
+        seen = [(r, r.inflated) for r in warc.read_records(io.BytesIO(data))]
+        assert [n for _, n in seen] == [0, 0]
+        for r in warc.read_records(io.BytesIO(data)):
+            assert r.block().endswith(b"z" * 100) and r.inflated > 5_000_000
+    assert warc.record(1, "u", b"a", None, False) == warc.record(1, "u", b"a", None, False)
+    headers = [next(warc.read_records(io.BytesIO(warc.record(*x)))).headers for x in ((1, "u", b"a", None, False), (2, "v", b"a", 1, True))]
+    assert headers[1]["warc-refers-to"] == headers[0]["warc-record-id"] != headers[1]["warc-record-id"]
+    (tmp_path / "a.warc").write_bytes(warc.record(1, "u", b"plain", None, False))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(warc.record(2, "v", b"zipped", None, False)))
+    got = {r["page_id"]: r for r in warc.read_archive(spark, str(tmp_path)).collect()}
+    assert {i: bytes(r["payload"]) for i, r in got.items()} == {1: b"plain", 2: b"zipped"}
+    bare = {r["page_id"]: r for r in warc.read_archive(spark, str(tmp_path), payload=False).collect()}
+    assert all(r["payload"] is None for r in bare.values()) and {i: r["payload_bytes"] for i, r in bare.items()} == {1: 5, 2: 6}
+    assert [r["page_id"] for r in warc.read_archive(spark, str(tmp_path)).filter("target_uri like 'v%' and record_type = 'response'").collect()] == [2]
+
+
 def brute_components(texts, n, percent):
     sets = []
     for _, t in texts:
