@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import classifier, decontaminate, jaccard_join, packing, quality_rules
-from spanforge.llm.storage import materialise
+from spanforge.llm.storage import if_small, materialise
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -21,7 +21,11 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among docs, doesn't reject."""
+    """Documents that the classifier, fitted on the labelled ones among docs, doesn't reject.
+
+    A null or empty text gets the score of no words; each row, repeated or without doc_id, is judged by its own text. Without
+    labelled rows every score is 0.5, which keeps all. Other columns, whatever their names, come through; an empty table stays empty.
+    """
     weights = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows, names = _numbered(docs)
     scored = classifier.score(rows, weights, text=names["text"], keep=rows.columns)
@@ -29,7 +33,11 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; the references come from docs.
+
+    A null, empty or blank text has no words and goes, however long others are. A null language, or one with few words, is held against all
+    documents. Repeated rows fare alike; other columns come through whatever their names; an empty table stays empty.
+    """
     rows, names = _numbered(docs)
     judged = quality_rules.judge(rows, text=names["text"], lang=names["lang"], keep=rows.columns)
     return judged.filter("kept").select(rows.columns).toDF(*docs.columns)
@@ -38,21 +46,29 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id.
 
-    Documents without words are in no group and stay, as do rows without doc_id.
-    Rows that repeat a doc_id stay or go together.
+    Documents without words (null, empty, blank) are in no group and stay, as do rows without doc_id.
+    Rows that repeat a doc_id stay or go together. Other columns come through; an empty table stays empty.
     """
     found = jaccard_join.similar_components(docs)
     gone = found.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(if_small(materialise(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark.
+
+    Each row is judged by its own text, whatever its doc_id; a null or empty text stays. Items without id or text, or under 8 words, are
+    not looked for. Other columns come through; an empty table stays empty.
+    """
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and offset."""
+    """Every piece of every document with its sequence and offset.
+
+    A null or empty text is one piece, the end id alone; texts over 4096 ids are cut. Each row is packed, repeated or not; null ids come
+    first among pieces of one length. Other columns are left out; an empty table gives no rows.
+    """
     return packing.pack_documents(docs)
 
 
