@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEVELS = (0.0, 0.4, 0.9, 1.0)  # fixed values of the snapped scale
+OVERRIDDEN = "char_match_override"  # fixed value of a reason
 RELATIONS = ("unknown", "neither", "previous_subtask", "next_subtask")
 
 
@@ -34,12 +35,13 @@ def snap(score: Column) -> Column:
     return near["x"]
 
 
-def exact_override(subtask: Column, memory: Column, same_subtask: Column, same_memory: Column, verdict: Column) -> dict[str, Column]:
-    """A part that matches exactly scores 5; total and verdict follow."""
+def exact_override(subtask: Column, memory: Column, same_subtask: Column, same_memory: Column, verdict: Column, reason: Column | None = None) -> dict[str, Column]:
+    """A part that matches exactly scores 5; total, verdict and reason follow."""
     s, m = F.when(same_subtask, 5.0).otherwise(subtask), F.when(same_memory, 5.0).otherwise(memory)
     t, hit = s + m, same_subtask | same_memory
     word = F.when(~hit, verdict).when(t >= 9.999, "correct").when(t <= 0, "wrong").otherwise("partial")
-    return {"subtask_score": s, "memory_score": m, "total_score": t, "verdict": word, "overridden": hit}
+    said = F.lit(None).cast("string") if reason is None else reason
+    return {"subtask_score": s, "memory_score": m, "total_score": t, "verdict": word, "overridden": hit, "reason": F.when(hit, OVERRIDDEN).otherwise(said)}
 
 
 def neighbor_relation(score: Column, before: Column, after: Column, threshold: float = 0.5) -> Column:
@@ -63,6 +65,12 @@ def scale_index(i: Column, n: Column, m: Column) -> Column:
     return F.when((n <= 1) | (m == 1), F.lit(0)).when(n == m, F.least(F.greatest(i, F.lit(0)), m - 1)).otherwise(F.least(F.greatest(scaled, F.lit(0)), m - 1)).cast("long")
 
 
+def dataset_seed(seed: int, name: Column, path: Column) -> Column:
+    """A dataset's seed: the first 8 bytes of the SHA-256 of seed, name and path, by 2 ** 32."""
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), name, path), 256)
+    return F.conv(F.substr(digest, F.lit(9), F.lit(8)), 16, 10).cast("long")  # what is left of 8 bytes by 2 ** 32 is the last 4
+
+
 def hash_seed(text: Column) -> Column:
     """The first 8 hexadecimal digits of the text's MD5 as a number."""
     return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("long")

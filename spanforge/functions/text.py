@@ -121,6 +121,11 @@ def parse_index(c: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")).try_cast("bigint"), c.try_cast("bigint"))
 
 
+def index_or_text(c: Column) -> Column:
+    """What parse_index finds as a text, else the text itself, trimmed."""
+    return F.coalesce(parse_index(strip(c)).cast("string"), strip(c))
+
+
 def slug(c: Column, most: int = 120, fallback: str = "subtask") -> Column:
     plain = F.btrim(F.regexp_replace(F.lower(subtask_text(c)), r"[^a-z0-9]+", "_"), F.lit("_"))
     return F.coalesce(F.nullif(F.left(plain, F.lit(most)), F.lit("")), F.lit(fallback))

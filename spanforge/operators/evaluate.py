@@ -35,6 +35,12 @@ def step_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def source_histogram(rows: DataFrame, source: str) -> DataFrame:
+    """(source, n): how many rows name each source; null and blank ones are `<missing>`."""
+    name = F.coalesce(F.nullif(F.trim(source), F.lit("")), F.lit("<missing>"))
+    return rows.groupBy(name.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def neighbor_failures(rows: DataFrame, threshold: float) -> DataFrame:
     """For each kind and for all (kind null): rows analysed, failed, and failures by relation, zeros included."""
     failed = F.col("subtask_score") < threshold

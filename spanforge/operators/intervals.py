@@ -104,6 +104,17 @@ def contiguity(segments: DataFrame, episodes: DataFrame) -> DataFrame:
     return found.filter("gaps + empty + uncovered > 0")
 
 
+def chain_breaks(segments: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(episode_index, at): labels that can't be used: the first segment that doesn't begin where the one before ends, -1 if there is none at all, or the number of segments if the last doesn't end with the episode. Empty segments are let pass."""
+    before = F.lag("end_frame", 1, 0).over(of_episode())
+    place = F.row_number().over(of_episode()) - 1
+    one = segments.withColumn("__p", place).withColumn("__bad", F.when(F.col("start_frame") != before, F.col("__p")))
+    one = one.groupBy("episode_index").agg(F.min("__bad").alias("bad"), F.count(F.lit(1)).alias("n"), F.max_by("end_frame", "__p").alias("end"))
+    found = episodes.select("episode_index", "length").join(one, "episode_index", "left")
+    at = F.when(F.col("n").isNull(), -1).when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("end") != F.col("length"), F.col("n"))
+    return found.select("episode_index", at.cast("long").alias("at")).filter("at is not null")
+
+
 def reflow(segments: DataFrame) -> DataFrame:
     """Starts follow from the ends before; texts are trimmed, segments numbered anew; code names what is wrong with an end."""
     w = of_episode()
@@ -181,6 +192,24 @@ def move_boundaries(segments: DataFrame, delta: Column) -> DataFrame:
     return s.select("episode_index", "seg_id", F.lag("moved", 1, 0).over(w).alias("start_frame"), F.col("moved").alias("end_frame"))
 
 
+def mark_end(segments: DataFrame, at: DataFrame) -> DataFrame:
+    """Adds a segment from an episode's last end to frame `at` (one row an episode, with length), if that lies after it and within the episode; an episode without segments gets its first."""
+    ends = segments.groupBy("episode_index").agg(F.max("end_frame").alias("__end"), F.count(F.lit(1)).alias("__n"))
+    new = at.join(ends, "episode_index", "left").select("episode_index", F.coalesce("__n", F.lit(0)).cast("long").alias("seg_id"), F.coalesce("__end", F.lit(0)).cast("long").alias("start_frame"), F.least("at", "length").alias("end_frame"), F.lit("").alias("text"))
+    return segments.select("episode_index", "seg_id", "start_frame", "end_frame", "text").unionByName(new.filter("end_frame > start_frame"))
+
+
+def finish_to_end(segments: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Adds a segment from an episode's last end to its length, if that lies after it."""
+    return mark_end(segments, episodes.select("episode_index", "length", F.col("length").alias("at")))
+
+
+def nearest_boundary(segments: DataFrame, at: DataFrame) -> DataFrame:
+    """(episode_index, seg_id): the segment whose end is the inner boundary nearest to frame `at` (one row an episode), the first of equally near ones; episodes without inner boundaries give no row."""
+    inner = segments.withColumn("__more", F.lead("seg_id").over(of_episode()).isNotNull()).filter("__more")
+    return inner.join(at.select("episode_index", "at"), "episode_index").groupBy("episode_index").agg(F.min_by("seg_id", F.struct(F.abs(F.col("end_frame") - F.col("at")), "seg_id")).alias("seg_id"))
+
+
 def interval_join(frames: DataFrame, intervals: DataFrame, closed: bool = False, how: str = "inner", bucket: int | None = None) -> DataFrame:
     """Frames with the intervals of their episode that hold them. bucket: width of the frame buckets over which long episodes are dealt out."""
     i = intervals.withColumnRenamed("episode_index", "__e")

@@ -64,12 +64,13 @@ def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone, keys, "left_anti")
 
 
-def select_targets(rows: DataFrame, key: str, gone: list[DataFrame], most: int | None = None) -> DataFrame:
-    """Keys in none of the tables in gone, the first `most` of them."""
-    for g in gone:
-        rows = without(rows, g, [key])
+def select_targets(rows: DataFrame, key: str, gone: list[DataFrame], most: int | None = None, requested: DataFrame | None = None, existing: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
+    """Keys of rows, or of what was requested if anything was, in none of the tables in gone, and not existing ones unless overwrite holds. In order; the first `most`, unless some were requested."""
+    rows = (rows if requested is None else requested).select(key)
+    for g in [*gone, *([existing] if existing is not None and not overwrite else [])]:
+        rows = without(rows, g.select(key), [key])
     rows = rows.distinct().orderBy(key)
-    return rows.limit(most) if most else rows
+    return rows.limit(most) if most and requested is None else rows
 
 
 def fill_missing(rows: DataFrame, column: str, key: str, sources: list[DataFrame], missing: int = -1) -> DataFrame:
@@ -123,6 +124,13 @@ def nearest_asof(probes: DataFrame, t: str, probe: str, stream: DataFrame, st: s
     return m.select(key, probe, F.when(first, F.col("__a")[frame]).otherwise(F.col("__z")[frame]).alias(frame))
 
 
+def align_both(head: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Head frames with those of both wrists at the same part of their lengths, null where there are none, and how many views each has."""
+    both = align_views(align_views(head, left), right)
+    views = [c for c in both.columns if c in left.columns + right.columns and c not in ("episode_index", "i")]
+    return both.withColumn("views", F.lit(1) + sum((F.col(c).isNotNull().cast("int") for c in views), F.lit(0)))
+
+
 def align_views(head: DataFrame, wrist: DataFrame) -> DataFrame:
     """Each head frame i with the frame of another stream of the episode at the same part of its length, if there is one."""
     from spanforge.functions.score import scale_index

@@ -27,6 +27,12 @@ def step_summary(spark, d):
     return ev.step_summary(px.judged(spark, d))
 
 
+@query("a_source_histogram", "select case when doc_id % 9 = 0 then '<missing>' else dataset end as source, count(*) as n from j group by all")
+def source_histogram(spark, d):
+    rows = px.judged(spark, d).withColumn("dataset", F.when(F.pmod("doc_id", F.lit(9)) == 0, F.when(F.pmod("doc_id", F.lit(2)) == 0, " ")).otherwise(F.col("dataset")))
+    return ev.source_histogram(rows, "dataset")
+
+
 @query("a_neighbor_failures", """, q as (select *, case when doc_id % 3 <> 0 then (doc_id % 7) / 7.0::double end as p, case when doc_id % 5 <> 0 then (doc_id % 4) / 4.0::double end as nx from j),
 q1 as (select *, case when subtask_score >= 0.5 then 'not_needed' when p is null and nx is null then 'unknown' when greatest(coalesce(p, -1), coalesce(nx, -1)) < 0.5 then 'neither' when nx is null then 'previous_subtask'
     when p is null then 'next_subtask' when abs(p - nx) < 1e-6 then 'neither' when p > nx then 'previous_subtask' else 'next_subtask' end as relation from q)

@@ -172,6 +172,33 @@ def move(spark, d):
     return iv.move_boundaries(px.segments(spark, d), F.lit(3))
 
 
+@query("v_chain_breaks", """, b as (select s.episode_index, seg_id, case when s.episode_index % 6 = 1 and seg_id = 1 then start_frame + 1 else start_frame end as start_frame, end_frame, lag(end_frame, 1, 0) over (partition by s.episode_index order by seg_id) as p from s where s.episode_index % 6 <> 2),
+x as (select e.episode_index, e.length + (e.episode_index % 6 = 3)::int as length, min(seg_id) filter (where start_frame <> p) as bad, count(b.seg_id) as n, max(end_frame) as fin from e left join b on b.episode_index = e.episode_index group by all)
+select episode_index, case when n = 0 then -1 when bad is not null then bad else n end as at from x where n = 0 or bad is not null or fin <> length""")
+def chain_breaks(spark, d):
+    m = F.pmod("episode_index", F.lit(6))
+    s = px.segments(spark, d).filter(m != 2).withColumn("start_frame", F.when((m == 1) & (F.col("seg_id") == 1), F.col("start_frame") + 1).otherwise(F.col("start_frame")))
+    return iv.chain_breaks(s, px.episodes(spark, d).select("episode_index", (F.col("length") + (m == 3).cast("long")).alias("length")))
+
+
+@query("i_edit_mark_end", """, c as (select s.episode_index, seg_id, start_frame, end_frame, text from s where seg_id < 2), l as (select e.episode_index, e.length, e.length * 2 // 3 as mark, coalesce(max(end_frame), 0) as fin, count(seg_id) as n from e left join c using (episode_index) group by all)
+select * from c union all select episode_index, n, fin, least(mark, length), '' from l where least(mark, length) > fin""")
+def mark_end(spark, d):
+    e = px.episodes(spark, d).select("episode_index", "length", F.floor(F.col("length") * 2 / 3).alias("at"))
+    return iv.mark_end(px.segments(spark, d).filter("seg_id < 2"), e)
+
+
+@query("i_edit_finish", """, c as (select s.episode_index, seg_id, start_frame, end_frame, text from s where seg_id < 3), l as (select e.episode_index, e.length, coalesce(max(end_frame), 0) as fin, count(seg_id) as n from e left join c using (episode_index) group by all)
+select * from c union all select episode_index, n, fin, length, '' from l where length > fin""")
+def finish(spark, d):
+    return iv.finish_to_end(px.segments(spark, d).filter("seg_id < 3"), px.episodes(spark, d))
+
+
+@query("i_nearest_boundary", ", c as (select *, lead(seg_id) over (partition by episode_index order by seg_id) is not null as more from s) select c.episode_index, arg_min(seg_id, (abs(end_frame - length // 2), seg_id)) as seg_id from c join e using (episode_index) where more group by c.episode_index")
+def nearest_boundary(spark, d):
+    return iv.nearest_boundary(px.segments(spark, d), px.episodes(spark, d).select("episode_index", F.floor(F.col("length") / 2).alias("at")))
+
+
 @query("j_interval_inclusive", "select f.episode_index, frame_index, seg_id from f join s on f.episode_index = s.episode_index and frame_index between start_frame and end_frame - 1")
 def inclusive(spark, d):
     s = px.segments(spark, d).withColumn("end_frame", F.col("end_frame") - 1)

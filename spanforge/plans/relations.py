@@ -118,6 +118,29 @@ def multiview(spark, d):
     return out.select("episode_index", F.col("i").alias("frame"), F.col("value").alias("head"), "wrist")
 
 
+@query("j_multiview_both", """, h as (select episode_index, frame_index as i, count(*) over (partition by episode_index) as n, value from f), l as (select episode_index, row_number() over (partition by episode_index order by frame_index) - 1 as i, count(*) over (partition by episode_index) as m, value from f where frame_index % 2 = 0 and episode_index % 3 <> 0),
+r as (select episode_index, row_number() over (partition by episode_index order by frame_index) - 1 as i, count(*) over (partition by episode_index) as m, value from f where frame_index % 3 = 1)
+select h.episode_index, h.i as frame, l.value as left_wrist, r.value as right_wrist, 1 + (l.value is not null)::int + (r.value is not null)::int as views from h
+left join l on l.episode_index = h.episode_index and l.i = cast(case when n <= 1 or l.m = 1 then 0 when n = l.m then h.i else round_even(h.i * (l.m - 1.0::double) / (n - 1), 0) end as bigint)
+left join r on r.episode_index = h.episode_index and r.i = cast(case when n <= 1 or r.m = 1 then 0 when n = r.m then h.i else round_even(h.i * (r.m - 1.0::double) / (n - 1), 0) end as bigint)""")
+def multiview_both(spark, d):
+    from pyspark.sql import Window
+
+    f = px.frames(spark, d)
+    place = (F.row_number().over(Window.partitionBy("episode_index").orderBy("frame_index")) - 1).cast("long")
+    side = lambda rows, name: rows.withColumn("i", place).select("episode_index", "i", F.col("value").alias(name))
+    out = tb.align_both(f.select("episode_index", F.col("frame_index").alias("i")), side(f.filter("frame_index % 2 = 0 and episode_index % 3 <> 0"), "left_wrist"), side(f.filter("frame_index % 3 = 1"), "right_wrist"))
+    return out.select("episode_index", F.col("i").alias("frame"), "left_wrist", "right_wrist", "views")
+
+
+@query("j_select_requested", "select 'asked' as kind, c_custkey from customer where c_custkey % 7 = 0 and c_custkey % 5 <> 0 and c_custkey not in (select o_custkey from orders) union all select 'overwrite', c_custkey from customer where c_custkey % 7 = 0 and c_custkey % 5 <> 0", views=False)
+def select_requested(spark, d):
+    c = px.table(spark, d, "customer").select("c_custkey")
+    done = px.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    some = lambda o: tb.select_targets(c, "c_custkey", [c.filter("c_custkey % 5 = 0")], 3, c.filter("c_custkey % 7 = 0"), done, o)
+    return some(False).withColumn("kind", F.lit("asked")).unionByName(some(True).withColumn("kind", F.lit("overwrite")))
+
+
 @query("x_union_all", "select o_orderkey as id, 'o' as shard from orders union all select l_orderkey, 'l' from lineitem", views=False)
 def union_all(spark, d):
     o = px.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("o").alias("shard"))

@@ -205,9 +205,9 @@ def snap4(spark, d):
 
 
 @query("f_exact_override", """, q as (select doc_id, case when doc_id % 4 = 0 then 5.0 else subtask_score end as s, case when doc_id % 5 = 0 then 5.0 else memory_score end as m, doc_id % 4 = 0 or doc_id % 5 = 0 as hit from j)
-select doc_id, s as subtask_score, m as memory_score, s + m as total_score, case when not hit then 'kept' when s + m >= 9.999 then 'correct' when s + m <= 0 then 'wrong' else 'partial' end as verdict, hit as overridden from q""")
+select doc_id, s as subtask_score, m as memory_score, s + m as total_score, case when not hit then 'kept' when s + m >= 9.999 then 'correct' when s + m <= 0 then 'wrong' else 'partial' end as verdict, hit as overridden, case when hit then 'char_match_override' else 'said' end as reason from q""")
 def override(spark, d):
-    found = sc.exact_override(F.col("subtask_score"), F.col("memory_score"), F.pmod("doc_id", F.lit(4)) == 0, F.pmod("doc_id", F.lit(5)) == 0, F.lit("kept"))
+    found = sc.exact_override(F.col("subtask_score"), F.col("memory_score"), F.pmod("doc_id", F.lit(4)) == 0, F.pmod("doc_id", F.lit(5)) == 0, F.lit("kept"), F.lit("said"))
     return px.judged(spark, d).select("doc_id", *[c.alias(n) for n, c in found.items()])
 
 
@@ -222,6 +222,17 @@ def relation(spark, d):
     return px.frames(spark, d).select("event_id", sc.neighbor_relation(F.pmod("k", F.lit(10)) / 10.0, p, n).alias("relation"))
 
 
+@query("f_dataset_seed", "select event_id, cast(('0x' || substr(sha256('42|' || event_type || '|' || k), 9, 8)) as bigint) as seed from f")
+def dataset_seed(spark, d):
+    return px.frames(spark, d).select("event_id", sc.dataset_seed(42, F.col("event_type"), F.col("k").cast("string")).alias("seed"))
+
+
+@query("f_index_or_text", "select event_id, case event_id % 3 when 0 then k::varchar when 1 then 'none' else k::varchar end as out from f")
+def index_or_text(spark, d):
+    made = F.element_at(F.array(F.concat(F.lit(" x/episode_"), F.col("k").cast("string")), F.lit(" none "), F.concat(F.lit(" "), F.col("k").cast("string"))), (F.pmod("event_id", F.lit(3)) + 1).cast("int"))
+    return px.frames(spark, d).select("event_id", tx.index_or_text(made).alias("out"))
+
+
 @query("f_hash_seed", "select event_id, cast(('0x' || left(md5(event_type || k), 8)) as bigint) as seed from f")
 def seed(spark, d):
     return px.frames(spark, d).select("event_id", sc.hash_seed(F.concat("event_type", F.col("k").cast("string"))).alias("seed"))
