@@ -64,7 +64,7 @@ def interval(spark, d):
     return sq.interval_sample(_f(spark, d), 5, 2).select("episode_index", "frame_index")
 
 
-@query("w_greedy_gap")
+@query("w_greedy_gap", "select episode_index, unnest(list_reduce(list(struct_pack(i := frame_index, t := epoch_us(ts)) order by frame_index), lambda a, x: case when x.t - a.last >= 86400000000 then struct_pack(last := x.t, taken := list_append(a.taken, x.i)) else a end, struct_pack(last := -9000000000000000::bigint, taken := []::bigint[])).taken) as frame_index from f group by episode_index")
 def greedy(spark, d):
     return sq.greedy_gap(_f(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), "t", 86400.0)
 

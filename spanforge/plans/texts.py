@@ -182,7 +182,7 @@ def current(spark, d):
     return answers(spark, d).select("event_id", jx.current_subtask(F.col("t")).alias("out"))
 
 
-@query("f_extract_json")
+@query("f_extract_json", """select event_id, '{"current_subtask": "' || event_type || ' {x}", "k": ' || k || '}' as out from f""")
 def extract(spark, d):
     return answers(spark, d).select("event_id", jx.extract_json(F.col("t")).alias("out"))
 
