@@ -98,6 +98,16 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    # all pairs that share a shingle, and what is reachable by links
+    "op3_combination_prefix_join": f"""
+        with recursive d as (select row_number() over () as r, doc_id, {_SPLIT.format(_LOWER)} as ws from documents),
+        sh as (select distinct r, array_to_string(case when len(ws) < 3 then ws else ws[i : i + 2] end, ' ') as s from (select r, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as i from d where len(ws) > 0)),
+        n as (select r, count(*) as n from sh group by r),
+        pairs as (select a.r as a, b.r as b, count(*) as same from sh a join sh b using (s) where a.r <> b.r group by a.r, b.r),
+        link as (select a, b from pairs join n x on x.r = a join n y on y.r = b where 100 * same >= 90 * (x.n + y.n - same)),
+        reach as (select r as a, r as b from d union select reach.a, link.b from reach join link on reach.b = link.a)
+        select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(o.doc_id) as component_id
+        from d join reach on reach.a = d.r join d o on o.r = reach.b left join n on n.r = d.r group by d.r, d.doc_id""",
     # each word's n-gram of at most three words, and its context
     "op8_stupid_backoff": f"""
         with d as (select row_number() over () as r, doc_id, {_SPLIT.format(_LOWER)} as ws from documents),
