@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+@functools.cache
+def _libc():
+    """The C library, told to give arrays of a MiB and more back as soon as they are free; None where there is no such call."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def lean() -> None:
+    """Memory that this worker doesn't use any more goes back to the system, now and as it gets free; workers live on from task to task."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if _libc():
+        _libc().malloc_trim(0)
+
+
+def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """texts in parts of `most` bytes, or of a single text."""
+    for b in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), most=most):
+        yield b.column(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.batches import slices
+from spanforge.llm.batches import lean, slices, text_slices
 from spanforge.llm.words import _BASE, _U, LOWER, SPACE, hash_words, mix, text_bytes
 
 #: Bytes by kind: 0 white space, 1 letter or digit (all longer characters too), 2 other signs.
@@ -93,23 +93,25 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: st
     """Weights learnt from documents with a label, but none whose crc32(doc_id) mod 3 is 1.
 
     Of the labelled rows, those s.rows with the smallest hashes of doc_id are used, so a
-    single task learns from a bounded sample, in that order. Rows without
-    doc_id or label don't count; of several labels of a document the smallest does.
-    Without any row the weights are 0.
+    single task learns from a bounded sample, in the order of hash and doc_id. Rows without
+    doc_id or label don't count; of several labels of a document the smallest does, of several rows with one doc_id that whose text has the
+    smallest hash. Without any row the weights are 0.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).dropna()
     known = known.filter(F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(3)) != 1)
     known = known.groupBy("__id").agg(F.min("__y").alias("__y")).withColumn("__h", F.xxhash64("__id"))
     known = known.orderBy("__h", "__id").limit(s.rows)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id")
+    rows = rows.groupBy("__id", "__h", "__y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in slices(batches):
             numbers, at = features(*text_bytes(b.column(b.schema.get_field_index("text"))), s.bits)
             found = [vector(numbers[at[i] : at[i + 1]], s.scale) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("__h"), b.column("__y"), pa.array([f.astype("i4") for f, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
-                ["h", "y", "i", "x"],
+                [b.column("__h"), b.column("__id").cast(pa.string()), b.column("__y"), pa.array([f.astype("i4") for f, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
+                ["h", "id", "y", "i", "x"],
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), doc_id: st
 
         yield pa.RecordBatch.from_arrays([pa.array([train(each(), s).tobytes()], pa.binary())], ["w"])
 
-    found = rows.select("text", "__h", "__y").mapInArrow(extract, "h long, y int, i array<int>, x array<double>")
-    one = found.repartition(1).sortWithinPartitions("h", "y", F.size("i"))
-    got = one.mapInArrow(learn, "w binary").collect()
+    found = rows.select("text", "__h", "__id", "__y").mapInArrow(extract, "h long, id string, y int, i array<int>, x array<double>")
+    one = found.repartition(1).sortWithinPartitions("h", "id")
+    got = one.select("y", "i", "x").mapInArrow(learn, "w binary").collect()
     return np.frombuffer(got[0]["w"], "f4") if got else np.zeros((1 << s.bits) + 1, "f4")
 
 
@@ -130,22 +132,22 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), text:
     """docs' columns in keep (default: doc_id) with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
     Sparse dot products of each whole text with the weights, which take 4 * (2 ** bits + 1)
-    bytes whatever the data. A null or empty text gets the intercept's score.
+    bytes whatever the data. A null or empty text gets the intercept's score. Texts alone go to Python, and only scores come back.
     """
     keep = ["doc_id"] if keep is None else keep
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
         w, bias = weights[:-1].astype("f8"), float(weights[-1])
-        for b in slices(batches, "__text"):
-            numbers, at = features(*text_bytes(b.column(b.schema.get_field_index("__text"))), s.bits)
-            out = np.full(b.num_rows, bias)
-            for i in range(b.num_rows):
-                f, v = vector(numbers[at[i] : at[i + 1]], s.scale)
-                out[i] += w[f] @ v
-            p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= 0.5).astype("i4"))], [*keep, "score", "predicted"])
-
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, predicted int"
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text")).mapInArrow(rate, schema)
+        for column in texts:
+            out = []
+            for part in text_slices(column):
+                numbers, at = features(*text_bytes(part), s.bits)
+                for i in range(len(part)):
+                    f, v = vector(numbers[at[i] : at[i + 1]], s.scale)
+                    out.append(bias + w[f] @ v)
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out, "f8"), -35, 35))))
+
+    rated = F.arrow_udf(rate, "double").asNondeterministic()  # so that no filter runs it again
+    found = docs.select(*[F.col(c) for c in keep], rated(F.col(text)).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

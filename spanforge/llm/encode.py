@@ -116,6 +116,11 @@ class JsonEncoder:
                 out[i] = self._of_pieces(chunks.pop(0)) + b"".join(map(get, chunks))
         return out
 
+    def forget(self) -> None:
+        for memo in (self.piece_ids, self.chunk_ids):
+            memo.clear()
+            memo.old = {}
+
     def _of_chunk(self, chunk: str) -> bytes:
         return self._of_pieces(chunk if self.lower or chunk[:1] == "\n" else " " + chunk)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.batches import slices
+from spanforge.llm.batches import lean, slices
 from spanforge.llm.binpack import pack
 from spanforge.llm.encode import tokenizer_path, word_encoder
 from spanforge.llm.rownum import number_rows
@@ -30,6 +30,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         encoder = word_encoder(path)
         for b in slices(batches):
             rows = []
@@ -40,6 +41,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
                     rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part), part))
             kinds = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[: len(names)])], names)
+        encoder.forget()  # the worker may do other work next
 
     schema = f"doc_id {dict(docs.dtypes)[doc_id]}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
@@ -89,6 +91,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        lean()
         at = np.array(starts, "i8")
         base, times, offset, length = (np.array(x, "i8") for x in held)
         for b in batches:

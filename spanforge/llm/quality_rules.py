@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.batches import slices
-from spanforge.llm.storage import materialise
+from spanforge.llm.batches import lean, slices, text_slices
+from spanforge.llm.storage import if_small, materialise
 from spanforge.llm.words import _U, LOWER, find_words, hash_words, per_doc, text_bytes, windows
 
 #: Character classes by byte: lower-case, upper-case, digit, space, line feed, sentence mark, symbol, other ASCII, start of a longer character.
@@ -64,6 +64,7 @@ def reference_table(docs: DataFrame, rules: Rules = Rules(), text: str = "text",
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: dict = {}
         for b in slices(batches, "text"):
             data, at = text_bytes(b.column(0))
@@ -146,6 +147,47 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray, n: int = 8) -> np.ndar
     return out
 
 
+LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+VERDICT = ", ".join(f"{c}: long" for c in LONGS) + ", base_failed: boolean, class_js: double, word_js: double, kept: boolean"
+
+
+def _judged(column: pa.Array, langs: list, held: list, found: dict, rules: Rules) -> pa.StructArray:
+    """VERDICT of each text. held: (classes, keys, counts) of a text's own language, or null ones; found: references by language."""
+    data, at = text_bytes(column)
+    words = find_words(data, at)
+    shapes, low = _shapes(data, at), hash_words(LOWER[data], words.starts, words.ends)
+    n_words = np.diff(words.first)
+    lines = [[x for x in (t or "").split("\n") if x.strip(" \t\n\v\f\r")] for t in column.to_pylist()]
+    repeats = repeated_words(hash_words(data, words.starts, words.ends), words.first)
+    values = [
+        n_words,
+        per_doc(((data & 0xC0) != 0x80) & ~words.space, at),
+        per_doc(SYMBOL[data], at),
+        np.array([len(x) - len(set(x)) for x in lines], "i8"),
+        repeats,
+    ]
+    failed = (n_words < 20) | (100 * repeats > 30 * n_words)
+    js = np.full((2, len(langs)), np.nan)
+    at_first = {x: i for i, x in reversed(list(enumerate(langs)))}
+    for x, i in at_first.items():
+        own = [h[i].as_py() for h in held]
+        refs = _arrays(*own) if own and own[0] is not None else found.get(x, found.get(None))
+        if refs is None:
+            continue
+        classes, keys, counts = refs
+        own = np.flatnonzero([y == x for y in langs])
+        js[0, own] = divergence(shapes[own], classes)
+        bins = np.searchsorted(keys, low)
+        bins = np.where(np.append(keys, _U(0))[bins] == low, np.where(bins < len(keys), bins, len(keys)), len(keys))
+        hist = np.bincount(words.doc * len(counts) + bins, minlength=len(langs) * len(counts)).reshape(len(langs), -1)
+        js[1, own] = divergence(hist[own], counts)
+    js[0, shapes.sum(axis=1) < rules.class_chars] = np.nan
+    js[1, n_words < rules.word_words] = np.nan
+    kept = ~failed & ~(js[0] > rules.class_limit) & ~(js[1] > rules.word_limit)
+    cols = [pa.array(v.astype("i8")) for v in values] + [pa.array(failed), *(pa.array(j, mask=np.isnan(j)) for j in js), pa.array(kept)]
+    return pa.StructArray.from_arrays(cols, [*LONGS, "base_failed", "class_js", "word_js", "kept"])
+
+
 def judge(docs: DataFrame, found: dict | None = None, rules: Rules = Rules(), text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """The figures and verdict of every document, beside the columns named in keep (default: doc_id).
 
@@ -157,54 +199,22 @@ def judge(docs: DataFrame, found: dict | None = None, rules: Rules = Rules(), te
     table = reference_table(docs, rules, text, lang) if found is None else None
     found = {r["lang"]: _arrays(*r[1:]) for r in table.filter("lang is null").collect()} if found is None else found
     keep = ["doc_id"] if keep is None else keep
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
     own_columns = [] if table is None else ["__classes", "__keys", "__counts"]
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            column = b.column(b.schema.get_field_index("__text"))
-            langs = b.column(b.schema.get_field_index("__lang")).to_pylist()
-            data, at = text_bytes(column)
-            words = find_words(data, at)
-            shapes, low = _shapes(data, at), hash_words(LOWER[data], words.starts, words.ends)
-            n_words = np.diff(words.first)
-            texts = [t or "" for t in column.to_pylist()]
-            lines = [[x for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
-            repeats = repeated_words(hash_words(data, words.starts, words.ends), words.first)
-            values = [
-                n_words,
-                per_doc(((data & 0xC0) != 0x80) & ~words.space, at),
-                per_doc(SYMBOL[data], at),
-                np.array([len(x) - len(set(x)) for x in lines], "i8"),
-                repeats,
-            ]
-            failed = (n_words < 20) | (100 * repeats > 30 * n_words)
-            js = np.full((2, len(langs)), np.nan)
-            at_first = {x: i for i, x in reversed(list(enumerate(langs)))}
-            for x, i in at_first.items():
-                held = [b.column(b.schema.get_field_index(c))[i].as_py() for c in own_columns]
-                refs = _arrays(*held) if held and held[0] is not None else found.get(x, found.get(None))
-                if refs is None:
-                    continue
-                classes, keys, counts = refs
-                own = np.flatnonzero([y == x for y in langs])
-                js[0, own] = divergence(shapes[own], classes)
-                bins = np.searchsorted(keys, low)
-                bins = np.where(np.append(keys, _U(0))[bins] == low, np.where(bins < len(keys), bins, len(keys)), len(keys))
-                hist = np.bincount(words.doc * len(counts) + bins, minlength=len(langs) * len(counts)).reshape(len(langs), -1)
-                js[1, own] = divergence(hist[own], counts)
-            js[0, shapes.sum(axis=1) < rules.class_chars] = np.nan
-            js[1, n_words < rules.word_words] = np.nan
-            kept = ~failed & ~(js[0] > rules.class_limit) & ~(js[1] > rules.word_limit)
-            cols = [b.column(i) for i in range(len(keep))] + [pa.array(v.astype("i8")) for v in values]
-            cols += [pa.array(failed), *(pa.array(j, mask=np.isnan(j)) for j in js), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, *longs, "base_failed", "class_js", "word_js", "kept"])
-
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{c} long" for c in longs]) + ", base_failed boolean, class_js double, word_js double, kept boolean"
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
+    def look(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        lean()
+        for column, langs, *held in batches:
+            parts, at = [], 0
+            for part in text_slices(column):
+                end = at + len(part)
+                parts.append(_judged(part, langs.slice(at, len(part)).to_pylist(), [h.slice(at, len(part)) for h in held], found, rules))
+                at = end
+            yield pa.concat_arrays(parts) if parts else _judged(column, [], [], found, rules)
+
+    rows = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
     if table is not None:
         own = table.filter("lang is not null").select(F.col("lang").alias("__own"), *[F.col(c).alias("__" + c) for c in ("classes", "keys", "counts")])
-        rows = rows.join(own, F.col("__lang") == F.col("__own"), "left").drop("__own")
-    return rows.mapInArrow(look, schema)
+        rows = rows.join(if_small(own, 100_000), F.col("__lang") == F.col("__own"), "left")
+    judged = F.arrow_udf(look, f"struct<{VERDICT}>").asNondeterministic()  # so that no filter runs it again
+    out = rows.select(*[f"__k{i}" for i in range(len(keep))], judged("__text", "__lang", *own_columns).alias("__v"))
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "__v.*")

@@ -18,3 +18,28 @@ def test_stages_and_end(spark):
     for r in got:
         per[r["sequence_id"]] += r["length"]
     assert max(per.values()) <= 4096
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows, an empty table and columns with clashing names through every stage."""
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    rows = [r.asDict() for r in docs.limit(40).collect()]
+    item = spark.read.parquet(f"{base}/benchmark.parquet").first()["text"]
+    long = " ".join(r["text"] for r in rows[:10]) * 20
+    odd = [(None, rows[0]["text"], None), (None, None, "en"), (7, "", "en"), (7, " \n\t ", "xx"), (10**9, long, "en"), (10**9, long, "en"), (10**9 + 1, "w" * 200_000, "en"), (10**9 + 2, item, "en"), (None, item, "en")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, __0 int, __text int, h int, predicted int"
+    made = [(i, t, x, "s", len(t or ""), "a", 1, 2, 3, 4, 5) for i, t, x in odd] + [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "a", 1, 2, 3, 4, 5) for r in rows]
+    table = spark.createDataFrame(made, schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{base}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialise(stage(spark, table, str(tmp_path)), "odd")
+        assert kept.columns == table.columns and kept.count() <= table.count()
+        assert stage(spark, table.filter("doc_id < 0"), str(tmp_path)).count() == 0
+    clean = {r["doc_id"] for r in corpus_pipeline.distinct(spark, table, str(tmp_path)).select("doc_id").collect()}
+    assert {7, 10**9} <= clean
+    left = corpus_pipeline.decontaminated(spark, table, str(tmp_path)).collect()
+    assert item not in {r["text"] for r in left} and any(r["doc_id"] == 10**9 + 1 for r in left)
+    packed = corpus_pipeline.packed(spark, table, str(tmp_path))
+    assert packed.select("doc_id", "piece", "ids_crc32").distinct().count() > table.count() // 2 and corpus_pipeline.packed(spark, table.filter("doc_id < 0"), str(tmp_path)).count() == 0
