@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.storage import drop, materialise
+from spanforge.llm.storage import drop, if_small, materialise
 
 
 def connect(nodes: DataFrame, edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
@@ -19,15 +19,16 @@ def connect(nodes: DataFrame, edges: DataFrame, name: str = "components", most:
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), name)
     now, last = nodes.select("id", "label"), None
     for _ in range(most):
-        near = both.join(now, both["b"] == now["id"]).groupBy("a").agg(F.min("label").alias("other"))
+        near = both.join(if_small(now, of=nodes if last is None else last), both["b"] == now["id"]).groupBy("a").agg(F.min("label").alias("other"))
         low = now.join(near, now["id"] == near["a"], "left").select("id", F.col("label").alias("was"), F.least("label", "other").alias("label"))
         low = materialise(low, name)
         to = low.select(F.col("id").alias("__id"), F.col("label").alias("next"))
-        jumped = low.join(to, low["label"]["id"] == to["__id"], "left").select("id", "was", F.least("label", "next").alias("label"))
-        jumped = materialise(jumped, name)
+        jumped = low.join(if_small(to, of=low), low["label"]["id"] == to["__id"], "left").select("id", "was", F.least("label", "next").alias("label"))
+        jumped = materialise(jumped, name, moved=F.col("label") != F.col("was"))
         drop(low, *([last] if last is not None else []))
         now, last = jumped.select("id", "label"), jumped
-        if jumped.filter(F.col("label") != F.col("was")).limit(1).count() == 0:
+        if not jumped.seen["moved"]:
             drop(both)
+            now.stored_at, now.seen = jumped.stored_at, jumped.seen
             return now
     raise RuntimeError(f"components did not close in {most} rounds")
