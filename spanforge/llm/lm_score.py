@@ -73,10 +73,21 @@ def _sums(docs: DataFrame, m: int, o: Model) -> DataFrame:
     counts added up, in a table with a row for each document and hot n-gram.
     """
     highest, hot = m == o.order, hot_grams(docs, m, o)
-    rows = _exploded(docs, m, highest).join(F.broadcast(hot.withColumn("hot", F.col("g"))), "g", "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("key", F.lit(o.salt))))
-    there = F.log10(F.count(F.lit(1)).over(Window.partitionBy("g", "salt")).cast("double"))
-    logs = F.when(F.col("hot").isNull(), F.col("w") * there).otherwise(0.0)
+    rows = _exploded(docs, m, highest)
+    if highest:
+        rows = rows.drop("w")  # always 1
+    if hot.seen["rows"]:
+        rows = rows.join(F.broadcast(hot.withColumn("hot", F.col("g"))), "g", "left")
+        rows = rows.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("key", F.lit(o.salt))))
+        there = Window.partitionBy("g", "salt")
+    else:
+        there = Window.partitionBy("g")
+    rows = rows.withColumn("of", F.log10(F.count(F.lit(1)).over(there).cast("double")))
+    if not hot.seen["rows"]:
+        rows = rows.withColumn("hot", F.lit(None).cast("long"))
+    if highest:
+        rows = rows.withColumn("w", F.lit(1).cast("byte"))
+    logs = F.when(F.col("hot").isNull(), F.col("w") * F.col("of")).otherwise(0.0)
     one = rows.select("key", "hot", "w", logs.alias("log")).groupBy("key", "hot").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum("log").alias("part"))
     held = materialise(one, "held")
     totals = held.filter("hot is not null").groupBy("hot").agg(F.log10(F.sum("rows").cast("double")).alias("of_hot"))
