@@ -81,6 +81,12 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_overlaps": op1_spaced_seed_overlaps,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op10_divergence_rules": op10_divergence_rules,
     "op7_bin_completion_packing": op7_bin_completion_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -144,4 +151,22 @@ ORACLE_SQL: dict[str, str] = {
             case when page_id = first_id then 'response' else 'revisit' end as record_type,
             case when page_id <> first_id then first_id end as refers_to
         from d""",
+    # failures by document, then every order over the counts of equal sets of failures
+    "op13_filter_audit": f"""
+        with w as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, {_SPLIT.format("coalesce(text, '')")} as ws from documents),
+        l as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels group by doc_id),
+        f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+            cast(len(ws) < 200 as int) + 2 * cast(100 * len(list_distinct(ws)) < 50 * len(ws) as int) + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) as int)
+            + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(coalesce(w.doc_id > min(w.doc_id) over (partition by t), false) as int) as mask from w left join l on l.doc_id = w.doc_id),
+        c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, mask),
+        x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest([1, 2, 4, 8, 16]) as bit),
+        o as (select a.x || b.x || c.x || d.x || e.x as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from x a, x b, x c, x d, x e
+            where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s as (select filter_order, step, bits[step] as own, coalesce(list_sum(bits[: step - 1]), 0)::int as before from (select *, unnest([1, 2, 3, 4, 5]) as step from o)),
+        r as (select part, filter_order, step, own, sum(n) filter (mask & (before | own) = 0) as kept, sum(n) filter (mask & before = 0 and mask & own > 0) as removed,
+            sum(n) filter (mask & before > 0 and mask & own > 0) as redundant, sum(n) filter (mask = own) as unique_fails,
+            sum(good) filter (mask & before = 0 and mask & own > 0) as good_lost, sum(toxic) filter (mask & before = 0 and mask & own > 0) as toxic_lost from c, s group by part, filter_order, step, own)
+        select part, filter_order, cast(step as int) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
+            cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+            cast(coalesce(sum(removed) over (partition by part, own), 0) as bigint) as shapley from r""",
 }
