@@ -81,6 +81,12 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.ranked_search import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.filter_audit import audit
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op10_divergence_rules": op10_divergence_rules,
     "op7_bin_completion_packing": op7_bin_completion_packing,
+    "op12_block_max_search": op12_block_max_search,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -151,6 +158,17 @@ ORACLE_SQL: dict[str, str] = {
             case when page_id = first_id then 'response' else 'revisit' end as record_type,
             case when page_id <> first_id then first_id end as refers_to
         from d""",
+    # every document's score for every item
+    "op12_block_max_search": r"""
+        with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+        a as (select count(*) filter (len(ts) > 0) as n, sum(len(ts))::bigint as l from d),
+        p as (select r, term, count(*) as tf from (select r, unnest(ts) as term from d) group by r, term),
+        q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from benchmark where item_id is not null) group by item_id, term),
+        w as (select term, floor(1000 * ln((2 * n + 2)::double / (2 * df + 1)))::bigint as w from (select term, count(*) as df from p group by term), a),
+        m as (select r, doc_id, 25 + (75 * len(ts) * n) // l as m from d, a where len(ts) > 0),
+        s as (select item_id, r, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score from q join w using (term) join p using (term) join m using (r) group by item_id, r, doc_id)
+        select item_id, cast(rank as int) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id, r) as rank from s where score > 0) where rank <= 10""",
     # failures by document, then every order over the counts of equal sets of failures
     "op13_filter_audit": f"""
         with w as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part, {_SPLIT.format("coalesce(text, '')")} as ws from documents),

@@ -52,8 +52,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find_words(data: np.ndarray, at: np.ndarray) -> Words:
-    space = SPACE[data]
+def find_words(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes for which gaps isn't set, within documents."""
+    space = gaps[data]
     if not len(data):
         return Words(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(len(at), "i8"), space)
     begins, stops = ~space, ~space
