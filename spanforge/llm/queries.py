@@ -81,6 +81,14 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op11_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return identify(docs, fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.ranked_search import build_index, search
 
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ftrl_quality": op9_ftrl_quality,
     "op10_divergence_rules": op10_divergence_rules,
     "op7_bin_completion_packing": op7_bin_completion_packing,
+    "op11_viterbi_languages": op11_viterbi_languages,
     "op12_block_max_search": op12_block_max_search,
     "op13_filter_audit": op13_filter_audit,
 }
