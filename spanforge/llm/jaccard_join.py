@@ -272,9 +272,9 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     sets = materialise(_shingled(rows, s), "sets")
     classes = sets.filter("n > 0").groupBy("c", "c2", "n").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "h")).alias("rep"), F.first("tokens").alias("tokens"))
-    classes = classes.select(F.monotonically_increasing_id().alias("id"), "c", "n", F.col("rep.col1").alias("rep"), F.col("rep.h").alias("h"), "tokens")
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "c", "c2", "n", F.col("rep.col1").alias("rep"), F.col("rep.h").alias("h"), "tokens")
     classes = materialise(classes, "classes")
-    of_docs = materialise(sets.select("doc_id", "n", "c"), "of_docs")
+    of_docs = materialise(sets.select("doc_id", "n", "c", "c2"), "of_docs")
     drop(sets)
     signed = _signed(rows, classes, s)
     met = _met(signed, s)
@@ -286,8 +286,8 @@ def similar_components(docs: DataFrame, s: Similar = Similar(), doc_id: str = "d
     links = _rest(rows, met, classes, links, s)
     labels = connect(_ends(links, classes), links)
     near = labels.select("id", F.col("label.rep").alias("found"))
-    own = materialise(classes.select("id", "c", "rep").join(if_small(near, of=labels), "id", "left").select("c", F.coalesce("found", "rep").alias("component")), "own")
-    out = of_docs.join(own, "c", "left")
+    own = materialise(classes.select("id", "c", "c2", "n", "rep").join(if_small(near, of=labels), "id", "left").select("c", "c2", "n", F.coalesce("found", "rep").alias("component")), "own")
+    out = of_docs.join(own, ["c", "c2", "n"], "left")
     drop(met, links, classes, labels)
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("component") != NO_ID, F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -79,3 +79,44 @@ def test_rules_judge_every_language(spark):
     assert all(r["class_js"] is not None and r["word_js"] is not None for r in got.values())
     many = spark.createDataFrame([(i, "some words here", f"l{i}") for i in range(600)], "doc_id long, text string, lang string")
     assert len(references(many, Rules(reference_words=1))) == 601
+
+
+def near_copies(n, words, seed, most=3):
+    import random
+
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        w = [f"b{k}" for k in range(words)]
+        for _ in range(rng.randint(0, most)):
+            w[rng.randrange(words)] = f"x{i}"
+        texts.append((i * 7 % n, " ".join(w)))
+    return texts
+
+
+def test_classes_are_told_apart_by_all_that_makes_them(spark, monkeypatch):
+    """Sets whose first sums clash stay different classes, and no document gets two rows."""
+    from test_llm_operators import brute_components
+
+    from spanforge.llm import jaccard_join
+
+    whole = jaccard_join._identity
+    monkeypatch.setattr(jaccard_join, "_identity", lambda t: (whole(t)[0] & 3, whole(t)[1]))
+    texts = near_copies(24, 20, 2) + [(100 + i, f"other text number {i} of some that are all alone {i * i}") for i in range(12)]
+    found = jaccard_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), jaccard_join.Similar(words=2, percent=80)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(texts, 2, 80)
+
+
+def test_crowds_are_dealt_out(spark, monkeypatch):
+    """150 near copies, of which four at most are compared in pairs."""
+    from test_llm_operators import brute_components
+
+    from spanforge.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
+    levels, deal = [], jaccard_join._apart
+    monkeypatch.setattr(jaccard_join, "_apart", lambda a, b: (levels.append(b), deal(a, b))[1])
+    texts = near_copies(150, 60, 5)
+    found = jaccard_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), jaccard_join.Similar(words=3, percent=90, crowd=4)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_components(texts, 3, 90)
+    assert "of_pivot" in levels and len({r["component_id"] for r in found}) > 1
