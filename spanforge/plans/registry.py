@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None, views: bool = True) -> Callable[[Qu
 
 
 def _load() -> None:
-    from spanforge.plans import aggregates, files, intervals, relations, requests, rewriting, sequences, texts  # noqa: F401
+    from spanforge.plans import aggregates, files, images, intervals, relations, requests, rewriting, sequences, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -1,13 +1,9 @@
-"""Memory that a session carries from step to step, replayed in batch or kept as streaming state."""
+"""Memory that a session carries from step to step, replayed in batch; `traces` keeps it as streaming state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from spanforge.operators.sequence import memory_chain
 
@@ -23,42 +19,3 @@ def _parts(rows: DataFrame) -> DataFrame:
 def replay(rows: DataFrame, initial: str) -> DataFrame:
     """(episode_index, sample_id, memory_in, memory_out) of recorded steps; one with reset_memory, if there is such a column, begins with the initial memory again."""
     return memory_chain(_parts(rows), initial, "__part").select("episode_index", "sample_id", "memory_in", "memory_out")
-
-
-def follow(rows: DataFrame, initial: str, idle_ms: int | None = 3_600_000) -> DataFrame:
-    """The same for a stream of (episode_index, sample_id, pred, skip[, reset_memory]), with `late`: each session's memory is state, dropped when idle for idle_ms (None: never).
-
-    Steps of one trigger are taken in order of sample_id. A step that isn't after the last one answered is late, or has come again: its row
-    is marked and has no memories, and changes nothing.
-    """
-    kind = rows.schema["episode_index"].dataType.simpleString()
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory, last = state.get if state.exists else (initial, -1)
-        new = pd.concat(list(batches)).sort_values("sample_id")
-        out = []
-        for sample, pred, skip, reset in zip(new["sample_id"], new["pred"], new["skip"], new["reset_memory"], strict=True):
-            if sample <= last:
-                out.append((key[0], sample, None, None, True))
-                continue
-            memory = initial if reset else memory
-            said = pred.strip() if isinstance(pred, str) and not skip else ""
-            out.append((key[0], sample, memory, said or memory, False))
-            memory, last = said or memory, int(sample)
-        state.update((memory, last))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["episode_index", "sample_id", "memory_in", "memory_out", "late"])
-
-    schema = f"episode_index {kind}, sample_id long, memory_in string, memory_out string, late boolean"
-    reset = F.coalesce("reset_memory", F.lit(False)) if "reset_memory" in rows.columns else F.lit(False)
-    rows = rows.select("episode_index", "sample_id", "pred", F.coalesce("skip", F.lit(False)).alias("skip"), reset.alias("reset_memory"))
-    return rows.groupBy("episode_index").applyInPandasWithState(step, schema, "memory string, last long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Events by type in tumbling windows; what comes later than the watermark allows is left out."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
