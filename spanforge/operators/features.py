@@ -88,15 +88,17 @@ def episode_features(frames: DataFrame, columns: list[str], videos: DataFrame, c
     return samples.select("episode_index", "frame_index", "state", "visual"), combine_motion(state, visual_motion(videos, cameras, s), s)
 
 
+def by_modality(rows: DataFrame, keys: list[str], modalities: tuple[str, ...] = ("state", "visual")) -> DataFrame:
+    """(keys, modality, dim, x): a row for each number of the vectors; modality is the vector's place."""
+    named = lambda k: lambda x, i: F.struct(F.lit(k).alias("modality"), i.alias("dim"), x.cast("double").alias("x"))
+    return rows.select(*keys, F.inline(F.concat(*[F.transform(m, named(k)) for k, m in enumerate(modalities)])))
+
+
 def descriptors(samples: DataFrame, lengths: DataFrame) -> DataFrame:
     """(episode_index, length, v): log length, and mean and deviation of each dimension of state and visual, in order."""
-    parts = []
-    for i, c in enumerate(("state", "visual")):
-        long = samples.select("episode_index", F.posexplode(c).alias("dim", "x"))
-        one = long.groupBy("episode_index", "dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d"))
-        parts += [one.select("episode_index", F.lit(2 * i + k).alias("part"), "dim", F.col(x).alias("x")) for k, x in enumerate("md")]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    listed = rows.groupBy("episode_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "dim", "x"))), lambda r: r["x"]).alias("__v"))
+    one = by_modality(samples, ["episode_index"]).groupBy("episode_index", "modality", "dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d"))
+    both = one.select("episode_index", F.inline(F.array(*[F.struct((2 * F.col("modality") + k).alias("part"), "dim", F.col(x).alias("x")) for k, x in enumerate("md")])))
+    listed = both.groupBy("episode_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "dim", "x"))), lambda r: r["x"]).alias("__v"))
     return listed.join(lengths.select("episode_index", "length"), "episode_index").select("episode_index", "length", F.concat(F.array(F.log1p("length")), "__v").alias("v"))
 
 

@@ -9,13 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators.features import descriptors, last_frames, standardised
+from spanforge.operators.features import by_modality, descriptors, last_frames, standardised
 from spanforge.operators.intervals import boundaries_to_segments
 from spanforge.operators.stats import FLOOR, mode_nonempty, nearest, ratio_priors
-from spanforge.operators.tables import small
+from spanforge.operators.tables import SMALL_CELLS, small
+from spanforge.sinks.writers import kept
 
 MODALITIES = ("state", "visual")
 
@@ -25,6 +27,7 @@ class Search:
     duration_weight: float = 0.85
     motion_weight: float = 0.25
     least: int = 30  # frames of a segment
+    # Reach, refine's 80 and near, and the weights here and in `refine`, `confidences` and `segment_path` (0.08, 0.45, 0.55).
     keep: int = 45  # candidates of a boundary, besides the expected one
     reach: tuple[float, int, int] = (0.55, 65, 460)  # of a window: part of the longer neighbour's expected length; at least; at most
     refine: int = 55  # frames a boundary may move afterwards
@@ -60,16 +63,13 @@ def labelled_samples(samples: DataFrame, segments: DataFrame) -> DataFrame:
 def fit_models(samples: DataFrame, segments: DataFrame, episodes: DataFrame) -> DataFrame:
     """(template, modality, seg_id, dim, mean, var, all_mean, all_std): values standardised over all samples of a template's episodes, then means and variances by segment."""
     n = segments.groupBy("episode_index").agg(F.count(F.lit(1)).alias("template"))
-    of_template = samples.join(small(n), "episode_index")
-    held, out = labelled_samples(samples, segments), []
-    for m in MODALITIES:
-        long = of_template.select("template", F.posexplode(m).alias("dim", "x"))
-        whole = long.groupBy("template", "dim").agg(F.avg("x").alias("all_mean"), F.greatest(F.stddev_pop("x"), F.lit(FLOOR)).alias("all_std"))
-        one = held.select("template", "seg_id", F.posexplode(m).alias("dim", "x")).groupBy("template", "seg_id", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-        both = one.join(whole, ["template", "dim"])
-        var = F.greatest(F.col("v") / (F.col("all_std") * F.col("all_std")), F.lit(FLOOR))
-        out.append(both.select("template", F.lit(m).alias("modality"), "seg_id", "dim", ((F.col("m") - F.col("all_mean")) / F.col("all_std")).alias("mean"), var.alias("var"), "all_mean", "all_std"))
-    return out[0].unionByName(out[1])
+    whole = by_modality(samples.join(small(n), "episode_index"), ["template"]).groupBy("template", "modality", "dim")
+    whole = whole.agg(F.avg("x").alias("all_mean"), F.greatest(F.stddev_pop("x"), F.lit(FLOOR)).alias("all_std"))
+    one = by_modality(labelled_samples(samples, segments), ["template", "seg_id"]).groupBy("template", "modality", "seg_id", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    both = one.join(whole, ["template", "modality", "dim"])
+    var = F.greatest(F.col("v") / (F.col("all_std") * F.col("all_std")), F.lit(FLOOR))
+    name = F.element_at(F.array(*map(F.lit, MODALITIES)), F.col("modality") + 1)
+    return both.select("template", name.alias("modality"), "seg_id", "dim", ((F.col("m") - F.col("all_mean")) / F.col("all_std")).alias("mean"), var.alias("var"), "all_mean", "all_std")
 
 
 def template_texts(segments: DataFrame, text: str = "text") -> DataFrame:
@@ -90,7 +90,7 @@ def first_tasks(labels: DataFrame) -> DataFrame:
 
 def match_templates(samples: DataFrame, lengths: DataFrame, segments: DataFrame, s: Search = Search()) -> DataFrame:
     """(episode_index, matched, template, score): the labelled episode that each of the others is nearest to, by standardised descriptors and length."""
-    d = standardised(descriptors(samples, lengths), "v")
+    d = kept(standardised(kept(descriptors(samples, lengths), "descriptors"), "v"), "standardised")
     n = segments.groupBy("episode_index").agg(F.count(F.lit(1)).alias("template"))
     models = d.join(n, "episode_index").select(F.col("episode_index").alias("model"), F.col("v").alias("mv"), F.col("length").alias("mlength"))
     targets = d.join(n, "episode_index", "left_anti").select(F.col("episode_index").alias("id"), "v", "length")
@@ -183,53 +183,79 @@ def confidences(motion: np.ndarray, path: list[int], t: Template, s: Search) ->
 FOUND = "episode_index long, length long, boundaries array<long>, confidences array<double>, expected array<long>, mean_confidence double, error string"
 
 
+def _arrays(models: DataFrame) -> dict:
+    """(mean, var) by segment and dimension, (mean, std) of all by dimension, of each modality of each template."""
+    one = F.array_sort(F.collect_list(F.struct("seg_id", "dim", "mean", "var", "all_mean", "all_std")))
+    out: dict = {}
+    for r in models.groupBy("template", "modality").agg(one.alias("m")).collect():
+        dims = 1 + max(x["dim"] for x in r["m"])
+        columns = [np.array([x[c] for x in r["m"]], float).reshape(-1, dims) for c in ("mean", "var", "all_mean", "all_std")]
+        out.setdefault(r["template"], {})[r["modality"]] = (columns[0], columns[1], columns[2][0], columns[3][0])
+    return out
+
+
+def sample_costs(samples: DataFrame, assigned: DataFrame, models: DataFrame, s: Search = Search(), cells: int = SMALL_CELLS) -> DataFrame:
+    """(episode_index, template, frame_index, cost): what each sample costs in each segment of its episode's template.
+
+    Costs are made where the samples lie, so of a sample's thousands of numbers only as many go on as the template has segments. Templates' models are sent to all tasks in
+    turns of about `cells` numbers; samples of a template without a model give no row.
+    """
+    size, turns = {r[0]: r[1] for r in models.groupBy("template").count().orderBy("template").collect()}, [[]]
+    for t, n in size.items():
+        if turns[-1] and sum(size[x] for x in turns[-1]) + n > cells:
+            turns.append([])
+        turns[-1].append(t)
+    schema, out = "episode_index long, template long, frame_index long, cost array<double>", None
+    rows = samples.join(small(assigned.select("episode_index", "template")), "episode_index").select("episode_index", F.col("template").cast("long").alias("template"), "frame_index", *[F.col(m).cast("array<double>").alias(m) for m in MODALITIES])
+    for turn in turns:
+        held = _arrays(models.filter(F.col("template").isin(turn))) if turn else {}
+
+        def price(batches, held=held):
+            for b in batches:
+                template = b.column("template").to_numpy()
+                for t in np.unique(template):
+                    own = np.flatnonzero(template == t)
+                    for i in range(0, len(own), 512):
+                        part = b.take(pa.array(own[i : i + 512]))
+                        cost = 0.0
+                        for m, weight in zip(MODALITIES, s.weights, strict=True):
+                            mean, var, center, spread = held[t][m]
+                            x = part.column(m).flatten().to_numpy().reshape(part.num_rows, -1)
+                            cost = cost + weight * row_costs((x - center) / spread, mean, var)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype="i4") * cost.shape[1]), pa.array(cost.reshape(-1)))
+                        yield pa.RecordBatch.from_arrays([part.column("episode_index").cast(pa.int64()), part.column("template"), part.column("frame_index").cast(pa.int64()), lists], ["episode_index", "template", "frame_index", "cost"])
+
+        one = rows.filter(F.col("template").isin(turn)).mapInArrow(price, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def solve(samples: DataFrame, motion: DataFrame, assigned: DataFrame, models: DataFrame, priors: DataFrame, s: Search = Search()) -> DataFrame:
     """FOUND for each episode in assigned (episode_index, template): its boundaries by its template, or error.
 
-    An episode's frames are one row. Templates come from episodes labelled by hand; a task turns each into arrays once. Episodes of a
-    template that has no model give no rows.
+    An episode is one row: its frames' motion, and for each sample as many costs as the template has segments (see `sample_costs`), so an hour takes a few MB.
+    Episodes of a template that has no model give no rows.
     """
-    one = F.struct("seg_id", "dim", "mean", "var", "all_mean", "all_std")
-    by = models.groupBy("template").agg(*[F.array_sort(F.collect_list(F.when(F.col("modality") == m, one))).alias(m + "_model") for m in MODALITIES])
     prior = priors.groupBy("template").agg(F.array_sort(F.collect_list(F.struct("seg_id", "start", "part", "least"))).alias("prior"))
     moved = motion.groupBy("episode_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "motion"))), lambda x: x["motion"]).alias("motion"))
-    held = samples.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", *MODALITIES))).alias("samples"))
-    rows = assigned.select("episode_index", "template").join(moved, "episode_index").join(held, "episode_index")
-    rows = rows.join(small(by.join(prior, "template"), 1000), "template").select("episode_index", "template", "motion", "samples", *[m + "_model" for m in MODALITIES], "prior")
+    costs = sample_costs(samples, assigned, models, s).groupBy("episode_index", "template").agg(F.array_sort(F.collect_list(F.struct("frame_index", "cost"))).alias("c"))
+    costs = costs.select("episode_index", "template", F.transform("c", lambda x: x["frame_index"]).alias("frames"), F.flatten(F.transform("c", lambda x: x["cost"])).alias("cost"))
+    rows = costs.join(moved, "episode_index").join(small(prior, 1000), "template").select("episode_index", "motion", "frames", "cost", "prior")
 
     def run(batches):
-        known: dict = {}
         for b in batches:
             found = []
             for r in b.itertuples(index=False):
-                if r.template not in known:
-                    known[r.template] = _template(r.prior), [_model(x) for x in (r.state_model, r.visual_model)]
-                found.append((r.episode_index, len(r.motion), *_solved(r, *known[r.template], s)))
+                t = Template(*(np.array([x[c] for x in r.prior], float) for c in ("start", "part", "least")))
+                found.append((r.episode_index, len(r.motion), *_solved(np.asarray(r.motion, float), np.asarray(r.frames, "i8"), np.asarray(r.cost, float), t, s)))
             yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     return rows.mapInPandas(run, FOUND)
 
 
-def _template(prior) -> Template:
-    return Template(*(np.array([x[c] for x in prior], float) for c in ("start", "part", "least")))
-
-
-def _model(rows) -> tuple[np.ndarray, ...]:
-    """(mean, var) by segment and dimension, (mean, std) of all by dimension."""
-    dims = 1 + max(x["dim"] for x in rows)
-    columns = [np.array([x[c] for x in rows], float).reshape(-1, dims) for c in ("mean", "var", "all_mean", "all_std")]
-    return columns[0], columns[1], columns[2][0], columns[3][0]
-
-
-def _solved(r, t: Template, models: list[tuple], s: Search) -> tuple:
-    motion = np.asarray(r.motion, float)
-    frames = np.array([x["frame_index"] for x in r.samples], "i8")
-    cost = 0.0
-    for m, weight, (mean, var, center, spread) in zip(MODALITIES, s.weights, models, strict=True):
-        x = np.array([list(v[m]) for v in r.samples], float)
-        cost = cost + weight * row_costs((x - center) / spread, mean, var)
+def _solved(motion: np.ndarray, frames: np.ndarray, cost: np.ndarray, t: Template, s: Search) -> tuple:
     try:
-        path = segment_path(motion, frames, cost, t, s)
+        path = segment_path(motion, frames, cost.reshape(len(frames), -1), t, s)
     except ValueError as e:
         return None, None, None, None, str(e)
     sure = confidences(motion, path, t, s)
@@ -242,11 +268,13 @@ def annotate(samples: DataFrame, motion: DataFrame, segments: DataFrame, episode
     segments: (episode_index, seg_id, start_frame, end_frame, text, skill) of labelled episodes; episodes: (episode_index, length, tasks). Documents have
     their own tasks or else the template's. Episodes that could not be segmented are in the summary, with error.
     """
+    samples, motion, segments = kept(samples, "samples"), kept(motion, "motion"), kept(segments, "segments")
     lengths = last_frames(motion)
     labelled = segments.groupBy("episode_index").agg(F.max("end_frame").alias("length"), F.count(F.lit(1)).alias("template"))
     known = samples.join(labelled.select("episode_index"), "episode_index", "left_semi")
-    assigned = match_templates(samples, lengths, segments, s)
-    found = solve(samples, motion, assigned, fit_models(known, segments, episodes), ratio_priors(segments, labelled), s)
+    assigned = kept(match_templates(samples, lengths, segments, s), "assigned")
+    models = kept(fit_models(known, segments, episodes), "models")
+    found = kept(solve(samples, motion, assigned, models, ratio_priors(segments, labelled), s), "found")
     summary = found.join(assigned, "episode_index").select(
         "episode_index", "length", F.concat(F.col("template").cast("string"), F.lit("-subtasks")).alias("template_key"), F.col("template").alias("num_subtasks"), F.col("matched").alias("matched_manual_episode"),
         F.col("score").alias("template_match_score"), "mean_confidence", "boundaries", "error",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.operators.tables import small
+from spanforge.operators.tables import SMALL_CELLS, small
 
 FLOOR = 1e-4
 
@@ -40,17 +40,24 @@ def descriptor_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) / F.size(a))
 
 
-def nearest(targets: DataFrame, models: DataFrame, weight: float = 0.5, block: int = 256) -> DataFrame:
+def nearest(targets: DataFrame, models: DataFrame, weight: float = 0.5, cells: int = SMALL_CELLS) -> DataFrame:
     """(id, model, score): each target's nearest model, the smaller id of equal ones.
 
-    targets: (id, v, length); models: (model, mv, mlength), of episodes labelled by hand. Models are held in blocks of `block`, and a
-    target meets a block, not a model: as many rows as targets times blocks, of which each keeps its best.
+    targets: (id, v, length); models: (model, mv, mlength), of episodes labelled by hand. Models are dealt into parts of about `cells` values, by hash; a part is
+    one row that goes to all tasks, where a target meets all its models at once and keeps the best. There are as many passes over the targets as parts.
     """
-    places = models.withColumn("__b", F.floor((F.row_number().over(Window.orderBy("model")) - 1) / block))
-    blocks = places.groupBy("__b").agg(F.collect_list(F.struct("model", "mv", "mlength")).alias("__m"))
+    count, size = models.agg(F.count(F.lit(1)), F.max(F.size("mv"))).first()
+    parts = max(1, -(-count * (size or 1) // cells))
+    part = F.pmod(F.xxhash64("model"), F.lit(parts))
     score = lambda m: descriptor_distance(F.col("v"), m["mv"]) + weight * F.abs(F.ln(F.greatest("length", F.lit(1)) / F.greatest(m["mlength"], F.lit(1))))
     best = F.array_min(F.transform("__m", lambda m: F.struct(score(m).alias("score"), m["model"].alias("model"))))
-    found = targets.crossJoin(small(blocks, 64)).select("id", best.alias("best")).groupBy("id").agg(F.min("best").alias("best"))
+    found = None
+    for i in range(parts):
+        own = models.filter(part == i).agg(F.collect_list(F.struct("model", "mv", "mlength")).alias("__m"))
+        one = targets.join(F.broadcast(own)).select("id", best.alias("best"))  # one row of at most about `cells` values
+        found = one if found is None else found.unionByName(one)
+    found = found.filter("best is not null")
+    found = found if parts == 1 else found.groupBy("id").agg(F.min("best").alias("best"))
     return found.select("id", "best.model", "best.score")
 
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a look-up table is sent to all tasks; larger ones are joined by Spark's own choice.
-SMALL_ROWS = 200_000
+#: Rows and values (of lists each item) up to which a look-up table is sent to all tasks; larger ones are joined by Spark's own choice.
+SMALL_ROWS, SMALL_CELLS = 200_000, 4_000_000
 
 
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most `most` rows, which is counted."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, to be broadcast if it has at most `most` rows and SMALL_CELLS values, texts counting by 8 bytes; both are counted."""
+    cells = lambda f: F.size(f.name) if f.dataType.typeName() == "array" else F.octet_length(f.name) / 8 if f.dataType.typeName() in ("string", "binary") else F.lit(1)
+    each = sum((F.greatest(F.coalesce(cells(f), F.lit(0)), F.lit(1)) for f in df.schema.fields), F.lit(0))
+    rows, values = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and values <= SMALL_CELLS else df
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

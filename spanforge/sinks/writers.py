@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.operators.intervals import contiguity
@@ -137,3 +137,15 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/spanforge-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read from there, for what several later steps use; `rows` says how many it has.
+
+    Nothing of it is computed again, whatever reads it, also after executors are lost.
+    """
+    spark, seen, path = df.sparkSession, Observation(), scratch(df.sparkSession, name)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rows = (seen.get or {"rows": 0})["rows"]
+    return out
