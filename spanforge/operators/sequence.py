@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.sinks.writers import kept
+
 
 def in_order(*more: str) -> Window:
     return Window.partitionBy("episode_index", *more).orderBy("frame_index")
@@ -68,20 +72,29 @@ def interval_sample(rows: DataFrame, every: int, start: int = 0, last: bool = Tr
 
 
 def greedy_gap(rows: DataFrame, at: str, gap: float) -> DataFrame:
-    """(episode_index, frame_index) of frames at least `gap` after the last one taken, the first taken always.
+    """(episode_index, frame_index) of frames at least `gap` after the last one taken, the first taken always. Frames without a time aren't taken.
 
-    What is taken depends on what was taken before, so an episode's times are folded in order; an episode's
-    frames are held together, those of different episodes never.
+    A taken frame is later in time than all before it, so only such frames count, and each points to the first that is `gap` later.
+    The frames on the way from an episode's first are found by doubling: what is reached in 2^k steps, and pointers over 2^k steps, give
+    those of 2^(k+1); so there are as many rounds as the logarithm of what one episode takes, and no episode's frames are held together.
     """
-    one = F.struct(F.col("frame_index").alias("i"), F.col(at).cast("double").alias("t"))
-    taken = F.aggregate(
-        F.array_sort(F.collect_list(one)),
-        F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, x: F.when(
-            a["last"].isNull() | (x["t"] - a["last"] >= gap), F.struct(x["t"].alias("last"), F.concat(a["out"], F.array(x["i"])).alias("out"))
-        ).otherwise(a),
-    )
-    return rows.groupBy("episode_index").agg(taken["out"].alias("out")).select("episode_index", F.explode("out").alias("frame_index"))
+    w = in_order()
+    times = rows.select("episode_index", "frame_index", F.col(at).cast("double").alias("t")).dropna()
+    before = F.max("t").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    records = kept(times.withColumn("b", before).filter("b is null or t > b").select("episode_index", "frame_index", "t", F.col("b").isNull().alias("first")), "records")
+    both = records.select("episode_index", "t", F.lit(0).alias("asks"), "frame_index").unionByName(records.select("episode_index", (F.col("t") + gap).alias("t"), F.lit(1).alias("asks"), "frame_index"))
+    later = F.last(F.when(F.col("asks") == 0, F.col("frame_index")), ignorenulls=True).over(Window.partitionBy("episode_index").orderBy(F.desc("t"), "asks").rowsBetween(Window.unboundedPreceding, 0))
+    step = kept(both.withColumn("to", later).filter("asks = 1 and to is not null").select("episode_index", F.col("frame_index").alias("from"), "to"), "steps")
+    taken = records.filter("first").select("episode_index", "frame_index")
+    while step.rows:
+        on = lambda x, y: [x["episode_index"] == y["episode_index"], x["frame_index"] == y["from"]]
+        reached = kept(taken.join(step, on(taken, step)).select(taken["episode_index"], F.col("to").alias("frame_index")), "reached")
+        if not reached.rows:
+            break
+        taken = taken.unionByName(reached)
+        next_ = step.select("episode_index", F.col("from").alias("to"), F.col("to").alias("after"))
+        step = kept(step.join(next_, ["episode_index", "to"]).select("episode_index", "from", F.col("after").alias("to")), "steps")
+    return taken
 
 
 def memory_chain(rows: DataFrame, initial: str, *parts: str) -> DataFrame:
@@ -97,27 +110,57 @@ def round_robin(rows: DataFrame, workers: int) -> DataFrame:
     return rows.withColumn("worker", F.pmod(F.row_number().over(in_order()) - 1, F.lit(workers)).cast("long"))
 
 
-def boundary_confidence(rows: DataFrame, x: str = "value", half: int = 90) -> DataFrame:
-    """How far each frame's motion lies below the window's 80th percentile, as a part of the way to its minimum."""
-    w = in_order().rowsBetween(-half, half)
-    p, lo = F.percentile(x, F.lit(0.8)).over(w), F.min(x).over(w)
-    pause = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (p - F.col(x)) / F.greatest(p - lo, F.lit(1e-6))))
-    return rows.withColumn("p80", p).withColumn("low", lo).withColumn("pause", pause)
+def sliding_p80(values: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 80th percentile (between neighbours linearly) and minimum of each value's window of `half` on either side; nan doesn't count and stands where a window has no other."""
+    held = np.concatenate([np.full(half, np.inf), np.where(np.isnan(values), np.inf, values), np.full(half, np.inf)])
+    out = np.full((2, len(values)), np.nan)
+    for i in range(0, len(values), 4096):
+        part = np.sort(np.lib.stride_tricks.sliding_window_view(held[i : i + 4096 + 2 * half], 2 * half + 1), axis=1)
+        n, row = np.isfinite(part).sum(axis=1), np.arange(len(part))
+        at = 0.8 * np.maximum(n - 1, 0)
+        lo, hi = np.floor(at).astype("i8"), np.ceil(at).astype("i8")
+        a, b = part[row, lo], part[row, hi]
+        with np.errstate(invalid="ignore"):
+            out[0, i : i + len(part)] = np.where(n == 0, np.nan, np.where(lo == hi, a, (hi - at) * a + (at - lo) * b))
+        out[1, i : i + len(part)] = np.where(n == 0, np.nan, part[:, 0])
+    return out[0], out[1]
+
+
+def boundary_confidence(rows: DataFrame, x: str = "value", half: int = 90, chunk: int = 1 << 14) -> DataFrame:
+    """How far each frame's motion lies below the window's 80th percentile, as a part of the way to its minimum: p80, low, pause.
+
+    Windows count frames, not their numbers. An episode is cut into chunks that take along `half` frames from either side; each chunk is one task's work.
+    """
+    place = F.row_number().over(in_order()) - 1
+    held = rows.withColumn("__i", place).withColumn("__c", F.explode(F.sequence(F.floor(F.greatest(F.col("__i") - half, F.lit(0)) / chunk), F.floor((F.col("__i") + half) / chunk))))
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", p80 double, low double"
+
+    def look(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__i")
+        p80, low = sliding_p80(table.column(x).cast(pa.float64()).to_numpy(), half)
+        mine = pa.array(table.column("__i").to_numpy() // chunk == table.column("__c").to_numpy())
+        out = table.drop(["__i", "__c"]).append_column("p80", pa.array(p80, from_pandas=True)).append_column("low", pa.array(low, from_pandas=True))
+        return out.filter(mine)
+
+    found = held.groupBy("episode_index", "__c").applyInArrow(look, schema)
+    pause = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("p80") - F.col(x)) / F.greatest(F.col("p80") - F.col("low"), F.lit(1e-6))))
+    return found.withColumn("pause", pause)
 
 
 def interval_means(samples: DataFrame, x: str, intervals: DataFrame) -> DataFrame:
     """(episode_index, seg_id, mean): mean of the samples in each interval, by differences of prefix sums; of the next sample from its middle on where it holds none.
 
-    An episode's sample frames and prefix sums are one row, and each interval counts those before its ends.
+    Samples with their prefix sums and the intervals' starts, middles and ends are put in one order; each of the latter reads off how many samples and what sum lie before it, and
+    the next sample. So no interval meets a sample that it doesn't hold, and no episode's samples are one row.
     """
-    rows = samples.select("episode_index", "frame_index", F.col(x).cast("double").alias("x"))
-    rows = rows.withColumn("p", F.sum("x").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    held = rows.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", "p"))).alias("s"))
-    each = intervals.select("episode_index", "seg_id", "start_frame", "end_frame").join(held, "episode_index")
-    before = lambda at: F.size(F.filter("s", lambda r: r["frame_index"] < at))
-    a, b = before(F.col("start_frame")), before(F.col("end_frame"))
-    middle = F.least(before(F.floor((F.col("start_frame") + F.col("end_frame")) / 2)), F.size("s") - 1)
-    each = each.withColumns({"a": a, "b": b, "m": middle})
-    each = each.withColumns({"lo": F.when(F.col("b") <= F.col("a"), F.col("m")).otherwise(F.col("a")), "hi": F.when(F.col("b") <= F.col("a"), F.col("m") + 1).otherwise(F.col("b"))})
-    upto = lambda i: F.when(i > 0, F.get("s", i - 1)["p"]).otherwise(0.0)
-    return each.select("episode_index", "seg_id", ((upto(F.col("hi")) - upto(F.col("lo"))) / (F.col("hi") - F.col("lo"))).alias("mean"))
+    rows = samples.select("episode_index", F.col("frame_index").cast("long").alias("at"), F.lit(1).alias("kind"), F.col(x).cast("double").alias("x"), F.lit(None).cast("long").alias("seg_id"), F.lit(None).cast("int").alias("end"))
+    places = [F.col("start_frame"), F.floor((F.col("start_frame") + F.col("end_frame")) / 2), F.col("end_frame")]
+    asks = intervals.select("episode_index", F.col("seg_id").cast("long").alias("seg_id"), F.posexplode(F.array(*[p.cast("long") for p in places])).alias("end", "at"))
+    both = rows.unionByName(asks.withColumns({"kind": F.lit(0), "x": F.lit(None).cast("double")}))
+    w = Window.partitionBy("episode_index").orderBy("at", "kind")  # an end comes before a sample of its own frame
+    upto, rest = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("episode_index").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"n": F.count("x").over(upto), "p": F.coalesce(F.sum("x").over(upto), F.lit(0.0)), "next": F.last("x", ignorenulls=True).over(rest), "last": F.last("x", ignorenulls=True).over(upto)})
+    one = lambda i, c: F.max(F.when(F.col("end") == i, F.col(c)))
+    each = seen.filter("kind = 0").groupBy("episode_index", "seg_id").agg(*[one(i, c).alias(f"{c}{i}") for i in range(3) for c in ("n", "p")], one(1, "next").alias("next"), one(1, "last").alias("last"))
+    held = F.when(F.col("n2") > F.col("n0"), (F.col("p2") - F.col("p0")) / (F.col("n2") - F.col("n0"))).otherwise(F.coalesce("next", "last"))
+    return each.select("episode_index", "seg_id", held.alias("mean")).filter("mean is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.operators import intervals as iv
+from spanforge.operators.scan import scan_join
 from spanforge.plans.registry import query
 from spanforge.sources import proxies as px
 
@@ -202,7 +203,7 @@ def nearest_boundary(spark, d):
 @query("j_interval_inclusive", "select f.episode_index, frame_index, seg_id from f join s on f.episode_index = s.episode_index and frame_index between start_frame and end_frame - 1")
 def inclusive(spark, d):
     s = px.segments(spark, d).withColumn("end_frame", F.col("end_frame") - 1)
-    return iv.interval_join(px.frames(spark, d).select("episode_index", "frame_index"), s, closed=True, bucket=64).select("episode_index", "frame_index", "seg_id")
+    return scan_join(px.frames(spark, d).select("episode_index", "frame_index"), s, closed=True).select("episode_index", "frame_index", "seg_id")
 
 
 @query("j_point_in_interval", """select f.episode_index, frame_index, coalesce(min(seg_id), any_value(ns)) as seg_id, coalesce(arg_min(text, seg_id), 'task_completed') as text
@@ -211,9 +212,8 @@ def inclusive(spark, d):
 def point(spark, d):
     s = px.segments(spark, d)
     n = s.groupBy("episode_index").agg(F.count(F.lit(1)).alias("ns"))
-    held = iv.interval_join(px.frames(spark, d).select("episode_index", "frame_index"), s.filter("seg_id <> 2"), how="left")
-    one = held.groupBy("episode_index", "frame_index").agg(F.min("seg_id").alias("seg"), F.min_by("text", "seg_id").alias("text"))
-    return one.join(n, "episode_index").select("episode_index", "frame_index", F.coalesce("seg", "ns").alias("seg_id"), F.coalesce("text", F.lit("task_completed")).alias("text"))
+    one = scan_join(px.frames(spark, d).select("episode_index", "frame_index"), s.filter("seg_id <> 2"), first_by=["seg_id"], how="left")
+    return one.join(n, "episode_index").select("episode_index", "frame_index", F.coalesce("seg_id", "ns").alias("seg_id"), F.coalesce("text", F.lit("task_completed")).alias("text"))
 
 
 @query("j_interval_priority", WINDOWS + """, h as (select f.episode_index, frame_index, min(case kind when 'transition' then 0 when 'final_tail' then 1 when 'uniform' then 2 end) as o
@@ -221,10 +221,9 @@ def point(spark, d):
 select episode_index, frame_index, coalesce(['transition', 'final_tail', 'uniform'][cast(o + 1 as int)], 'outside') as kind from h""")
 def priority(spark, d):
     w = _windows(spark, d).withColumnsRenamed({"lo": "start_frame", "hi": "end_frame"}).select("episode_index", "start_frame", "end_frame", "kind")
-    held = iv.interval_join(px.frames(spark, d).select("episode_index", "frame_index"), w, how="left")
-    o = F.min(F.when(F.col("kind") == "transition", 0).when(F.col("kind") == "final_tail", 1).when(F.col("kind") == "uniform", 2))
-    named = F.coalesce(F.get(F.array(F.lit("transition"), F.lit("final_tail"), F.lit("uniform")), F.col("o")), F.lit("outside"))
-    return held.groupBy("episode_index", "frame_index").agg(o.alias("o")).select("episode_index", "frame_index", named.alias("kind"))
+    w = w.withColumn("o", F.when(F.col("kind") == "transition", 0).when(F.col("kind") == "final_tail", 1).when(F.col("kind") == "uniform", 2))
+    held = scan_join(px.frames(spark, d).select("episode_index", "frame_index"), w, first_by=["o"], how="left")
+    return held.select("episode_index", "frame_index", F.coalesce("kind", F.lit("outside")).alias("kind"))
 
 
 @query("j_neighbors", """select episode_index, seg_id, coalesce(lag(text) over w, '') as before, case when lead(seg_id) over w is null then 'task_completed' else lead(text) over w end as after

@@ -8,6 +8,7 @@ from spanforge.functions import requests as rq
 from spanforge.functions import text as tx
 from spanforge.operators import models as md
 from spanforge.operators import samples as sp
+from spanforge.operators.ordering import numbered
 from spanforge.operators.rewrite import SKILLS, output_fps
 from spanforge.plans.intervals import WINDOWS, _windows
 from spanforge.plans.registry import query
@@ -127,7 +128,8 @@ def task_of_episode(spark, d):
 
 @query("o_in_order", "select event_id, row_number() over (order by k, event_id) as place from f")
 def in_order(spark, d):
-    return sp.in_order(px.frames(spark, d).select("event_id", "k").coalesce(1), "k", "event_id", drop="k").select("event_id", (F.monotonically_increasing_id() + 1).alias("place")).repartition(1)
+    rows = px.frames(spark, d).select("event_id", "k")
+    return numbered(rows, [F.col("k"), F.col("event_id")], "place").select("event_id", (F.col("place") + 1).alias("place"))
 
 
 @query("o_first_per_key", "select episode_index, frame_index from f where frame_index < 7")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import score as sc
 from spanforge.operators import segment as sg
 from spanforge.operators import sequence as sq
+from spanforge.operators.ordering import share
 from spanforge.plans.aggregates import CHAIN
 from spanforge.plans.registry import query
 from spanforge.sources import proxies as px
@@ -79,6 +80,12 @@ def robin(spark, d):
     return sq.round_robin(_f(spark, d), 3).select("episode_index", "frame_index", "worker")
 
 
+@query("w_global_share", "select event_id, (row_number() over (order by ts, event_id) - 1) % 7 as worker from events", views=False)
+def global_share(spark, d):
+    e = px.table(spark, d, "events").select("event_id", "ts")
+    return share(e, [F.col("ts"), F.col("event_id")], 7).select("event_id", "worker")
+
+
 @query("w_step_id", "select event_id, frame_index + 1 as step_id from f")
 def step_id(spark, d):
     return px.frames(spark, d).select("event_id", (F.col("frame_index") + 1).alias("step_id"))

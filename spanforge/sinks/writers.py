@@ -68,11 +68,11 @@ def append_records(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def rewrite_sorted(spark: SparkSession, path: str, schema: str, order: str = "index", parts: int = 1) -> DataFrame:
-    """Reads JSON lines, leaves out what is no object, and writes the rest in order in the same place."""
+def rewrite_sorted(spark: SparkSession, path: str, schema: str, order: str = "index") -> DataFrame:
+    """Reads JSON lines, leaves out what is no object, and writes the rest in order in the same place: each file is sorted, and the files follow each other."""
     lines = spark.read.text(path)
     kept = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.schema_of_variant(F.try_parse_json("value")).alias("kind")).filter(F.startswith("kind", F.lit("OBJECT"))).select("r.*")
-    (kept.repartitionByRange(parts, order).sortWithinPartitions(order) if parts > 1 else kept.coalesce(1).sortWithinPartitions(order)).write.mode("overwrite").json(path + ".new")
+    kept.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").json(path + ".new")
     swap(spark, path + ".new", path)
     return spark.read.schema(schema).json(path)
 
