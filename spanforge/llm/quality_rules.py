@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.batches import lean, slices, text_slices
-from spanforge.llm.storage import if_small, materialise
+from spanforge.llm.storage import drop, if_small, materialise
 from spanforge.llm.words import _U, LOWER, find_words, hash_words, per_doc, text_bytes, windows
 
 #: Character classes by byte: lower-case, upper-case, digit, space, line feed, sentence mark, symbol, other ASCII, start of a longer character.
@@ -28,8 +28,8 @@ CLASS[192:], CLASS[128:192] = 8, 9  # 9: bytes inside a character, not counted
 @dataclass(frozen=True)
 class Rules:
     common: int = 24  # common words of a language, besides all others as one
-    class_limit: float = 0.09  # largest Jensen-Shannon divergence (bits) of character classes
-    word_limit: float = 0.20  # and of common words
+    class_limit: float = 0.09**0.5  # largest Jensen-Shannon distance (root of the divergence in bits) of character classes
+    word_limit: float = 0.20**0.5  # and of common words
     class_chars: int = 200  # texts with fewer characters are not judged by classes
     word_words: int = 60  # nor those with fewer words by words
     reference_words: int = 2000  # words a language needs to have references of its own; others have those of all documents
@@ -45,14 +45,14 @@ def _shapes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bincount(docs[counted] * CLASSES + kind[counted], minlength=n * CLASSES).reshape(n, CLASSES)
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row of counts p from the counts q (or rows q); 0 for empty rows."""
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance, the root of the divergence in bits, of each row of counts p from the counts q (or rows q); 0 for empty rows."""
     p = p / np.maximum(p.sum(axis=-1, keepdims=True), 1)
     q = np.broadcast_to(q / np.maximum(q.sum(axis=-1, keepdims=True), 1), p.shape)
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         d = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=-1) + np.where(q > 0, q * np.log2(q / m), 0).sum(axis=-1)
-    return np.where(p.sum(axis=-1) > 0, d / 2, 0.0)
+    return np.where(p.sum(axis=-1) > 0, np.sqrt(np.maximum(d, 0) / 2), 0.0)
 
 
 def reference_table(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> DataFrame:
@@ -85,7 +85,7 @@ def reference_table(docs: DataFrame, rules: Rules = Rules(), text: str = "text",
 
     kind = "lang string, kind int, key long, n long"
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(count, kind)
-    summed = rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    summed = materialise(rows.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")  # texts go to Python once for this
     pooled = summed.groupBy("kind", "key").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "kind", "key", "n")
     most = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     top = summed.filter("lang is not null").unionByName(pooled).withColumn("r", F.row_number().over(most)).filter(F.col("r") <= max(CLASSES, rules.common))
@@ -106,7 +106,9 @@ def reference_table(docs: DataFrame, rules: Rules = Rules(), text: str = "text",
                 out.append({"lang": r["lang"], "classes": [x["n"] for x in r["classes"]], "keys": [x[1] for x in common], "counts": [*counts, r["words"] - sum(counts)]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("lang", pa.string()), *((c, pa.list_(pa.int64())) for c in ("classes", "keys", "counts"))]))
 
-    return materialise(each.mapInArrow(order, "lang string, classes array<long>, keys array<long>, counts array<long>"), "references")
+    found = materialise(each.mapInArrow(order, "lang string, classes array<long>, keys array<long>, counts array<long>"), "references")
+    drop(summed)
+    return found
 
 
 def _arrays(classes: list, keys: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,11 +178,11 @@ def _judged(column: pa.Array, langs: list, held: list, found: dict, rules: Rules
             continue
         classes, keys, counts = refs
         own = np.flatnonzero([y == x for y in langs])
-        js[0, own] = divergence(shapes[own], classes)
+        js[0, own] = distance(shapes[own], classes)
         bins = np.searchsorted(keys, low)
         bins = np.where(np.append(keys, _U(0))[bins] == low, np.where(bins < len(keys), bins, len(keys)), len(keys))
         hist = np.bincount(words.doc * len(counts) + bins, minlength=len(langs) * len(counts)).reshape(len(langs), -1)
-        js[1, own] = divergence(hist[own], counts)
+        js[1, own] = distance(hist[own], counts)
     js[0, shapes.sum(axis=1) < rules.class_chars] = np.nan
     js[1, n_words < rules.word_words] = np.nan
     kept = ~failed & ~(js[0] > rules.class_limit) & ~(js[1] > rules.word_limit)
@@ -192,8 +194,8 @@ def judge(docs: DataFrame, found: dict | None = None, rules: Rules = Rules(), te
     """The figures and verdict of every document, beside the columns named in keep (default: doc_id).
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; base_failed: under 20 words, or over 30 % of the words
-    in repeated 8-word windows; class_js, word_js: divergences from the language's references
-    (those of all documents if it is null or has none of its own), null where the text is too short for them; kept: neither base_failed nor a divergence over its limit.
+    in repeated 8-word windows; class_js, word_js: Jensen-Shannon distances from the language's references
+    (those of all documents if it is null or has none of its own), null where the text is too short for them; kept: neither base_failed nor a distance over its limit.
     A null or empty text has no words and fails. References come from docs itself if not given.
     """
     table = reference_table(docs, rules, text, lang) if found is None else None

@@ -510,7 +510,7 @@ def test_verdicts_by_scalars(spark):
     def js(p, q):
         p, q = [x / max(1, sum(p)) for x in p], [x / max(1, sum(q)) for x in q]
         part = lambda a, b: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(a, b) if x)
-        return (part(p, q) + part(q, p)) / 2 if sum(p) else 0.0
+        return math.sqrt(max(0.0, part(p, q) + part(q, p)) / 2) if sum(p) else 0.0
 
     def reference(texts):
         counts = collections.Counter(x for t in texts for x in words(t))
