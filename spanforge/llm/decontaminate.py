@@ -18,8 +18,9 @@ MASKS = ("111011", "11111")
 class Overlap:
     window: int = 13  # words in a row that must agree
     misses: int = 2  # words that may differ among them
-    short: int = 8  # shorter items than `window` count whole, from so many words on
-    short_misses: int = 1
+    short: int = 8  # shorter items than `window` count whole, those of so many words with
+    short_misses: int = 1  # so many that may differ, those of fewer with none
+    evidence: int = 5  # words that must agree for a document to be removed: what is shorter doesn't tell copies from chance
     block_words: int = 200_000  # words of benchmark items that one pass over the documents looks for
 
 
@@ -32,12 +33,12 @@ def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seed(k: int, at) -> Column:
-    """The seed of mask k; at(i): the hash of the word i places after the seed's first."""
-    return F.xxhash64(F.lit(k), *[at(i) for i, c in enumerate(MASKS[k]) if c == "1"])
+def _seed(mask: str, at) -> Column:
+    """The seed of a mask; at(i): the hash of the word i places after the seed's first."""
+    return F.xxhash64(F.lit(mask), *[at(i) for i, c in enumerate(mask) if c == "1"])
 
 
-def _probes(docs: DataFrame, o: Overlap, doc_id: str, text: str) -> DataFrame:
+def _probes(docs: DataFrame, o: Overlap, masks: list[str], doc_id: str, text: str) -> DataFrame:
     """(doc_id, k, i, near, seed): each place i of a document of k words, the hashes of the words around it and its seeds."""
     back, ahead = o.window - min(map(len, MASKS)), o.window
     words = docs.select(F.col(doc_id).alias("doc_id"), _words(text).alias("w")).filter(F.col("doc_id").isNotNull())
@@ -51,7 +52,7 @@ def _probes(docs: DataFrame, o: Overlap, doc_id: str, text: str) -> DataFrame:
     places = places.filter((i >= F.col("start")) & (i < F.col("start") + CHUNK))
     near = F.array(*[F.get("h", F.col("p") + x) for x in range(-back, ahead)])
     places = places.select("doc_id", "k", i.alias("i"), near.alias("near"))
-    seeds = F.array(*[_seed(k, lambda x: F.get("near", F.lit(back + x))) for k in range(len(MASKS))])
+    seeds = F.array(*[_seed(m, lambda x: F.get("near", F.lit(back + x))) for m in masks])
     return places.select("doc_id", "k", "i", "near", F.explode(seeds).alias("seed"))
 
 
@@ -61,8 +62,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc
     Seeds of items and documents meet by hash; around each hit the two are compared word
     by word. A hit counts if some window of `window` words in a row, which the item
     and the document both hold whole, differs in at most `misses`; an item of `short` to
-    `window` - 1 words is one window and may differ in `short_misses`; items with fewer words are never found, as
-    they don't tell copies from chance. matched_words: most words of such a window that agree; doc_word: the
+    `window` - 1 words is one window and may differ in `short_misses`; one with fewer words is found where all of them stand in a row, by a seed over
+    all its words where it is shorter than the masks. matched_words: most words of such a window that agree; doc_word: the
     document's word (from 0) at which the first item so found would begin.
 
     Items go out to all tasks in blocks of `block_words` words at most, of hashes alone; as many passes are made
@@ -73,16 +74,18 @@ def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     found = items.select(F.col(item_id).alias("item_id"), F.transform(_words(item_text or text), lambda w: F.xxhash64(w)).alias("words")).filter(
-        F.col("item_id").isNotNull() & (F.size("words") >= o.short)
+        F.col("item_id").isNotNull() & (F.size("words") > 0)
     )
-    total = found.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    least = min(map(len, MASKS))
+    total, tiny = found.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.collect_set(F.when(F.size("words") < least, F.size("words")))).first()
     blocks = max(1, -(-int(total) // o.block_words))
-    probes = _probes(docs, o, doc_id, text)
+    masks = [*MASKS, *["1" * n for n in sorted(tiny)]]
+    probes = _probes(docs, o, masks, doc_id, text)
     classes = found.groupBy("words").agg(F.collect_set("item_id").alias("items"))
     classes = classes.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
     hits = None
     for k in range(blocks):
-        part = _block(probes, classes.filter(F.col("block") == k).drop("block"), o)
+        part = _block(probes, classes.filter(F.col("block") == k).drop("block"), o, masks)
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_word int, item_words int, matched_words int")
@@ -92,14 +95,15 @@ def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc
     )
 
 
-def _block(probes: DataFrame, classes: DataFrame, o: Overlap) -> DataFrame:
+def _block(probes: DataFrame, classes: DataFrame, o: Overlap, masks: list[str]) -> DataFrame:
     """Verified hits of all documents with one block of item texts."""
     j, m, back = F.col("j"), F.size("words"), o.window - min(map(len, MASKS))
     places = classes.select("words", "items", F.posexplode("words").alias("j", "__w"))
     around = F.array(*[F.get("words", j + x) for x in range(-back, o.window)])
-    seeds = F.array(*[_seed(k, lambda x: F.get("words", j + x)) for k in range(len(MASKS))])
+    whole = lambda mask: (m == len(mask)) & (j == 0) if len(mask) < min(map(len, MASKS)) else F.lit(True)
+    seeds = F.array_compact(F.array(*[F.when(whole(x), _seed(x, lambda i: F.get("words", j + i))) for x in masks]))
     places = places.select("items", m.alias("m"), "j", around.alias("around"), F.explode(seeds).alias("seed"))
-    need = F.when(F.col("m") < o.window, F.col("m") - o.short_misses).otherwise(F.lit(o.window - o.misses))
+    need = F.when(F.col("m") < o.short, F.col("m")).when(F.col("m") < o.window, F.col("m") - o.short_misses).otherwise(F.lit(o.window - o.misses))
     flags = [F.coalesce((F.get("near", F.lit(x)) == F.get("around", F.lit(x))).cast("int"), F.lit(0)) for x in range(back + o.window)]
     met = probes.join(F.broadcast(places), "seed").filter(sum(flags[1:], flags[0]) >= need)
     met = met.select("doc_id", "items", "k", "i", "j", "m", F.least(F.lit(o.window), F.col("m")).alias("n"), need.alias("need"), F.array(*flags).alias("same"))
@@ -117,8 +121,8 @@ def _block(probes: DataFrame, classes: DataFrame, o: Overlap) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), text: str = "text") -> DataFrame:
-    """docs without those that hold a passage of an item. Each row is judged by its own text, known by its hash, whatever its id; a null or empty text stays."""
+    """docs without those that hold a passage of an item, of `evidence` words that agree or more. Each row is judged by its own text, known by its hash, whatever its id; a null or empty text stays."""
     own = F.xxhash64(F.col(text))
     found = find_overlaps(docs.select(own.alias("__key"), F.col(text).alias("__text")), items, o, "__key", text="__text", item_text=text)
-    hit = materialise(found.select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    hit = materialise(found.filter(F.col("matched_words") >= o.evidence).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
     return docs.join(if_small(hit), own == hit["__hit"], "left_anti")

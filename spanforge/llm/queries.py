@@ -145,15 +145,15 @@ ORACLE_SQL: dict[str, str] = {
     # every pair of equal words lies on a diagonal; windows of it are counted
     "op1_spaced_seed_overlaps": """
         with iw as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from benchmark where item_id is not null),
-        it as (select item_id, len(ws) as m, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as j from iw where len(ws) >= 8),
+        it as (select item_id, len(ws) as m, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as j from iw),
         dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from documents where doc_id is not null),
         dt as (select doc_id, len(ws) as k, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from dw),
         diag as (select doc_id, item_id, i - j as d, k, m, list(j) as js from dt join it using (w)
-            group by doc_id, item_id, i - j, k, m having count(*) >= least(13, m) - 2),
+            group by doc_id, item_id, i - j, k, m having count(*) >= case when m < 8 then m else least(13, m) - 2 end),
         best as (select *, list_max(list_transform(range(0, m - least(13, m) + 1), lambda s:
             case when d + s >= 0 and d + s + least(13, m) <= k
             then len(list_filter(js, lambda x: x >= s and x < s + least(13, m))) else 0 end)) as agree from diag),
-        good as (select * from best where agree >= case when m < 13 then m - 1 else 11 end)
+        good as (select * from best where agree >= case when m < 8 then m when m < 13 then m - 1 else 11 end)
         select doc_id, item_id, cast(min(greatest(d, 0)) as int) as doc_word, cast(max(m) as int) as item_words,
             cast(max(agree) as int) as matched_words
         from good group by doc_id, item_id""",
