@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents from the corpus' own n-gram counts, as relations.
 
-n-grams are rows (document, hash), dealt out by hash; there each gets its count, and its logarithm goes into the document's sum.
+n-grams are rows (document, context, n-gram), dealt out by their context; there both get their counts, and the logarithms go into the document's sum.
 
 A word's score is count(n-gram) / count(context), with the longest n-gram that lies within the document. In its own
 corpus every n-gram is seen, so no word goes back to a shorter one but where the document begins, and the sum of
@@ -26,7 +26,8 @@ class Model:
     order: int = 3
     alpha: float = 0.4  # what a word loses for each order that its n-gram is too rare for
     sample: int = 64  # one in so many documents shows which n-grams are hot
-    salt: int = 64  # places over which a hot n-gram is dealt out
+    salt: int = 64  # places over which a hot n-gram, or the others of a hot context, are dealt out
+    turns: int = 2  # parts of all contexts that are counted one after the other: more of them need less disk, but read the texts as often
 
 
 def words(text: Column) -> Column:
@@ -48,17 +49,23 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).withColumn("n", F.size("h"))
 
 
-def _exploded(docs: DataFrame, m: int, highest: bool) -> DataFrame:
-    """(key, g, w): every n-gram of order m and how often it counts in its document's sum: 1, 0 or -1."""
-    each = _hashed(docs).select("key", "n", F.posexplode(grams("h", m)).alias("i", "g"))
-    inside = F.when((F.col("i") >= 1) & (F.col("i") < F.col("n") - m), -1).otherwise(0)
-    w = F.lit(1) if highest else F.when(F.col("n") == m, 1).otherwise(inside)
-    return each.select("key", "g", w.cast("byte").alias("w"))
+def _exploded(docs: DataFrame, m: int) -> DataFrame:
+    """(key, g): every n-gram of order m."""
+    return _hashed(docs).select("key", F.explode(grams("h", m)).alias("g"))
+
+
+def _contexts(docs: DataFrame, m: int) -> DataFrame:
+    """(key, g, t, w): every context, an n-gram g of order m - 1, with the n-gram t of order m that it begins (null for a document's last), and how often the
+    context itself counts in its document's sum: -1 inside, 1 for a document that is no longer, else 0."""
+    each = _hashed(docs).withColumn("c", grams("h", m - 1))
+    each = each.select("key", "n", "h", F.posexplode("c").alias("i", "g")).withColumn("next", F.get("h", F.col("i") + (m - 1)))
+    w = F.when(F.col("n") == m - 1, 1).when((F.col("i") >= 1) & F.col("next").isNotNull(), -1).otherwise(0)
+    return each.select("key", "g", F.when(F.col("next").isNotNull(), F.xxhash64("g", "next")).alias("t"), w.cast("byte").alias("w"))
 
 
 def hot_grams(docs: DataFrame, m: int, o: Model) -> DataFrame:
     """(g): n-grams that are more than one in 4 * partitions of a sample's, so at most as many rows."""
-    rows = _exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m, True)
+    rows = _exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m)
     counts = materialise(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "sampled")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     hot = materialise(counts.filter(F.col("c") * (4 * partitions(docs.sparkSession)) > total).filter("c > 8").select("g"), "hot")
@@ -67,36 +74,42 @@ def hot_grams(docs: DataFrame, m: int, o: Model) -> DataFrame:
 
 
 def _sums(docs: DataFrame, m: int, o: Model) -> DataFrame:
-    """(key, rows, part): number of a document's n-grams of order m, and the sum of the logarithms of their counts as they count.
+    """(key, rows, part): number of a document's contexts, and the sum of the logarithms of the counts of its n-grams of order m, less those of its inner contexts.
 
-    All rows of an n-gram meet in one task, which counts them, but for hot ones: those are dealt out over o.salt places, counted in each and these
-    counts added up, in a table with a row for each document and hot n-gram.
+    One exchange does for both orders, as an n-gram lies with its context: there each context gets its count, and each n-gram its. This is done for one part of all contexts after the
+    other, o.turns in all, so that no more than such a part is on its way at once. Hot n-grams are dealt out over o.salt places, and other
+    n-grams of hot contexts by themselves; what is hot is counted where it lies and these counts are added up, in a table with a row for each document and hot n-gram or context.
     """
-    highest, hot = m == o.order, hot_grams(docs, m, o)
-    rows = _exploded(docs, m, highest)
-    if highest:
-        rows = rows.drop("w")  # always 1
-    if hot.seen["rows"]:
-        rows = rows.join(F.broadcast(hot.withColumn("hot", F.col("g"))), "g", "left")
-        rows = rows.withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod("key", F.lit(o.salt))))
-        there = Window.partitionBy("g", "salt")
-    else:
-        there = Window.partitionBy("g")
-    rows = rows.withColumn("of", F.log10(F.count(F.lit(1)).over(there).cast("double")))
-    if not hot.seen["rows"]:
-        rows = rows.withColumn("hot", F.lit(None).cast("long"))
-    if highest:
-        rows = rows.withColumn("w", F.lit(1).cast("byte"))
-    logs = F.when(F.col("hot").isNull(), F.col("w") * F.col("of")).otherwise(0.0)
-    one = rows.select("key", "hot", "w", logs.alias("log")).groupBy("key", "hot").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum("log").alias("part"))
-    held = materialise(one, "held")
-    totals = held.filter("hot is not null").groupBy("hot").agg(F.log10(F.sum("rows").cast("double")).alias("of_hot"))
-    both = held.join(F.broadcast(totals), "hot", "left").withColumn("part", F.col("part") + F.coalesce(F.col("w") * F.col("of_hot"), F.lit(0.0)))
-    out = materialise(both.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("part").alias("part")), "sums")
-    drop(hot, held)
+    hot_t, hot_g = hot_grams(docs, m, o), hot_grams(docs, m - 1, o)
+    every = None
+    for turn in range(o.turns):
+        rows = _contexts(docs, m).filter(F.pmod("g", F.lit(o.turns)) == turn)
+        rows = rows.join(F.broadcast(hot_t.withColumnRenamed("g", "ht")), F.col("t") == F.col("ht"), "left").join(F.broadcast(hot_g.withColumnRenamed("g", "hg")), F.col("g") == F.col("hg"), "left")
+        place = F.when(F.col("ht").isNotNull(), F.pmod("key", F.lit(o.salt))).when(F.col("hg").isNotNull(), F.pmod("t", F.lit(o.salt))).otherwise(0)
+        rows = rows.withColumn("place", F.coalesce(place, F.lit(0)).cast("int")).repartition("g", "place").sortWithinPartitions("g", "place", "t")
+        count = lambda *by: F.log10(F.count(F.lit(1)).over(Window.partitionBy("g", "place", *by)).cast("double"))
+        rows = rows.withColumns({"of_t": count("t"), "of_g": count()})
+        log = F.when(F.col("t").isNotNull() & F.col("ht").isNull(), F.col("of_t")).otherwise(0.0) + F.when(F.col("hg").isNull(), F.col("w") * F.col("of_g")).otherwise(0.0)
+        one = rows.select("key", "ht", "hg", "w", log.alias("log")).groupBy("key", "ht", "hg").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum("log").alias("part"))
+        held = materialise(one, "held")
+        every = held if every is None else every.unionByName(held)
+    total = lambda c: F.broadcast(every.filter(F.col(c).isNotNull()).groupBy(c).agg(F.log10(F.sum("rows").cast("double")).alias(f"of_{c}")))
+    both = every.join(total("ht"), "ht", "left").join(total("hg"), "hg", "left")
+    part = F.col("part") + F.coalesce(F.col("rows") * F.col("of_ht"), F.lit(0.0)) + F.coalesce(F.col("w") * F.col("of_hg"), F.lit(0.0))
+    out = materialise(both.withColumn("part", part).groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("part").alias("part")), "sums")
+    drop(hot_t, hot_g)
     return out
 
 
+def _single(docs: DataFrame) -> DataFrame:
+    """(key, rows, part): the same for single words, which have no context."""
+    rows = _exploded(docs, 1)
+    counts = rows.groupBy("g").agg(F.log10(F.count(F.lit(1)).cast("double")).alias("of"))
+    own = rows.groupBy("key", "g").agg(F.count(F.lit(1)).alias("rows"))
+    both = own.join(if_small(materialise(counts, "counts")), "g")
+    return materialise(both.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("of")).alias("part")), "sums")
+
+
 def _of_short(docs: DataFrame, base: DataFrame, m: int) -> DataFrame:
     """(key, part): logarithm of the count of a document's words as one n-gram, for documents of m words."""
     short = docs.join(if_small(materialise(base.filter(F.col("n") == m).select("key").distinct(), "short")), "key", "left_semi")
@@ -119,12 +132,11 @@ def backoff_scores(docs: DataFrame, o: Model = Model(), doc_id: str = "doc_id",
     rows = docs.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     base = materialise(rows.select("key", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).withColumn("n", F.col("n_words")), "base")
     total = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n, score, held = F.col("n"), F.lit(0.0), base
-    for m in (x for x in (o.order, o.order - 1) if x >= 1):
-        s = _sums(rows.select("key", "text"), m, o)
-        held = held.join(s.select("key", F.col("rows").alias(f"rows{m}"), F.col("part").alias(f"part{m}")), "key", "left")
-        # rows of equal id and text are in the sums together: each gets its share
-        score = score + F.coalesce(F.col(f"part{m}") * (n - (m - 1)) / F.col(f"rows{m}"), F.lit(0.0))
+    n, texts = F.col("n"), rows.select("key", "text")
+    sums = _sums(texts, o.order, o) if o.order > 1 else _single(texts)
+    held = base.join(sums, "key", "left")
+    # rows of equal id and text are in the sums together: each gets its share
+    score = F.coalesce(F.col("part") * (n - max(o.order - 2, 0)) / F.col("rows"), F.lit(0.0))
     for m in range(1, o.order - 1):
         if base.filter(n == m).limit(1).count():
             held = held.join(_of_short(rows.select("key", "text"), base, m).withColumnRenamed("part", f"short{m}"), "key", "left")

@@ -120,3 +120,37 @@ def test_crowds_are_dealt_out(spark, monkeypatch):
     found = jaccard_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), jaccard_join.Similar(words=3, percent=90, crowd=4)).collect()
     assert sorted(map(tuple, found), key=str) == brute_components(texts, 3, 90)
     assert "of_pivot" in levels and len({r["component_id"] for r in found}) > 1
+
+
+def test_short_items_are_found_whole(spark):
+    """Items of fewer words than a mask has, and of fewer than may differ, are found where all their words stand in a row; the shortest condemn no document."""
+    from spanforge.llm.decontaminate import find_overlaps, remove_contaminated
+
+    items = [(i, " ".join(f"t{k}" for k in range(i))) for i in range(1, 9)] + [(20, "t1 t2"), (21, "none here"), (22, "")]
+    docs = [(n, "x " + " ".join(f"t{k}" for k in range(n)) + " y") for n in range(10)] + [(50, "T0, T1 x t2 t3 t4 t5"), (51, "t0"), (52, "")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["doc_word"], r["matched_words"]) for r in find_overlaps(a, b).collect()}
+    wanted = {(n, i): (1, i) for n in range(10) for i in range(1, 9) if n >= i} | {(n, 20): (2, 2) for n in range(3, 10)}
+    wanted |= {(7, 8): (1, 7), (50, 1): (0, 1), (50, 2): (0, 2), (51, 1): (0, 1)}  # one of eight words may differ
+    assert got == wanted
+    assert sorted(r["doc_id"] for r in remove_contaminated(a, b).collect()) == [0, 1, 2, 3, 4, 50, 51, 52]
+
+
+def test_references_are_counted_once(spark):
+    """Texts go to Python once for a language's words, whatever is made of them."""
+    from spanforge.llm import quality_rules
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en") for i in range(50)], "doc_id long, text string, lang string")
+    calls = spark.sparkContext.accumulator(0)
+    find = quality_rules.find_words
+
+    def counted(data, at):
+        calls.add(1)
+        return find(data, at)
+
+    quality_rules.find_words = counted
+    try:
+        quality_rules.reference_table(docs.coalesce(1)).collect()
+    finally:
+        quality_rules.find_words = find
+    assert calls.value == 1
