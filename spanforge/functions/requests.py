@@ -25,6 +25,12 @@ ANSWER_FORM = (
     'Predict the subtask and active language memory that should be active now. Return JSON only with keys "current_skill", "current_subtask", and "active_language_memory".'
 )
 
+HEADS = ("Global Task Goal: ", "Input Language Memory: ", "Detailed Global Task Instruction: ", "Candidate Atomic Skills: [")
+QUESTION = ("[Question]\nTask Goal: ", "\nInput Language Memory: ", "\n\n[Reference Answer]\n", "\n\n[Assistant Answer]\n", "\n\nNow output JSON only.")
+UNROUTED = ("Unsupported message type '", "Payload must be a dict")
+COMPARE = ("\n[Reference Subtask]\n", "\n\n[Assistant Subtask]\n", "\n\nNow output JSON only.")
+NOTES = ("Follow the instruction where the rules allow it.", "Each image shows the head view above the wrist views, left before right.")
+
 
 def contains_any(c: Column, terms: list[str]) -> Column:
     """Whether the normalised text holds any of the normalised terms."""
@@ -90,12 +96,12 @@ def plan_text(steps: Column) -> Column:
 def policy_header(task: Column, memory: Column, plan: Column, detailed: Column, skills: tuple[str, ...], use_detailed: bool = False) -> Column:
     """What a policy is told before the images. The detailed instruction stands in only without a plan, and if it says more than the task."""
     given = lambda c: F.coalesce(c, F.lit("")) != ""
-    lines = [F.when(given(task), F.concat(F.lit("Global Task Goal: "), task)), F.when(given(memory), F.concat(F.lit("Input Language Memory: "), memory))]
+    lines = [F.when(given(task), F.concat(F.lit(HEADS[0]), task)), F.when(given(memory), F.concat(F.lit(HEADS[1]), memory))]
     if use_detailed:
-        lines.append(F.when(given(detailed) & (detailed != F.coalesce(task, F.lit(""))) & ~given(plan), F.concat(F.lit("Detailed Global Task Instruction: "), detailed)))
+        lines.append(F.when(given(detailed) & (detailed != F.coalesce(task, F.lit(""))) & ~given(plan), F.concat(F.lit(HEADS[2]), detailed)))
     else:
         lines.append(F.when(given(plan), plan))
-    return F.concat_ws("\n", *lines, F.lit("Candidate Atomic Skills: [" + ", ".join(skills) + "]"))
+    return F.concat_ws("\n", *lines, F.lit(HEADS[3] + ", ".join(skills) + "]"))
 
 
 def policy_prompt(header: Column, views: Column) -> Column:
@@ -107,10 +113,32 @@ def policy_prompt(header: Column, views: Column) -> Column:
 def judge_prompt(rules: str, task: Column, memory: Column, subtask: Column, active: Column, answer: Column) -> Column:
     """Question, reference answer as JSON and the assistant's answer, after the rules."""
     reference = F.to_json(F.struct(subtask.alias("current_subtask"), active.alias("active_language_memory")))
-    parts = [F.lit(rules), F.lit("[Question]\nTask Goal: "), task, F.lit("\nInput Language Memory: "), memory, F.lit("\n\n[Reference Answer]\n"), reference, F.lit("\n\n[Assistant Answer]\n"), answer, F.lit("\n\nNow output JSON only.")]
+    parts = [F.lit(rules), *[x for q, a in zip(QUESTION, (task, memory, reference, answer), strict=False) for x in (F.lit(q), a)], F.lit(QUESTION[4])]
+    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def compare_prompt(rules: list[str], reference: Column, candidate: Column) -> Column:
+    """What a judge is asked about two subtasks: the rules, a line each, the reference, the candidate. Null texts are empty."""
+    parts = [F.lit("".join(f"{r}\n" for r in rules)), F.lit(COMPARE[0]), reference, F.lit(COMPARE[1]), candidate, F.lit(COMPARE[2])]
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts])
 
 
+def annotation_prompt(rules: list[str], sample: Column, frames: Column, fps: Column, skills: tuple[str, ...], instruction: Column, stitched: Column, notes: tuple[str, str] = NOTES) -> Column:
+    """What an annotator is told of a video: what it is given, the rules with numbers, and an answer's form filled with what is known.
+
+    instruction: taken in only if it isn't blank, with notes[0]; stitched: whether images show several views, which notes[1] explains.
+    """
+    some = F.nullif(strip(instruction), F.lit(""))
+    given = [
+        F.concat(F.lit("- sample_id: "), sample), F.concat(F.lit("- total_frames: "), frames.cast("string")), F.concat(F.lit("- fps: "), fps.cast("string")), F.lit(f"- allowed_atomic_skills: [{', '.join(skills)}]"),
+        F.concat(F.lit("- task_instruction: "), some, F.lit(f"\n{notes[0]}")), F.when(stitched, F.lit(notes[1])),
+    ]
+    numbered = "\n".join(f"{i}. {r}" for i, r in enumerate(rules, 1))
+    segment = F.struct(F.lit(0).alias("seg_id"), F.lit(0).alias("start_frame"), (frames - 1).alias("end_frame"), F.lit("").alias("substask"), F.lit("").alias("primitive_skill"))
+    form = F.to_json(F.struct(sample.alias("sample_id"), frames.alias("nframes"), fps.alias("fps"), F.lit("").alias("task"), F.array(segment).alias("segments")))
+    return F.concat_ws("\n", F.lit("Input:"), *given, F.lit(f"Rules:\n{numbered}"), F.lit("Answer with JSON alone, in this form:"), form)
+
+
 def join_path(base: Column, rel: Column) -> Column:
     """rel under base; as it is if it is absolute or names a store itself. Local paths lose `.` and `..`."""
     absolute = F.regexp_like(rel, F.lit(STORE)) | F.startswith(rel, F.lit("/"))
@@ -215,8 +243,8 @@ def routed(message: Column) -> Column:
     is_object = F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json(payload)), F.lit("")), F.lit("OBJECT"))
     request = F.coalesce(F.when(is_object, F.get_json_object(payload, "$.request_id")), get("$.request_id"), F.lit("default"))
     error = (
-        F.when(F.try_parse_json(message).isNull(), "no_json").when(kind == "ping", None).when(kind != "infer", F.concat(F.lit("Unsupported message type '"), kind, F.lit("'")))
-        .when(~is_object, "Payload must be a dict")
+        F.when(F.try_parse_json(message).isNull(), "no_json").when(kind == "ping", None).when(kind != "infer", F.concat(F.lit(UNROUTED[0]), kind, F.lit("'")))
+        .when(~is_object, UNROUTED[1])
     )
     name = F.when(kind == "ping", "ping").when(kind == "infer", "inference_result").otherwise("unknown")
     return F.struct(

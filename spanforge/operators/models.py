@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanforge.functions.score import LEVELS
 
@@ -80,6 +81,27 @@ def judged(rows: DataFrame, reference: str, answer: str, make: Callable[[], Call
     return rows.mapInPandas(run, schema)
 
 
+def rescored(details: DataFrame, least: float, make: Callable[[], Callable[[str, str], dict]] = lambda: overlap_judge) -> DataFrame:
+    """details with neighbor_prev_judge_score and neighbor_next_judge_score: stored answers under `least` held by a judge against the subtasks before and after.
+
+    details: (subtask_judge_score, pred_current_subtask, neighbor_previous_subtask, neighbor_next_subtask, ...). A blank answer or neighbour scores 0 without a judge; other rows have nulls. Only
+    texts that are asked about go to the judge, each pair of them once.
+    """
+    low = F.col("subtask_judge_score") < least
+    sides = {"neighbor_prev_judge_score": "neighbor_previous_subtask", "neighbor_next_judge_score": "neighbor_next_subtask"}
+    asked = None
+    for side in sides.values():
+        pairs = details.filter(low).select(F.trim(side).alias("__r"), F.trim("pred_current_subtask").alias("__a")).filter("__r <> '' and __a <> ''")
+        asked = pairs if asked is None else asked.union(pairs)
+    scores = judged(asked.distinct(), "__r", "__a", make).select("__r", "__a", "subtask_score")
+    out = details
+    for name, side in sides.items():
+        s = scores.withColumnsRenamed({"__r": f"__r{name}", "__a": f"__a{name}", "subtask_score": f"__s{name}"})
+        out = out.join(s, (F.trim(out[side]) == s[f"__r{name}"]) & (F.trim(out["pred_current_subtask"]) == s[f"__a{name}"]), "left")
+        out = out.withColumn(name, F.when(low, F.coalesce(f"__s{name}", F.lit(0.0)))).drop(f"__r{name}", f"__a{name}", f"__s{name}")
+    return out
+
+
 class ArrayVideo:
     """A decoder of videos kept as NumPy archives: `frames` (n, height, width, 3) bytes and `fps`. Others have the same three methods."""
 

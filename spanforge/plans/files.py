@@ -142,25 +142,50 @@ def list_videos(spark, d):
 
 
 #: Files of three cameras: one exact, one by its last part twice, one only within a name, one nowhere.
-VIDEOS = [("r/cam_high/episode_000007.mp4",), ("r/left/episode_000007.mp4",), ("r/x/left/episode_7.mp4",), ("r/my_right_cam/ep-000007.MKV",), ("r/cam_high/episode_000008.mp4",), ("r/notes/episode_000007.txt",)]
 
 
-@query("s_discover_videos", """select * from (values ('observation.cam_high', 'r/cam_high/episode_000007.mp4', null), ('right', 'r/my_right_cam/ep-000007.MKV', null), ('left', 'r/left/episode_000007.mp4', null), ('gripper', null, 'missing')) v(key, path, issue)""", views=False)
+def _listing(spark, d):
+    """A listing of videos: each customer is an episode, some without a left view, some with two, some with two right ones."""
+    c = px.table(spark, d, "customer").select(F.col("c_custkey").alias("i"))
+    name = lambda form: F.format_string(form, F.col("i"))
+    held = [
+        name("r/cam_high/episode_%06d.mp4"), name("r/my_right_cam/ep-%06d.MKV"), F.when(F.pmod("i", F.lit(5)) != 0, name("r/left/episode_%06d.mp4")), F.when(F.pmod("i", F.lit(7)) == 0, name("b/left/episode_%06d.mov")),
+        F.when(F.pmod("i", F.lit(11)) == 0, name("b/right_too/%06d/Episode%08d.webm".replace("%06d", "x"))), name("r/gripper/episode_%06d.txt"),
+    ]
+    return c.select("i", F.explode(F.array_compact(F.array(*held))).alias("path"))
+
+
+@query("s_discover_videos", """with c as (select c_custkey as i, printf('%06d', c_custkey) as n from customer)
+select i as episode_index, 'observation.cam_high' as key, 'r/cam_high/episode_' || n || '.mp4' as path, null as issue from c
+union all select i, 'right', case when i % 11 <> 0 then 'r/my_right_cam/ep-' || n || '.MKV' end, case when i % 11 = 0 then 'ambiguous_fuzzy' end from c
+union all select i, 'left', case when i % 5 <> 0 and i % 7 <> 0 then 'r/left/episode_' || n || '.mp4' when i % 5 = 0 and i % 7 = 0 then 'b/left/episode_' || n || '.mov' end,
+    case when i % 5 = 0 and i % 7 <> 0 then 'missing' when i % 5 <> 0 and i % 7 = 0 then 'ambiguous_exact' end from c
+union all select i, 'gripper', null, 'missing' from c""", views=False)
 def discover(spark, d):
-    files = spark.createDataFrame(VIDEOS, "path string")
-    return fl.discover_videos(files, ["observation.cam_high", "left", "right", "gripper"], 7)
+    files = _listing(spark, d)
+    return fl.discover_each(files, ["observation.cam_high", "left", "right", "gripper"], files.select(F.col("i").alias("episode_index")))
 
 
-@query("s_ambiguous_videos", "select * from (values ('cam_high', null, 'ambiguous_exact'), ('ep', null, 'ambiguous_fuzzy'), ('cam.my_right_cam', 'r/my_right_cam/ep-000007.MKV', null)) v(key, path, issue)", views=False)
+@query("s_ambiguous_videos", """select 'cam_high' as key, null as path, 'ambiguous_exact' as issue union all select 'ation', null, 'ambiguous_fuzzy' union all select 'cam.' || n_name, 'r/cam_high/' || n_name || '.mp4', null from nation where n_nationkey = 7
+union all select 'wrist', null, 'missing'""", views=False)
 def ambiguous(spark, d):
-    return fl.discover_videos(spark.createDataFrame(VIDEOS, "path string"), ["cam_high", "ep", "cam.my_right_cam"])
+    n = px.table(spark, d, "nation")
+    one = n.filter("n_nationkey = 7").first()["n_name"]  # a row of the nations, of which there are 25
+    files = n.select(F.concat(F.lit("r/cam_high/"), "n_name", F.lit(".mp4")).alias("path")).union(n.select(F.concat(F.lit("stations/"), F.col("n_nationkey").cast("string"), F.lit("/clip.mov"))))
+    return fl.discover_videos(files, ["cam_high", "ation", f"cam.{one}", "wrist"])
 
 
-@query("s_sibling_views", """select * from (values ('r/observation.images.cam_high/e1.mp4', 'head', 'r/observation.images.cam_high/e1.mp4'), ('r/observation.images.cam_high/e1.mp4', 'left', 'r/observation.images.cam_left_wrist/e1.mp4'),
-    ('q/top/e2.mp4', 'head', 'q/top/e2.mp4'), ('q/top/e2.mp4', 'right', 'q/a_Right_Wrist/e2.mp4')) v(path, view, view_path)""", views=False)
+@query("s_sibling_views", """with c as (select c_custkey as i, 'r' || c_custkey as r, 'q' || c_custkey as q from customer)
+select r || '/observation.images.cam_high/e.mp4' as path, 'head' as view, r || '/observation.images.cam_high/e.mp4' as view_path from c union all select r || '/observation.images.cam_high/e.mp4', 'left', r || '/observation.images.cam_left_wrist/e.mp4' from c where i % 2 = 0
+union all select r || '/observation.images.cam_high/e.mp4', 'right', r || '/observation.images.cam_right_wrist/e.mp4' from c where i % 3 = 0
+union all select q || '/top/e.mp4', 'head', q || '/top/e.mp4' from c union all select q || '/top/e.mp4', 'right', q || case when i % 5 = 0 then '/a_Right_Wrist/e.mp4' else '/b_right_wrist/e.mp4' end from c""", views=False)
 def siblings(spark, d):
-    files = ["r/observation.images.cam_high/e1.mp4", "r/observation.images.cam_left_wrist/e1.mp4", "q/top/e2.mp4", "q/a_Right_Wrist/e2.mp4", "q/b_right_wrist/e2.mp4", "q/left_wrist/other.mp4"]
-    return fl.sibling_views(spark.createDataFrame([(files[0],), (files[2],)], "path string"), spark.createDataFrame([(x,) for x in files], "path string"))
+    c = px.table(spark, d, "customer").select(F.col("c_custkey").alias("i"))
+    at = lambda root, rest: F.concat(F.lit(root), F.col("i").cast("string"), F.lit(rest))
+    heads = c.select(F.explode(F.array(at("r", "/observation.images.cam_high/e.mp4"), at("q", "/top/e.mp4"))).alias("path"))
+    wrists = [F.when(F.pmod("i", F.lit(k)) == 0, at(r, f"/{x}/e.mp4")) for r, k, x in (("r", 2, "observation.images.cam_left_wrist"), ("r", 3, "observation.images.cam_right_wrist"), ("q", 5, "a_Right_Wrist"), ("q", 1, "b_right_wrist"))]
+    other = c.select(F.explode(F.array_compact(F.array(*wrists, at("q", "/left_wrist/other.mp4")))).alias("path"))
+    return fl.sibling_views(heads, heads.union(other))
 
 
 @query("s_registry", "select * from (values ('BUILDING', 0.25::double), ('MACHINERY', 1.0::double)) v(dataset_name, sampling_rate)", views=False)
@@ -168,36 +193,87 @@ def registry(spark, d):
     return cf.from_registry(px.table(spark, d, "customer").select(F.col("c_mktsegment").alias("dataset_name")).distinct(), ["BUILDING%25", "MACHINERY"])
 
 
-@query("s_inline_configs", "select * from (values (0, 'a/b/e.jsonl', 'a/b', '8'), (1, 'e.json', '.', null), (2, 'x/e.json', '/v', null)) v(pos, annotation_path, data_path, step)", views=False)
+@query("s_inline_configs", "select r_regionkey::bigint as pos, r_name || '/x/e.jsonl' as annotation_path, case when r_regionkey % 2 = 0 then r_name || '/x' else '/v' end as data_path, (r_regionkey + 8)::varchar as step from region", views=False)
 def inline(spark, d):
-    rows = cf.resolve_configs(spark, " annotation_path=a/b/e.jsonl ; sample_interleave = 8, annotation_path=e.json,annotation_path=x/e.json;data_path=/v,")
+    r = px.table(spark, d, "region").orderBy("r_regionkey").collect()  # the regions, of which there are 5, as a line of text
+    text = ", ".join(f" annotation_path={x['r_name']}/x/e.jsonl ; sample_interleave = {x['r_regionkey'] + 8}{';data_path=/v' if x['r_regionkey'] % 2 else ''}" for x in r)
+    rows = cf.resolve_configs(spark, text + ",")
     return rows.select("pos", *[F.col("config")[c].alias(n) for c, n in (("annotation_path", "annotation_path"), ("data_path", "data_path"), ("sample_interleave", "step"))])
 
 
-@query("s_config_file", "select k.kind, c_custkey from (select c_custkey from customer where c_custkey <= 9), (values ('list'), ('datasets')) k(kind) union all select 'one', 3", views=False)
+@query("s_config_file", "select k.kind, n_nationkey from nation, (values ('list'), ('datasets')) k(kind) union all select 'one', min(n_nationkey) from nation", views=False)
 def config_file(spark, d):
     root, found = wr.scratch(spark, "configs"), []
-    some = px.table(spark, d, "customer").filter("c_custkey <= 9")
-    one = _document(some, "c_custkey")
-    for kind, rows in {"list": one, "datasets": one.select(F.concat(F.lit('{"datasets":'), "value", F.lit("}")).alias("value")), "one": spark.createDataFrame([('{"c_custkey": 3}',)], "value string")}.items():
+    n = px.table(spark, d, "nation")
+    one = _document(n, "n_nationkey")  # a file holds one document: here the 25 nations
+    single = n.agg(F.to_json(F.struct(F.min("n_nationkey").alias("n_nationkey"))).alias("value"))
+    for kind, rows in {"list": one, "datasets": one.select(F.concat(F.lit('{"datasets":'), "value", F.lit("}")).alias("value")), "one": single}.items():
         rows.coalesce(1).write.text(f"{root}/{kind}")
-        found.append(cf.resolve_configs(spark, path=f"{root}/{kind}").select(F.lit(kind).alias("kind"), F.col("config")["c_custkey"].cast("long").alias("c_custkey")))
+        found.append(cf.resolve_configs(spark, path=f"{root}/{kind}").select(F.lit(kind).alias("kind"), F.col("config")["n_nationkey"].cast("int").alias("n_nationkey")))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-CONFIGS = [(0, "robo-Long", "long"), (1, "robo_subtask_val", "val"), (2, "robo_kitchen", "x"), (3, "other_counting", "counting"), (4, "ROBO_spatial", "spatial")]
+def _configs(spark, d):
+    """A dataset for each customer, named by its segment, number and kind of task."""
+    kind = F.element_at(F.array(F.lit("spatial"), F.lit("Counting"), F.lit("long")), (F.pmod("c_custkey", F.lit(3)) + 1).cast("int"))
+    c = px.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("pos"), F.concat_ws("-", F.lower("c_mktsegment"), F.when(F.col("c_custkey") > 20, F.col("c_custkey").cast("string")), kind).alias("dataset_name"), F.lower(kind).alias("task_type"))
+
+
+CONFIGS = """with g as (select c_custkey as pos, lower(c_mktsegment) || case when c_custkey > 20 then '-' || c_custkey else '' end || '-' || ['spatial', 'Counting', 'long'][c_custkey % 3 + 1] as dataset_name, ['spatial', 'counting', 'long'][c_custkey % 3 + 1] as task_type, lower(c_mktsegment) as m from customer)
+"""
 
 
-@query("p_config_pick", "select * from (values ('tag', 0, 'robo-Long'), ('name', 4, 'ROBO_spatial'), ('prefix', 3, 'other_counting')) v(how, pos, dataset_name)", views=False)
+@query("p_config_pick", CONFIGS + """select 'tag' as how, min(pos) as pos, arg_min(dataset_name, pos) as dataset_name from g where m = 'building' and pos <= 20 having count(*) > 0
+union all select 'prefix', min(pos), arg_min(dataset_name, pos) from g where m = 'machinery' and pos > 20 and dataset_name like 'machinery-2%' and task_type = 'long' having count(*) > 0
+union all select 'name', pos, dataset_name from g where pos = 33""", views=False)
 def pick(spark, d):
-    c = spark.createDataFrame(CONFIGS, "pos long, dataset_name string, task_type string")
-    found = [cf.pick_config(c, *a).withColumn("how", F.lit(h)) for h, a in (("tag", ("Robo",)), ("name", ("", "robo-spatial")), ("prefix", ("other",)), ("none", ("nothing",)))]
+    c = _configs(spark, d)
+    name = c.filter("pos = 33").first()["dataset_name"]  # of one customer
+    some = c.filter("dataset_name like 'machinery-2%' and task_type = 'long' and pos > 20")
+    found = [cf.pick_config(c, "Building").withColumn("how", F.lit("tag")), cf.pick_config(some, "MACHINERY").withColumn("how", F.lit("prefix")), cf.pick_config(c, "", name.upper().replace("-", "_")).withColumn("how", F.lit("name")), cf.pick_config(c, "nothing").withColumn("how", F.lit("none"))]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.select("how", "pos", "dataset_name")
 
 
+@query("p_config_slice", CONFIGS + "select pos, dataset_name from g where task_type = 'counting' and dataset_name like 'building%'", views=False)
+def config_slice(spark, d):
+    c = _configs(spark, d).withColumn("dataset_name", F.replace("dataset_name", F.lit("-"), F.lit("_")))
+    return cf.slice_configs(c, "counting", "building").select("pos", F.replace("dataset_name", F.lit("_"), F.lit("-")).alias("dataset_name"))
+
+
+@query("s_task_map", "select c_custkey, n_name as task from customer join nation on n_nationkey = c_nationkey", views=False)
+def task_map(spark, d):
+    root = wr.scratch(spark, "tasks")
+    px.table(spark, d, "nation").select(F.col("n_nationkey").alias("task_index"), F.concat(F.lit(" "), "n_name", F.lit(" ")).alias("task")).write.json(f"{root}/meta/tasks.jsonl")
+    tasks = es.read_task_map(spark, root)
+    return px.table(spark, d, "customer").join(tasks, F.col("c_nationkey") == F.col("task_index")).select("c_custkey", "task")
+
+
+@query("k_save_posted", """, p as (select episode_index, length, n, episode_index * 3 + n as number, case when n = 0 then 'ok' else ['ok', 'missing body', 'invalid length', 'too long', 'no JSON', 'no object', 'not_covered', 'empty'][cast(episode_index % 8 + 1 as int)] end as error from e, (values (0), (1)) v(n)),
+good as (select episode_index, max(n) as n from p where error = 'ok' group by episode_index)
+select 'told' as kind, number, episode_index, nullif(error, 'ok') as error, null as text from p
+union all select 'saved', null, good.episode_index, null, string_agg(seg_id || ':' || start_frame || '-' || end_frame || ' ' || case when n = 0 then text else 'new' end, '|' order by seg_id) from good join s on s.episode_index = good.episode_index group by good.episode_index, n""")
+def save_posted(spark, d):
+    from spanforge.sinks.posted import SAVED, save
+
+    e, out = px.episodes(spark, d), wr.scratch(spark, "posted")
+    body = lambda text, config="action_config": F.to_json(F.struct(F.lit(" go ").alias("task_text"), F.transform(config, lambda x: F.struct(x["end_frame"].cast("string").alias("end_frame"), F.concat(F.lit(" "), text(x)).alias("action_text"), x["skill"].alias("skill"))).alias("action_config")))
+    e = e.withColumn("first", F.slice("action_config", F.lit(1), F.size("action_config") - 1)).withColumn("none", F.slice("action_config", 1, 0))
+    good, m = body(lambda x: F.lit("new")), F.pmod("episode_index", F.lit(8))
+    bad = F.when(m == 4, F.lit("{oops")).when(m == 5, F.lit("[1]")).when(m == 6, body(lambda x: F.lit("new"), "first")).when(m == 7, body(lambda x: F.lit("new"), "none")).otherwise(good)
+    header = F.when(m == 1, F.lit(" ")).when(m == 2, F.lit("many")).when(m == 3, F.lit("10485761")).otherwise(F.length(bad).cast("string"))
+    lengths = e.select("episode_index", "length")
+    first = body(lambda x: x["text"])
+    a = save(e.select((F.col("episode_index") * 3).alias("number"), "episode_index", F.length(first).cast("string").alias("header"), first.cast("binary").alias("body")), lengths, out)
+    b = save(e.select((F.col("episode_index") * 3 + 1).alias("number"), "episode_index", header.alias("header"), bad.cast("binary").alias("body")), lengths, out)
+    config = F.array_join(F.transform("action_config", lambda x: F.concat(x["seg_id"].cast("string"), F.lit(":"), x["start_frame"].cast("string"), F.lit("-"), x["end_frame"].cast("string"), F.lit(" "), x["action_text"])), "|")
+    saved = spark.read.schema(SAVED).json(out).select(F.lit("saved").alias("kind"), F.lit(None).cast("long").alias("number"), "episode_index", F.lit(None).cast("string").alias("error"), config.alias("text"))
+    return a.union(b).select(F.lit("told").alias("kind"), "number", "episode_index", "error", F.lit(None).cast("string").alias("text")).unionByName(saved)
+
+
 @query("j_config_episodes", "select o_orderkey, o_orderpriority, o_totalprice * case when o_orderpriority = '1-URGENT' then 2 else 1 end as weighted from orders where o_orderpriority < '4'", views=False)
 def config_episodes(spark, d):
     o = px.table(spark, d, "orders").withColumn("dataset_name", F.col("o_orderpriority"))

@@ -45,6 +45,12 @@ scalar("f_policy_header", f"""case when k % 2 = 0 then 'Global Task Goal: go' ||
 scalar("f_policy_prompt", f"'H' || chr(10) || 'Image 1 (head view):' || chr(10) || 'Image 2 (' || event_type || '):' || chr(10) || '{rq.ANSWER_FORM}' as prompt", lambda: [("prompt", rq.policy_prompt(F.lit("H"), F.array(F.lit("head view"), F.col("event_type"))))])
 scalar("f_judge_prompt", """'R[Question]' || chr(10) || 'Task Goal: t' || chr(10) || 'Input Language Memory: ' || chr(10) || chr(10) || '[Reference Answer]' || chr(10) || '{"current_subtask":"' || event_type || '","active_language_memory":"m"}' || chr(10) || chr(10) || '[Assistant Answer]' || chr(10) || k || chr(10) || chr(10) || 'Now output JSON only.' as prompt""",
        lambda: [("prompt", rq.judge_prompt("R", F.lit("t"), F.lit(None).cast("string"), F.col("event_type"), F.lit("m"), F.col("k").cast("string")))])
+scalar("f_compare_prompt", """'be strict' || chr(10) || 'be brief' || chr(10) || chr(10) || '[Reference Subtask]' || chr(10) || event_type || chr(10) || chr(10) || '[Assistant Subtask]' || chr(10) || case when k % 2 = 0 then k::varchar else '' end || chr(10) || chr(10) || 'Now output JSON only.' as prompt""",
+       lambda: [("prompt", rq.compare_prompt(["be strict", "be brief"], F.col("event_type"), F.when(F.pmod("k", F.lit(2)) == 0, F.col("k").cast("string"))))])
+scalar("f_annotation_prompt", f"""'Input:' || chr(10) || '- sample_id: e' || event_id || chr(10) || '- total_frames: ' || (k + 1) || chr(10) || '- fps: 10.0' || chr(10) || '- allowed_atomic_skills: [{_skills}]' || chr(10)
+    || case when k % 3 = 0 then '- task_instruction: tidy ' || event_type || chr(10) || '{rq.NOTES[0]}' || chr(10) else '' end || case when k % 2 = 0 then '{rq.NOTES[1]}' || chr(10) else '' end || 'Rules:' || chr(10) || '1. cover all' || chr(10) || '2. no gaps' || chr(10)
+    || 'Answer with JSON alone, in this form:' || chr(10) || '{{"sample_id":"e' || event_id || '","nframes":' || (k + 1) || ',"fps":10.0,"task":"","segments":[{{"seg_id":0,"start_frame":0,"end_frame":' || k || ',"substask":"","primitive_skill":""}}]}}' as prompt""",
+       lambda: [("prompt", rq.annotation_prompt(["cover all", "no gaps"], F.concat(F.lit("e"), F.col("event_id").cast("string")), F.col("k") + 1, F.lit(10.0), SKILLS, F.when(F.pmod("k", F.lit(3)) == 0, F.concat(F.lit(" tidy "), "event_type")).otherwise(" "), F.pmod("k", F.lit(2)) == 0))])
 scalar("f_join_path", "['s3://b/x/e.mp4', '/abs/e', 'c:s3://b/e', '/d/e.mp4', '/f/e'][cast(k % 5 + 1 as int)] as path",
        lambda: [("path", rq.join_path(pick("k", "s3://b/x/", "/d", "/d", "/d/./x/", "/d"), pick("k", "./e.mp4", "/abs/e", "c:s3://b/e", "../e.mp4", "../../f//e")))])
 scalar("f_portable_path", "['x/e.json', '/other/e', 'e'][cast(k % 3 + 1 as int)] as path", lambda: [("path", rq.portable_path(pick("k", "/root/x/./e.json", "/other/e", "/root/y/../e"), "/root"))])
@@ -180,3 +186,14 @@ def _policy():
 @query("u_predict", "select event_id, case when k % 7 <> 0 then event_type || ':' || k end as answer, case when k % 7 = 0 then 'division by zero' end as error from f")
 def predict(spark, d):
     return md.predict(px.frames(spark, d).select("event_id", "event_type", "k"), _policy, "event_id long, answer string, error string", batch=1)
+
+
+@query("u_rescored", """, q as (select event_id, (k % 10) / 10.0::double as score, 'pick the ' || event_type as said, case when k % 3 = 0 then 'pick the view' end as before, case when k % 4 = 0 then ' ' else 'Pick the error.' end as after, event_type from f)
+select event_id, case when score < 0.5 then case when before is null then 0.0 when event_type = 'view' then 1.0 else 0.4 end::double end as before, case when score < 0.5 then case when trim(after) = '' then 0.0 when event_type = 'error' then 1.0 else 0.4 end::double end as after from q""")
+def rescored(spark, d):
+    m = lambda n: F.pmod("k", F.lit(n)) == 0
+    f = px.frames(spark, d).select(
+        "event_id", (F.pmod("k", F.lit(10)) / 10.0).alias("subtask_judge_score"), F.concat(F.lit("pick the "), "event_type").alias("pred_current_subtask"),
+        F.when(m(3), "pick the view").alias("neighbor_previous_subtask"), F.when(m(4), " ").otherwise("Pick the error.").alias("neighbor_next_subtask"),
+    )
+    return md.rescored(f, 0.5).select("event_id", F.col("neighbor_prev_judge_score").alias("before"), F.col("neighbor_next_judge_score").alias("after"))

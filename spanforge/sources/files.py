@@ -50,9 +50,9 @@ def load_annotation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_or_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(file, json): a JSON array if the file's first sign is [, else a row for each line; nothing for an empty file. One line comes to the driver."""
-    first = _lines(spark, path).limit(1).collect()
-    if first and first[0]["json"].startswith("["):
+    """(file, json): a JSON array if the file's first sign is [, else a row for each line; nothing for an empty file. One sign comes to the driver."""
+    first = _lines(spark, path).limit(1).select(F.left("json", F.lit(1)).alias("sign")).collect()
+    if first and first[0]["sign"] == "[":
         return _elements(spark, path, ()).select("file", "json")
     return _lines(spark, path)
 
@@ -166,18 +166,46 @@ def discover_videos(paths: DataFrame, keys: list[str], episode: int | None = Non
     if episode is not None:
         ranked = files.withColumn("__r", of_episode(F.col("path"), episode)).filter("__r is not null")
         files = ranked.join(ranked.agg(F.min("__r").alias("__m")), F.col("__r") == F.col("__m")).select("path")
+    wanted = paths.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string")
+    return _settled(wanted.join(_by_key(files, keys), "key", "left"))
+
+
+def _by_key(files: DataFrame, keys: list[str], *group: str) -> DataFrame:
+    """(group, key, tier, one, n): the best form in which any path names the key, the first such path and how many there are."""
     parts = F.transform(F.split("path", "/"), lookup_token)
     stem = lookup_token(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", ""))
-    named = files.select("path", parts.alias("parts"), stem.alias("stem"), F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
+    named = files.select(*group, "path", parts.alias("parts"), stem.alias("stem"), F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
     tier = F.lit(None).cast("int")
     for c in (lookup_token(F.regexp_extract("key", r"([^.]*)$", 1)), lookup_token(F.col("key"))):
         exact = (F.col("stem") == c) | F.array_contains("parts", c)
         tier = F.when(c == "", tier).when(exact, 0).when(F.contains(F.array_join("parts", ""), c), 1).otherwise(tier)
-    found = named.withColumn("tier", tier).filter("tier is not null").groupBy("key").agg(F.min("tier").alias("tier"), F.collect_list(F.struct("tier", "path")).alias("all"))
-    found = found.withColumn("best", F.filter("all", lambda x: x["tier"] == F.col("tier")))
-    wanted = paths.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string")
-    issue = F.when(F.col("best").isNull(), "missing").when(F.size("best") > 1, F.when(F.col("tier") == 0, "ambiguous_exact").otherwise("ambiguous_fuzzy"))
-    return wanted.join(found, "key", "left").select("key", F.when(issue.isNull(), F.col("best")[0]["path"]).alias("path"), issue.alias("issue"))
+    each = named.withColumn("tier", tier).filter("tier is not null").groupBy(*group, "key", "tier").agg(F.min("path").alias("one"), F.count_distinct("path").alias("n"))
+    return each.groupBy(*group, "key").agg(F.min(F.struct("tier", "one", "n")).alias("b")).select(*group, "key", "b.*")
+
+
+def _settled(found: DataFrame, *group: str) -> DataFrame:
+    issue = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, F.when(F.col("tier") == 0, "ambiguous_exact").otherwise("ambiguous_fuzzy"))
+    return found.select(*group, "key", F.when(issue.isNull(), F.col("one")).alias("path"), issue.alias("issue"))
+
+
+def discover_each(paths: DataFrame, keys: list[str], episodes: DataFrame) -> DataFrame:
+    """(episode_index, key, path, issue): `discover_videos` for every episode at once.
+
+    Each file goes to the episodes that the numbers in its path may mean, by strict and loose forms; an episode takes the better form's files. So files meet episodes by number, not each
+    other. episodes: (episode_index).
+    """
+    files = paths.select("path").filter(F.regexp_like("path", F.lit(VIDEO_FILES))).distinct()
+    low = F.lower("path")
+    strict = F.regexp_extract_all(low, F.lit(r"ep(?:isode)?[_-]?(\d{8}|\d{6})(?!\d)"), F.lit(1))
+    loose = F.filter(F.regexp_extract_all(low, F.lit(r"\d+"), F.lit(0)), lambda n: F.length(n).isin(6, 8) | ~F.startswith(n, F.lit("0")) | (n == "0"))
+    named = lambda found, rank: F.transform(F.array_distinct(F.transform(found, lambda n: n.cast("long"))), lambda n: F.struct(n.alias("episode_index"), F.lit(rank).alias("rank")))
+    each = files.select("path", F.inline(F.concat(named(strict, 0), named(loose, 1)))).filter("episode_index is not null").groupBy("path", "episode_index").agg(F.min("rank").alias("rank"))
+    each = each.join(episodes.select("episode_index").distinct(), "episode_index", "left_semi")
+    best = each.groupBy("episode_index").agg(F.min("rank").alias("least"))
+    some = each.join(best, "episode_index").filter("rank = least").select("episode_index", "path")
+    found = _by_key(some, keys, "episode_index")
+    wanted = episodes.select("episode_index").distinct().select("episode_index", F.explode(F.array(*[F.lit(k) for k in dict.fromkeys(keys)])).alias("key"))
+    return _settled(wanted.join(found, ["episode_index", "key"], "left"), "episode_index")
 
 
 def sibling_views(heads: DataFrame, files: DataFrame) -> DataFrame:
