@@ -13,12 +13,20 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.llm.batches import lean, slices, text_slices
 from spanforge.llm.storage import drop, if_small, materialise, partitions
+from spanforge.llm.words import _BASE, LOWER, find_words, hash_words, mix, text_bytes, windows
+
+NONE = np.zeros(0, "i8")
 
 
 @dataclass(frozen=True)
@@ -27,6 +35,7 @@ class Model:
     alpha: float = 0.4  # what a word loses for each order that its n-gram is too rare for
     sample: int = 64  # one in so many documents shows which n-grams are hot
     salt: int = 64  # places over which a hot n-gram, or the others of a hot context, are dealt out
+    rows: int = 1_500_000  # of a partition in which they are counted, about
     turns: int = 2  # parts of all contexts that are counted one after the other: more of them need less disk, but read the texts as often
 
 
@@ -49,74 +58,157 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).withColumn("n", F.size("h"))
 
 
-def _exploded(docs: DataFrame, m: int) -> DataFrame:
-    """(key, g): every n-gram of order m."""
-    return _hashed(docs).select("key", F.explode(grams("h", m)).alias("g"))
+def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and with which of them each text begins."""
+    data, at = text_bytes(column)
+    found = find_words(data, at)
+    return hash_words(LOWER[data], found.starts, found.ends), found.first
 
 
-def _contexts(docs: DataFrame, m: int) -> DataFrame:
-    """(key, g, t, w): every context, an n-gram g of order m - 1, with the n-gram t of order m that it begins (null for a document's last), and how often the
-    context itself counts in its document's sum: -1 inside, 1 for a document that is no longer, else 0."""
-    each = _hashed(docs).withColumn("c", grams("h", m - 1))
-    each = each.select("key", "n", "h", F.posexplode("c").alias("i", "g")).withColumn("next", F.get("h", F.col("i") + (m - 1)))
-    w = F.when(F.col("n") == m - 1, 1).when((F.col("i") >= 1) & F.col("next").isNotNull(), -1).otherwise(0)
-    return each.select("key", "g", F.when(F.col("next").isNotNull(), F.xxhash64("g", "next")).alias("t"), w.cast("byte").alias("w"))
+def word_count(texts: Column) -> Column:
+    """How many words a text has; null has none."""
 
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lean()
+        for column in batches:
+            found = [np.diff(find_words(*text_bytes(part)).first) for part in text_slices(column)]
+            yield pa.array(np.concatenate([np.zeros(0, "i8"), *found]).astype("i8"))
 
-def hot_grams(docs: DataFrame, m: int, o: Model) -> DataFrame:
-    """(g): n-grams that are more than one in 4 * partitions of a sample's, so at most as many rows."""
-    rows = _exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m)
-    counts = materialise(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "sampled")
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hot = materialise(counts.filter(F.col("c") * (4 * partitions(docs.sparkSession)) > total).filter("c > 8").select("g"), "hot")
-    drop(counts)
-    return hot
+    return F.arrow_udf(count, "long")(texts)
+
+
+def contexts(h: np.ndarray, first: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+    """(doc, g, t, ends, w): every context, the hash g of an n-gram of order m - 1, and that of the n-gram t of order m that it begins, but where it ends the document; w is how often the
+    context itself counts in the document's sum: -1 inside, 1 for a document that is no longer, else 0."""
+    g, at = windows(h, first, m - 1)
+    doc = np.searchsorted(first, at, side="right") - 1
+    ends = at + m - 1 >= first[doc + 1]
+    following = h[np.minimum(at + m - 1, len(h) - 1)] if len(h) else h
+    t = mix(g * _BASE + following)
+    begins = at == first[doc]
+    return doc, g.view("i8"), t.view("i8"), ends, np.where(ends, np.where(begins, 1, 0), np.where(begins, 0, -1)).astype("i1")
+
+
+ROWS = "key long, g long, t long, w byte, place int"
+
+
+def _exploded(docs: DataFrame, m: int, o: Model, turn: int | None = None, hot_t: np.ndarray = NONE, hot_g: np.ndarray = NONE) -> DataFrame:
+    """ROWS, one for each context; t is null for a document's last. turn: only contexts of this turn. place: over which hot ones are dealt out."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in slices(batches):
+            doc, g, t, ends, w = contexts(*_word_hashes(b.column(b.schema.get_field_index("text"))), m)
+            key = b.column(b.schema.get_field_index("key")).to_numpy()[doc]
+            own = slice(None) if turn is None else np.flatnonzero(g % o.turns == turn)
+            key, g, t, ends, w = key[own], g[own], t[own], ends[own], w[own]
+            place = np.where(np.isin(g, hot_g) & ~ends, t % o.salt, 0) if len(hot_g) else np.zeros(len(g), "i8")
+            place = np.where((np.isin(t, hot_t) & ~ends) | (np.isin(g, hot_g) & ends), key % o.salt, place) if len(hot_t) or len(hot_g) else place
+            for i in range(0, len(g), 1 << 17):
+                part = slice(i, i + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(g[part]), pa.array(t[part], mask=ends[part]), pa.array(w[part]), pa.array(place[part].astype("i4"))], ["key", "g", "t", "w", "place"])
 
+    return docs.select("key", "text").mapInArrow(explode, ROWS)
 
-def _sums(docs: DataFrame, m: int, o: Model) -> DataFrame:
+
+def _hot(rows: DataFrame, column: str) -> DataFrame:
+    """(g): what holds more than one in 4 * partitions of a sample's rows, so as many at most."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("c"))
+    return counts.filter((F.col("c") * (4 * partitions(rows.sparkSession)) > rows.count()) & (F.col("c") > 8)).select(F.col(column).alias("g"))
+
+
+def hot_grams(docs: DataFrame, m: int, o: Model) -> DataFrame:
+    """(g): n-grams of order m that are hot in a sample of the documents (key, text)."""
+    return _hot(_exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m, o), "t")
+
+
+def _counted(batches: Iterator[pa.RecordBatch], hot_t: np.ndarray, hot_g: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, ht, hg, rows, w, part) of a partition of ROWS, in which all rows of a context or n-gram that isn't hot are."""
+    lean()
+    held = list(batches)
+    if not held:
+        return
+    column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
+    key, g, w = column("key"), column("g"), column("w").astype("i8")
+    ends = np.concatenate([b.column("t").is_null().to_numpy(zero_copy_only=False) for b in held])
+    t = np.concatenate([pc.fill_null(b.column("t"), 0).to_numpy() for b in held])
+    del held
+    is_t, is_g = np.isin(t, hot_t) & ~ends, np.isin(g, hot_g)
+
+    def logs(x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x)
+        new = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
+        out = np.empty(len(x))
+        out[order] = np.repeat(np.log10(np.diff(np.append(new, len(x)))), np.diff(np.append(new, len(x))))
+        return out
+
+    part = np.where(is_g, 0.0, w * logs(g))
+    some = np.flatnonzero(~ends)
+    if len(some):
+        part[some] += np.where(is_t[some], 0.0, logs(t[some]))
+    by = np.lexsort((np.where(is_g, g, 0), is_g, np.where(is_t, t, 0), is_t, key)) if is_t.any() or is_g.any() else np.argsort(key)
+    k, a, b = key[by], np.where(is_t, t, 0)[by], np.where(is_g, g, 0)[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (is_t[by][1:] != is_t[by][:-1]) | (is_g[by][1:] != is_g[by][:-1])
+    at = np.flatnonzero(new)
+    sums = [np.add.reduceat(x, at) for x in (np.ones(len(by), "i8"), w[by], part[by])]
+    cols = [pa.array(k[at]), pa.array(a[at], mask=~is_t[by][at]), pa.array(b[at], mask=~is_g[by][at]), *map(pa.array, sums)]
+    yield pa.RecordBatch.from_arrays(cols, ["key", "ht", "hg", "rows", "w", "part"])
+
+
+def _sums(docs: DataFrame, m: int, total: int, o: Model) -> DataFrame:
     """(key, rows, part): number of a document's contexts, and the sum of the logarithms of the counts of its n-grams of order m, less those of its inner contexts.
 
     One exchange does for both orders, as an n-gram lies with its context: there each context gets its count, and each n-gram its. This is done for one part of all contexts after the
-    other, o.turns in all, so that no more than such a part is on its way at once. Hot n-grams are dealt out over o.salt places, and other
+    other, o.turns in all, so that no more than such a part is on its way at once, in partitions of about o.rows rows. Hot n-grams are dealt out over o.salt places, and other
     n-grams of hot contexts by themselves; what is hot is counted where it lies and these counts are added up, in a table with a row for each document and hot n-gram or context.
     """
-    hot_t, hot_g = hot_grams(docs, m, o), hot_grams(docs, m - 1, o)
+    sample = materialise(_exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m, o), "sampled")
+    hot_t, hot_g = (np.sort(np.array([r["g"] for r in _hot(sample, c).collect()], "i8")) for c in "tg")
     every = None
+    parts = max(partitions(docs.sparkSession), -(-total // (o.turns * o.rows)))
     for turn in range(o.turns):
-        rows = _contexts(docs, m).filter(F.pmod("g", F.lit(o.turns)) == turn)
-        rows = rows.join(F.broadcast(hot_t.withColumnRenamed("g", "ht")), F.col("t") == F.col("ht"), "left").join(F.broadcast(hot_g.withColumnRenamed("g", "hg")), F.col("g") == F.col("hg"), "left")
-        place = F.when(F.col("ht").isNotNull(), F.pmod("key", F.lit(o.salt))).when(F.col("hg").isNotNull(), F.pmod("t", F.lit(o.salt))).otherwise(0)
-        rows = rows.withColumn("place", F.coalesce(place, F.lit(0)).cast("int")).repartition("g", "place").sortWithinPartitions("g", "place", "t")
-        count = lambda *by: F.log10(F.count(F.lit(1)).over(Window.partitionBy("g", "place", *by)).cast("double"))
-        rows = rows.withColumns({"of_t": count("t"), "of_g": count()})
-        log = F.when(F.col("t").isNotNull() & F.col("ht").isNull(), F.col("of_t")).otherwise(0.0) + F.when(F.col("hg").isNull(), F.col("w") * F.col("of_g")).otherwise(0.0)
-        one = rows.select("key", "ht", "hg", "w", log.alias("log")).groupBy("key", "ht", "hg").agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum("log").alias("part"))
-        held = materialise(one, "held")
+        rows = _exploded(docs, m, o, turn, hot_t, hot_g).repartition(parts, "g", "place").drop("place")
+        held = materialise(rows.mapInArrow(lambda batches: _counted(batches, hot_t, hot_g), "key long, ht long, hg long, rows long, w long, part double"), "held")
         every = held if every is None else every.unionByName(held)
-    total = lambda c: F.broadcast(every.filter(F.col(c).isNotNull()).groupBy(c).agg(F.log10(F.sum("rows").cast("double")).alias(f"of_{c}")))
-    both = every.join(total("ht"), "ht", "left").join(total("hg"), "hg", "left")
+    of = lambda c: F.broadcast(every.filter(F.col(c).isNotNull()).groupBy(c).agg(F.log10(F.sum("rows").cast("double")).alias(f"of_{c}")))
+    both = every.join(of("ht"), "ht", "left").join(of("hg"), "hg", "left")
     part = F.col("part") + F.coalesce(F.col("rows") * F.col("of_ht"), F.lit(0.0)) + F.coalesce(F.col("w") * F.col("of_hg"), F.lit(0.0))
     out = materialise(both.withColumn("part", part).groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("part").alias("part")), "sums")
-    drop(hot_t, hot_g)
+    drop(sample)
     return out
 
 
+def _tally(docs: DataFrame, m: int, own: bool) -> DataFrame:
+    """(g, c) or, with own, (key, g, c): how often n-grams of order m occur, added up where the texts are before they are sent on."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for b in slices(batches):
+            g, at = windows(*(x := _word_hashes(b.column(b.schema.get_field_index("text")))), m)
+            key = b.column(b.schema.get_field_index("key")).to_numpy()[np.searchsorted(x[1], at, side="right") - 1] if own else np.zeros(len(g), "i8")
+            by = np.lexsort((g, key))
+            new = np.ones(len(by), bool)
+            new[1:] = (g[by][1:] != g[by][:-1]) | (key[by][1:] != key[by][:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(key[by][at]), pa.array(g[by][at].view("i8")), pa.array(np.diff(np.append(at, len(by))).astype("i8"))], ["key", "g", "c"])
+
+    found = docs.select("key", "text").mapInArrow(count, "key long, g long, c long")
+    return found.groupBy(*(["key"] if own else []), "g").agg(F.sum("c").alias("c"))
+
+
 def _single(docs: DataFrame) -> DataFrame:
     """(key, rows, part): the same for single words, which have no context."""
-    rows = _exploded(docs, 1)
-    counts = rows.groupBy("g").agg(F.log10(F.count(F.lit(1)).cast("double")).alias("of"))
-    own = rows.groupBy("key", "g").agg(F.count(F.lit(1)).alias("rows"))
-    both = own.join(if_small(materialise(counts, "counts")), "g")
-    return materialise(both.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum(F.col("rows") * F.col("of")).alias("part")), "sums")
+    counts = _tally(docs, 1, False).select("g", F.log10(F.col("c").cast("double")).alias("of"))
+    both = _tally(docs, 1, True).join(if_small(materialise(counts, "counts")), "g")
+    return materialise(both.groupBy("key").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("of")).alias("part")), "sums")
 
 
 def _of_short(docs: DataFrame, base: DataFrame, m: int) -> DataFrame:
     """(key, part): logarithm of the count of a document's words as one n-gram, for documents of m words."""
     short = docs.join(if_small(materialise(base.filter(F.col("n") == m).select("key").distinct(), "short")), "key", "left_semi")
-    own = materialise(_hashed(short).select("key", grams("h", m)[0].alias("g")).distinct(), "own")
-    wanted = own.select("g").distinct()
-    every = _hashed(docs).select(F.explode(grams("h", m)).alias("g"))
-    counts = every.join(if_small(materialise(wanted, "wanted")), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    own = materialise(_tally(short, m, True).select("key", "g"), "own")
+    counts = _tally(docs, m, False).join(if_small(materialise(own.select("g").distinct(), "wanted")), "g", "left_semi")
     return materialise(own.join(counts, "g").select("key", F.log10(F.col("c").cast("double")).alias("part")), "of_short")
 
 
@@ -130,10 +222,10 @@ def backoff_scores(docs: DataFrame, o: Model = Model(), doc_id: str = "doc_id",
     empty table gives no rows.
     """
     rows = docs.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    base = materialise(rows.select("key", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).withColumn("n", F.col("n_words")), "base")
+    base = materialise(rows.select("key", "doc_id", word_count(F.col("text")).alias("n_words")).withColumn("n", F.col("n_words")), "base")
     total = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n, texts = F.col("n"), rows.select("key", "text")
-    sums = _sums(texts, o.order, o) if o.order > 1 else _single(texts)
+    sums = _sums(texts, o.order, total, o) if o.order > 1 else _single(texts)
     held = base.join(sums, "key", "left")
     # rows of equal id and text are in the sums together: each gets its share
     score = F.coalesce(F.col("part") * (n - max(o.order - 2, 0)) / F.col("rows"), F.lit(0.0))
