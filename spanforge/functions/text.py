@@ -34,6 +34,7 @@ DRAWER = {
 OBSERVATION = r"(?:current\s+observation\s+images?(?:\s*\([^)]*\))?\s*[:：]?|image\s*\d+\s*\([^)]*\)\s*[:：]?)"
 NAMED_IMAGE = r"(?iU)\bcurrent\s+observation\s+images?(?:\s*\([^)]*\))?\s*[:：]?\s*|\bimage\s*\d+\s*\([^)]*\)\s*[:：]?\s*"
 OPENING, CLOSING = r"(?i)^(?:open|opens|opening)\s+", r"(?i)^(?:close|closes|closing)\s+"
+SHUT = "pushes the drawer closed"
 HEAD, FRONT, LEFT_WRIST, RIGHT_WRIST, WRIST, ONLY = "head view", "front view", "left wrist view", "right wrist view", "wrist view", "current view"
 CONTENT_POLICY = ("content_policy_violation", "content safety system")
 
@@ -99,7 +100,7 @@ def drawer_rewrite(skill: Column, text: Column) -> tuple[Column, Column]:
     """(skill, text) with opening and closing of drawer-like targets as pulling and pushing."""
     like = drawer_type(text).isNotNull()
     rest = strip(F.regexp_replace(text, CLOSING, ""))
-    closing = F.when(rest == "", "pushes the drawer closed").otherwise(F.concat(F.lit("pushes "), rest, F.lit(" closed")))
+    closing = F.when(rest == "", SHUT).otherwise(F.concat(F.lit("pushes "), rest, F.lit(" closed")))
     new_skill = F.when(like & (skill == "Open"), "Pull").when(like & (skill == "Close"), "Push").otherwise(skill)
     new_text = (
         F.when(like & (skill == "Open"), F.regexp_replace(text, OPENING, "pulls open "))

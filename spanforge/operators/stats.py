@@ -56,8 +56,7 @@ def nearest(targets: DataFrame, models: DataFrame, weight: float = 0.5, cells: i
         own = models.filter(part == i).agg(F.collect_list(F.struct("model", "mv", "mlength")).alias("__m"))
         one = targets.join(F.broadcast(own)).select("id", best.alias("best"))  # one row of at most about `cells` values
         found = one if found is None else found.unionByName(one)
-    found = found.filter("best is not null")
-    found = found if parts == 1 else found.groupBy("id").agg(F.min("best").alias("best"))
+    found = found.filter("best is not null").groupBy("id").agg(F.min("best").alias("best"))
     return found.select("id", "best.model", "best.score")
 
 

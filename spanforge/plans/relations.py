@@ -47,9 +47,9 @@ def config_filter(spark, d):
 @query("p_closed_loop_sample", """select f.episode_index, frame_index, seg_id, text as gt, task, frame_index / 10.0::double as at from f join s on f.episode_index = s.episode_index and frame_index >= start_frame and frame_index < end_frame
     join e on e.episode_index = f.episode_index where text <> 'error'""")
 def closed_loop(spark, d):
-    from spanforge.operators.intervals import interval_join
+    from spanforge.operators.scan import scan_join
 
-    held = interval_join(px.frames(spark, d).select("episode_index", "frame_index"), px.segments(spark, d))
+    held = scan_join(px.frames(spark, d).select("episode_index", "frame_index"), px.segments(spark, d))
     e = px.episodes(spark, d).select("episode_index", "task")
     at = F.coalesce(F.lit(None).cast("double"), F.col("frame_index") / 10.0)
     return held.join(e, "episode_index").filter("text <> 'error'").select("episode_index", "frame_index", "seg_id", F.col("text").alias("gt"), "task", at.alias("at"))

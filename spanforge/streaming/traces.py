@@ -72,7 +72,7 @@ class Trace(StatefulProcessor):
 
     def _rows(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
         table = pd.DataFrame(out, columns=["session", *NAMES])
-        table["started"] = pd.to_datetime(table["started"].astype("int64"), unit="ms")
+        table["started"] = pd.to_datetime(table["started"].astype("int64"), unit="ms", utc=True)
         return table.astype({"sample_id": "Int64", "step_id": "Int64"})
 
 
