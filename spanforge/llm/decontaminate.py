@@ -81,15 +81,16 @@ def find_overlaps(docs: DataFrame, items: DataFrame, o: Overlap = Overlap(), doc
     blocks = max(1, -(-int(total) // o.block_words))
     masks = [*MASKS, *["1" * n for n in sorted(tiny)]]
     probes = _probes(docs, o, masks, doc_id, text)
-    classes = found.groupBy("words").agg(F.collect_set("item_id").alias("items"))
-    classes = classes.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
+    named = found.select(F.xxhash64("words").alias("items"), "item_id").distinct()  # equal texts by their hash, however many items have one
+    classes = found.select("words").distinct().withColumn("items", F.xxhash64("words"))
+    classes = classes.withColumn("block", F.pmod("items", F.lit(blocks)))
     hits = None
     for k in range(blocks):
         part = _block(probes, classes.filter(F.col("block") == k).drop("block"), o, masks)
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, doc_word int, item_words int, matched_words int")
-    each = hits.select("doc_id", F.explode("items").alias("item_id"), "doc_word", "item_words", "matched_words")
+    each = hits.join(if_small(named), "items").select("doc_id", "item_id", "doc_word", "item_words", "matched_words")
     return each.groupBy("doc_id", "item_id").agg(
         F.min("doc_word").alias("doc_word"), F.max("item_words").alias("item_words"), F.max("matched_words").alias("matched_words")
     )

@@ -154,3 +154,14 @@ def test_references_are_counted_once(spark):
     finally:
         quality_rules.find_words = find
     assert calls.value == 1
+
+
+def test_rows_by_shard(spark):
+    """Whole rows with the places that are computed for them; an empty table gives none."""
+    from spanforge.llm.sharding import assign_shards, sharded_rows
+
+    docs = spark.createDataFrame([(i, f"text {i}", i * i) for i in range(50)], "doc_id long, text string, other long")
+    where = {r["doc_id"]: (r["shard"], r["slot"]) for r in assign_shards(docs, 7).collect()}
+    got = sharded_rows(docs, 7).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == where and all(r["other"] == r["doc_id"] ** 2 for r in got) and len(got) == 50
+    assert sharded_rows(docs.filter("doc_id > 99"), 7).count() == 0
