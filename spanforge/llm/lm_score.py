@@ -122,8 +122,16 @@ def hot_grams(docs: DataFrame, m: int, o: Model) -> DataFrame:
     return _hot(_exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m, o), "t")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], hot_t: np.ndarray, hot_g: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, ht, hg, rows, w, part) of a partition of ROWS, in which all rows of a context or n-gram that isn't hot are."""
+HELD = "bucket int, keys array<long>, n array<long>, sums array<double>, kind byte, key long, hot long, c long, w long"
+HELD_NAMES = [c.split()[0] for c in HELD.split(", ")]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], hot_t: np.ndarray, hot_g: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """HELD of a partition of ROWS, in which all rows of a context or n-gram that isn't hot are.
+
+    One row for each bucket of documents: their keys, numbers of rows, and sums of what is counted here; and one for each document and hot
+    n-gram (kind 0) or context (1): how often it is there, and how often that counts in the document's sum.
+    """
     lean()
     held = list(batches)
     if not held:
@@ -146,14 +154,35 @@ def _counted(batches: Iterator[pa.RecordBatch], hot_t: np.ndarray, hot_g: np.nda
     some = np.flatnonzero(~ends)
     if len(some):
         part[some] += np.where(is_t[some], 0.0, logs(t[some]))
-    by = np.lexsort((np.where(is_g, g, 0), is_g, np.where(is_t, t, 0), is_t, key)) if is_t.any() or is_g.any() else np.argsort(key)
-    k, a, b = key[by], np.where(is_t, t, 0)[by], np.where(is_g, g, 0)[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (is_t[by][1:] != is_t[by][:-1]) | (is_g[by][1:] != is_g[by][:-1])
-    at = np.flatnonzero(new)
-    sums = [np.add.reduceat(x, at) for x in (np.ones(len(by), "i8"), w[by], part[by])]
-    cols = [pa.array(k[at]), pa.array(a[at], mask=~is_t[by][at]), pa.array(b[at], mask=~is_g[by][at]), *map(pa.array, sums)]
-    yield pa.RecordBatch.from_arrays(cols, ["key", "ht", "hg", "rows", "w", "part"])
+    by = np.lexsort((key, key % buckets))
+    at = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+    keys, sizes, sums = key[by][at], np.diff(np.append(at, len(by))), np.add.reduceat(part[by], at)
+    cuts = np.searchsorted(keys % buckets, np.arange(buckets + 1)).astype("i4")
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (keys, sizes.astype("i8"), sums)]
+    none = lambda n: [pa.nulls(n, pa.int64())] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype="i4")), *lists, pa.nulls(buckets, pa.int8()), *none(buckets)], HELD_NAMES)
+    for kind, hot, x in ((0, is_t, t), (1, is_g, g)):
+        own = np.flatnonzero(hot)
+        if len(own):
+            by = own[np.lexsort((x[own], key[own]))]
+            at = np.flatnonzero(np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (x[by][1:] != x[by][:-1])]))
+            n = len(at)
+            counts = np.diff(np.append(at, len(by))).astype("i8")
+            lists = [pa.nulls(n, pa.list_(kind_)) for kind_ in (pa.int64(), pa.int64(), pa.float64())]
+            cols = [pa.array(key[by][at]), pa.array(x[by][at]), pa.array(counts), pa.array(np.add.reduceat(w[by], at) if kind else counts)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), *lists, pa.array(np.full(n, kind, "i1")), *cols], HELD_NAMES)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rows, part) of the documents of a bucket."""
+    lean()
+    held = [[b.column(c).flatten().to_numpy() for c in ("keys", "n", "sums")] for b in batches]
+    if held:
+        key, n, part = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]])) if len(by) else by
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(key[by][at]), pa.array(np.add.reduceat(n[by], at)), pa.array(np.add.reduceat(part[by], at))], ["key", "rows", "part"])
 
 
 def _sums(docs: DataFrame, m: int, total: int, o: Model) -> DataFrame:
@@ -166,15 +195,16 @@ def _sums(docs: DataFrame, m: int, total: int, o: Model) -> DataFrame:
     sample = materialise(_exploded(docs.filter(F.pmod("key", F.lit(o.sample)) == 0), m, o), "sampled")
     hot_t, hot_g = (np.sort(np.array([r["g"] for r in _hot(sample, c).collect()], "i8")) for c in "tg")
     every = None
-    parts = max(partitions(docs.sparkSession), -(-total // (o.turns * o.rows)))
+    parts, buckets = max(partitions(docs.sparkSession), -(-total // (o.turns * o.rows))), max(1, -(-total // (4 * o.rows)))
     for turn in range(o.turns):
         rows = _exploded(docs, m, o, turn, hot_t, hot_g).repartition(parts, "g", "place").drop("place")
-        held = materialise(rows.mapInArrow(lambda batches: _counted(batches, hot_t, hot_g), "key long, ht long, hg long, rows long, w long, part double"), "held")
+        held = materialise(rows.mapInArrow(lambda batches: _counted(batches, hot_t, hot_g, buckets), HELD), "held")
         every = held if every is None else every.unionByName(held)
-    of = lambda c: F.broadcast(every.filter(F.col(c).isNotNull()).groupBy(c).agg(F.log10(F.sum("rows").cast("double")).alias(f"of_{c}")))
-    both = every.join(of("ht"), "ht", "left").join(of("hg"), "hg", "left")
-    part = F.col("part") + F.coalesce(F.col("rows") * F.col("of_ht"), F.lit(0.0)) + F.coalesce(F.col("w") * F.col("of_hg"), F.lit(0.0))
-    out = materialise(both.withColumn("part", part).groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("part").alias("part")), "sums")
+    sums = every.filter("kind is null").select("bucket", "keys", "n", "sums").repartition(buckets, "bucket").mapInArrow(_merged, "key long, rows long, part double")
+    hot = every.filter("kind is not null").select("kind", "key", "hot", "c", "w")
+    of = F.broadcast(hot.groupBy("kind", "hot").agg(F.log10(F.sum("c").cast("double")).alias("of")))
+    more = hot.join(of, ["kind", "hot"]).groupBy("key").agg(F.sum(F.col("w") * F.col("of")).alias("more"))
+    out = materialise(sums.join(more, "key", "left").select("key", "rows", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("part")), "sums")
     drop(sample)
     return out
 

@@ -165,3 +165,15 @@ def test_rows_by_shard(spark):
     got = sharded_rows(docs, 7).collect()
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == where and all(r["other"] == r["doc_id"] ** 2 for r in got) and len(got) == 50
     assert sharded_rows(docs.filter("doc_id > 99"), 7).count() == 0
+
+
+def test_backoff_in_many_parts(spark):
+    """Sums of a document come from many partitions and buckets, and are the same as from one."""
+    import random
+
+    from spanforge.llm.lm_score import Model, backoff_scores
+
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(80)], "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["log_score"] for r in backoff_scores(docs, m).collect()} for m in (Model(), Model(rows=60, turns=3, sample=1, salt=2)))
+    assert len(one) == 80 and all(abs(one[i] - many[i]) < 1e-9 for i in one)
