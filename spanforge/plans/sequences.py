@@ -116,6 +116,42 @@ def dp(spark, d):
     return summary.select("episode_index", "num_subtasks", "matched_manual_episode", F.round("template_match_score", 6).alias("score"), "mean_confidence", F.array_join(F.transform("boundaries", lambda x: x.cast("string")), ",").alias("boundaries"), "error")
 
 
+#: The labelled episodes' samples as SQL, number by number.
+SAMPLED = """, sm as (select episode_index, frame_index, value::double as value, k::double as k, (k % 7)::double as v from f where frame_index % 2 = 0),
+x as (select episode_index, frame_index, 'state' as modality, 0 as dim, value as x from sm union all select episode_index, frame_index, 'state', 1, k from sm union all select episode_index, frame_index, 'visual', 0, v from sm),
+tm as (select episode_index, count(*) as template from s where episode_index % 3 = 0 group by all)"""
+
+
+@query("m_assignment", SAMPLED + """, fl as (select episode_index, max(frame_index) + 1 as length from f group by all),
+de as (select episode_index, case when modality = 'state' then 0 else 2 end + p as part, dim, case when p = 0 then m else d end as x from (select episode_index, modality, dim, avg(x) as m, stddev_pop(x) as d from x group by all), (values (0), (1)) v(p)
+    union all select episode_index, -1, 0, ln(1 + length) from fl),
+sd as (select part, dim, avg(x) as m, greatest(stddev_pop(x), 1e-4) as s from de group by all),
+z as (select episode_index, part, dim, (x - m) / s as z from de join sd using (part, dim)),
+di as (select a.episode_index, b.episode_index as matched, sqrt(sum((a.z - b.z) * (a.z - b.z)) / count(*)) as d from z a join z b using (part, dim) where a.episode_index % 3 <> 0 and b.episode_index % 3 = 0 group by all),
+sc as (select di.episode_index, matched, d + 2.0::double * abs(ln(l.length::double / m.length)) as score from di join fl l on l.episode_index = di.episode_index join fl m on m.episode_index = matched),
+be as (select episode_index, arg_min(matched, (score, matched)) as matched, min(score) as score from sc group by episode_index)
+select be.episode_index, matched, template, round(score, 6) as score from be join tm on tm.episode_index = matched""")
+def assignment(spark, d):
+    from spanforge.operators.features import last_frames
+
+    samples, motion, segments, _ = _labelled(spark, d)
+    return sg.match_templates(samples, last_frames(motion), segments, SHORT).withColumn("score", F.round("score", 6))
+
+
+@query("m_models", SAMPLED + """, g as (select s.*, template from s join tm using (episode_index)),
+h as (select g.episode_index, seg_id, template, frame_index from g join sm using (episode_index) where frame_index >= start_frame and frame_index < end_frame),
+mi as (select g.episode_index, seg_id, template, arg_min(frame_index, (abs(frame_index - (start_frame + end_frame) // 2), frame_index)) as frame_index from g join sm using (episode_index) group by all),
+n as (select episode_index, seg_id, count(*) as n from h group by all),
+he as (select * from h union select mi.* from mi left join n on n.episode_index = mi.episode_index and n.seg_id = mi.seg_id where coalesce(n, 0) < 2),
+w as (select template, modality, dim, avg(x) as all_mean, greatest(stddev_pop(x), 1e-4) as all_std from x join tm using (episode_index) group by all),
+o as (select template, modality, seg_id, dim, avg(x) as m, var_pop(x) as v from he join x using (episode_index, frame_index) group by all)
+select template, modality, seg_id, dim, round((m - all_mean) / all_std, 5) as mean, round(greatest(v / (all_std * all_std), 1e-4), 5) as var from o join w using (template, modality, dim)""")
+def models(spark, d):
+    samples, _, segments, episodes = _labelled(spark, d)
+    known = samples.join(segments.select("episode_index").distinct(), "episode_index", "left_semi")
+    return sg.fit_models(known, segments, episodes).select("template", "modality", "seg_id", "dim", F.round("mean", 5).alias("mean"), F.round("var", 5).alias("var"))
+
+
 @query("m_documents")
 def dp_documents(spark, d):
     docs, _ = sg.annotate(*_labelled(spark, d), SHORT)
