@@ -20,16 +20,16 @@ def scan_join(frames: DataFrame, intervals: DataFrame, first_by: list[str] | Non
     """frames' columns and those of the intervals (but ENDS) that hold each frame: of all of them, or of the first by the columns first_by (ascending; then the earlier start).
 
     frames: (episode_index, frame_index, ...); intervals: (ENDS, ...), up to and with end_frame if closed; the column names differ but for episode_index. Frames and both ends of the
-    intervals are dealt out together in ranges of (episode, frame), so a long episode is in several; an interval goes to each range from its start's to its
+    intervals are dealt out together in ranges of (episode, frame; at one frame starts, then frames, then ends), so a long episode is in several; an interval goes to each range from its start's to its
     end's, where those open at the range's beginning come in with it. A range is scanned once: what is open is carried from end to
     end, and frames between two ends have the same intervals. how: `left` keeps frames without any. Frames without number or episode are in no interval; intervals without ends hold none.
     """
     own = [c for c in intervals.columns if c not in ENDS]
     held = intervals.filter("episode_index is not null and start_frame is not null and end_frame is not null").withColumn("__id", F.monotonically_increasing_id())
     held = kept(held, "intervals")
-    points = frames.select("episode_index", F.col("frame_index").cast("long").alias("__at"), F.lit(None).cast("long").alias("__id"), F.struct(*frames.columns).alias("__f"))
-    ends = held.select("episode_index", F.inline(F.array(*[F.struct(F.col(c).cast("long").alias("__at"), "__id", F.lit(None).cast(points.schema["__f"].dataType).alias("__f")) for c in ENDS[1:]])))
-    both = dealt(points.unionByName(ends), [F.col("episode_index"), F.col("__at")], sort=False)
+    points = frames.select("episode_index", F.col("frame_index").cast("long").alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__id"), F.struct(*frames.columns).alias("__f"))
+    ends = held.select("episode_index", F.inline(F.array(*[F.struct(F.col(c).cast("long").alias("__at"), F.lit(side).alias("__side"), "__id", F.lit(None).cast(points.schema["__f"].dataType).alias("__f")) for c, side in zip(ENDS[1:], (0, 2), strict=True)])))
+    both = dealt(points.unionByName(ends), [F.col("episode_index"), F.col("__at"), F.col("__side")], sort=False)
     spans = both.filter("__id is not null").groupBy("__id").agg(F.min(PART).alias("a"), F.max(PART).alias("b"))
     parts = spans.select("__id", F.explode(F.sequence("a", "b")).alias(PART))
     there = held.join(parts, "__id").drop("__id")

@@ -45,6 +45,17 @@ def test_scan_join(spark, ranges, closed):
     assert scan_join(frames, spans.filter("rank > 99"), how="left").count() == len(FRAMES)
 
 
+def test_scan_join_keeps_frames_at_the_edge_of_a_range(spark, ranges):
+    from spanforge.operators.scan import scan_join
+
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges * 6))
+    frames = spark.range(300).selectExpr("id div 100 as episode_index", "id % 100 as frame_index")
+    spans = spark.range(60).selectExpr("id div 20 as episode_index", "id % 20 * 5 as start_frame", "id % 20 * 5 + 5 as end_frame", "id as name")
+    assert scan_join(frames, spans).count() == 300
+    assert scan_join(frames, spans, closed=True).count() == 357
+    assert scan_join(frames, spans, first_by=["name"], how="left").filter("name = episode_index * 20 + frame_index div 5").count() == 300
+
+
 def test_scan_join_has_no_range_predicate(spark):
     from spanforge.operators.scan import scan_join
 
