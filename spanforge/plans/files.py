@@ -332,10 +332,10 @@ def merge_shards(spark, d):
 @query("k_rewrite_sorted", "select event_id, row_number() over (order by k, event_id) as place from f where event_id % 4 <> 0")
 def rewrite_sorted(spark, d):
     out = wr.scratch(spark, "sorted")
-    line = F.when(F.pmod("event_id", F.lit(4)) == 0, F.when(F.col("k") > 20, "{broken").otherwise("[3]")).otherwise(F.to_json(F.struct("event_id", (F.col("k") * 1000000 + F.col("event_id")).alias("index"))))
+    line = F.when(F.pmod("event_id", F.lit(4)) == 0, F.when(F.col("k") > 20, "{broken").otherwise("[3]")).otherwise(F.to_json(F.struct("event_id", F.col("k").alias("index"))))
     px.frames(spark, d).select(line.alias("value")).write.text(out)
-    rows = wr.rewrite_sorted(spark, out, "event_id long, index long")
-    return rows.select("event_id", (F.monotonically_increasing_id() + 1).alias("place"))
+    rows = wr.rewrite_sorted(spark, out, "event_id long, index long", "index", "event_id")
+    return wr.written_places(rows).select("event_id", "place")
 
 
 @query("k_processed", "select 'done' as kind, c_custkey from customer where c_custkey % 4 = 0 or c_custkey % 6 = 0 union all select 'left', c_custkey from customer where c_custkey % 4 <> 0 and c_custkey % 6 <> 0", views=False)

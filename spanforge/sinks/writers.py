@@ -68,15 +68,25 @@ def append_records(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def rewrite_sorted(spark: SparkSession, path: str, schema: str, order: str = "index") -> DataFrame:
-    """Reads JSON lines, leaves out what is no object, and writes the rest in order in the same place: each file is sorted, and the files follow each other."""
+def rewrite_sorted(spark: SparkSession, path: str, schema: str, *order: str) -> DataFrame:
+    """Reads JSON lines, leaves out what is no object, and writes the rest in order (of `index` where none is named) in the same place: each file is sorted, and the files follow each other."""
+    order = order or ("index",)
     lines = spark.read.text(path)
     kept = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.schema_of_variant(F.try_parse_json("value")).alias("kind")).filter(F.startswith("kind", F.lit("OBJECT"))).select("r.*")
-    kept.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").json(path + ".new")
+    kept.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path + ".new")
     swap(spark, path + ".new", path)
     return spark.read.schema(schema).json(path)
 
 
+def written_places(rows: DataFrame, name: str = "place") -> DataFrame:
+    """rows as read from files, with their number from 1: by file name, then by place in the file, however the files are split to be read."""
+    from spanforge.operators.ordering import numbered
+
+    at = ["__file", "__block", "__row"]
+    lying = rows.select("*", F.col("_metadata.file_name").alias(at[0]), F.col("_metadata.file_block_start").alias(at[1]), F.monotonically_increasing_id().alias(at[2]))
+    return numbered(lying, [F.col(c) for c in at], name).withColumn(name, F.col(name) + 1).drop(*at)
+
+
 def merge_shards(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """The rows of the shards that exist, with their rank; blank lines count for nothing."""
     there = [(i, p) for i, p in enumerate(paths) if exists(spark, p)]

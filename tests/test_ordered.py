@@ -122,3 +122,34 @@ def test_means_of_intervals(spark):
         own = [(f, x) for k, f, x in samples if k == e]
         wanted[e, i] = np.mean([x for f, x in own if a <= f < b] or [next((x for f, x in own if f >= (a + b) // 2), own[-1][1])])
     assert {(r[0], r[1]): r[2] for r in got.collect()} == pytest.approx(wanted)
+
+
+def test_rewrite_sorted_numbers_rows_over_files_and_splits(spark, ranges, tmp_path):
+    from spanforge.sinks.writers import rewrite_sorted, written_places
+
+    path = str(tmp_path / "lines")
+    spark.range(5000).selectExpr("""'{"event_id": ' || (id * 7919 % 5000 * 1000) || ', "index": ' || (id * 7919 % 5000 % 3) || '}' as value""").repartition(3).write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # several splits a file, several files a task
+    try:
+        rows = written_places(rewrite_sorted(spark, path, "event_id long, index long", "index", "event_id")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["index"], r["event_id"]) for r in sorted(rows, key=lambda r: r["place"])] == sorted((i % 3, i * 1000) for i in range(5000))
+    assert sorted(r["place"] for r in rows) == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("splits", [128, 1])
+def test_rewrite_sorted_query(spark, ranges, splits, tmp_path):
+    from spanforge.plans import registry
+
+    columns = ["id as event_id", "timestamp_seconds(id) as ts", "id % 50 as user_id", "'view' as event_type", "1D as value", """'{"k": ' || (id * 7919 % 40) || '}' as props"""]
+    spark.range(999_000, 1_003_000).selectExpr(*columns).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", f"{splits * 1024}")
+    try:
+        got = registry.queries()["k_rewrite_sorted"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    wanted = sorted((i * 7919 % 40, i) for i in range(999_000, 1_003_000) if i % 4)
+    assert sorted((r["place"], r["event_id"]) for r in got) == [(n + 1, i) for n, (_, i) in enumerate(wanted)]
