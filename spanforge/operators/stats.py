@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,24 +43,62 @@ def descriptor_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v) / F.size(a))
 
 
-def nearest(targets: DataFrame, models: DataFrame, weight: float = 0.5, cells: int = SMALL_CELLS) -> DataFrame:
+def nearest(targets: DataFrame, models: DataFrame, weight: float = 0.5, cells: int = SMALL_CELLS, most: int = 4096) -> DataFrame:
     """(id, model, score): each target's nearest model, the smaller id of equal ones.
 
-    targets: (id, v, length); models: (model, mv, mlength), of episodes labelled by hand. Models are dealt into parts of about `cells` values, by hash; a part is
-    one row that goes to all tasks, where a target meets all its models at once and keeps the best. There are as many passes over the targets as parts.
+    targets: (id, v, length); models: (model, mv, mlength), of episodes labelled by hand. Models are dealt into parts of about `cells` values and targets into groups of
+    about `most`, by hash; each group meets each part once, and of its targets' best models the best stays. Vectors of unequal length don't meet.
     """
     count, size = models.agg(F.count(F.lit(1)), F.max(F.size("mv"))).first()
-    parts = max(1, -(-count * (size or 1) // cells))
-    part = F.pmod(F.xxhash64("model"), F.lit(parts))
-    score = lambda m: descriptor_distance(F.col("v"), m["mv"]) + weight * F.abs(F.ln(F.greatest("length", F.lit(1)) / F.greatest(m["mlength"], F.lit(1))))
-    best = F.array_min(F.transform("__m", lambda m: F.struct(score(m).alias("score"), m["model"].alias("model"))))
-    found = None
-    for i in range(parts):
-        own = models.filter(part == i).agg(F.collect_list(F.struct("model", "mv", "mlength")).alias("__m"))
-        one = targets.join(F.broadcast(own)).select("id", best.alias("best"))  # one row of at most about `cells` values
-        found = one if found is None else found.unionByName(one)
-    found = found.filter("best is not null").groupBy("id").agg(F.min("best").alias("best"))
-    return found.select("id", "best.model", "best.score")
+    parts, groups = max(1, -(-count * (size or 1) // cells)), max(1, -(-targets.count() // most))
+    log = lambda c: F.ln(F.greatest(F.col(c), F.lit(1)).cast("double"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    key = ["__group", "__part", "__size"]
+    left = targets.filter("v is not null").select("id", F.col("v").cast("array<double>").alias("v"), log("length").alias("l"), deal("id", groups).alias(key[0]), F.size("v").alias(key[2])).withColumn(key[1], every(parts))
+    right = models.filter("mv is not null").select("model", F.col("mv").cast("array<double>").alias("v"), log("mlength").alias("l"), deal("model", parts).alias(key[1]), F.size("mv").alias(key[2])).withColumn(key[0], every(groups))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.combine_chunks(), b.combine_chunks()
+        if not (a.num_rows and b.num_rows):
+            return pa.table([a.column("id").slice(0, 0), b.column("model").slice(0, 0), pa.array([], pa.float64())], ["id", "model", "score"])
+        vectors = lambda t: pc.list_flatten(t.column("v")).to_numpy().reshape(t.num_rows, -1)
+        b = b.take(pc.sort_indices(b, [("model", "ascending")]))
+        best, found = best_models(vectors(a), a.column("l").to_numpy(), vectors(b), b.column("l").to_numpy(), weight)
+        return pa.table([a.column("id"), b.column("model").take(pa.array(found)), pa.array(best)], ["id", "model", "score"])
+
+    schema = f"id {dict(targets.dtypes)['id']}, model {dict(models.dtypes)['model']}, score double"
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, schema)
+    return found.groupBy("id").agg(F.min(F.struct("score", "model")).alias("best")).select("id", "best.model", "best.score")
+
+
+def best_models(x: np.ndarray, lx: np.ndarray, y: np.ndarray, ly: np.ndarray, weight: float, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(score, row of y) of the best row of y, the first of equal ones, for each row of x: their distance by the root of their length, and weight times the difference of lx and ly.
+
+    Rows of y are met in the order of ly outwards from a block of x, until that difference alone exceeds every best score in the block.
+    """
+    best, found = np.full(len(x), np.inf), np.zeros(len(x), "i8")
+    order, place = np.argsort(lx, kind="stable"), np.argsort(ly, kind="stable")
+    chunks = [np.sort(place[i : i + rows]) for i in range(0, len(place), rows)]
+    low, high = np.array([ly[c].min() for c in chunks]), np.array([ly[c].max() for c in chunks])
+    for i in range(0, len(order), rows):
+        own = order[i : i + rows]
+        score, at = np.full(len(own), np.inf), np.full(len(own), len(y))
+        gaps = weight * np.maximum(0.0, np.maximum(low - lx[own].max(), lx[own].min() - high))
+        for c in np.argsort(gaps, kind="stable"):
+            if gaps[c] > score.max() + 1e-9:
+                break
+            m, squares = chunks[c], 0.0
+            for d in range(x.shape[1]):
+                squares = squares + (x[own, d][:, None] - y[m, d][None, :]) ** 2
+            cost = np.sqrt(squares / x.shape[1]) + weight * np.abs(lx[own][:, None] - ly[m][None, :])
+            cost = np.where(np.isnan(cost), np.inf, cost)
+            k = cost.argmin(axis=1)
+            new, row = cost[np.arange(len(own)), k], m[k]
+            less = (new < score) | ((new == score) & (row < at))
+            score, at = np.where(less, new, score), np.where(less, row, at)
+        best[own], found[own] = score, at
+    return best, found
 
 
 def ratio_priors(segments: DataFrame, episodes: DataFrame) -> DataFrame:

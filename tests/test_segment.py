@@ -161,3 +161,21 @@ def test_visual_pipeline(spark):
     assert sorted(r["frame_index"] for r in samples.collect()) == [0, 2] and motion.count() == 4
     with pytest.raises(ValueError):
         ft.state_features(states, ["none"])
+
+
+@pytest.mark.parametrize("cells, most", [(4_000_000, 4096), (300, 7)])
+def test_nearest_meets_every_model(spark, cells, most):
+    from spanforge.operators.stats import nearest
+
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 4, (90, 3)).astype(float), rng.integers(0, 4, (700, 3)).astype(float)  # with equal models, and equal scores
+    lx, ly = rng.integers(1, 60, 90), rng.integers(1, 60, 700)
+    targets = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, lx, strict=True))], "id long, v array<double>, length long")
+    models = spark.createDataFrame([(f"m{i:03d}", v.tolist(), int(n)) for i, (v, n) in enumerate(zip(y, ly, strict=True))], "model string, mv array<double>, mlength long")
+    found = nearest(targets, models, 2.0, cells, most)
+    cost = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2) / 3) + 2.0 * np.abs(np.log(lx)[:, None] - np.log(ly)[None])
+    got = {r["id"]: (r["model"], r["score"]) for r in found.collect()}
+    assert {i: m for i, (m, _) in got.items()} == {i: f"m{int(c.argmin()):03d}" for i, c in enumerate(cost)}
+    assert np.allclose([got[i][1] for i in range(90)], cost.min(axis=1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan  # pairs are made in arrays within tasks, not row by row
