@@ -69,15 +69,7 @@ def json_or_jsonl(spark, d):
 def _write_episodes(spark, d, root):
     """Each episode's frames as a file of its own, named as datasets name them."""
     f = px.frames(spark, d).select("episode_index", "frame_index", "value", F.array("value", F.col("k").cast("double")).alias("state"))
-    f.repartition("episode_index").write.partitionBy("episode_index").parquet(f"{root}/raw")
-    fs = spark._jvm.org.apache.hadoop.fs
-    path = fs.Path(root)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for i, s in enumerate(store.globStatus(fs.Path(f"{root}/raw/*/*.parquet"))):
-        index = int(s.getPath().getParent().getName().split("=")[1])
-        to = fs.Path(f"{root}/data/chunk-{index // 50:03d}/episode_{index:06d}.parquet")
-        store.mkdirs(to.getParent())
-        store.rename(s.getPath(), to)
+    wr.write_episode_files(f, f"{root}/data", 50)
     return f"{root}/data"
 
 

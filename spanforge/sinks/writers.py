@@ -63,6 +63,55 @@ def write_summary(rows: DataFrame, path: str) -> DataFrame:
     return merged.orderBy("episode_index")
 
 
+def write_episode_files(frames: DataFrame, root: str, chunk: int) -> int:
+    """Writes each episode's frames as root/chunk-<n>/episode_<index>.parquet, `chunk` episodes a folder, and says how many files there are.
+
+    frames: (episode_index, ...); the files have the other columns, frames without an episode are left out. The tasks write the files, a batch of rows at a time, each under
+    another name first, so that a task that fails or runs twice leaves no half of a file in the dataset.
+    """
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        store, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root.removeprefix("file:"))
+        now = out = part = None
+        made, files = set(), 0
+
+        def close():
+            out.close()
+            store.move(part, f"{base}/chunk-{now // chunk:03d}/episode_{now:06d}.parquet")
+
+        for b in batches:
+            index = b.column("episode_index").to_numpy()
+            rows = b.drop_columns(["episode_index"])
+            edges = [0, *(index[1:] != index[:-1]).nonzero()[0] + 1, len(index)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                if out is None or int(index[lo]) != now:
+                    if out is not None:
+                        close()
+                    now, files = int(index[lo]), files + 1
+                    folder = f"{base}/chunk-{now // chunk:03d}"
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    part = f"{folder}/.{uuid.uuid4().hex}.parquet"
+                    out = pq.ParquetWriter(part, rows.schema, filesystem=store)
+                out.write_batch(rows.slice(lo, hi - lo))
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    each = frames.filter("episode_index is not null").withColumn("episode_index", F.col("episode_index").cast("long"))
+    counts = each.repartition("episode_index").sortWithinPartitions("episode_index").mapInArrow(write, "files long")
+    return counts.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 def append_records(rows: DataFrame, path: str) -> None:
     """Appends rows as JSON lines."""
     rows.write.mode("append").json(path)

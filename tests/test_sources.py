@@ -71,3 +71,18 @@ def test_frames_are_read_up_to_the_last(spark, tmp_path):
     for i in (4, 9):
         make.eval({"path": a, "frame_index": i})
     assert [r[1] for r in make.terminate()] == [4, 9] and seen == list(range(10))
+
+
+def test_episode_files_are_written_by_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from spanforge.sinks.writers import write_episode_files
+    from spanforge.sources.files import read_episodes
+
+    frames = spark.range(30_000).select(F.when(F.col("id") < 25_000, 7).otherwise(F.col("id") % 120).alias("episode_index"), F.col("id").alias("frame_index"))
+    frames = frames.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("episode_index"), F.col("id").alias("frame_index"))).repartition(5)
+    assert write_episode_files(frames, str(tmp_path / "data"), 50) == 120
+    found = sorted(p.relative_to(tmp_path / "data").as_posix() for p in (tmp_path / "data").rglob("*.parquet"))
+    assert found == [f"chunk-{i // 50:03d}/episode_{i:06d}.parquet" for i in range(120)]
+    rows = read_episodes(spark, str(tmp_path / "data"))
+    assert sorted(map(tuple, rows.select("episode_index", "frame_index").collect())) == sorted((7 if i < 25_000 else i % 120, i) for i in range(30_000))
