@@ -55,6 +55,27 @@ def test_every_text_has_prefixes(spark):
         assert 20 < r["kept_tokens"] <= 50 or not texts[r["doc_id"]].strip(" ")
 
 
+def test_every_character_of_long_runs_has_a_prefix(spark):
+    import sentencepiece
+
+    from spanforge.llm.encode import tokenizer_path
+    from spanforge.llm.token_counts import prefix_token_counts, within_budget
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = ["日本語の文" * 30, "abcxyz0189/+" * 20, "some words, then " + "internationalisation" * 9 + " and after", "\n" + "x" * 100, " " * 90]
+    counted = prefix_token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    for r in counted.collect():
+        text = texts[r["doc_id"]]
+        assert r["counts"] == [len(model.encode(text[:e])) for e in r["ends"]]
+        first = text.find("international") if "international" in text else 1  # where the long run's own characters begin
+        last = text.index(" and") if "international" in text else len(text)
+        assert set(range(first + 1, last + 1)) <= set(r["ends"])
+    for r in within_budget(counted, 30).collect():
+        text = texts[r["doc_id"]]
+        fits = max(e for e in range(len(text) + 1) if len(model.encode(text[:e])) <= 30)
+        assert r["kept_chars"] == fits
+
+
 def test_prefix_query_returns_prefixes(spark):
     from spanforge.llm.queries import op6_prefix_token_counts
 
