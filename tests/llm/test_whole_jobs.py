@@ -198,3 +198,16 @@ def test_backoff_in_many_parts(spark):
     docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(80)], "doc_id long, text string")
     one, many = ({r["doc_id"]: r["log_score"] for r in backoff_scores(docs, m).collect()} for m in (Model(), Model(rows=60, turns=3, sample=1, salt=2)))
     assert len(one) == 80 and all(abs(one[i] - many[i]) < 1e-9 for i in one)
+
+
+def test_encoders_give_the_library_s_ids_by_every_way():
+    """Single words, words with signs and digits, capitals, accents, and characters of which bytes have signs of their own."""
+    from array import array
+
+    from spanforge.llm.encode import byte_encoder, tokenizer_path, word_encoder
+
+    texts = ["plain words only", "it's don't x_y a1b2 Ünïcode ÿ­ß çà", "\nfeed after\nfeed", "~tilde |bar ¡¿ ¬® – €5", "CAPS and Straße naïve", "", " ", "ª no º"]
+    for encoder, name in ((byte_encoder, "byte_bpe_50k.json"), (word_encoder, "word_bpe_49k.json")):
+        e = encoder(tokenizer_path(name))
+        e.forget()
+        assert e.encode(texts) == [array("I", x.ids).tobytes() for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
