@@ -18,6 +18,7 @@ leaves several components, few sets are compared in pairs, and crowds by what se
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,36 +124,37 @@ def _signed(docs: DataFrame, classes: DataFrame, s: Similar) -> DataFrame:
     """(id, rare, pairs, own) of each class, see `signatures`.
 
     Frequent is a token that more than s.frequent prefixes hold, or tokens added for sets short of rare ones; those
-    sets get all their tokens, until none is short. Any such rule is right, as it's one for all sets.
+    sets get as many tokens more as they have, until none is short. Any such rule is right, as it's one for all sets. What
+    is added, and what is frequent in it, is stored once, so that the folder holds no set twice, however many sets are short.
     """
     first = classes.select("id", F.explode("tokens").alias("t"))
     known = materialise(_many(first, s), "frequent")
-    held, whole = materialise(first.join(if_small(known), "t").select("id", "t"), "held"), None
-    tables = [known, held]
+    parts, added, every = [materialise(first.join(if_small(known), "t").select("id", "t"), "held")], [], first
+    union = lambda tables: functools.reduce(DataFrame.unionByName, tables)
     while True:
-        marks = held.groupBy("id").agg(F.count(F.lit(1)).alias("marked"))
+        marks = union(parts).groupBy("id").agg(F.count(F.lit(1)).alias("marked"))
+        now = classes.join(marks, "id").select("id", "c", "rep", "h", "n", "marked", F.size("tokens").alias("has"))
+        if added:
+            more = union(added).groupBy("id").agg(F.sum(F.size("fresh")).alias("more"))
+            now = now.join(more, "id", "left").withColumn("has", F.expr("int(has + coalesce(more, 0))"))
         e = F.expr(f"n * {100 - s.percent} div 100")
-        short = classes.join(marks, "id").filter((F.size("tokens") - F.col("marked") <= e) & (F.size("tokens") < F.col("n")))
-        if whole is not None:
-            short = short.join(whole.select("id"), "id", "left_anti")
-        short = materialise(short.select("id", "c", "rep", "h", F.element_at("tokens", -1).alias("last")), "short")
+        short = materialise(now.filter((F.col("has") - F.col("marked") <= e) & (F.col("has") < F.col("n"))).select("id", "c", "rep", "h", "has"), "short")
         if not short.seen["rows"]:
             break
-        found = materialise(whole_sets(docs, short, s, "last"), "whole")
-        fresh = found.select("id", F.explode(F.filter("tokens", lambda t: t > F.col("last"))).alias("t"))
+        added.append(materialise(whole_sets(docs, short, s, "has").select("id", F.slice("tokens", F.col("has") + 1, F.col("has")).alias("fresh")), "added"))
+        drop(short)
+        fresh = added[-1].select("id", F.explode("fresh").alias("t"))
+        every = every.unionByName(fresh)
+        parts.append(materialise(fresh.join(if_small(known), "t").select("id", "t"), "held"))
         more = materialise(_many(fresh, s).join(known, "t", "left_anti"), "frequent")
-        every = first.unionByName(fresh) if whole is None else first.unionByName(fresh).unionByName(whole.select("id", F.explode("beyond").alias("t")))
-        beyond = found.select("id", "tokens", F.filter("tokens", lambda t: t > F.col("last")).alias("beyond"))
-        held = materialise(held.unionByName(fresh.join(if_small(known), "t").select("id", "t")).unionByName(every.join(if_small(more), "t").select("id", "t")), "held")
-        whole = materialise(beyond if whole is None else whole.unionByName(beyond), "whole")
-        known = materialise(known.unionByName(more), "frequent")
-        tables += [held, whole, known, short, found, more]
-    extra = held.groupBy("id").agg(F.collect_list("t").alias("frequent"))
-    if whole is not None:
-        extra = extra.join(whole.select("id", F.col("tokens").alias("all")), "id", "left")
-    else:
-        extra = extra.withColumn("all", F.lit(None).cast("array<long>"))
-    rows = classes.join(extra, "id", "left").select("id", "n", F.coalesce("all", "tokens").alias("tokens"), "frequent")
+        parts.append(materialise(every.join(if_small(more), "t").select("id", "t"), "held"))
+        last, known = known, materialise(known.unionByName(more), "frequent")
+        drop(last, more)
+    rows = classes.join(union(parts).groupBy("id").agg(F.collect_list("t").alias("frequent")), "id", "left")
+    if added:  # by size, as each part begins beyond the one before
+        rows = rows.join(union(added).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("fresh"))).alias("fresh")), "id", "left")
+        rows = rows.withColumn("tokens", F.when(F.col("fresh").isNull(), F.col("tokens")).otherwise(F.concat("tokens", "fresh")))
+    rows = rows.select("id", "n", "tokens", "frequent")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -164,7 +166,7 @@ def _signed(docs: DataFrame, classes: DataFrame, s: Similar) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), *lists, pa.array([x[2] for x in out], pa.int64())], ["id", "rare", "pairs", "own"])
 
     signed = materialise(rows.mapInArrow(sign, "id long, rare array<long>, pairs array<long>, own long"), "signed")
-    drop(short, *tables)
+    drop(short, known, *parts, *added)
     return signed
 
 

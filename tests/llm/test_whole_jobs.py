@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import pytest
+
 
 def test_component_joined_through_a_later_link(spark):
     """A1~A2 is found by the hubs, A2~B only afterwards: A1 follows A2 into B's component."""
@@ -143,6 +145,36 @@ def test_crowds_are_dealt_out(spark, monkeypatch):
     assert "of_pivot" in levels and len({r["component_id"] for r in found}) > 1
 
 
+def test_sets_short_of_rare_tokens_are_stored_once(spark, monkeypatch):
+    """However often sets get more tokens, the folder never holds more of them than the sets have."""
+    from pyspark.sql import functions as F
+
+    from spanforge.llm import jaccard_join
+
+    class Done(Exception):
+        pass
+
+    def done(*_):
+        raise Done
+
+    alive, most, store, gone = {}, [], jaccard_join.materialise, jaccard_join.drop
+
+    def stored(df, name, **counts):
+        out = store(df, name, **counts)
+        lists = [c for c, kind in out.dtypes if kind == "array<bigint>" and name not in ("sets", "signed")]
+        alive[out.stored_at] = sum(out.agg(F.sum(F.size(c))).first()[0] or 0 for c in lists)
+        most.append(sum(alive.values()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", stored)
+    monkeypatch.setattr(jaccard_join, "drop", lambda *tables: ([alive.pop(t.stored_at, 0) for t in tables], gone(*tables)))
+    monkeypatch.setattr(jaccard_join, "_met", done)
+    texts = [(i, " ".join([f"p{k}" for k in range(150)] + [f"o{i}_{k}" for k in range(20)])) for i in range(12)]
+    with pytest.raises(Done):
+        jaccard_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), jaccard_join.Similar(words=1, percent=90, frequent=1))
+    assert 12 * 29 < max(most) <= 12 * 170  # prefixes of 29, sets of 170
+
+
 def test_short_items_are_found_whole(spark):
     """Items of fewer words than a mask has, and of fewer than may differ, are found where all their words stand in a row; the shortest condemn no document."""
     from spanforge.llm.decontaminate import find_overlaps, remove_contaminated
