@@ -33,7 +33,7 @@ from spanforge.llm.storage import drop, if_small, materialise
 from spanforge.llm.words import _U, LOWER, find_words, hash_words, mix, text_bytes, windows
 
 NO_ID = (1 << 63) - 1
-FEW, TURNS, SAMPLE, LEVELS = 64, 8, 16, 20  # see `_crowds`
+FEW, TURNS, LEVELS = 64, 8, 20  # see `_crowds`
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, s: Similar, *more: str) -> Da
     return found.dropDuplicates(["id"])
 
 
-def _apart(a: str, b: str) -> Column:
+def _apart(a: str, b: str | Column) -> Column:
     """The tokens that only one of two arrays has."""
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
@@ -346,10 +346,10 @@ def _crowds(docs: DataFrame, left: DataFrame, classes: DataFrame, s: Similar) ->
     one among the prefixes that the least r leaves. So the crowd is dealt out again
     by those tokens, until no more than FEW sets meet; these are compared in pairs, by their differences.
 
-    Any centre and any order of tokens is right. The centre is the set nearest to the last centre, but for what more than half of some SAMPLE sets of
-    the crowd differ in; tokens that several of the sample differ in come last. A token that all of a crowd differ in is what it was dealt out by, and is
-    in the centre from then on. After LEVELS rounds the sample doesn't count any more. Sets linked with the set of least w are in one component, so they
-    look only for sets that aren't.
+    Any centre and any order of tokens is right. The centre is the set nearest to the last centre, but for what more than half of the crowd differ in;
+    tokens are counted throughout the crowd, and those that the fewest have come first, so that a prefix meets few others. A token that all of a crowd
+    differ in is what it was dealt out by, and is in the centre from then on. After LEVELS rounds the centre is the nearest set itself. Sets linked with
+    the set of least w are in one component, so they look only for sets that aren't.
     """
     members = materialise(left.select(F.col("hub").alias("g"), "id", "n", "label").distinct(), "members")
     if not members.seen["rows"]:
@@ -408,21 +408,13 @@ def _crowds(docs: DataFrame, left: DataFrame, classes: DataFrame, s: Similar) ->
         if not large.seen["rows"]:
             drop(large)
             break
-        some = large.filter(F.pmod(F.xxhash64("id", "g"), F.col("size")) < SAMPLE)
-        seen = some.groupBy("g").agg(F.count(F.lit(1)).alias("seen"))
-        first = F.slice("delta", F.lit(1), F.expr(f"int({down} * (n + n * 100 div {s.percent}) div {up}) + 1"))  # no prefix is longer
-        counts = some.select("g", F.explode(first).alias("t")).groupBy("g", "t").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").join(seen, "g")
-        flipped = (2 * F.col("k") > F.col("seen")) & (level < LEVELS)
-        there = F.when(flipped, F.col("seen") - F.col("k")).otherwise(F.col("k"))
-        about = counts.groupBy("g").agg(
-            F.collect_list(F.when(flipped, F.col("t"))).alias("flip"),
-            F.transform(F.array_sort(F.collect_list(F.when(there > 1, F.struct(there.alias("k"), "t")))), lambda x: x["t"]).alias("common"),
-        )
-        moved = large.join(materialise(about, "about"), "g", "left").withColumns({c: F.coalesce(c, nothing) for c in ("flip", "common")})
-        moved = moved.select("g", "id", "n", "label", "common", _apart("delta", "flip").alias("delta"))
-        order = F.concat(F.array_sort(F.array_except("delta", "common")), F.array_intersect("common", "delta"))
-        moved = moved.select("g", "id", "n", "label", order.alias("delta"), (up * F.size("delta") - down * F.col("n")).alias("w"))
-        moved = materialise(moved, "moved")
+        there = large.select("g", "size", F.explode("delta").alias("t")).groupBy("g", "t").agg(F.count(F.lit(1)).alias("k"), F.first("size").alias("size"))
+        flipped = (2 * F.col("k") > F.col("size")) & (level < LEVELS)
+        there = there.filter("k > 1").select("g", "t", flipped.alias("flipped"), F.when(flipped, F.col("size") - F.col("k")).otherwise(F.col("k")).alias("k"))
+        there = materialise(there, "there")
+        flip = materialise(there.filter("flipped").groupBy("g").agg(F.collect_list("t").alias("flip")), "flip")
+        moved = large.join(if_small(flip), "g", "left").select("g", "id", "n", "label", _apart("delta", F.coalesce("flip", nothing)).alias("delta"))
+        moved = materialise(moved.withColumn("w", up * F.size("delta") - down * F.col("n")), "moved")
         least = moved.groupBy("g").agg(F.min(F.struct("w", "id", "label")).alias("least"))
         led = moved.join(least, "g").withColumn("near", F.col("w") + F.col("least.w") <= 0)
         led = led.join(led.filter("not near").groupBy("g").agg(F.min("w").alias("far_w")), "g", "left")
@@ -436,14 +428,17 @@ def _crowds(docs: DataFrame, left: DataFrame, classes: DataFrame, s: Similar) ->
         )
         led = materialise(led, "led")
         out.append(materialise(led.filter("linked is not null").select(F.col("linked").alias("a"), F.col("id").alias("b")), "near"))
-        prefix = F.slice("delta", F.lit(1), F.greatest(F.col("take"), F.lit(0)))
-        dealt = led.select("g", "id", "label", F.explode(prefix).alias("t")).select(F.xxhash64("g", "t").alias("to"), "g", "t", "id", "label")
+        held = led.filter("take > 0").select("g", "id", "label", "take", F.size("delta").alias("own"), F.explode("delta").alias("t"))
+        held = held.join(if_small(there.filter("k > 1").select("g", "t", "k"), of=there), ["g", "t"])
+        held = held.groupBy("g", "id").agg(F.first("label").alias("label"), F.first(F.col("take") - F.col("own")).alias("spare"), F.array_sort(F.collect_list(F.struct("k", "t"))).alias("common"))
+        prefix = F.slice("common", F.lit(1), F.greatest(F.size("common") + F.col("spare"), F.lit(0)))  # tokens that no other has come first, and meet none
+        dealt = held.select("g", "id", "label", F.explode(prefix).alias("of")).select(F.xxhash64("g", "of.t").alias("to"), "g", "of.t", "id", "label")
         dealt = materialise(dealt, "dealt")
         mixed = dealt.groupBy("to").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
         mixed = materialise(mixed.filter("lo != hi").groupBy("k", "who").agg(F.min("to").alias("to")).select("to"), "mixed")  # one of those in which the same sets meet
         now = dealt.join(mixed, "to").join(led.select("g", "id", "n", "delta"), ["g", "id"])
         now = materialise(now.select(F.col("to").alias("g"), "id", "n", "label", F.array_remove("delta", F.col("t")).alias("delta")), "crowd")
-        drop(large, moved, led, dealt, mixed)
+        drop(large, there, flip, moved, led, dealt, mixed)
         level += 1
     links = out[0]
     for x in out[1:]:

@@ -175,6 +175,37 @@ def test_sets_short_of_rare_tokens_are_stored_once(spark, monkeypatch):
     assert 12 * 29 < max(most) <= 12 * 170  # prefixes of 29, sets of 170
 
 
+def test_crowds_are_dealt_out_by_rare_differences(spark, monkeypatch):
+    """Copies with words of their own share few tokens that are rare among their differences, so the crowd is dealt out into few rows."""
+    import random
+
+    from spanforge.llm import jaccard_join
+
+    class Done(Exception):
+        pass
+
+    rows, store = [], jaccard_join.materialise
+
+    def stored(df, name, **counts):
+        out = store(df, name, **counts)
+        rows.extend([out.seen["rows"]] if name == "dealt" else [])
+        if rows:
+            raise Done
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", stored)
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
+    rng, texts = random.Random(5), []
+    for i in range(120):
+        w = [f"w{k}" for k in range(60)]
+        for at in rng.sample(range(60), rng.randint(1, 4)):
+            w[at] = f"own{i}_{at}"
+        texts.append((i, " ".join(w)))
+    with pytest.raises(Done):
+        jaccard_join.similar_components(spark.createDataFrame(texts, "doc_id long, text string"), jaccard_join.Similar(words=3, percent=80, crowd=4))
+    assert 0 < rows[0] <= 5 * 120
+
+
 def test_short_items_are_found_whole(spark):
     """Items of fewer words than a mask has, and of fewer than may differ, are found where all their words stand in a row; the shortest condemn no document."""
     from spanforge.llm.decontaminate import find_overlaps, remove_contaminated
