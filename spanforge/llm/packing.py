@@ -30,7 +30,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean(word_encoder)
         encoder = word_encoder(path)
         for b in slices(batches):
             rows = []

@@ -43,3 +43,45 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert item not in {r["text"] for r in left} and any(r["doc_id"] == 10**9 + 1 for r in left)
     packed = corpus_pipeline.packed(spark, table, str(tmp_path))
     assert packed.select("doc_id", "piece", "ids_crc32").distinct().count() > table.count() // 2 and corpus_pipeline.packed(spark, table.filter("doc_id < 0"), str(tmp_path)).count() == 0
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, monkeypatch):
+    """10,000 texts of 4 KB in a partition were one batch of 40 MB; run() leaves the session as it was."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from spanforge.llm.batches import BATCH, BATCH_BYTES
+
+    texts = spark.range(0, 10_000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    spark.conf.unset(BATCH)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-1:])
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert BATCH not in spark.conf.getAll
+    try:
+        for stage in (corpus_pipeline.classified, corpus_pipeline.ruled, corpus_pipeline.packed):
+            spark.conf.unset(BATCH)
+            stage(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "/root/testdata/sf0.001")
+            assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) < BATCH_BYTES + 10_000
+    finally:
+        spark.conf.unset(BATCH)
+
+
+def test_encoders_go_before_other_work():
+    """A worker that has packed and then scores texts held the tokenizer as long as it lived."""
+    import weakref
+
+    from spanforge.llm.batches import lean
+    from spanforge.llm.encode import tokenizer_path, word_encoder
+
+    path = tokenizer_path("word_bpe_49k.json")
+    found = weakref.ref(word_encoder(path))
+    lean()
+    assert found() is None
+    found = weakref.ref(word_encoder(path))
+    lean(word_encoder)
+    assert found() is word_encoder(path)
