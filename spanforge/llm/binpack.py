@@ -75,19 +75,24 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Counter:
 
 
 class _View:
-    """The lengths that are left, longest first, and which sums those from each place on can make."""
+    """The lengths that are left, longest first, and which sums those from each place on can make.
+
+    Shorter lengths soon make all sums that can be made; from there on places share one number, as a search keeps many views.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
         self.lengths = sorted((n for n, c in counts.items() if c), reverse=True)
         self.minus = [-n for n in self.lengths]
         self.reach, sums, mask = [1] * (len(self.lengths) + 1), 1, (1 << capacity + 1) - 1
         for i in range(len(self.lengths) - 1, -1, -1):
-            n, copies, step = self.lengths[i], min(counts[self.lengths[i]], capacity // self.lengths[i]), 1
+            n, copies, step, shorter = self.lengths[i], min(counts[self.lengths[i]], capacity // self.lengths[i]), 1, sums
             while copies:
                 step = min(step, copies)
                 sums |= sums << n * step & mask
                 copies -= step
                 step *= 2
+            if sums == shorter:
+                sums = shorter
             self.reach[i] = sums
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.batches import lean, slices
+from spanforge.llm.batches import lean, slices, trim
 from spanforge.llm.binpack import pack
 from spanforge.llm.encode import tokenizer_path, word_encoder
 from spanforge.llm.rownum import number_rows
@@ -78,6 +78,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = slots(pack(counts, capacity))
+    trim()  # what the search held on the driver
     first, before = {}, 0
     for length in sorted(counts):
         first[length] = before

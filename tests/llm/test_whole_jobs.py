@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than the whole job."""
 
+import shutil
+
 import pytest
 
 
@@ -274,3 +276,56 @@ def test_encoders_give_the_library_s_ids_by_every_way():
         e = encoder(tokenizer_path(name))
         e.forget()
         assert e.encode(texts) == [array("I", x.ids).tobytes() for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _listed(spark):
+    """Files of listings that the driver holds."""
+    import gc
+    import re
+    import subprocess
+
+    gc.collect()
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    table = subprocess.run(["jcmd", str(pid), "GC.class_histogram"], capture_output=True, text=True, check=True).stdout
+    return sum(int(n) for n in re.findall(r"\d+:\s+(\d+)\s+\d+\s+org\.apache\.hadoop\.fs\.\S*FileStatus\b", table))
+
+
+def test_listings_of_dropped_tables_go(spark):
+    """Spark's cache kept the list of every materialised table's files on the driver, 60 of 8 files each here."""
+    from spanforge.llm.storage import LISTINGS, drop, materialise
+
+    if not shutil.which("jcmd"):
+        pytest.skip("no jcmd")
+    before, limit = _listed(spark), spark.conf.get(LISTINGS)
+    for _ in range(60):
+        drop(table := materialise(spark.range(0, 80, 1, 8), "listed"))
+        assert table.seen["rows"] == 80
+    del table
+    after = _listed(spark)
+    assert after < before + 240 and spark.conf.get(LISTINGS) == limit
+
+
+def test_packing_search_holds_little():
+    """The views of a search over 3,500 lengths took 2 MB each, as every length had its sums for itself, and the driver's Python kept them."""
+    import tracemalloc
+    from collections import Counter
+
+    import numpy as np
+
+    from spanforge.llm.binpack import _of_bins, _View, pack
+
+    rng = np.random.default_rng(7)
+    counts = Counter(np.clip(rng.lognormal(6, 1, 20_000).astype(int) + 1, 1, 4096).tolist())
+    view = _View(counts, 4096)
+    sums, mask = 1, (1 << 4097) - 1
+    for i in range(len(view.lengths) - 1, -1, -1):
+        n = view.lengths[i]
+        for _ in range(min(counts[n], 4096 // n)):
+            sums |= sums << n & mask
+        assert view.reach[i] == sums
+    assert len({id(x) for x in view.reach}) < len(view.reach) // 4
+    tracemalloc.start()
+    found = pack(counts, 4096)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert _of_bins(found) == counts and most < 40 << 20
